@@ -1,7 +1,6 @@
 import re
 from collections import Counter
 
-import pandas as pd
 import pytest
 
 from granulon.llm import quality_rules
@@ -60,6 +59,5 @@ def test_no_labels_and_empty_tables(spark):
 
 
 def test_contradicting_labels_are_left_out(spark):
-    labels = pd.DataFrame({"doc_id": [1, 1, 2, 2, 3], "quality": [0, 1, 1, 1, None]})
-    got = quality_rules.one_label(spark.createDataFrame(labels)).collect()
-    assert [(r["_key"], int(r["_label"])) for r in got] == [(2, 1)]
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (2, 1), (3, None)], "doc_id long, quality int")
+    assert [tuple(r) for r in quality_rules.one_label(labels).collect()] == [(2, 1)]
