@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import packing, quality_rules, token_files
+from granulon.llm import packing, quality_rules, token_files, url_filter
 from granulon.llm.common import load, shared_path
 
 
+#: The rules of the query, fixed by its contract.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_filter.judge(load(spark, sf_dir, "pages"), URL_RULES, columns=["page_id"])
+    return found.select("_row.page_id", "host", "path", "rule", "verdict")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule"))
@@ -29,6 +38,44 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op7_packing": op7_packing,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
 }
-ORACLE: dict[str, str] = {}
+_FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
+_RULES = "case " + " ".join(f"when {_FITS.format(h=t.partition('/')[0], p=t.partition('/')[2])} then '{t}'" for _, t in sorted(URL_RULES, key=lambda r: -len(r[1]))) + " end"
+_SAYS = "case rule " + " ".join(f"when '{t}' then '{v}'" for v, t in URL_RULES) + " end"
+_BACKOFF = "({n}{k} + 4.0 * {p}) / ({n}c{k} + 4.0)"
+
+
+def _chain(n: str) -> str:
+    p = f"(1.0::double / {len(url_filter.ALPHABET)})"
+    for k in range(4):
+        p = _BACKOFF.format(n=n, k=k, p=p)
+    return p
+
+
+def _sums(n: str) -> str:
+    out = []
+    for k in range(4):
+        context = ", ".join(f"substr(gram, {3 - i + 1}, 1)" for i in range(1, k + 1))
+        out.append(f"sum({n}) over (partition by {context + ', ' if context else ''}substr(gram, 4, 1))::double as {n}{k}")
+        out.append(f"sum({n}) over ({'partition by ' + context if context else ''})::double as {n}c{k}")
+    return ", ".join(out)
+
+
+ORACLE: dict[str, str] = {
+    "op3_url_filter": f"""
+with parsed as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path, row_number() over () as id from pages),
+ruled as (select *, {_RULES} as rule from parsed),
+said as (select *, {_SAYS} as by_rule, '^^^' || regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^a-z0./_\\-%=&+~]', '*', 'g') || '$' as s from ruled),
+each as (select id, by_rule, substr(s, i::int, 4) as gram from (select id, by_rule, s, unnest(generate_series(1, length(s) - 3)) as i from said)),
+counts as (select gram, count(*) filter (by_rule = 'block') as r, count(*) filter (by_rule = 'allow') as a from each group by gram),
+sums as (select gram, {_sums("r")}, {_sums("a")} from counts),
+ratios as (select gram, round(1e6 * (ln({_chain("r")}) - ln({_chain("a")})))::bigint as ratio from sums),
+scores as (select id, floor(sum(ratio)::double / count(*) / 20000) as b from each join ratios using (gram) group by id),
+hist as (select b, count(*) filter (by_rule = 'block') as r, count(*) filter (by_rule = 'allow') as a from said join scores using (id) where by_rule is not null group by b),
+errors as (select b, coalesce(sum(r) over (order by b rows between unbounded preceding and 1 preceding), 0) * (sum(a) over ()) + (sum(a) over (order by b rows between current row and unbounded following)) * (sum(r) over ()) as error, sum(a) over () * sum(r) over () as both_classes from hist),
+least as (select b from errors where both_classes > 0 order by error, b limit 1)
+select page_id, host, path, rule, coalesce(by_rule, case when s.b >= (select b from least) then 'block' else 'allow' end) as verdict from said join scores s using (id)""",
+}
