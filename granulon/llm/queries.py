@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import packing, quality_rules, simhash, token_files, url_filter
+from granulon.llm import packing, quality_rules, simhash, substring_dedup, token_files, url_filter
 from granulon.llm.common import load, shared_path
 
 
@@ -40,12 +40,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.parsed(load(spark, sf_dir, "documents"), columns=["doc_id"])
+    return found.select("_row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_simhash": op5_simhash,
     "op7_packing": op7_packing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
 _RULES = "case " + " ".join(f"when {_FITS.format(h=t.partition('/')[0], p=t.partition('/')[2])} then '{t}'" for _, t in sorted(URL_RULES, key=lambda r: -len(r[1]))) + " end"
@@ -70,6 +76,13 @@ def _sums(n: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op10_substring_dedup": """
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, p, list_aggregate(ws[p:p + 12], 'string_agg', ' ') as x from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as p from w)),
+late as (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by x) as lowest from win) where doc_id > lowest),
+gone as (select doc_id, list(distinct i) as g from (select doc_id, unnest(generate_series(p, p + 12)) as i from late) group by doc_id),
+kept as (select doc_id, len(ws) as n_words, coalesce(len(g), 0) as n_removed, list_filter(ws, lambda x, i: not list_contains(coalesce(g, []), i)) as k from w left join gone using (doc_id))
+select doc_id, n_words, n_removed, sha256(coalesce(list_aggregate(k, 'string_agg', ' '), '')) as kept_sha256 from kept""",
     "op3_url_filter": f"""
 with parsed as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path, row_number() over () as id from pages),
