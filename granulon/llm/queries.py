@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import packing, quality_rules, simhash, substring_dedup, token_files, url_filter
+from granulon.llm import packing, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
 from granulon.llm.common import load, shared_path
 
 
@@ -35,6 +35,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, component=lambda e: F.floor(256 * e.cast("double")).cast("double"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -48,6 +52,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk,
     "op7_packing": op7_packing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
@@ -76,6 +81,12 @@ def _sums(n: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op6_topk": """
+with v as (select distinct vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+    where vec_id is not null and embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e)))),
+s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id and len(q.x) = len(v.x)),
+r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
+select * from r where rank <= 5""",
     "op10_substring_dedup": """
 with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 win as (select doc_id, p, list_aggregate(ws[p:p + 12], 'string_agg', ' ') as x from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as p from w)),
