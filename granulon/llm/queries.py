@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import packing, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
+from granulon.llm import packing, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
 from granulon.llm.common import load, shared_path
 
 
@@ -44,6 +44,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pu_classifier.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return found.select("_row.doc_id", "held_out", "score", "predicted")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.parsed(load(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select("_row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -56,6 +61,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
