@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from granulon.llm.common import words
 
-LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 16 << 20
+LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 ROWS = "block int, hashes binary, docs binary, counts binary, places binary"
 _SCHEMA = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
@@ -112,13 +112,12 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     def ask(batches):
         for batch in batches:
             doc_id, texts = batch.column(0).to_numpy(), batch.column(1)
-            order = np.argsort(doc_id, kind="stable")
-            doc_id, texts = doc_id[order], texts.take(pa.array(order))
             ends = np.cumsum(pc.binary_length(texts).to_numpy())
             first = 0
             while first < len(doc_id):
                 last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_BYTES)))
-                h, doc, place = phrases(doc_id[first:last], texts[first:last], length)
+                order = np.argsort(doc_id[first:last], kind="stable")
+                h, doc, place = phrases(doc_id[first:last][order], texts[first:last].take(pa.array(order)), length)
                 first = last
                 # stable, so of equal phrases the one of the smallest doc_id comes first
                 by_hash = np.argsort(h, kind="stable")
