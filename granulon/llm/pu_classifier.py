@@ -88,21 +88,42 @@ def _moments(binned: DataFrame, sizes: list[int]) -> np.ndarray:
     return total
 
 
+def _times(m: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A small product on the driver, without the threads of a linear-algebra library."""
+    return np.einsum("ij,j->i", m, w)
+
+
+def solve(m: np.ndarray, b: np.ndarray, steps: int = 2000) -> np.ndarray:
+    """m x = b for a positive definite m, by conjugate gradients scaled by m's diagonal."""
+    x, r, scale = np.zeros(len(b)), b.copy(), 1 / np.diag(m)
+    z = d = scale * r
+    for _ in range(steps):
+        if np.abs(r).max() < 1e-10:
+            break
+        md = _times(m, d)
+        step = (r * z).sum() / (d * md).sum()
+        x, new = x + step * d, r - step * md
+        new_z = scale * new
+        d = new_z + (new * new_z).sum() / (r * z).sum() * d
+        r, z = new, new_z
+    return x
+
+
 def minimise(p: np.ndarray, u: np.ndarray, prior: float, penalty: float, steps: int = 300) -> np.ndarray:
     """Weights of least non-negative risk, from the second-moment matrices (their first row is the mean)."""
-    ridge = penalty * np.eye(len(p))
     # without the bound at zero the risk is quadratic: its minimum is where the descent starts
-    w = np.linalg.solve(u + ridge, 2 * prior * p[0] - u[0])
-    precondition = np.linalg.inv(u + prior * p + 10 * ridge)
-    negative = lambda w: ((1 + 2 * w @ u[0] + w @ u @ w) - prior * (1 + 2 * w @ p[0] + w @ p @ w)) / 4
-    risk = lambda w: prior * (1 - 2 * w @ p[0] + w @ p @ w) / 4 + max(0.0, negative(w)) + penalty * w @ w / 4
-    best = w
+    w = best = solve(u + penalty * np.eye(len(u)), 2 * prior * p[0] - u[0])
+    loss = lambda w, s, m: (1 + 2 * s * (w * m[0]).sum() + (w * _times(m, w)).sum()) / 4
+    negative = lambda w: loss(w, 1, u) - prior * loss(w, 1, p)
+    risk = lambda w: prior * loss(w, -1, p) + max(0.0, negative(w)) + penalty * (w * w).sum() / 4
+    if negative(w) >= 0:
+        return w
+    scale = 1 / (np.diag(u) + prior * np.diag(p) + penalty)
     for k in range(steps):
-        if negative(w) < 0:  # its estimate can only be this low by over-fitting: step back from it alone
-            grad = -(u[0] + u @ w - prior * (p[0] + p @ w)) / 2
-        else:
-            grad = prior * (p @ w - p[0]) / 2 + (u[0] + u @ w - prior * (p[0] + p @ w)) / 2 + penalty * w / 2
-        w = w - precondition @ grad / (1 + k / 30)
+        part = (u[0] + _times(u, w) - prior * (p[0] + _times(p, w))) / 2
+        # below zero the part can only be over-fitted: step back from it alone
+        grad = -part if negative(w) < 0 else prior * (_times(p, w) - p[0]) / 2 + part + penalty * w / 2
+        w = w - scale * grad / (1 + k / 30) / len(w) ** 0.5
         best = w if risk(w) < risk(best) else best
     return best
 
@@ -127,7 +148,7 @@ def learn(rows: DataFrame) -> PuModel:
         return PuModel(edges, {f: w[a:b].tolist() for f, a, b in zip(names, ends, ends[1:], strict=False)}, float(w[0]), prior)
 
     # positives against unlabelled, in equal weight, orders the documents of the other half for the prior
-    first = model(np.linalg.solve(half_p + half_u + 4 * penalty * np.eye(len(p)), half_p[0] - half_u[0]), 0.5)
+    first = model(solve(half_p + half_u + 4 * penalty * np.eye(len(p)), half_p[0] - half_u[0]), 0.5)
     tails = rows.where("not half").groupBy(F.round(200 * first.margin()).cast("int").alias("b")).agg(F.count("*").alias("u"), F.count(F.when(F.col("positive"), 1)).alias("p")).orderBy(F.desc("b")).collect()  # as many rows as steps of 1/200
     prior, up, pp = 1.0, 0, 0
     other_u, other_p = max(1, sum(r["u"] for r in tails)), max(1, sum(r["p"] for r in tails))
