@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import packing, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
-from granulon.llm.common import load, shared_path
+from granulon.llm import chat, packing, pieces, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
+from granulon.llm.common import load, materialise, shared_path
 
 
 #: The rules of the query, fixed by its contract.
@@ -24,6 +24,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("rule"))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = materialise(pieces.encode(docs, model), "pieces")
+    back = pieces.decode(coded, model).select("doc_id", F.xxhash64("text").alias("back"))
+    whole = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("there")).join(back, "doc_id")
+    counts = coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("ids", ",")).alias("ids_crc32"))
+    return counts.join(whole, "doc_id").select("doc_id", "n_pieces", "ids_crc32", (F.col("there") == F.col("back")).alias("restored"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_files.write(load(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -44,6 +54,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(load(spark, sf_dir, "conversations"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pu_classifier.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
     return found.select("_row.doc_id", "held_out", "score", "predicted")
@@ -55,12 +69,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk,
     "op7_packing": op7_packing,
     "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op8_chat": op8_chat,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
 }
@@ -87,6 +103,13 @@ def _sums(n: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op8_chat": """
+with t as (select conv_id, coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') as x, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) as p,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as n from conversations where conv_id is not null),
+pre as (select conv_id, n, string_agg(x, chr(2)) over (partition by conv_id order by n) as h, lead(n) over (partition by conv_id order by n) is null as last from t),
+whole as (select n, h, min(conv_id) as conv_id, count(*) as n_copies from pre where last group by n, h),
+kept as (select * from whole w where not exists (select 1 from pre where not pre.last and pre.n = w.n and pre.h = w.h))
+select k.conv_id, k.n as n_turns, n_copies, string_agg(p, '' order by t.n) as rendered from kept k join t using (conv_id) group by all""",
     "op6_topk": """
 with v as (select distinct vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
     where vec_id is not null and embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e)))),
