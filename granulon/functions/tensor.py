@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SYM = ("xx", "xy", "xz", "yy", "yz", "zz")
 
@@ -60,7 +61,7 @@ def rodrigues(v: list[Column], k: list[Column], angle: float) -> list[Column]:
     return [v[i] * c + cross[i] * s + k[i] * dot * (1 - c) for i in range(3)]
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def eigenvectors(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.Series:
     """Unit eigenvectors as rows u, v, w by descending eigenvalue, nine numbers; the largest component of each is positive."""
     e = {"xx": xx, "xy": xy, "xz": xz, "yy": yy, "yz": yz, "zz": zz}
