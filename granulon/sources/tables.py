@@ -53,10 +53,10 @@ def yaml_counts(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for text in pdf["value"]:
                 doc = yaml.safe_load(text) or {}
-                rows.append((int(doc["hv"]), int((doc.get("locating") or {}).get("particles", -1))))
+                rows.append((doc.get("hv"), int((doc.get("locating") or {}).get("particles", -1))))
             yield pd.DataFrame(rows, columns=["hv", "particle_count"])
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(parse, "hv long, particle_count long")
+    return spark.read.text(path, wholetext=True).mapInPandas(parse, "hv long, particle_count long")
 
 
 def append_log(stage_log: DataFrame, path: str) -> None:
