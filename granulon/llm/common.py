@@ -26,13 +26,33 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/granulon-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Written tables of operators in order; ``release`` may delete them.
+_WRITTEN: list[str] = []
+
+
+def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once, and outlives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
+    if not lasting:
+        _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables operators have written in this process."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the tables written from the first to before the last; results that read them must have been written."""
+    for k in range(first, last):
+        if _WRITTEN[k]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN[k])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN[k] = ""
+
+
 def words(text: Column) -> Column:
     """The words of a text, as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
