@@ -7,7 +7,7 @@ by the number of bins; so the risk of the whole corpus is minimised exactly, on
 
 The class prior is estimated from the same two sets, halved: on one half a first classifier of positives against unlabelled orders
 the documents; on the other, the prior is the least ratio, over the upper tails of that order that hold nine tenths of the positives,
-of the unlabelled share to the positive share (never below the true prior but for chance, of which one standard error is added).
+of the unlabelled share to the positive share (never below the true prior but for chance, of which three standard errors are added).
 
 Labels of 0 are never read. Rows whose fold is held out (crc32 of the key's text, modulo 3, is 1) take no part in learning.
 Defined results: a null or empty text has all statistics zero and is scored like any other; a null key is in no fold and unlabelled; repeated rows
@@ -30,7 +30,7 @@ FEATURES = {
 }
 BINS, TREE = 16, 16
 #: Ridge for n positives.
-RIDGE = lambda n: 1e-4 + 3 / n
+RIDGE = lambda n: 1e-4 + 20 / n
 
 
 def held_out(key: str) -> Column:
@@ -156,7 +156,7 @@ def learn(rows: DataFrame) -> PuModel:
         up, pp = up + r["u"], pp + r["p"]
         if pp >= 0.9 * other_p > 0:
             ratio = (up / other_u) / (pp / other_p)
-            prior = min(prior, ratio * (1 + ((1 - pp / other_p) / pp) ** 0.5))
+            prior = min(prior, ratio * (1 + 3 * ((1 - pp / other_p) / pp) ** 0.5))
     found = model(minimise(p, u, prior, penalty), prior)
     # the weights order the documents; where to cut is the least PU risk of the 0/1 loss
     steps = rows.groupBy(F.floor(200 * found.margin()).cast("int").alias("b")).agg(F.count("*").alias("u"), F.count(F.when(F.col("positive"), 1)).alias("p")).orderBy("b").collect()
