@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, CACHED, CHECK = "▁", 300_000, 32
+MARK, CACHED, CHECK = "▁", 500_000, 32
 
 
 class Pieces:
@@ -35,17 +35,23 @@ class Pieces:
         self.bytes = {model.piece_to_id(f"<0x{b:02X}>"): b for b in range(256)}
         self.byte_id = {b: i for i, b in self.bytes.items()}
         self.longest = max(map(len, self.ids))
+        #: Neighbours that some piece holds; between any others every path has a boundary.
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.pair: dict[tuple[str, str], bool] = {}
         self.known: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string by merging the best-ranked neighbours, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            score, at = max(((self.rank.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))))
-            if score == -np.inf:
+        parts, rank = list(text), self.rank
+        while True:
+            best, at = -np.inf, -1
+            for i in range(len(parts) - 1):
+                r = rank.get(parts[i] + parts[i + 1])
+                if r is not None and r > best:
+                    best, at = r, i
+            if at < 0:
                 break
-            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def fits(self, before: str, piece: str) -> bool:
@@ -54,9 +60,35 @@ class Pieces:
         if got is None:
             if len(self.pair) > 2 * CACHED:
                 self.pair.clear()
-            got = self.pair[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            apart = before and before[-1] + piece[0] not in self.inner
+            got = self.pair[key] = bool(apart) or self.merged(before + piece) == ([before, piece] if before else [piece])
         return got
 
+    def short(self, word: str) -> list[str]:
+        """The pieces of a whole short word: the same backpointers, all held."""
+        ids, pair, last = self.ids, self.pair, [""]
+        for i in range(1, len(word) + 1):
+            found = None
+            for start in range(i - 1, max(-1, i - 1 - self.longest), -1):
+                piece, before = word[start:i], last[start]
+                if before is None or (start < i - 1 and piece not in ids):
+                    continue
+                fits = pair.get((before, piece))
+                if self.fits(before, piece) if fits is None else fits:
+                    found = piece
+                    break
+            last.append(found)
+        return self._back(last, len(word))
+
+    def _words(self, chunk: str):
+        """A chunk cut where no piece joins its characters; runs of over 64 characters go through the stream."""
+        inner, start = self.inner, 0
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in inner:
+                yield chunk[start:i]
+                start = i
+        yield chunk[start:]
+
     def stream(self, characters):
         """Yield the pieces of a stream of characters; holds only the window whose paths have not met."""
         held, last = "", [""]  # pending characters; the last piece of the best path to each position (position 0 is final)
@@ -102,6 +134,12 @@ class Pieces:
             out += [i] if i is not None else [self.byte_id[b] for b in p.encode()]
         return out
 
+    def _keep(self, word: str, ids: list[int]) -> None:
+        if len(word) <= 64:
+            if len(self.known) > CACHED:
+                self.known.clear()
+            self.known[word] = tuple(ids)
+
     def encode(self, text: str | None) -> list[int]:
         """No piece joins a mark to a character before it, so words are independent; short ones are looked up."""
         if not text:
@@ -114,16 +152,18 @@ class Pieces:
                 at += 1
             end = marked.find(MARK, at)
             end = len(marked) if end < 0 else end
-            if end - start > 64:
-                out += self._ids(self.stream(marked[start:end]))
-            else:
-                word = marked[start:end]
-                got = self.known.get(word)
-                if got is None:
-                    if len(self.known) > CACHED:
-                        self.known.clear()
-                    got = self.known[word] = tuple(self._ids(self.stream(word)))
-                out += got
+            chunk = marked[start:end]
+            got = self.known.get(chunk)
+            if got is None:
+                got = []
+                for word in self._words(chunk):
+                    part = self.known.get(word)
+                    if part is None:
+                        part = self._ids(self.stream(word)) if len(word) > 64 else self._ids(self.short(word))
+                        self._keep(word, part)
+                    got += part
+                self._keep(chunk, got)
+            out += got
             start = end
         return out
 
