@@ -85,7 +85,7 @@ def xyz_lines(rows: DataFrame, columns: list[str], species: str | None = None, o
     lead = [F.lit(species)] if species else []
     body = rows.select("frame", F.lit(2).alias("part"), F.col(order).alias("k"), F.concat_ws(" ", *lead, *(F.col(c).cast("string") for c in columns)).alias("value"))
     props = ("species:S:1:" if species else "") + ":".join(f"{c}:R:1" for c in columns)
-    counts = rows.groupBy("frame").agg(F.count("*").alias("n")).select("frame", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("n").cast("string").alias("v")), F.struct(F.lit(1), F.lit(f"Properties={props}")))).alias("h"))
+    counts = rows.groupBy("frame").agg(F.count("*").alias("n")).select("frame", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.col("n").cast("string").alias("v")), F.struct(F.lit(1).alias("part"), F.lit(f"Properties={props}").alias("v")))).alias("h"))
     head = counts.select("frame", "h.part", F.lit(None).cast("long").alias("k"), F.col("h.v").alias("value"))
     return head.unionByName(body)
 
