@@ -108,7 +108,7 @@ _TH = [float(x) for x in range(5, 105, 10)]
 add("ecdf_thresholds", "threshold share:r", lambda s, d: quality.below_thresholds(tracks(s, d), "z", _TH), f"select threshold, avg((z < threshold)::int) as share from {T}, (select unnest({_TH})::double as threshold) group by 1")
 add("cumulative_hist", "bin:i n:i share:r", lambda s, d: quality.cumulative_histogram(tracks(s, d), "z", 10), f"select floor(z / 10) as bin, count(*) as n, sum(count(*)) over (order by floor(z / 10)) / (select count(z) from {T}) as share from {T} group by 1")
 add("corr_matrix", "a b r:r", lambda s, d: quality.correlations(tracks(s, d), ["x", "y", "z"]), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from {T}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
-add("moments_by_count", "y:i n:i low:r high:r mean:r var:r skew:r", lambda s, d: quality.moments_by(tracks(s, d), "x", ["y"]), f"select y, count(x) as n, min(x) as low, max(x) as high, avg(x) as mean, var_samp(x) as var, case when count(x) > 0 then (select null) end as skew0, case when var_pop(x) > 0 then (avg(x**3) - 3 * avg(x) * avg(x**2) + 2 * avg(x)**3) / var_pop(x)**1.5 end as skew from {T} group by 1".replace("case when count(x) > 0 then (select null) end as skew0, ", ""))
+add("moments_by_count", "y:i n:i low:r high:r mean:r var:r skew:r", lambda s, d: quality.moments_by(tracks(s, d), "x", ["y"]), f"select y, count(x) as n, min(x) as low, max(x) as high, avg(x) as mean, var_samp(x) as var, case when var_pop(x) > 0 then (avg(x**3) - 3 * avg(x) * avg(x**2) + 2 * avg(x)**3) / var_pop(x)**1.5 end as skew from {T} group by 1")
 add("value_counts", "event_type n:i", lambda s, d: quality.summary_counts(table(s, d, "events"), "event_type"), "select event_type, count(*) as n from events group by 1")
 add("fill_high", "frame particle x:r", lambda s, d: quality.fill_high(tracks(s, d).withColumn("x", F.when(F.col("particle") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x"))), "x"), f"with t as (select frame, particle, case when particle % 7 <> 0 then x end as x from {T}) select frame, particle, coalesce(x, 1.1 * (select quantile_cont(x, 0.999) from t)) as x from t")
 add("top_values", "l_orderkey:i total:r", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c")).orderBy(F.desc("c"), "l_orderkey").limit(50).withColumn("total", F.col("c") / 100), "select l_orderkey, sum(round(l_extendedprice * 100)::bigint)::double / 100 as total from lineitem group by 1 order by total desc, l_orderkey limit 50")
@@ -191,8 +191,6 @@ def _local(s, d):
     return strain.local_strain(tracks(s, d).where("material = 'sed'"), _pairs(s, (0, 1), (0, 2)), RING)
 
 
-# values over 1e4 come from nearly flat neighbourhoods, whose digits differ between engines
-_WELL = "abs(det_scale) < 1e4"
 add("local_strain", "ref cur particle nnb_count:i exx:r exz:r eyz:r rxz:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", "nnb_count", *(F.round(c, 4).alias(c) for c in ("exx", "exz", "eyz", "rxz"))), "select ref, cur, particle, nnb_count, " + ", ".join(f"round({c}, 4) as {c}" for c in ("exx", "exz", "eyz", "rxz")) + f" from {_STRAIN}")
 add("d2_min", "ref cur particle d2_min:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", F.round("d2_min", 2).alias("d2_min")), f"select ref, cur, particle, round(d2_min, 2) as d2_min from {_STRAIN}")
 add("von_mises", "ref cur particle von_mises:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", F.round("von_mises", 4).alias("von_mises")), f"select ref, cur, particle, round(von_mises, 4) as von_mises from {_STRAIN}")
