@@ -12,8 +12,12 @@ shuffle each slice of documents sends a phrase once, for its smallest doc_id; it
 known repeats and travel by document, so a phrase in a third of all documents loads no block. Different phrases could only be
 confused by equal 64-bit hashes (expected below one pair in 4e9 phrases).
 
-Defined results: a null or empty text has no words; a null doc_id is neither a reference nor parsed; rows that share a doc_id are one
-document whose factors apply to each of its rows; other columns survive in ``remove`` and are ignored in ``factors``.
+The unit that is packed, parsed and joined back is (doc_id, copy); copy is zero where the doc_id has one row and the text's 64-bit
+hash elsewhere, so only repeated ids pay for it. The doc_id alone decides which of two documents is the earlier one.
+
+Defined results: a null or empty text has no words; a null doc_id is neither a reference nor parsed; rows that share a doc_id are each
+parsed by themselves, none of them against another, and equal rows get equal results; other columns survive in ``remove`` and are
+ignored in ``factors``.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import words
+from granulon.llm.common import materialise, words
 
 LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-ROWS = "block int, hashes binary, docs binary, counts binary, places binary"
-_SCHEMA = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+ROWS = "block int, hashes binary, docs binary, copies binary, counts binary, places binary"
+_SCHEMA = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "copies", "counts", "places"))])
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -43,16 +47,25 @@ def _whole(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
-def _pack(block: int, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> dict:
-    """A row of phrases in order of (doc, place): each document once, and differences of neighbours."""
-    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+def _first(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
+def _pack(block: int, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray) -> dict:
+    """A row of phrases in order of (doc, copy, place): each unit once, and differences of neighbours."""
+    first = np.flatnonzero(_first(doc, copy))
     step = np.diff(place, prepend=0)
     step[first] = place[first]
-    return {"block": block, "hashes": hashes.tobytes(), "docs": _planes(np.diff(doc[first], prepend=0)), "counts": _planes(np.diff(np.append(first, len(doc))).astype(np.uint32)), "places": _planes(step.astype(np.uint32))}
+    copies = _planes(copy[first]) if copy.any() else b""
+    return {"block": block, "hashes": hashes.tobytes(), "docs": _planes(np.diff(doc[first], prepend=0)), "copies": copies, "counts": _planes(np.diff(np.append(first, len(doc))).astype(np.uint32)), "places": _planes(step.astype(np.uint32))}
 
 
-def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    hashes, docs, places = [], [], []
+def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    hashes, docs, copies, places = [], [], [], []
     for r in rows.to_pylist():
         count = _whole(r["counts"], np.uint32).astype(np.int64)
         doc, step = np.cumsum(_whole(r["docs"], np.int64)), _whole(r["places"], np.uint32).astype(np.int64)
@@ -61,22 +74,23 @@ def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         base = run[first] - step[first]
         hashes.append(np.frombuffer(r["hashes"], np.uint64))
         docs.append(np.repeat(doc, count))
+        copies.append(np.repeat(_whole(r["copies"], np.int64), count) if r["copies"] else np.zeros(len(run), np.int64))
         places.append(run - np.repeat(base, count))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, docs, places))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, docs, copies, places))
 
 
-def _of_document(doc: np.ndarray, n: int) -> np.ndarray:
-    h = doc.view(np.uint64) * _ODD
+def _of_document(doc: np.ndarray, copy: np.ndarray, n: int) -> np.ndarray:
+    h = (doc ^ copy).view(np.uint64) * _ODD
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def _split(block: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, base: int = 0) -> list[dict]:
+def _split(block: np.ndarray, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray, base: int = 0) -> list[dict]:
     """Rows by block; phrases keep their order inside one."""
     order = np.argsort(block, kind="stable")
-    block, hashes, doc, place = block[order], hashes[order] if len(hashes) else hashes, doc[order], place[order]
+    block, hashes, doc, copy, place = block[order], hashes[order] if len(hashes) else hashes, doc[order], copy[order], place[order]
     cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
     ends = zip(np.append(0, cuts), np.append(cuts, len(block)), strict=True) if len(block) else []
-    return [_pack(base + int(block[a]), hashes[a:b], doc[a:b], place[a:b]) for a, b in ends]
+    return [_pack(base + int(block[a]), hashes[a:b], doc[a:b], copy[a:b], place[a:b]) for a, b in ends]
 
 
 def phrases(doc_id: np.ndarray, texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,21 +117,39 @@ def phrases(doc_id: np.ndarray, texts: pa.Array, length: int) -> tuple[np.ndarra
     return h[place + np.repeat(ends[:-1], own)], np.repeat(doc_id, own), place
 
 
-def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id and factors: array of (start, n), the runs of words that repeat phrases of documents with a smaller doc_id."""
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+def repeated_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame | None:
+    """``_id``: the doc_ids of more than one row; None if there are none."""
+    found = docs.select(F.col(key).cast("long").alias("_id")).where("_id is not null").groupBy("_id").count().where("count > 1")
+    found = materialise(found.select("_id"), "repeated")
+    return None if found.isEmpty() else found
+
+
+def with_copy(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """Rows of (_id, _t, ...) and ``_copy``: with _id the unit that factors belong to."""
+    if repeated is None:
+        return rows.withColumn("_copy", F.lit(0).cast("long"))
+    found = rows.join(repeated.withColumn("_many", F.lit(True)), "_id", "left")
+    return found.withColumn("_copy", F.when(F.col("_many"), F.xxhash64(F.coalesce("_t", F.lit("")))).otherwise(F.lit(0).cast("long"))).drop("_many")
+
+
+def factors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """From (_id, _copy, _t) to doc_id, copy and factors: array of (start, n), the runs of words that repeat phrases of documents with a smaller doc_id."""
+    rows = rows.select("_id", "_copy", "_t").where("_id is not null and _t is not null")
+    size = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    blocks = max(2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
 
     def ask(batches):
         for batch in batches:
-            doc_id, texts = batch.column(0).to_numpy(), batch.column(1)
+            doc_id, copies, texts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             ends = np.cumsum(pc.binary_length(texts).to_numpy())
             first = 0
             while first < len(doc_id):
                 last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_BYTES)))
-                order = np.argsort(doc_id[first:last], kind="stable")
-                h, doc, place = phrases(doc_id[first:last][order], texts[first:last].take(pa.array(order)), length)
+                order = np.lexsort((copies[first:last], doc_id[first:last]))
+                # equal rows are one unit
+                order = order[_first(doc_id[first:last][order], copies[first:last][order])]
+                h, unit, place = phrases(np.arange(len(order)), texts[first:last].take(pa.array(order)), length)
+                doc, copy = doc_id[first:last][order][unit], copies[first:last][order][unit]
                 first = last
                 # stable, so of equal phrases the one of the smallest doc_id comes first
                 by_hash = np.argsort(h, kind="stable")
@@ -127,9 +159,9 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 repeat[by_hash] = doc[by_hash] > doc[lead]
                 ask_for = np.zeros(len(h), bool)
                 ask_for[by_hash] = doc[by_hash] == doc[lead]
-                # repeats within a document are asked for each: all of them repeat if an earlier document has the phrase
-                out = _split((h[ask_for] % np.uint64(blocks)).astype(np.int64), h[ask_for], doc[ask_for], place[ask_for])
-                out += _split(_of_document(doc[repeat], blocks), h[:0], doc[repeat], place[repeat], base=blocks)
+                # repeats within a doc_id are asked for each: all of them repeat if an earlier document has the phrase
+                out = _split((h[ask_for] % np.uint64(blocks)).astype(np.int64), h[ask_for], doc[ask_for], copy[ask_for], place[ask_for])
+                out += _split(_of_document(doc[repeat], copy[repeat], blocks), h[:0], doc[repeat], copy[repeat], place[repeat], base=blocks)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
@@ -137,32 +169,38 @@ def factors(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
         """Of one block: the phrases that start in an earlier document, by document."""
         if group["block"][0].as_py() >= blocks:  # known repeats pass
             return group.set_column(0, "block", pc.cast(pc.subtract(group["block"], blocks), pa.int32()))
-        h, doc, place = _unpack(group)
+        h, doc, copy, place = _unpack(group)
         order = np.lexsort((doc, h))
-        h, doc, place = h[order], doc[order], place[order]
-        new = np.append(True, h[1:] != h[:-1])
+        h, doc, copy, place = h[order], doc[order], copy[order], place[order]
+        new = _first(h)
         late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        doc, place = doc[late], place[late]
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        return pa.Table.from_pylist(_split(_of_document(doc, blocks), h[:0], doc, place), schema=_SCHEMA)
+        doc, copy, place = doc[late], copy[late], place[late]
+        order = np.lexsort((place, copy, doc))
+        doc, copy, place = doc[order], copy[order], place[order]
+        # equal rows of different slices
+        new = _first(doc, copy, place)
+        doc, copy, place = doc[new], copy[new], place[new]
+        return pa.Table.from_pylist(_split(_of_document(doc, copy, blocks), h[:0], doc, copy, place), schema=_SCHEMA)
 
     def parse(group: pa.Table) -> pa.Table:
         """Of the documents of one group: their factors."""
-        _, doc, place = _unpack(group)
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        new_doc = np.append(True, doc[1:] != doc[:-1])
-        new = new_doc | np.append(True, place[1:] > place[:-1] + length)
+        _, doc, copy, place = _unpack(group)
+        order = np.lexsort((place, copy, doc))
+        doc, copy, place = doc[order], copy[order], place[order]
+        # equal rows of different slices, a phrase known in one and asked for in the other
+        new = _first(doc, copy, place)
+        doc, copy, place = doc[new], copy[new], place[new]
+        new_unit = _first(doc, copy)
+        new = new_unit | np.append(True, place[1:] > place[:-1] + length)
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(doc)) - 1
         spans = pa.StructArray.from_arrays([pa.array(place[start].astype(np.int32)), pa.array((place[end] + length - place[start]).astype(np.int32))], names=["start", "n"])
-        firsts = np.flatnonzero(new_doc[start])
-        return pa.table({"doc_id": pa.array(doc[start[firsts]]), "factors": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(start)).astype(np.int32)), spans)})
+        firsts = np.flatnonzero(new_unit[start])
+        return pa.table({"doc_id": pa.array(doc[start[firsts]]), "copy": pa.array(copy[start[firsts]]), "factors": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(start)).astype(np.int32)), spans)})
 
     asked = rows.mapInArrow(ask, ROWS)
     answered = asked.groupBy("block").applyInArrow(answer, ROWS)
-    return answered.groupBy("block").applyInArrow(parse, "doc_id long, factors array<struct<start:int,n:int>>")
+    return answered.groupBy("block").applyInArrow(parse, "doc_id long, copy long, factors array<struct<start:int,n:int>>")
 
 
 def kept_words(w: str, spans: str) -> Column:
@@ -175,10 +213,11 @@ def kept_words(w: str, spans: str) -> Column:
 
 def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: list[str] | None = None) -> DataFrame:
     """``_row`` (the input's columns, or some), n_words, n_removed, and kept: the words outside the factors joined by one space."""
-    found = factors(docs, key, text, length).select(F.col("doc_id").alias("_key"), F.col("factors").alias("_f"))
     rows = docs.select(F.struct(*(columns or ["*"])).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
+    rows = with_copy(rows, repeated_ids(docs, key))
+    found = factors(rows, length).select(F.col("doc_id").alias("_key"), F.col("copy").alias("_key_copy"), F.col("factors").alias("_f"))
     # the text goes through one shuffle and no sort: the factors are the side that is hashed
-    rows = rows.join(found.hint("shuffle_hash"), F.col("_id") == F.col("_key"), "left").select("_row", "_f", words(F.col("_t")).alias("_w"))
+    rows = rows.join(found.hint("shuffle_hash"), (F.col("_id") == F.col("_key")) & (F.col("_copy") == F.col("_key_copy")), "left").select("_row", "_f", words(F.col("_t")).alias("_w"))
     removed = F.coalesce(F.aggregate("_f", F.lit(0), lambda s, x: s + x.n), F.lit(0)).cast("long")
     return rows.select("_row", F.size("_w").cast("long").alias("n_words"), removed.alias("n_removed"), kept_words("_w", "_f").alias("kept"))
 

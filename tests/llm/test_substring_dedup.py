@@ -37,6 +37,22 @@ def test_cases(spark):
     assert run(spark, []) == {}
 
 
+@pytest.mark.parametrize("apart", [False, True])
+def test_rows_that_share_an_id(spark, apart):
+    w = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = f"{w('a', 3)} {w('r', 14)} {w('b', 83)} {w('s', 14)} {w('c', 16)}"  # 130 words, factors at 3 and 100
+    other = f"{w('d', 40)} {w('s', 14)} {w('e', 20)}"
+    texts = [(1, w("r", 14)), (2, w("s", 14)), (5, twice), (5, other), (5, twice), (5, None), (6, w("e", 20))]
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame(texts, schema).coalesce(1)
+    if apart:  # each row in a slice of its own
+        docs = spark.createDataFrame(texts, schema).repartition(7)
+    got = sorted((r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.parsed(docs).where("_row.doc_id = 5").collect())
+    kept = (130, 28, f"{w('a', 3)} {w('b', 83)} {w('c', 16)}")
+    assert got == [(0, 0, ""), (74, 14, f"{w('d', 40)} {w('e', 20)}"), kept, kept]
+    assert [tuple(r)[1:] for r in substring_dedup.parsed(docs).where("_row.doc_id = 6").collect()] == [(20, 20, "")]
+
+
 def test_slices_and_blocks(spark, monkeypatch):
     import random
 
