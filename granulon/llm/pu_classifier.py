@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,7 +76,8 @@ def _moments(binned: DataFrame, sizes: list[int]) -> np.ndarray:
                 x[:, 0] = 1
                 np.put_along_axis(x, at[kind == k], 1, axis=1)
                 total[k] += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.random.default_rng().integers(TREE))], pa.int32()), pa.array([total.tobytes()])], names=["branch", "total"])
+        # a task that runs again must send its sums to the same branch
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TREE], pa.int32()), pa.array([total.tobytes()])], names=["branch", "total"])
 
     def merge(group: pa.Table) -> pa.Table:
         whole = sum(np.frombuffer(x, np.float64) for x in group["total"].to_pylist())

@@ -36,6 +36,20 @@ def test_defined_results(spark):
     assert pu_classifier.judge(docs.limit(0), some).count() == 0
 
 
+def test_a_task_that_runs_again_keeps_its_branch(spark):
+    binned = spark.range(0, 600, 1, 12).selectExpr("cast(id % 4 as int) as kind", "cast(id % 3 as int) as b")
+
+    class Spy:
+        def mapInArrow(self, f, kind):
+            self.sums = binned.mapInArrow(f, kind)
+            return self.sums
+
+    spy = Spy()
+    assert pu_classifier._moments(spy, [3])[:, 0, 0].tolist() == [150] * 4
+    runs = [[(r["branch"], bytes(r["total"])) for r in spy.sums.collect()] for _ in range(2)]
+    assert runs[0] == runs[1] and {b for b, _ in runs[0]} == set(range(12))
+
+
 def test_risk_is_least():
     rng = np.random.default_rng(1)
     x = np.hstack([np.ones((400, 1)), rng.normal(size=(400, 4))])
