@@ -178,26 +178,30 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (array of int), one row for each row; a narrow pass."""
+def _kinds(df: DataFrame, columns: tuple[str, ...]) -> str:
+    return "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (array of int) and some of the input's columns, one row for each row; a narrow pass."""
 
     def ids(batches):
         for b in batches:
             for first in range(0, len(b), 256):
                 part = b.slice(first, 256)
                 found = [pieces(model).encode(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32())), *part.columns[2:]], names=["doc_id", "ids", *columns])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(ids, "doc_id long, ids array<int>")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"), *columns).mapInArrow(ids, "doc_id long, ids array<int>" + _kinds(docs, columns))
 
 
-def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """doc_id and text."""
+def decode(coded: DataFrame, model: str, key: str = "doc_id", ids: str = "ids", columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and some of the input's columns, one row for each row."""
 
     def texts(batches):
         for b in batches:
             for first in range(0, len(b), 256):
                 part = b.slice(first, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pieces(model).decode(x or []) for x in part.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pieces(model).decode(x or []) for x in part.column(1).to_pylist()], pa.string()), *part.columns[2:]], names=["doc_id", "text", *columns])
 
-    return coded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("i")).mapInArrow(texts, "doc_id long, text string")
+    return coded.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("i"), *columns).mapInArrow(texts, "doc_id long, text string" + _kinds(coded, columns))

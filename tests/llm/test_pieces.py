@@ -35,6 +35,16 @@ def test_window_is_bounded():
     assert globals()["SEEN"] < 200 and most == 0
 
 
+def test_query_keeps_every_row(spark, tmp_path):
+    from granulon.llm.queries import op1_sentencepiece
+
+    rows = [(None, "no id"), (None, None), (7, "one text"), (7, "another text"), (7, "one text"), (8, "▁mark"), (9, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op1_sentencepiece(spark, str(tmp_path)).select("doc_id", "n_pieces", "restored").collect()]
+    want = [(d, len(LIB.encode(t)) if t else 0, t != "▁mark") for d, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_documents(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect():
         assert MINE.encode(r["text"]) == LIB.encode(r["text"])
