@@ -36,23 +36,26 @@ def radius_pairs(points: DataFrame, r: float, by: list[str], key: str = "id") ->
     return radius_join(points, points, r, by, key, key).where("i < j")
 
 
-def nearest(points: DataFrame, k: int, r: float, by: list[str], key: str = "id", rounds: int = 12) -> DataFrame:
+def nearest(points: DataFrame, k: int, r: float, by: list[str], key: str = "id") -> DataFrame:
     """The k nearest others of each point, ties to the smaller id. Points with too few within r look within twice that, and so on.
 
-    Everything outside the radius is farther than all inside, so a point is done once k are found; a group with fewer others gives all of them.
+    Everything outside the radius is farther than all inside, so a point is done once k are found; a group with fewer others gives all of them,
+    at the latest when the radius covers the group's extent. Points without three finite coordinates have no neighbours and are none.
     """
     order = W.partitionBy(*by, "i").orderBy("d2", "j")
-    sizes = points.groupBy(*by).agg((F.count("*") - 1).alias("_others"))
+    points = points.where(" and ".join(f"abs({c}) < double('inf')" for c in "xyz"))  # false for NaN, which is over infinity
+    extent = sum((F.max(c) - F.min(c) for c in "xyz"), F.lit(0.0))
+    sizes = checkpointed(points.groupBy(*by).agg((F.count("*") - 1).alias("_others"), extent.alias("_extent")))
     found, todo = None, points
-    for step in range(rounds):
-        hits = radius_join(todo, points, r * 2**step, by, key, key).where("i <> j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    while found is None or not todo.isEmpty():
+        hits = radius_join(todo, points, r, by, key, key).where("i <> j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         counts = todo.select(*by, F.col(key).alias("i")).join(hits.groupBy(*by, "i").agg(F.count("*").alias("_n")), [*by, "i"], "left").join(sizes, by)
-        done = counts.where(F.coalesce("_n", F.lit(0)) >= F.least(F.lit(k), F.col("_others"))).select(*by, "i")
+        enough = F.coalesce("_n", F.lit(0)) >= F.least(F.lit(k), F.col("_others"))
+        done = counts.where(enough | (F.col("_extent") < F.lit(r))).select(*by, "i")
         part = hits.join(done, [*by, "i"], "left_semi")
         found = part if found is None else found.unionAll(part)
         todo = checkpointed(todo.join(done.withColumnRenamed("i", key), [*by, key], "left_anti"))
-        if todo.isEmpty():
-            break
+        r *= 2
     return found.select(*by, "i", "j", "rank", "d2")
 
 

@@ -78,6 +78,13 @@ def test_radius_pairs_and_neighbours(spark):
     assert all([got[i][k] for k in range(1, 6)] == np.argsort(d[i], kind="stable")[1:6].tolist() for i in range(120))
 
 
+def test_nearest_far_points_and_null_coordinates(spark):
+    rows = [(0, 1, 0.0), (0, 2, 1.0), (0, 3, 5000.0), (0, 4, None), (0, 5, float("nan")), (1, 1, 0.0), (1, 2, 1e6), (1, 3, 1e6 + 1)]
+    df = spark.createDataFrame([(g, i, x, 0.0, 0.0) for g, i, x in rows], "g long, id long, x double, y double, z double")
+    got = {(r["g"], r["i"], r["rank"]): r["j"] for r in spatial.nearest(df, 3, 0.4, ["g"]).collect()}
+    assert got == {(0, 1, 1): 2, (0, 1, 2): 3, (0, 2, 1): 1, (0, 2, 2): 3, (0, 3, 1): 2, (0, 3, 2): 1, (1, 1, 1): 2, (1, 1, 2): 3, (1, 2, 1): 3, (1, 2, 2): 1, (1, 3, 1): 2, (1, 3, 2): 1}
+
+
 def test_resolve_doubles_rule(spark):
     df = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 0.3), (0, 2, 0.1, 0.0, 0.0, 0.2), (0, 3, 0.2, 0.0, 0.0, 0.1), (0, 4, 5.0, 0.0, 0.0, 0.2), (0, 5, 5.1, 0.0, 0.0, 0.2), (0, 6, 9.0, 0.0, 0.0, None), (0, 7, 9.1, 0.0, 0.0, 0.9)], "g long, id long, x double, y double, z double, error double")
     assert {r["id"] for r in spatial.resolve_doubles(df, 0.11, ["g"]).where("keep").collect()} == {3, 5, 7}
