@@ -1,4 +1,6 @@
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,12 +29,45 @@ def test_texts_round_trip(spark):
 
 
 def test_window_is_bounded():
-    most = 0
-    original = MINE._meet
-    MINE._meet = lambda last: (globals().__setitem__("SEEN", max(globals().get("SEEN", 0), len(last))), original(last))[1]
-    assert MINE._ids(MINE.stream(iter("the quick brown fox " * 400))) is not None
-    del MINE._meet
-    assert globals()["SEEN"] < 200 and most == 0
+    """However long a run without a forced boundary is, no more than some windows are held, and paths meet on the way."""
+    seen, original = [], MINE._meet
+    MINE._meet = lambda last: (seen.append(len(last)), original(last))[1]
+    try:
+        for text in ("the quick brown fox " * 400, "internationalisation" * 500, "abcabcabd" * 900, "a" * 5000):
+            seen.clear()
+            before, marked = MINE.commits, pieces.MARK + text.replace(" ", pieces.MARK)
+            assert MINE._ids(MINE.stream(iter(marked))) == LIB.encode(text)
+            assert max(seen, default=0) <= 6 * MINE.longest and MINE.commits - before > len(text) // (6 * MINE.longest)
+    finally:
+        del MINE._meet
+
+
+def test_the_stream_commits_on_documents(spark):
+    """Whole texts, without the memory of segments: the same ids, and commits at every word at least."""
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 3000").collect():
+        marked = pieces.MARK + (r["text"] or "").replace(" ", pieces.MARK)
+        before = MINE.commits
+        assert MINE._ids(MINE.stream(iter(marked))) == LIB.encode(r["text"] or "") or not r["text"]
+        assert MINE.commits - before >= marked[1:].rstrip(pieces.MARK).count(pieces.MARK) - marked.count(pieces.MARK * 2)
+
+
+def test_every_new_segment_goes_through_the_stream():
+    fresh, seen = pieces.Pieces(PATH), []
+    original = fresh.stream
+    fresh.stream = lambda word: (seen.append(word), original(word))[1]
+    assert fresh.encode("some words, some words\n\nand more") == LIB.encode("some words, some words\n\nand more")
+    assert set(seen) >= {"▁some", "▁words", "▁more"} and len(seen) == len(set(seen))
+
+
+def test_columns_of_texts():
+    column = pa.array(TEXTS * 2 + ["", None, "  x", "x  ", "  "], pa.string())
+    for part in (column, column[3:9], column[:0]):
+        ids, begin = MINE.encode_column(part)
+        want = [LIB.encode(t) if t else [] for t in part.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:])] == want
+        assert MINE.decode_column(ids.astype(np.int64), begin).to_pylist() == [(t or "").replace("▁", " ") for t in part.to_pylist()]
+    odd = [MINE.byte_id[0xE9], MINE.byte_id[0x41], 1, -5, 10**6]
+    assert MINE.decode_column(np.array(odd), np.array([0, 0, 2, 5])).to_pylist() == ["", "\ufffdA", ""]
 
 
 def test_query_keeps_every_row(spark, tmp_path):
@@ -46,5 +81,5 @@ def test_query_keeps_every_row(spark, tmp_path):
 
 
 def test_documents(spark):
-    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect():
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         assert MINE.encode(r["text"]) == LIB.encode(r["text"])
