@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +15,16 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: A side of a join is broadcast only if it has at most so many rows of a few numbers (some 50 MB as a hash table); beyond, it is shuffled.
+BROADCAST_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets a folder of its own and a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granulon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -23,34 +32,51 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/granulon-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/granulon-{label}-{uuid.uuid4().hex}"
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
+    return path
+
 
+class _Paths(list):
+    """Paths of scratch tables, and those of the scratch around them."""
 
-#: Written tables of operators in order; ``release`` may delete them.
-_WRITTEN: list[str] = []
+    def __init__(self, outer: _Paths | None):
+        super().__init__()
+        self.outer = outer
+
+
+#: The paths of the scratch tables of the innermost ``scratch``, in this thread's context.
+_SCRATCH: ContextVar[_Paths | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written inside are deleted at its end, also after errors; what is to outlast it is written with ``lasting``."""
+    token = _SCRATCH.set(_Paths(_SCRATCH.get()))
+    try:
+        yield
+    finally:
+        for name in _SCRATCH.get():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _SCRATCH.reset(token)
 
 
 def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back: it is computed once, and outlives lost executors."""
+    """Write a table to the shared folder and read it back: it is computed once, and outlives lost executors. ``lasting`` hands it to the scratch around this one."""
     path = shared_path(df.sparkSession, label)
+    if lasting and _SCRATCH.get() is not None:
+        _SCRATCH.get().pop()
+        if _SCRATCH.get().outer is not None:
+            _SCRATCH.get().outer.append(path)
     df.write.parquet(path)
-    if not lasting:
-        _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written() -> int:
-    """How many tables operators have written in this process."""
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, first: int, last: int) -> None:
-    """Delete the tables written from the first to before the last; results that read them must have been written."""
-    for k in range(first, last):
-        if _WRITTEN[k]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN[k])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-            _WRITTEN[k] = ""
+def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table as the small side of a join: broadcast if it has at most so many rows, else hashed after a shuffle."""
+    return F.broadcast(side) if side.count() <= rows else side.hint("shuffle_hash")
 
 
 def words(text: Column) -> Column:

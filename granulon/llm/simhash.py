@@ -7,6 +7,13 @@ a spanning forest of the links is kept, never all pairs. A group of over ``GROUP
 members are indexed again by variants of their other segment's halves, then of the remaining half's halves, after
 which a group has at most 2^11 members. No link is lost and no group is unbounded.
 
+``near_components`` and ``keep`` find near copies in the usual sense: five-word shingles, Jaccard similarity of 0.8 or more. There a bit
+differs with probability 0.15, so fingerprints are longer (at least 192 bits) and cut into segments so that, with probability 0.98 at
+0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Pairs within 28 of 128 bits are
+candidates and are verified exactly on their sets of shingles. Segments widen with log2 of the number of documents, so random groups stay small
+(at the price of more variants: 192 a document up to 2 million, 323 at 12 million). A group of over 32 members offers the links of its forest of least
+distances; one of over ``GROUP`` is divided again by 16-bit pieces, where pairs meet that have another piece in common.
+
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like any other; copies share
 a fingerprint and so are one node; repeated rows each get their component; a null doc_id never names a component unless
 all its members are null (then the component is null).
@@ -14,6 +21,7 @@ all its members are null (then the component is null).
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
@@ -21,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, words
+from granulon.llm.common import materialise, scratch, sized, words
 from granulon.llm.components import connected_components
 
 SHINGLE, DISTANCE, GROUP = 3, 3, 2048
+#: Near copies: shingles of so many words, their Jaccard similarity, the share of pairs at it that meet, and the bits of 128 that candidates may differ by.
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE_DISTANCE = 5, 0.8, 0.98, 28
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,8 +96,31 @@ def _forest(members: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _links(variants: DataFrame, group: int) -> DataFrame:
-    """(a, b) links, and (k, s) with null a of groups that are too large; groups pass through in order of (k, s)."""
+def _least_forest(fp: np.ndarray, more: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a spanning forest of least distances: two members are joined by a path none of whose links is longer than their own distance."""
+    a, b, n = [], [], len(fp)
+    left, best, via = np.arange(1, n), np.full(n, 255, np.uint8), np.zeros(n, np.int64)
+    at = 0
+    while len(left):
+        d = np.bitwise_count(fp[left] ^ fp[at]) + np.bitwise_count(more[left] ^ more[at])
+        nearer = d < best[left]
+        best[left[nearer]], via[left[nearer]] = d[nearer], at
+        k = int(best[left].argmin())
+        at = int(left[k])
+        if best[at] <= distance:
+            a.append(fp[via[at]])
+            b.append(fp[at])
+        left = np.delete(left, k)
+    return np.array(a, np.uint64), np.array(b, np.uint64)
+
+
+def _links(variants: DataFrame, group: int, distance: int = DISTANCE, few: int = 8) -> DataFrame:
+    """(a, b) links, and (k, s) with null a of groups that are too large; groups pass through in order of (k, s).
+
+    With a column ``more`` the distance counts its bits too; groups of over ``few`` members then give the links of a forest of least distances,
+    those of at most ``few`` all links.
+    """
+    wide = "more" in variants.columns
 
     def link(batches):
         held, large = None, False  # rows of the group that the last batch ended in; whether it was named as too large
@@ -99,7 +132,7 @@ def _links(variants: DataFrame, group: int) -> DataFrame:
 
         def work(rows, last):
             nonlocal held, large
-            k, s, fp = rows
+            k, s = rows[:2]
             new = np.flatnonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1
             start, end = np.concatenate([[0], new]), np.concatenate([new, [len(k)]])
             a, b, big_k, big_s = [], [], [], []
@@ -110,7 +143,7 @@ def _links(variants: DataFrame, group: int) -> DataFrame:
                 # the last group may go on
                 cut = int(start[-1]) if len(start) else len(k)
                 if not len(start):
-                    held = (k[-1:], s[-1:], fp[-1:])
+                    held = tuple(x[-1:] for x in rows)
                     return table(a, b, big_k, big_s)
                 start, end = start[:-1], end[:-1]
                 large = len(k) - cut > group
@@ -118,32 +151,34 @@ def _links(variants: DataFrame, group: int) -> DataFrame:
                     big_k.append(int(k[-1]))
                     big_s.append(int(s[-1]))
                     cut = len(k) - 1
-                held = (k[cut:], s[cut:], fp[cut:])
+                held = tuple(x[cut:] for x in rows)
             size = end - start
             over = size > group
             big_k += k[start[over]].tolist()
             big_s += s[start[over]].tolist()
             # members of small groups against the next few; larger groups one by one
-            few = (size > 1) & (size <= 8)
-            owner = np.repeat(np.where(few, np.arange(len(size)), -1), size)
-            x = fp[start[0] : end[-1]] if len(start) else fp[:0]
-            for step in range(1, 8):
-                near = (owner[step:] >= 0) & (owner[step:] == owner[:-step]) if len(owner) > step else np.zeros(0, bool)
-                if not near.any():
+            small = (size > 1) & (size <= few)
+            owner = np.repeat(np.where(small, np.arange(len(size)), -1), size)
+            sketch = [x[start[0] : end[-1]] if len(start) else x[:0] for x in rows[2:]]
+            i = np.flatnonzero(owner >= 0)
+            for step in range(1, few):
+                i = i[i < len(owner) - step]
+                i = i[owner[i] == owner[i + step]]
+                if not len(i):
                     break
-                i = np.flatnonzero(near)
-                i = i[np.bitwise_count(x[i] ^ x[i + step]) <= DISTANCE]
-                a.append(x[i])
-                b.append(x[i + step])
-            for g in np.flatnonzero((size > 8) & ~over):
-                more = _forest(fp[start[g] : end[g]])
+                near = i[sum(np.bitwise_count(x[i] ^ x[i + step]) for x in sketch) <= distance]
+                a.append(sketch[0][near])
+                b.append(sketch[0][near + step])
+            for g in np.flatnonzero((size > few) & ~over):
+                own = [x[start[g] : end[g]] for x in rows[2:]]
+                more = [[x] for x in _least_forest(*own, distance)] if wide else _forest(own[0])
                 a += more[0]
                 b += more[1]
             return table(a, b, big_k, big_s)
 
         for batch in batches:
-            rows = tuple(batch.column(i).to_numpy() for i in range(3))
-            rows = (rows[0], rows[1], rows[2].view(np.uint64))
+            rows = tuple(batch.column(i).to_numpy() for i in range(4 if wide else 3))
+            rows = rows[:2] + tuple(x.view(np.uint64) for x in rows[2:])
             if not len(rows[0]):
                 continue
             if held is not None:
@@ -178,7 +213,101 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc_id, fp and component_id: the smallest doc_id that links reach."""
     each = materialise(fingerprints(docs, key, text), "fingerprints")
     distinct = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = connected_components(links(distinct))
+    return _named(each, distinct, links(distinct))
+
+
+def width(n: int) -> tuple[int, int]:
+    """(bits in a segment, segments) for n documents: random groups keep about 64 members at any n, and a pair at ``SIMILARITY`` shares a variant with probability ``RECALL``."""
+    bits = max(16, math.ceil(math.log2(max(n, 1))) - 5)
+    apart = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi  # the chance that a bit differs
+    shared = (1 - apart) ** bits + bits * apart * (1 - apart) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
+
+
+def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp and more (128 bits of the fingerprint), its segments, and the distinct hashes of the text's shingles of ``WIDE_SHINGLE`` words."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - WIDE_SHINGLE), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + k) for k in range(WIDE_SHINGLE))))))
+    hashes = docs.select(F.col(key).cast("long").alias("doc_id"), words(low).alias("w"))
+    hashes = hashes.select("doc_id", F.when(F.size("w") >= WIDE_SHINGLE, shingles).when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.expr("cast(array() as array<bigint>)")).alias("h"))
+    planes = -(-max(128, bits * segments) // 64)
+
+    def sketch(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            h, ends = lists.flatten().to_numpy().view(np.uint64), ends - ends[0]
+            found = np.zeros((len(lists), 64 * planes), np.uint8)
+            first = 0
+            while first < len(lists):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + 300_000)) - 1)
+                n = np.diff(ends[first : last + 1])
+                full = np.flatnonzero(n)
+                part = h[ends[first] : ends[last]]
+                for p in range(planes if len(full) else 0):
+                    mixed = part if p == 0 else (part ^ (part >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 + 0x2545F4914F6CDD1E * p) % 2**64 | 1)
+                    mixed = mixed ^ (mixed >> np.uint64(29)) if p else mixed
+                    ones = np.add.reduceat(np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), ends[first + full] - ends[first], axis=0, dtype=np.int32)
+                    found[first + full, 64 * p : 64 * p + 64] = 2 * ones > n[full][:, None]
+                first = last
+            whole = np.packbits(found[:, :128], axis=1, bitorder="little").view(np.int64)
+            weight = np.int64(1) << np.arange(bits, dtype=np.int64)
+            cut = np.stack([found[:, r * bits : (r + 1) * bits] @ weight for r in range(segments)], axis=1)
+            cut = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * segments), pa.array(cut.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), cut, lists], names=["doc_id", "fp", "more", "segments", "shingles"])
+
+    return hashes.mapInArrow(sketch, "doc_id long, fp long, more long, segments array<long>, shingles array<long>")
+
+
+def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
+    """(k, s, fp, more): at level 0 from (fp, more, segments), each segment with each bit left out; later the members of large groups by 16-bit pieces of their 128 bits."""
+    if level == 0:
+        v = rows.select("fp", "more", F.posexplode("segments").alias("r", "x")).select("fp", "more", "r", "x", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("i"))
+        return v.selectExpr("shiftleft(cast(r as bigint), 52) | shiftleft(cast(i as bigint), 46) | (x & ~shiftleft(1L, i)) as k", "0L as s", "fp", "more")
+    piece = "(shiftright(case when j < 4 then fp else more end, 16 * (j % 4)) & 65535L)"
+    # pieces that overlap the segment of k would not divide its group
+    apart = f"(16 * j >= (shiftright(k, 52) + 1) * {bits} or 16 * (j + 1) <= shiftright(k, 52) * {bits})"
+    if level == 1:
+        v = rows.select("k", "fp", "more", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(apart)
+        return v.selectExpr("k", f"shiftleft(cast(j + 1 as bigint), 16) | {piece} as s", "fp", "more")
+    v = rows.select("k", "s", "fp", "more", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(apart).where("j + 1 > shiftright(s, 16)")
+    return v.selectExpr("k", f"shiftleft(s, 20) | shiftleft(cast(j as bigint), 16) | {piece} as s", "fp", "more")
+
+
+def candidates(rows: DataFrame, bits: int, group: int = GROUP) -> DataFrame:
+    """From (fp, more, segments) to pairs (a, b) within ``WIDE_DISTANCE`` of 128 bits that share a one-wildcard variant of a segment."""
+    found = None
+    for level in range(3):
+        variants = _wide_variants(rows, bits, level)
+        got = materialise(_links(variants, group if level < 2 else 1 << 62, WIDE_DISTANCE, few=32), "candidates")
+        new = got.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        found = new if found is None else found.unionAll(new)
+        large = got.where("a is null").select("k", "s").distinct()
+        if level == 2 or large.isEmpty():
+            break
+        rows = variants.join(large, ["k", "s"])
+    return found.distinct()
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """doc_id and component_id of near copies: links are pairs whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
+    bits, segments = width(docs.count())
+    each = materialise(sketches(docs, bits, segments, key, text), "sketches")
+    distinct = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("more").alias("more"), F.first("segments").alias("segments")), "distinct")
+    pairs = materialise(candidates(distinct, bits, group), "pairs")
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    # one text for each node: copies have the same shingles
+    sets = each.join(sized(nodes), F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.first("shingles").alias("x"))
+    sets = materialise(sets, "sets")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("x").alias("xb")), "b")
+    shared = F.size(F.array_intersect("xa", "xb"))
+    linked = both.where(shared >= SIMILARITY * (F.size("xa") + F.size("xb") - shared) - 1e-9).select("a", "b")
+    return _named(each, distinct, linked)
+
+
+def _named(each: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id that the links between fingerprints reach."""
+    found = connected_components(linked)
     linked = found.join(distinct, found.node == distinct.fp)
     lowest = linked.groupBy("component").agg(F.min("first").alias("lowest"))
     named = linked.select("component", "fp").join(lowest, "component").select("fp", "lowest")
@@ -186,10 +315,19 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return each.join(whole, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with the input's columns; rows without doc_id stay."""
-    first = components(docs, key, text).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"))
-    first = materialise(first, "first")
-    kept = docs.join(first.where("_n = 1"), F.col(key) == F.col("_key"), "left_semi")
-    repeated = docs.join(first.where("_n > 1"), F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key])
-    return kept.unionAll(repeated).unionAll(docs.where(F.col(key).isNull()))
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id, with the input's columns; rows without doc_id stay.
+
+    Few ids leave, so they are what the documents are joined with, once; rows that share a doc_id (of which one stays) are looked at only where there are any.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        found = near_components(docs, key, text, group).where("doc_id is not null")
+        of = found.groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("_n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("_first"))
+        of = materialise(of.where("_n > 1 or _first = 0"), "leaving", lasting=True)
+    gone, repeated = of.where("_first = 0").select("_key"), of.where("_n > 1 and _first = 1").select("_key")
+    k = F.col(key).cast("long")
+    if repeated.isEmpty():
+        return docs.join(sized(gone), k == F.col("_key"), "left_anti")
+    once = docs.join(sized(of.select("_key")), k == F.col("_key"), "left_anti")
+    return once.unionAll(docs.join(sized(repeated), k == F.col("_key"), "left_semi").dropDuplicates([key]))

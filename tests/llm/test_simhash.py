@@ -31,6 +31,18 @@ def brute(nodes, near):
     return label
 
 
+def near_copies(texts):
+    """{doc_id: smallest doc_id reachable} by links of Jaccard similarity of five-word shingles of 0.8 or more."""
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    sets = {}
+    for d, t in texts.items():
+        w = WORD.findall(low(t))
+        sets[d] = frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else [])
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    linked = {d: [e for e in sets if near(d, e)] for d in sets}
+    return brute(sorted(sets), lambda a, b: b in linked[a])
+
+
 def signed(x):
     return int(np.uint64(x).astype(np.int64))
 
@@ -75,12 +87,56 @@ def test_documents(spark):
     for r in rows:
         if r["doc_id"] is not None:
             assert (r["fp"] & (2**64 - 1), r["component_id"]) == (fp[r["doc_id"]], label[r["doc_id"]])
+
+
+def test_keep(spark):
+    long = [f"Word{i * i % 1009}" for i in range(1000)]
+    edited = lambda n: " ".join("edit" if i % 90 == 7 and i // 90 < n else w for i, w in enumerate(long))
+    other = " ".join(f"other{i * i % 977}" for i in range(300))
+    texts = [None, "", " \t", "one", "ONE", "one two", "a b c d e f", "A  b\nc d e F", "Éa É b", "éa é b", edited(0), edited(3), edited(11), other, other + " tail", "x " * 9000]
+    docs = spark.createDataFrame([(len(texts) - i, t, "x", 1) for i, t in enumerate(texts)] + [(None, other, "x", 1), (2, other, "y", 1), (2, other, "y", 1)], "doc_id long, text string, fp string, component_id int")
+    label = near_copies({len(texts) - i: t for i, t in enumerate(texts)})
     kept = simhash.keep(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=lambda x: x or -1) == [None, *sorted(set(label.values()))]
+    got = sorted((r["doc_id"] for r in kept.collect()), key=lambda x: x or -1)
+    assert got == [None, *sorted(set(label.values()))]
+    unique = {len(texts) - i: t for i, t in enumerate(texts) if len(texts) - i > 2}
+    assert {r["doc_id"] for r in simhash.keep(docs.where("doc_id > 2")).collect()} == set(near_copies(unique).values())
     assert simhash.keep(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [2048, 40])
+def test_near_copies_of_a_large_group(spark, group):
+    """Three hundred near copies of one text, chains of edits included, and unrelated texts: components as by brute force."""
+    rng = np.random.default_rng(4)
+    texts = {}
+    for c in range(3):
+        words = [f"c{c}w{i}" for i in range(150)]
+        for d in range(100):
+            w = list(words)
+            for i in rng.integers(0, 150, int(rng.integers(0, 5))):
+                w[i] = f"e{rng.integers(10**6)}"
+            texts[100 * c + d] = " ".join(w)
+    texts |= {1000 + d: " ".join(f"u{rng.integers(5000)}" for _ in range(120)) for d in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs, group=group).collect()}
+    want = near_copies(texts)
+    assert all(want[got[d]] == want[d] for d in texts)  # no wrong link
+    assert sum(got[d] != want[d] for d in texts) <= 0.02 * len(texts)
+
+
+def test_least_forest():
+    rng = np.random.default_rng(6)
+    fp, more = (rng.permutation(4096)[:50].astype(np.uint64) for _ in range(2))
+    a, b = simhash._least_forest(fp, more, 12)
+    where = {int(x): i for i, x in enumerate(fp)}
+    d = lambda i, j: int(np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]))
+    edges = {frozenset((where[int(x)], where[int(y)])) for x, y in zip(a, b, strict=True)}
+    nodes = list(range(50))
+    for most in range(13):  # at every distance the forest has the components of all links
+        assert brute(nodes, lambda i, j: d(i, j) <= most) == brute(nodes, lambda i, j: frozenset((i, j)) in edges and d(i, j) <= most)
+
+
 def test_test_data(spark):
     from granulon.llm.queries import op5_simhash
 
