@@ -79,6 +79,17 @@ def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.count() <= rows else side.hint("shuffle_hash")
 
 
+def which(key: str, text: str) -> Column:
+    """A row's key and text as 128 bits (h0, h1): equal rows get equal verdicts."""
+    return F.struct(*(F.xxhash64(F.lit(k), F.col(key).cast("string"), F.col(key).isNull(), F.coalesce(F.col(text), F.lit(""))).alias(f"h{k}") for k in (0, 1)))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, text: str) -> DataFrame:
+    """The documents, with all their columns, but for those whose ``which`` is in a written table (h0, h1)."""
+    rows = docs.select(F.struct("*").alias("_row"), which(key, text).alias("_t"))
+    return rows.join(sized(gone), (F.col("_t.h0") == F.col("h0")) & (F.col("_t.h1") == F.col("h1")), "left_anti").select("_row.*")
+
+
 def words(text: Column) -> Column:
     """The words of a text, as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

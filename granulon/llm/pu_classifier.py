@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, scratch, sized
+from granulon.llm.common import materialise, scratch, which, without
 from granulon.llm.quality_rules import one_label, statistics
 
 FEATURES = {
@@ -173,7 +173,7 @@ def learn(rows: DataFrame) -> PuModel:
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """``_row`` (the key), ``_t`` (two hashes that say which text), held_out, score and predicted."""
-    stats = features(docs.select(key, text), text).select(F.struct(F.col(f"_row.{key}")).alias("_row"), _which(f"_row.{key}", f"_row.{text}").alias("_t"), *FEATURES)
+    stats = features(docs.select(key, text), text).select(F.struct(F.col(f"_row.{key}")).alias("_row"), which(f"_row.{key}", f"_row.{text}").alias("_t"), *FEATURES)
     stats = materialise(stats, "features").withColumn("held_out", held_out(f"_row.{key}"))
     trusted = one_label(labels, key, label).where("_label = 1").select("_key")
     half = F.coalesce(F.pmod(F.crc32(F.col(f"_row.{key}").cast("string")), F.lit(3)) == 0, F.lit(False))
@@ -182,14 +182,8 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return stats.withColumn("score", learn(materialise(rows, "learn")).score()).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def _which(key: str, text: str) -> Column:
-    """A row's key and text as 128 bits; equal rows get equal verdicts."""
-    return F.struct(*(F.xxhash64(F.lit(k), F.col(key).cast("string"), F.col(key).isNull(), F.coalesce(F.col(text), F.lit(""))).alias(f"h{k}") for k in (0, 1)))
-
-
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The accepted documents, with the input's columns: few leave, so those are what the documents are joined with."""
     with scratch(docs.sparkSession):
         gone = materialise(judge(docs, labels, key, text).where("predicted = 0").select("_t.*").distinct(), "rejected", lasting=True)
-    rows = docs.select(F.struct("*").alias("_row"), _which(key, text).alias("_t")).join(sized(gone), (F.col("_t.h0") == F.col("h0")) & (F.col("_t.h1") == F.col("h1")), "left_anti")
-    return rows.select("_row.*")
+    return without(docs, gone, key, text)

@@ -18,12 +18,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, scratch, sized, words
+from granulon.llm.common import materialise, scratch, which, without, words
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "[#*$%&|<>]"
-#: About so many labelled documents are learned from at most.
-LEARN_ROWS = 400_000
 #: What conditions may test.
 FEATURES = {
     "n_words": "cast(n_words as double)",
@@ -170,21 +168,16 @@ def one_label(labels: DataFrame, key: str = "doc_id", label: str = "quality") ->
     return labels.groupBy(F.col(key).alias("_key")).agg(F.min(label).alias("_low"), F.max(label).alias("_high")).where("_low = _high").select("_key", F.col("_low").alias("_label"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", learn_rows: int = LEARN_ROWS) -> DataFrame:
-    """``_row`` (all input columns), the statistics, ``base_failed``, ``rule`` (number of the learned rule that rejects) and ``kept``.
+def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``_row`` (the key), ``_t`` (which text), the statistics, ``base_failed``, ``rule`` (number of the learned rule that rejects) and ``kept``.
 
-    Rules are learned from the statistics of labelled documents, which are written once (of about ``learn_rows`` of them, by hash of the key, where there are
-    more); then one pass over all texts computes statistics and verdict.
+    The texts are read once: their statistics are written, joined with the labels to learn, and judged.
     """
-    with scratch(docs.sparkSession):
-        label = materialise(one_label(labels, key).where("_label in (0, 1)"), "labels")
-        part = -(-label.count() // learn_rows)
-        if part > 1:
-            label = materialise(label.where(F.pmod(F.xxhash64(F.lit("learn"), "_key"), F.lit(part)) == 0), "labels")
-        known = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text")).join(sized(label), F.col("_id") == F.col("_key")).select("_label", "_text")
-        learned = statistics(known, "_text").select(F.col("_row._label").alias("_label"), *_columns()).where(~F.col("base_failed"))
-        rules = learn(materialise(learned, "learn"), "_label")
-    return statistics(docs, text).withColumn("rule", rules.verdict()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    stats = statistics(docs.select(key, text), text).select(F.struct(F.col(f"_row.{key}")).alias("_row"), which(f"_row.{key}", f"_row.{text}").alias("_t"), *_columns())
+    stats = materialise(stats, "statistics")
+    labelled = stats.where(~F.col("base_failed")).join(one_label(labels, key), F.col(f"_row.{key}") == F.col("_key")).drop("_row", "_t")
+    rules = learn(labelled, "_label")
+    return stats.withColumn("rule", rules.verdict()).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def _columns() -> list[str]:
@@ -192,5 +185,7 @@ def _columns() -> list[str]:
 
 
 def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that the rules keep, with the input's columns."""
-    return judge(docs, labels, key, text).where("kept").select("_row.*")
+    """The documents that the rules keep, with the input's columns: few leave, so those are what the documents are joined with."""
+    with scratch(docs.sparkSession):
+        gone = materialise(judge(docs, labels, key, text).where("not kept").select("_t.*").distinct(), "rejected", lasting=True)
+    return without(docs, gone, key, text)
