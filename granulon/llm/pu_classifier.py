@@ -29,7 +29,7 @@ FEATURES = {
     "n_words": ("n_words", None), "mean_word": ("word_chars", "n_words"), "symbol_rate": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"),
     "upper_share": ("n_upper", "word_chars"), "exclaim_rate": ("n_exclaim", "n_words"), "distinct_share": ("n_distinct", "n_words"), "line_words": ("n_words", "n_lines"),
 }
-BINS, TREE = 16, 16
+BINS, TREE = 8, 16
 #: Ridge for n positives.
 RIDGE = lambda n: 1e-4 + 20 / n
 
@@ -76,16 +76,21 @@ def _moments(binned: DataFrame, sizes: list[int]) -> np.ndarray:
                 x[:, 0] = 1
                 np.put_along_axis(x, at[kind == k], 1, axis=1)
                 total[k] += x.T @ x
-        # a task that runs again must send its sums to the same branch
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TREE], pa.int32()), pa.array([total.tobytes()])], names=["branch", "total"])
+        # a task that runs again sends its sums to the same branch
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()])], names=["branch", "total"])
 
-    def merge(group: pa.Table) -> pa.Table:
+    def merge(to: tuple, group: pa.Table) -> pa.Table:
         whole = sum(np.frombuffer(x, np.float64) for x in group["total"].to_pylist())
-        return pa.table({"branch": group["branch"].slice(0, 1), "total": pa.array([whole.tobytes()])})
+        return pa.table({"branch": pa.array([to[0].as_py()], pa.int32()), "total": pa.array([whole.tobytes()])})
 
     kind = "branch int, total binary"
+    parts = materialise(binned.mapInArrow(sums, kind), "moments")
+    left = (parts.agg(F.max("branch")).first()[0] or 0) + 1
+    while left > TREE:  # TREE sums at a time, in as many levels as there are tasks for
+        parts = materialise(parts.groupBy(F.floor(F.col("branch") / TREE).cast("int").alias("to")).applyInArrow(merge, kind), "moments")
+        left = -(-left // TREE)
     total = np.zeros((4, width, width))
-    for r in binned.mapInArrow(sums, kind).groupBy("branch").applyInArrow(merge, kind).collect():  # TREE rows at most
+    for r in parts.orderBy("branch").collect():  # TREE rows at most
         total += np.frombuffer(r["total"], np.float64).reshape(total.shape)
     return total
 
