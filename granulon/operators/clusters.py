@@ -88,11 +88,25 @@ def inclusion_average(points: DataFrame, members: DataFrame, r: float, by: list[
     return turned.groupBy(cell("x"), cell("y"), cell("z")).agg(*(F.avg(e).alias(e) for e in six), F.count("*").alias("n"))
 
 
-def inclusion_field(grid: DataFrame, radius: float, strain: float, poisson: float = 0.5) -> DataFrame:
-    """Shear strain of a sheared sphere in an elastic matrix: constant inside, decaying with the angle outside."""
-    c = f"{(4 - 5 * poisson) / (15 * (1 - poisson))}D"
-    rows = grid.withColumn("r", F.expr("sqrt(x * x + y * y + z * z)")).withColumn("cos4", F.expr("if(r = 0, 1D, cos(4 * acos(greatest(-1D, least(1D, z / r)))))"))
-    return rows.withColumn("field", F.expr(f"if(r < {radius}D, {c} * {strain}D, {c} * {strain}D * cos4 * power({radius}D / r, 3))")).drop("cos4")
+def inclusion_field(grid: DataFrame, radius: float, strain: float, poisson: float = 1 / 3) -> DataFrame:
+    """Shear strain (yz) of a sphere with the given transformation strain in an elastic matrix.
+
+    Inside it is constant, 2 e (4 - 5 v) / (15 (1 - v)). Outside it depends on x, on the distance h from the x axis and on the angle about it
+    through cos 4t = 8 u^4 - 8 u^2 + 1 with u = z / h (0 on the axis).
+    """
+    inside, c = 2 * strain * (4 - 5 * poisson) / (15 * (1 - poisson)), 1 / (4 * (4 - 5 * poisson))
+    a2 = radius**2
+    rows = grid.withColumns({"_h": F.expr("y * y + z * z"), "_x": F.expr("x * x")}).withColumn("_u", F.expr("if(_h = 0, 0D, z * z / _h)"))
+    # by powers of x^2, with _h the square of h
+    terms = [
+        f"{9 * a2 * c}D * _h * _h - {2 + 3 * c}D * _h * _h * _h",
+        f"{9 * c}D * _h * _x * (5 * _h - {8 * a2}D)",
+        f"6 * _x * _x * (_h + {4 * c}D * ({a2}D + _h))",
+        f"{4 * (1 - 6 * c)}D * _x * _x * _x",
+        f"{15 * c}D * _h * _h * (5 * (_h + _x) - {7 * a2}D) * (8 * _u * _u - 8 * _u + 1)",
+    ]
+    outside = f"{radius**3 * inside / 4}D * ({' + '.join(terms)}) / power(_h + _x, 4.5D)"
+    return rows.withColumn("r", F.sqrt(F.col("_h") + F.col("_x"))).withColumn("field", F.expr(f"if(r < {radius}D, {inside}D, {outside})")).drop("_h", "_x", "_u")
 
 
 def spatial_correlation(a: DataFrame, b: DataFrame, shifts: DataFrame, value: str = "v") -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granulon.functions.tensor import eigenvalues
@@ -48,27 +51,43 @@ def gap(upper: DataFrame, lower: DataFrame, size: float, by: list[str]) -> DataF
     return p.select(*by, F.least(*five).alias("gap_min"), F.greatest(*five).alias("gap_max"), five[4].alias("gap_center"))
 
 
-def t_quantile(df: float, p: float = 0.975) -> float:
-    """Student's t quantile, by Newton steps on the incomplete-beta tail integrated with Simpson's rule (driver-side, a few values)."""
-    density = lambda t: math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + t * t / df) ** (-(df + 1) / 2)
-    t = 2.0
-    for _ in range(60):
-        n = 2000
-        h = t / n
-        area = h / 3 * (density(0) + density(t) + 4 * sum(density((2 * k + 1) * h) for k in range(n // 2)) + 2 * sum(density(2 * k * h) for k in range(1, n // 2)))
-        step = (0.5 + area - p) / density(t)
-        t -= step
-        if abs(step) < 1e-10:
-            break
-    return t
+@lru_cache(maxsize=1000)
+def t_quantile(df: int, p: float = 0.975) -> float:
+    """Student's t quantile for whole degrees of freedom: the finite cosine series of its distribution, bisected (driver-side, a few values)."""
 
+    def below(t: float) -> float:
+        angle = math.atan(t / math.sqrt(df))
+        c2, odd = math.cos(angle) ** 2, df % 2
+        term = total = math.cos(angle) if odd else 1.0
+        for k in range(2 + odd, df, 2):
+            term *= c2 * (k - 1) / k
+            total += term
+        if odd:
+            return 0.5 + (angle + (math.sin(angle) * total if df > 1 else 0.0)) / math.pi
+        return 0.5 + math.sin(angle) * total / 2
 
-def line_fit(rows: DataFrame, x: str, y: str, by: list[str], t: float = 1.959963984540054) -> DataFrame:
-    """Ordinary least squares by group: slope m, intercept b, their standard errors, and m -+ t standard errors."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if below(middle) < p else (low, middle)
+    return (low + high) / 2
+
+
+def t_column(df: Column, p: float = 0.975, exact: int = 100) -> Column:
+    """The quantile for a column of degrees of freedom: a table to ``exact``, beyond it the expansion about the normal quantile (error under 1e-10); null under 1."""
+    z = NormalDist().inv_cdf(p)
+    polynomials = [(z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384, (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    far = sum((F.lit(x) / F.pow(df.cast("double"), F.lit(k)) for k, x in enumerate(polynomials, 1)), F.lit(z))
+    return F.when(df > exact, far).when(df >= 1, F.element_at(F.array(*(F.lit(t_quantile(k, p)) for k in range(1, exact + 1))), F.least(F.greatest(df, F.lit(1)), F.lit(exact)).cast("int")))
+
+
+def line_fit(rows: DataFrame, x: str, y: str, by: list[str], confidence: float = 0.95) -> DataFrame:
+    """Ordinary least squares by group: slope m, intercept b, their standard errors, and confidence bounds by Student's t of n - 2 degrees of freedom."""
     f = rows.groupBy(*by).agg(F.regr_slope(y, x).alias("m"), F.regr_intercept(y, x).alias("b"), F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_avgx(y, x).alias("mx"), F.regr_count(y, x).alias("n"))
-    f = f.withColumn("s2", F.expr("if(n > 2, greatest(syy - m * sxy, 0) / (n - 2), null)"))
+    f = f.withColumn("s2", F.expr("if(n > 2, greatest(syy - m * sxy, 0) / (n - 2), null)")).withColumn("t", t_column(F.col("n") - 2, (1 + confidence) / 2))
     f = f.withColumns({"se_m": F.expr("sqrt(s2 / sxx)"), "se_b": F.expr("sqrt(s2 * (1.0 / n + mx * mx / sxx))")})
-    return f.select(*by, "m", "b", "se_m", "se_b", (F.col("m") - t * F.col("se_m")).alias("ci_lo"), (F.col("m") + t * F.col("se_m")).alias("ci_hi"), "n")
+    bounds = {"ci_lo": "m - t * se_m", "ci_hi": "m + t * se_m", "b_lo": "b - t * se_b", "b_hi": "b + t * se_b"}
+    return f.select(*by, "m", "b", "se_m", "se_b", *(F.expr(e).alias(c) for c, e in bounds.items()), "n")
 
 
 def theil_sen(rows: DataFrame, x: str, y: str, key: str, by: list[str], z: float = 1.959963984540054) -> DataFrame:
@@ -80,10 +99,16 @@ def theil_sen(rows: DataFrame, x: str, y: str, key: str, by: list[str], z: float
     b = rows.select(*by, F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
     slopes = a.join(b, by).where("k1 < k2 and x1 <> x2").withColumn("slope", F.expr("(y2 - y1) / (x2 - x1)"))
     n = rows.groupBy(*by).agg(F.count("*").alias("n"), F.median(x).alias("mx"), F.median(y).alias("my"))
-    found = slopes.groupBy(*by).agg(F.median("slope").alias("m"), F.count("*").alias("pairs"), F.array_sort(F.collect_list("slope")).alias("sorted"))
+    found = slopes.groupBy(*by).agg(F.median("slope").alias("m"), F.count("*").alias("pairs"))
     half = F.expr(f"{z} * sqrt(n * (n - 1) * (2 * n + 5) / 18.0)")
-    place = lambda s: F.least(F.greatest(F.round((F.col("pairs") + s * half) / 2).cast("int"), F.lit(1)), F.col("pairs").cast("int"))
-    return found.join(n, by).select(*by, "m", (F.col("my") - F.col("m") * F.col("mx")).alias("b"), F.element_at("sorted", place(-1)).alias("ci_lo"), F.element_at("sorted", place(1)).alias("ci_hi"), "n")
+    place = lambda sign: F.least(F.greatest(F.round((F.col("pairs") + sign * half) / 2), F.lit(1.0)), F.col("pairs").cast("double"))
+    found = found.join(n, by).withColumns({"_lo": place(-1).cast("long"), "_hi": place(1).cast("long")})
+    # how many slopes are at most each distinct one, so the two order statistics are read without holding a group's slopes together
+    levels = slopes.groupBy(*by, "slope").agg(F.count("*").alias("_n"))
+    upto = levels.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by).orderBy("slope")))
+    at = lambda c: F.min(F.when(F.col("_upto") >= F.col(c), F.col("slope")))
+    bounds = upto.join(found.select(*by, "_lo", "_hi"), by).groupBy(*by).agg(at("_lo").alias("ci_lo"), at("_hi").alias("ci_hi"))
+    return found.join(bounds, by).select(*by, "m", (F.col("my") - F.col("m") * F.col("mx")).alias("b"), "ci_lo", "ci_hi", "n")
 
 
 def binned_median_fit(binned: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -119,25 +119,42 @@ def local_threshold(a: np.ndarray, size: int, quantile: float = 0.5) -> np.ndarr
     return np.maximum(a - surface, 0)
 
 
-def curvature_filter(a: np.ndarray, kind: str = "gaussian", steps: int = 5) -> np.ndarray:
-    """Each z slice moves by its least projection onto tangent neighbours, one of four interleaved pixel sets at a time."""
+#: Places (y, x) of the eight neighbours, clockwise from above.
+RING = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+
+def tangent_stencils(kind: str) -> list[dict[tuple[int, int], float]]:
+    """Weights by neighbour of the tangent estimates of a pixel, in the order in which the first of equally near ones is taken.
+
+    tv: the mean of each half ring (five neighbours in a row); mean: one side at 5/8, the two across at 5/16, its two corners at -1/8;
+    gaussian: the means of opposite neighbours and of each corner with its two sides; bernstein: the means of opposite sides.
+    """
+    n, ne, e, se, s, sw, w, nw = range(8)
+    arc = lambda k, reach: [(k + d) % 8 for d in range(-reach, reach + 1)]
+    even = lambda places: {RING[k]: 1 / len(places) for k in places}
+    if kind == "tv":
+        return [even(arc(k, 2)) for k in (w, e, n, s, nw, ne, se, sw)]
+    if kind == "mean":
+        return [{RING[k]: 5 / 8, RING[k - 2]: 5 / 16, RING[(k + 2) % 8]: 5 / 16, RING[k - 1]: -1 / 8, RING[(k + 1) % 8]: -1 / 8} for k in (e, w, n, s)]
+    sides = [even([n, s]), even([w, e])]
+    if kind == "bernstein":
+        return sides
+    if kind == "gaussian":
+        return sides + [even([nw, se]), even([sw, ne])] + [even(arc(k, 1)) for k in (nw, ne, sw, se)]
+    raise ValueError(kind)
+
+
+def curvature_filter(a: np.ndarray, kind: str = "gaussian", steps: int = 10) -> np.ndarray:
+    """Each z slice moves to its nearest tangent estimate, one of four interleaved pixel sets at a time; the border of one pixel stays."""
     out = a.astype(float)
-    for z in range(len(out)):
-        u = np.pad(out[z], 1, mode="edge")
+    stencils = tangent_stencils(kind)
+    for u in out:
         for _ in range(steps):
-            for oy, ox in ((1, 1), (2, 2), (1, 2), (2, 1)):
-                y, x = np.ix_(range(oy, u.shape[0] - 1, 2), range(ox, u.shape[1] - 1, 2))
-                n, s, w, e, c = u[y - 1, x], u[y + 1, x], u[y, x - 1], u[y, x + 1], u[y, x]
-                nw, ne, sw, se = u[y - 1, x - 1], u[y - 1, x + 1], u[y + 1, x - 1], u[y + 1, x + 1]
-                if kind == "tv":
-                    options = [(nw + n + ne + w + e) / 5 - c, (sw + s + se + w + e) / 5 - c, (nw + w + sw + n + s) / 5 - c, (ne + e + se + n + s) / 5 - c]
-                elif kind == "mean":
-                    options = [(5 * (n + s) + 2 * e - ne - se) / 10 - c, (5 * (n + s) + 2 * w - nw - sw) / 10 - c, (5 * (w + e) + 2 * s - sw - se) / 10 - c, (5 * (w + e) + 2 * n - nw - ne) / 10 - c]
-                else:
-                    options = [(n + s) / 2 - c, (w + e) / 2 - c, (nw + se) / 2 - c, (ne + sw) / 2 - c, n + w - nw - c, n + e - ne - c, s + w - sw - c, s + e - se - c]
-                options = np.stack(options)
-                u[y, x] = c + np.take_along_axis(options, np.abs(options).argmin(0)[None], 0)[0]
-        out[z] = u[1:-1, 1:-1]
+            for y, x in ((1, 1), (2, 1), (1, 2), (2, 2)):
+                at = lambda dy, dx: u[y + dy : u.shape[0] - 1 + dy : 2, x + dx : u.shape[1] - 1 + dx : 2]  # noqa: B023, E731
+                moves = np.stack([sum(v * at(*k) for k, v in stencil.items()) for stencil in stencils]) - at(0, 0)
+                if moves.size:
+                    at(0, 0)[...] += np.take_along_axis(moves, np.abs(moves).argmin(0)[None], 0)[0]
     return out
 
 

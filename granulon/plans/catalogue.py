@@ -43,14 +43,10 @@ RING, R_PTS = 12.0, 1.2
 Q: dict[str, tuple] = {}
 
 
-def add(name: str, spec: str, query, sql: str | None = None) -> None:
+def add(name: str, spec: str, query, sql=None) -> None:
     Q[name] = (spec, query, sql)
 
 
-def _pairs(spark, *pairs):
-    return spark.createDataFrame(pairs, "ref long, cur long")
-
-
 # frames, joins and sets
 MOVE = ", ".join(f"a.{c} - b.{c} as d{c}" for c in "xyz")
 add("frame_scan", "frame particle x:r", lambda s, d: frames.frame_scan(tracks(s, d), [1, 3], ["frame", "particle", "x"]), f"select frame, particle, x from {T} where frame in (1, 3)")
@@ -130,8 +126,35 @@ TOP = "(select frame, (floor(x / 5) + 0.5) * 5 as x, (floor(y / 5) + 0.5) * 5 as
 add("top_surface_fit", "frame a:r b:r c:r n:i", lambda s, d: fits.top_surface(surface(s, d), ["frame"], 5.0), _plane(TOP.format(src=S)))
 FIVE = [f"(u.a - l.a) * {x} + (u.b - l.b) * {y} + (u.c - l.c)" for x, y in ((0, 0), (50, 0), (0, 50), (50, 50), (25, 25))]
 add("gap_corners", "frame gap_min:r gap_max:r gap_center:r", lambda s, d: fits.gap(fits.top_surface(surface(s, d), ["frame"], 5.0), fits.plane_fit(surface(s, d), ["frame"]), 50.0, ["frame"]), f"select u.frame, least({', '.join(FIVE)}) as gap_min, greatest({', '.join(FIVE)}) as gap_max, {FIVE[4]} as gap_center from ({_plane(TOP.format(src=S))}) u join ({_plane(S)}) l on u.frame = l.frame")
-add("ols_fit", "frame m:r b:r se_m:r ci_lo:r ci_hi:r n:i", lambda s, d: fits.line_fit(tracks(s, d), "z", "x", ["frame"]), f"select frame, m, b, sqrt(s2 / sxx) as se_m, m - 1.959963984540054 * sqrt(s2 / sxx) as ci_lo, m + 1.959963984540054 * sqrt(s2 / sxx) as ci_hi, n from (select *, (syy - m * sxy) / (n - 2) as s2 from (select frame, regr_slope(x, z) as m, regr_intercept(x, z) as b, regr_sxx(x, z) as sxx, regr_syy(x, z) as syy, regr_sxy(x, z) as sxy, count(*) as n from {T} group by 1))")
-add("theil_sen", "frame m:r b:r n:i", lambda s, d: fits.theil_sen(tracks(s, d).where("material = 'gel'"), "z", "x", "particle", ["frame"]), f"with p as (select a.frame, median((b.x - a.x) / (b.z - a.z)) as m from {GEL} a join {GEL} b on a.frame = b.frame and a.particle < b.particle and a.z <> b.z group by 1) select frame, m, median(x) - m * median(z) as b, count(*) as n from p join {GEL} using (frame) group by frame, m")
+def _t_by_integration(df: int) -> float:
+    """0.975 quantile of Student's t by Simpson's rule and Newton's steps, apart from the series that the operator uses."""
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi)
+    density = lambda t: scale * (1 + t * t / df) ** (-(df + 1) / 2)
+    t, n = 1.96, 400
+    for _ in range(30):
+        h = t / n
+        area = h / 3 * (density(0) + density(t) + 4 * sum(density((2 * k + 1) * h) for k in range(n // 2)) + 2 * sum(density(2 * k * h) for k in range(1, n // 2)))
+        step = (0.475 - area) / density(t)
+        t += step
+        if abs(step) < 1e-12:
+            break
+    return t
+
+
+def _ols_sql() -> str:
+    table = ", ".join(f"({df}, {_t_by_integration(df)!r}::double)" for df in range(1, 261))
+    sums = f"select frame, regr_slope(x, z) as m, regr_intercept(x, z) as b, regr_sxx(x, z) as sxx, regr_syy(x, z) as syy, regr_sxy(x, z) as sxy, avg(z) as mx, count(*) as n from {T} group by 1"
+    errors = f"select *, sqrt(s2 / sxx) as se_m, sqrt(s2 * (1.0 / n + mx * mx / sxx)) as se_b from (select *, (syy - m * sxy) / (n - 2) as s2 from ({sums}))"
+    bounds = "m - t * se_m as ci_lo, m + t * se_m as ci_hi, b - t * se_b as b_lo, b + t * se_b as b_hi"
+    return f"select frame, m, b, se_m, se_b, {bounds}, n from ({errors}) left join (values {table}) as q(df, t) on df = n - 2"
+
+
+add("ols_fit", "frame m:r b:r se_m:r se_b:r ci_lo:r ci_hi:r b_lo:r b_hi:r n:i", lambda s, d: fits.line_fit(tracks(s, d), "z", "x", ["frame"]), _ols_sql)
+_SLOPES = f"(select a.frame, (b.x - a.x) / (b.z - a.z) as slope from {GEL} a join {GEL} b on a.frame = b.frame and a.particle < b.particle and a.z <> b.z)"
+_RANKS = f"""(select frame, count(*) as pairs, median(slope) as m, list(slope order by slope) as sorted from {_SLOPES} group by 1)"""
+_KENDALL = f"(select frame, count(*) as n, median(x) as mx, median(z) as mz, 1.959963984540054 * sqrt(count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18.0) as half from {GEL} group by 1)"
+_PLACE = "greatest(1, least(pairs, round((pairs {s} half) / 2)))::bigint"
+add("theil_sen", "frame m:r b:r ci_lo:r ci_hi:r n:i", lambda s, d: fits.theil_sen(tracks(s, d).where("material = 'gel'"), "z", "x", "particle", ["frame"]), f"select frame, m, mx - m * mz as b, sorted[{_PLACE.format(s='-')}] as ci_lo, sorted[{_PLACE.format(s='+')}] as ci_hi, n from {_RANKS} join {_KENDALL} using (frame)")
 add("binned_median_fit", "frame m:r b:r n:i", lambda s, d: fits.binned_median_fit(binning.equal_width(tracks(s, d), "z", 10, ["frame"]), "z", "x", ["frame"]), f"select frame, regr_slope(v, mid) as m, regr_intercept(v, mid) as b, count(*) as n from (select frame, {B1.format(n=10)} as bin, min(lo) + ({B1.format(n=10)} - 0.5) * (min(hi) - min(lo)) / 10 as mid, median(x) as v from (select *, min(z) over (partition by frame) as lo, max(z) over (partition by frame) as hi from {T}) group by 1, 2) group by 1")
 
 
@@ -162,7 +185,7 @@ RDF2 = f"select h.frame, bin, n_pairs, n_pairs / (c * (4.0::double / 3 * {math.p
 add("rdf_hist", "frame bin:i n_pairs:i density:r", lambda s, d: spatial.pair_distribution(points(s, d), 4.0, 16, ["frame"]), RDF2)
 add("rdf_peak", "frame bin:i density:r", lambda s, d: spatial.first_peak(spatial.pair_distribution(points(s, d), 4.0, 16, ["frame"]), ["frame"]), f"select frame, arg_max(bin, density) as bin, max(density) as density from ({RDF2}) group by 1")
 add("coordination", "frame nnb:i n:i", lambda s, d: spatial.coordination(points(s, d), R_PTS, ["frame"]).groupBy("frame", "nnb").agg(F.count("*").alias("n")), f"select frame, nnb, count(*) as n from (select a.frame, a.id, count(*) as nnb from {P} a join {P} b on a.frame = b.frame and {NEAR} <= {R_PTS**2} group by 1, 2) group by 1, 2")
-add("weld", "id", lambda s, d: spatial.weld(points(s, d).where("frame = 1"), points(s, d).where("frame = 2"), 1.0), f"with u as (select * from {P} where frame in (1, 2)) select distinct m as id from (select a.id, min(b.id) as m from u a join u b on {NEAR} <= 1 group by 1)")
+add("weld", "id", lambda s, d: spatial.weld(points(s, d).where("frame < 5"), points(s, d).where("frame >= 5 or frame is null"), 1.0), f"with u as (select * from {P}) select distinct m as id from (select a.id, min(b.id) as m from u a join u b on {NEAR} <= 1 group by 1)")
 ERR = f"(select *, case when id % 5 <> 0 then sqrt((x * 0.115)**2 + (y * 0.115)**2 + (z * 0.15)**2) end as error from {P})"
 
 
@@ -175,8 +198,9 @@ add("stitch_keep", "frame id keep:i", lambda s, d: spatial.resolve_doubles(_erro
 add("line_offset", "frame id distance:r", lambda s, d: spatial.distance_to_line(points(s, d), (0.0, 0.0), (3.0, 4.0)).withColumnRenamed("offset", "distance"), f'select frame, id, abs(0.8 * x - 0.6 * y) as distance from {P}')
 
 # local strain
-_REL = f"(select a.frame as ref, b.frame as cur, a.particle, a.x as x0, a.y as y0, a.z as z0, b.x as x1, b.y as y1, b.z as z1 from {SED} a join {SED} b on a.particle = b.particle and a.frame = 0 and b.frame in (1, 2))"
-_EDGE = f"(select a.ref, a.cur, a.particle, " + ", ".join(f"b.{c}0 - a.{c}0 as r{c}, b.{c}1 - a.{c}1 as c{c}" for c in "xyz") + f" from {_REL} a join {_REL} b on a.cur = b.cur and (a.x0 - b.x0)**2 + (a.y0 - b.y0)**2 + (a.z0 - b.z0)**2 <= {RING**2})"
+_FRAMES = f"(select frame as cur, unnest([min(frame) over (), lag(frame) over (order by frame)]) as ref from (select distinct frame from {SED}))"
+_REL = f"(select a.frame as ref, b.frame as cur, a.particle, a.x as x0, a.y as y0, a.z as z0, b.x as x1, b.y as y1, b.z as z1 from {SED} a join {SED} b on a.particle = b.particle join (select distinct ref, cur from {_FRAMES} where ref < cur) p on a.frame = p.ref and b.frame = p.cur)"
+_EDGE = f"(select a.ref, a.cur, a.particle, " + ", ".join(f"b.{c}0 - a.{c}0 as r{c}, b.{c}1 - a.{c}1 as c{c}" for c in "xyz") + f" from {_REL} a join {_REL} b on a.ref = b.ref and a.cur = b.cur and (a.x0 - b.x0)**2 + (a.y0 - b.y0)**2 + (a.z0 - b.z0)**2 <= {RING**2})"
 _SUM = "(select ref, cur, particle, " + ", ".join(f"sum(c{a} * r{b}) as x{a}{b}" for a in "xyz" for b in "xyz") + ", " + ", ".join(f"sum(r{a} * r{b}) as y{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + f", sum(cx * cx + cy * cy + cz * cz) as cc, count(*) as nnb_count from {_EDGE} group by 1, 2, 3)"
 _DET = f"(select *, yyy * yzz - yyz * yyz as k1, yxz * yyz - yxy * yzz as k2, yxy * yyz - yxz * yyy as k3, yxx * yzz - yxz * yxz as k4, yxy * yxz - yxx * yyz as k5, yxx * yyy - yxy * yxy as k6 from {_SUM})"
 _DET2 = f"(select *, case when abs(yxx * k1 + yxy * k2 + yxz * k3) > 1e-9 * ((yxx + yyy + yzz) / 3)**3 then yxx * k1 + yxy * k2 + yxz * k3 end as det from {_DET})"
@@ -188,7 +212,9 @@ _STRAIN = f"(select *, {_VM} as von_mises from {_EPS})"
 
 
 def _local(s, d):
-    return strain.local_strain(tracks(s, d).where("material = 'sed'"), _pairs(s, (0, 1), (0, 2)), RING)
+    """Of the sediment, over every pair of frames that is analysed: to the first frame, and to the one before."""
+    sediment = tracks(s, d).where("material = 'sed'")
+    return strain.local_strain(sediment, frames.frame_pairs(sediment).select("ref", "cur").distinct(), RING)
 
 
 add("local_strain", "ref cur particle nnb_count:i exx:r exz:r eyz:r rxz:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", "nnb_count", *(F.round(c, 4).alias(c) for c in ("exx", "exz", "eyz", "rxz"))), "select ref, cur, particle, nnb_count, " + ", ".join(f"round({c}, 4) as {c}" for c in ("exx", "exz", "eyz", "rxz")) + f" from {_STRAIN}")
@@ -205,7 +231,18 @@ def _rotated(s, d):
 
 add("rotate_strain", "ref cur particle exx:r exz:r ezz:r", _rotated, "select ref, cur, particle, " + ", ".join("round(" + " + ".join(f"{float(_RM['xyz'.index(k[0]), a] * _RM['xyz'.index(k[1]), b])!r} * e{''.join(sorted('xyz'[a] + 'xyz'[b]))}" for a in range(3) for b in range(3)) + f", 4) as e{k}" for k in ("xx", "xz", "zz")) + f" from {_STRAIN}")
 _Q = "((exx + eyy + ezz) / 3)"
-add("eig_values", "ref cur particle trace:r square:r", lambda s, d: _local(s, d).withColumn("v", tensor.eigenvalues(*(F.col(f"e{k}") for k in tensor.SYM))).select("ref", "cur", "particle", F.round(F.expr("v[0] + v[1] + v[2]"), 3).alias("trace"), F.round(F.expr("v[0] * v[0] + v[1] * v[1] + v[2] * v[2]"), 2).alias("square")), f"select ref, cur, particle, round(exx + eyy + ezz, 3) as trace, round(exx**2 + eyy**2 + ezz**2 + 2 * (exy**2 + exz**2 + eyz**2), 2) as square from {_STRAIN}")
+_MEAN = f"(select *, (exx + eyy + ezz) / 3 as q from {_STRAIN})"
+_SPREAD = f"(select *, sqrt(((exx - q)**2 + (eyy - q)**2 + (ezz - q)**2 + 2 * (exy**2 + exz**2 + eyz**2)) / 6) as p from {_MEAN})"
+_DET3 = "((exx - q) * ((eyy - q) * (ezz - q) - eyz**2) - exy * (exy * (ezz - q) - eyz * exz) + exz * (exy * eyz - (eyy - q) * exz))"
+_ANGLE = f"(select *, acos(greatest(-1, least(1, case when p > 0 then {_DET3} / (2 * p**3) else 0 end))) / 3 as phi from {_SPREAD})"
+
+
+def _eigen(s, d):
+    v = _local(s, d).withColumn("v", tensor.eigenvalues(*(F.col(f"e{k}") for k in tensor.SYM)))
+    return v.select("ref", "cur", "particle", *(F.round(F.get("v", k), 3).alias(f"v{k}") for k in range(3)))
+
+
+add("eig_values", "ref cur particle v0:r v1:r v2:r", _eigen, f"select ref, cur, particle, round(q + 2 * p * cos(phi), 3) as v0, round(q - 2 * p * cos(phi) - 2 * p * cos(phi + 2 * pi() / 3), 3) as v1, round(q + 2 * p * cos(phi + 2 * pi() / 3), 3) as v2 from {_ANGLE}")
 _GL = "(select *, " + ", ".join("(" + " + ".join(f"f{c}{a} * f{c}{b}" for c in "xyz") + (" - 1" if a == b else "") + f") / 2 as g{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + f" from {_STRAIN})"
 add("green_lagrange", "ref cur particle shear:r volumetric:r", lambda s, d: strain.green_lagrange(_local(s, d)).select("ref", "cur", "particle", F.round("shear", 3).alias("shear"), F.round("volumetric", 3).alias("volumetric")), f"select ref, cur, particle, round(sqrt(gxy**2 + gxz**2 + gyz**2 + ((gxx - gyy)**2 + (gxx - gzz)**2 + (gyy - gzz)**2) / 6), 3) as shear, round((gxx + gyy + gzz) / 3, 3) as volumetric from {_GL}")
 add("peak_split", "cur high:r low:r", lambda s, d: strain.split_by_peak(_local(s, d), 1.0), f"with e as (select * from {_STRAIN}), p as (select particle, max(von_mises) as m from e group by 1) select cur, avg(von_mises) filter (m > 1) as high, avg(von_mises) filter (m <= 1) as low from e join p using (particle) group by 1")
@@ -229,21 +266,24 @@ add("pmf_moments", "frame norm:r mean:r std:r skew:r kurt:r", lambda s, d: clust
 add("pixel_snap", "frame id x:r", lambda s, d: clusters.snap(points(s, d), "x", -5.0, 0.25), f"select frame, id, -5.0 + floor((x + 5.0) / 0.25 + 0.5) * 0.25 as x from {P}")
 add("lattice", "id x:r y:r z:r", lambda s, d: clusters.close_packed(s, 6, "ABCAB"), f"select layer * 36 + j * 6 + i as id, i + 0.5 * j + [0.0, 0.5, 1.0][layer % 3 + 1] as x, j * sqrt(3) / 2 + [0.0, sqrt(3) / 6, sqrt(3) / 3][layer % 3 + 1] as y, layer * sqrt(2.0 / 3) as z from range(6) a(i), range(6) b(j), range(5) c(layer)")
 _GRID = "select i * 1.0 as x, j * 1.0 as y, k * 1.0 as z from range(-4, 5) a(i), range(-4, 5) b(j), range(-4, 5) c(k)"
-_C = (4 - 5 * 0.5) / (15 * 0.5)
+_C = 1 / (4 * (4 - 5 / 3))
+_E0 = 2 * 0.1 * (4 - 5 / 3) / (15 * (1 - 1 / 3))
+_FAR = f"{_E0} * 8 / (4 * (h**2 + x**2)**4.5) * (36 * {_C} * h**4 - (2 + 3 * {_C}) * h**6 + 9 * {_C} * h**2 * (-32 + 5 * h**2) * x**2 + 6 * (h**2 + 4 * {_C} * (4 + h**2)) * x**4 + 4 * (1 - 6 * {_C}) * x**6 + 15 * {_C} * h**4 * (-28 + 5 * (h**2 + x**2)) * cos(4 * acos(u)))"
+_INCLUSION = f"(select x, y, z, case when r < 2 then {_E0} else {_FAR} end as field from (select x::double as x, y::double as y, z::double as z, sqrt(x * x + y * y + z * z)::double as r, sqrt(y * y + z * z)::double as h, case when y = 0 and z = 0 then 0 else greatest(-1, least(1, z / sqrt(y * y + z * z))) end::double as u from ({_GRID})))"
 
 
 def _grid(s):
     return s.sql("select cast(i as double) as x, cast(j as double) as y, cast(k as double) as z from (select explode(sequence(-4, 4)) as i), (select explode(sequence(-4, 4)) as j), (select explode(sequence(-4, 4)) as k)")
 
 
-add("inclusion_field", "x:r y:r z:r field:r", lambda s, d: clusters.inclusion_field(_grid(s), 2.0, 0.1), f"select x, y, z, case when r < 2 then {_C} * 0.1 else {_C} * 0.1 * cos(4 * acos(z / r)) * (2 / r)**3 end as field from (select *, sqrt(x * x + y * y + z * z) as r from ({_GRID}))")
+add("inclusion_field", "x:r y:r z:r field:r", lambda s, d: clusters.inclusion_field(_grid(s), 2.0, 0.1), f"select * from {_INCLUSION}")
 
 
 def _field(s):
     return clusters.inclusion_field(_grid(s), 2.0, 0.1).select(*(F.col(a).cast("int").alias(b) for a, b in zip("xyz", "ijk", strict=True)), F.col("field").alias("v"))
 
 
-_FLD = f"(select x::int as i, y::int as j, z::int as k, case when r < 2 then {_C} * 0.1 else {_C} * 0.1 * cos(4 * acos(z / r)) * (2 / r)**3 end as v from (select *, sqrt(x * x + y * y + z * z) as r from ({_GRID})))"
+_FLD = f"(select x::int as i, y::int as j, z::int as k, field as v from {_INCLUSION})"
 add("spatial_corr", "si:i sj:i sk:i r:r n:i", lambda s, d: clusters.spatial_correlation(_field(s), _field(s), s.sql("select explode(sequence(-2, 2)) as si, 0 as sj, 1 as sk")), f"select si, 0 as sj, 1 as sk, corr(a.v, b.v) as r, count(*) as n from {_FLD} a, range(-2, 3) t(si), {_FLD} b where b.i = a.i + si and b.j = a.j and b.k = a.k + 1 group by 1")
 _HIST = "(select l_linenumber as tile, floor(l_extendedprice / 1000)::bigint as level, count(*) as n from lineitem group by 1, 2)"
 add("maxent_threshold", "tile:i threshold:i entropy:r", lambda s, d: volume.max_entropy_threshold(table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("tile"), F.floor(F.col("l_extendedprice") / 1000).alias("level")).agg(F.count("*").alias("n")), ["tile"]), f"with h as (select tile, level, n / sum(n) over (partition by tile) as p from {_HIST}), c as (select *, sum(p) over w as c, sum(p * ln(p)) over w as s, sum(p * ln(p)) over (partition by tile) as a from h window w as (partition by tile order by level)), e as (select tile, level, ln(c) - s / c + ln(1 - c) - (a - s) / (1 - c) as entropy from c where c < 1 - 1e-12) select tile, level as threshold, entropy from (select *, row_number() over (partition by tile order by round(entropy, 9) desc, level) as r from e) where r = 1")
@@ -271,22 +311,32 @@ add("inverse_distance", "frame i v:r", lambda s, d: spatial.inverse_distance(poi
 
 
 def _blocks(s, d):
-    """One small volume for each label, with bright spots at its vectors."""
+    """Volumes of 24 voxels a side that tile the space of each label's vectors, with bright spots at them: as many blocks as the data fill."""
     import pandas as pd
 
+    voxel = {c: F.floor(2.2 * F.col(c) + 0.5).cast("int").alias(f"v{c}") for c in "zyx"}
+    spots = points(s, d).where("frame is not null and x is not null and y is not null and z is not null").select("frame", *voxel.values()).distinct()
+    tile = [F.floor(F.col(f"v{c}") / 24).cast("int").alias(f"t{c}") for c in "zyx"]
+    spots = spots.select("frame", *tile, *(F.pmod(F.col(f"v{c}"), F.lit(24)).alias(c) for c in "zyx"))
+
     def paint(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((24, 24, 24))
-        for z, y, x in pdf[["z", "y", "x"]].to_numpy():
-            at = np.clip(np.rint(12 + 2.2 * np.array([z, y, x])), 3, 20).astype(int)
-            a[tuple(at)] = 1000.0
+        a, first = np.zeros((24, 24, 24)), pdf.iloc[0]
+        a[pdf["z"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy()] = 1000.0
         a = volume.gaussian(a, 1.2).astype("float32")
-        return pd.DataFrame([{"hv": int(pdf["frame"].iloc[0]), "z0": 0, "y0": 0, "x0": 0, "nz": 24, "ny": 24, "nx": 24, "dtype": "float32", "data": a.tobytes()}])
+        at = {f"{c}0": int(first[f"t{c}"]) * 24 for c in "zyx"}
+        hv = ((int(first["frame"]) * 64 + int(first["tz"]) + 32) * 64 + int(first["ty"]) + 32) * 64 + int(first["tx"]) + 32
+        return pd.DataFrame([{"hv": hv, **at, "nz": 24, "ny": 24, "nx": 24, "dtype": "float32", "data": a.tobytes()}])
+
+    return spots.groupBy("frame", "tz", "ty", "tx").applyInPandas(paint, volume.BLOCK)
+
 
-    return points(s, d).where("id % 10 = 3").groupBy("frame").applyInPandas(paint, volume.BLOCK)
+def _filtered(s, d):
+    found = volume.voxels(volume.map_blocks(_blocks(s, d), lambda a: volume.curvature_filter(a, "tv", 2)))
+    return found.groupBy("hv", "z").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.max("v").alias("most"))
 
 
 add("locate", "hv z:r y:r x:r mass:r round:i", lambda s, d: volume.locations(_blocks(s, d), (3.0, 3.0, 3.0), rounds=2, quantile=0.95))
-add("curvature_filter", "hv z:i y:i x:i v:r", lambda s, d: volume.voxels(volume.map_blocks(_blocks(s, d), lambda a: volume.curvature_filter(a, "tv", 2))))
+add("curvature_filter", "hv z:i n:i mean:r most:r", _filtered)
 
 
 def queries() -> dict:
@@ -294,4 +344,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: _sql(sql, spec) for n, (spec, _, sql) in Q.items() if sql}
+    return {n: _sql(sql() if callable(sql) else sql, spec) for n, (spec, _, sql) in Q.items() if sql}

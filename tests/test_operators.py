@@ -142,7 +142,7 @@ def test_array_kernels():
     found = volume.locate_rounds(a, (3.0, 3.0, 3.0), quantile=0.9)
     assert all(min(np.linalg.norm(found[:, :3] - s, axis=1)) < 0.3 for s in map(np.array, spots))
     flat = np.full((3, 9, 9), 4.0)
-    for kind in ("tv", "mean", "gaussian"):
+    for kind in ("tv", "mean", "gaussian", "bernstein"):
         assert np.allclose(volume.curvature_filter(flat, kind), flat)
     assert volume.rescale_xy(flat, 2).shape == (3, 18, 18) and np.allclose(volume.rescale_xy(flat, 2), 4)
     assert np.allclose(volume.local_threshold(flat, 4), 0) and np.allclose(volume.band_pass(flat, (1, 1, 1), (2, 2, 2)), 0, atol=1e-9)
@@ -191,8 +191,61 @@ def test_stream_averages(spark, tmp_path):
     assert spark.sql("select sum(n) from averages").first()[0] == src.count()
 
 
-def test_weights_of_inclusion_match_inside(spark):
-    g = spark.createDataFrame([(0.5, 0.0, 0.0), (4.0, 0.0, 0.0)], "x double, y double, z double")
-    a, b = (r["field"] for r in clusters.inclusion_field(g, 2.0, 0.1).orderBy("x").collect())
-    c = (4 - 2.5) / 7.5 * 0.1
-    assert a == pytest.approx(c) and b == pytest.approx(c * math.cos(4 * math.acos(0)) / 8)
+def test_inclusion_field_at_points_worked_by_hand(spark):
+    """Radius 2, strain 0.1, Poisson ratio 1/3: constant inside, and the far field on each axis (c = 3/28, e0 = 7/150)."""
+    g = spark.createDataFrame([(0.5, 0.0, 0.0), (4.0, 0.0, 0.0), (0.0, 4.0, 0.0), (0.0, 0.0, 4.0), (0.0, 3.0, 3.0)], "x double, y double, z double")
+    got = [r["field"] for r in clusters.inclusion_field(g, 2.0, 0.1).collect()]
+    c, e0 = 3 / 28, 7 / 150
+    assert got[0] == pytest.approx(e0)
+    # on the x axis only the fourth and sixth powers of x remain
+    assert got[1] == pytest.approx(8 * e0 / 4 / 4**9 * (6 * 4 * c * 4 * 4**4 + 4 * (1 - 6 * c) * 4**6))
+    # on the y and z axes cos 4t = 1
+    axis = 8 * e0 / 4 / 4**9 * (36 * c * 4**4 - (2 + 3 * c) * 4**6 + 15 * c * 4**4 * (5 * 16 - 28))
+    assert got[2] == pytest.approx(axis) and got[3] == pytest.approx(axis)
+    # at 45 degrees cos 4t = -1
+    h = math.sqrt(18)
+    assert got[4] == pytest.approx(8 * e0 / 4 / h**9 * (36 * c * h**4 - (2 + 3 * c) * h**6 - 15 * c * h**4 * (5 * h**2 - 28)))
+
+
+def test_t_quantiles_and_bounds_of_few_points(spark):
+    #: Published two-sided 95 % values.
+    for df, t in ((1, 12.7062047), (2, 4.30265273), (3, 3.18244631), (10, 2.22813885), (30, 2.04227246), (100, 1.98397152)):
+        assert fits.t_quantile(df) == pytest.approx(t, rel=1e-7)
+    rows = spark.createDataFrame([(1, float(x), y) for x, y in enumerate([1.0, 3.1, 4.9, 7.2, 8.8])] + [(2, 0.0, 1.0), (2, 1.0, 2.0)], "g int, x double, y double")
+    one, two = fits.line_fit(rows, "x", "y", ["g"]).orderBy("g").collect()
+    se = math.sqrt(sum((y - one["b"] - one["m"] * x) ** 2 for x, y in enumerate([1.0, 3.1, 4.9, 7.2, 8.8])) / 3 / 10)
+    assert one["se_m"] == pytest.approx(se) and one["ci_hi"] - one["m"] == pytest.approx(3.18244631 * se) and one["b_hi"] - one["b"] == pytest.approx(3.18244631 * se * math.sqrt(6))
+    assert two["ci_lo"] is None and two["m"] == pytest.approx(1)
+    far = spark.range(1).select(*(fits.t_column(F.lit(k)).alias(f"t{k}") for k in (101, 500))).first()
+    assert far[0] == pytest.approx(fits.t_quantile(101), abs=1e-9) and far[1] == pytest.approx(fits.t_quantile(500), abs=1e-9)
+
+
+def test_curvature_stencils_on_a_textured_image():
+    """Each pixel of each set moves by the smallest of its tangent estimates, found here neighbour by neighbour."""
+    image = np.random.default_rng(3).normal(size=(9, 8))
+
+    def estimates(u, i, j, kind):
+        v = lambda dy, dx: u[i + dy, j + dx]
+        n, s, w, e, nw, ne, sw, se = v(-1, 0), v(1, 0), v(0, -1), v(0, 1), v(-1, -1), v(-1, 1), v(1, -1), v(1, 1)
+        if kind == "tv":
+            return [(n + s + w + nw + sw) / 5, (n + s + e + ne + se) / 5, (w + e + nw + n + ne) / 5, (w + e + sw + s + se) / 5, (nw + n + ne + w + sw) / 5, (nw + n + ne + e + se) / 5, (sw + s + se + e + ne) / 5, (sw + s + se + w + nw) / 5]
+        if kind == "mean":
+            return [(2.5 * (n + s) + 5 * e - ne - se) / 8, (2.5 * (n + s) + 5 * w - nw - sw) / 8, (2.5 * (w + e) + 5 * n - nw - ne) / 8, (2.5 * (w + e) + 5 * s - sw - se) / 8]
+        return [(n + s) / 2, (w + e) / 2, (nw + se) / 2, (sw + ne) / 2, (n + nw + w) / 3, (n + ne + e) / 3, (sw + w + s) / 3, (e + se + s) / 3]
+
+    for kind in ("tv", "mean", "gaussian"):
+        want = image.copy()
+        for y, x in ((1, 1), (2, 1), (1, 2), (2, 2)):
+            old = want.copy()
+            for i in range(y, 8, 2):
+                for j in range(x, 7, 2):
+                    want[i, j] = min(estimates(old, i, j, kind), key=lambda t: abs(t - old[i, j]))
+        assert np.allclose(volume.curvature_filter(image[None], kind, 1)[0], want)
+        flat = np.add.outer(np.arange(9.0), 2 * np.arange(8.0))  # a plane is its own tangent
+        assert kind != "gaussian" or np.allclose(volume.curvature_filter(flat[None], kind, 3)[0], flat)
+
+
+def test_entry_has_rows(spark):
+    import __spark_entry__
+
+    assert __spark_entry__.entry(spark).count() > 0
