@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granulon.llm.common import materialise
+
 #: The public chat markup.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
@@ -36,8 +38,9 @@ def maximal(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
 def render(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, n_copies and the rendered text of the maximal conversations."""
-    kept = maximal(turns, conv, turn, role, text)
+    kept = materialise(maximal(turns, conv, turn, role, text), "maximal")
     part = F.concat(F.lit(OPEN), F.coalesce(F.col(role), F.lit("")), F.lit("\n"), F.coalesce(F.col(text), F.lit("")), F.lit(CLOSE))
-    rows = turns.where(F.col(conv).isNotNull()).select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"), part.alias("p")).alias("s"))
+    # only what stays is gathered and rendered
+    rows = turns.join(kept.select(F.col("conv_id").alias("_kept")), F.col(conv) == F.col("_kept"), "left_semi").select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("t"), F.col(role).alias("r"), F.col(text).alias("x"), part.alias("p")).alias("s"))
     texts = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s.p), "").alias("rendered"))
     return kept.join(texts, "conv_id").select("conv_id", "n_turns", "n_copies", "rendered")
