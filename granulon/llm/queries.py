@@ -83,23 +83,17 @@ QUERIES = {
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
 _RULES = "case " + " ".join(f"when {_FITS.format(h=t.partition('/')[0], p=t.partition('/')[2])} then '{t}'" for _, t in sorted(URL_RULES, key=lambda r: -len(r[1]))) + " end"
 _SAYS = "case rule " + " ".join(f"when '{t}' then '{v}'" for v, t in URL_RULES) + " end"
-_BACKOFF = "({n}{k} + 4.0 * {p}) / ({n}c{k} + 4.0)"
-
-
-def _chain(n: str) -> str:
-    p = f"(1.0::double / {len(url_filter.ALPHABET)})"
-    for k in range(4):
-        p = _BACKOFF.format(n=n, k=k, p=p)
-    return p
-
-
-def _sums(n: str) -> str:
-    out = []
-    for k in range(4):
-        context = ", ".join(f"substr(gram, {3 - i + 1}, 1)" for i in range(1, k + 1))
-        out.append(f"sum({n}) over (partition by {context + ', ' if context else ''}substr(gram, 4, 1))::double as {n}{k}")
-        out.append(f"sum({n}) over ({'partition by ' + context if context else ''})::double as {n}c{k}")
-    return ", ".join(out)
+def _orders() -> str:
+    """CTEs p0 to pORDER: each gram's estimates by both models (qr, qa), from the shorter gram's."""
+    out, n = [], url_filter.ORDER
+    for k in range(n + 1):
+        out.append(f"s{k} as (select substr(gram, {n + 1 - k}, {k + 1}) as g, sum(r)::double as r, sum(a)::double as a from counts group by 1)")
+        if k == 0:
+            out.append("p0 as (select g, (r + 4.0::double * (1.0::double / v)) / (of_r + 4.0) as qr, (a + 4.0::double * (1.0::double / v)) / (of_a + 4.0) as qa from s0, (select sum(r) as of_r, sum(a) as of_a, count(*)::double as v from s0))")
+        else:
+            out.append(f"c{k} as (select substr(g, 1, {k}) as c, sum(r) as of_r, sum(a) as of_a from s{k} group by 1)")
+            out.append(f"p{k} as (select s{k}.g, (r + 4.0::double * qr) / (of_r + 4.0) as qr, (a + 4.0::double * qa) / (of_a + 4.0) as qa from s{k} join c{k} on c = substr(s{k}.g, 1, {k}) join p{k - 1} q on q.g = substr(s{k}.g, 2, {k}))")
+    return ",\n".join(out)
 
 
 ORACLE: dict[str, str] = {
@@ -127,14 +121,14 @@ select doc_id, n_words, n_removed, sha256(coalesce(list_aggregate(k, 'string_agg
 with parsed as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path, row_number() over () as id from pages),
 ruled as (select *, {_RULES} as rule from parsed),
-said as (select *, {_SAYS} as by_rule, '^^^' || regexp_replace(translate(lower(host || path), '123456789', '000000000'), '[^a-z0./_\\-%=&+~]', '*', 'g') || '$' as s from ruled),
-each as (select id, by_rule, substr(s, i::int, 4) as gram from (select id, by_rule, s, unnest(generate_series(1, length(s) - 3)) as i from said)),
-counts as (select gram, count(*) filter (by_rule = 'block') as r, count(*) filter (by_rule = 'allow') as a from each group by gram),
-sums as (select gram, {_sums("r")}, {_sums("a")} from counts),
-ratios as (select gram, round(1e6 * (ln({_chain("r")}) - ln({_chain("a")})))::bigint as ratio from sums),
+said as (select *, {_SAYS} as by_rule, repeat(chr(2), {url_filter.ORDER}) || host || path || chr(3) as s, substr(md5(host || path), 1, 1) < '{url_filter.HELD_OUT}' as held from ruled),
+each as (select id, case when not held then by_rule end as train, substr(s, i::int, {url_filter.ORDER + 1}) as gram from (select id, by_rule, held, s, unnest(generate_series(1, length(s) - {url_filter.ORDER})) as i from said)),
+counts as (select gram, count(*) filter (train = 'block') as r, count(*) filter (train = 'allow') as a from each group by gram),
+{_orders()},
+ratios as (select g as gram, round(1e6 * (ln(qr) - ln(qa)))::bigint as ratio from p{url_filter.ORDER}),
 scores as (select id, floor(sum(ratio)::double / count(*) / 20000) as b from each join ratios using (gram) group by id),
-hist as (select b, count(*) filter (by_rule = 'block') as r, count(*) filter (by_rule = 'allow') as a from said join scores using (id) where by_rule is not null group by b),
+hist as (select b, count(*) filter (by_rule = 'block') as r, count(*) filter (by_rule = 'allow') as a from said join scores using (id) where by_rule is not null and held group by b),
 errors as (select b, coalesce(sum(r) over (order by b rows between unbounded preceding and 1 preceding), 0) * (sum(a) over ()) + (sum(a) over (order by b rows between current row and unbounded following)) * (sum(r) over ()) as error, sum(a) over () * sum(r) over () as both_classes from hist),
-least as (select b from errors where both_classes > 0 order by error, b limit 1)
+least as (select b from errors where both_classes > 0 and (select count(distinct by_rule) from said where not held) = 2 order by error, b limit 1)
 select page_id, host, path, rule, coalesce(by_rule, case when s.b >= (select b from least) then 'block' else 'allow' end) as verdict from said join scores s using (id)""",
 }

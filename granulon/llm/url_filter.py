@@ -1,15 +1,16 @@
-"""URL filter: host and path rules, and for all other URLs the ratio of two character Markov models.
+"""URL filter: host and path rules, and for all other URLs the ratio of two character Markov models of variable order.
 
-URLs that a rule accepts train one model and URLs that a rule rejects the other. A model backs off through contexts of
-three to zero characters, p_k = (n(context_k, c) + S p_(k-1)) / (n(context_k) + S), so contexts never seen leave the shorter ones'
-estimate. A URL's score is the mean log ratio of its characters in millionths; the cut between the classes is the
-one with the least balanced error over the rule-labelled URLs. All of it is DataFrame expressions.
+URLs that a rule accepts train one model and URLs that a rule rejects the other, but for a third of them (by hash), which calibrates. A model
+backs off through contexts of ``ORDER`` to zero characters, p_k = (n(context_k, c) + S p_(k-1)) / (n(context_k) + S): a context counts as much as
+it has been seen, and one never seen leaves the shorter one's estimate, so the order follows the data. Characters are taken as they
+are, so what is gathered grows with the corpus. A URL's score is the mean log ratio of its characters in millionths; the cut between
+the classes is the one with the least balanced error over the URLs held out. All of it is DataFrame expressions.
 
-URLs are folded to ``ALPHABET`` (digits to 0, others to \\*), so the table of log ratios has at most len(ALPHABET)^4
-rows whatever the input; it is broadcast only if it has at most ``broadcast_rows``, else it is an ordinary equality join.
+Scale: the distinct grams with their counts are one table, from which each order's estimates follow by joins on shorter grams, which are smaller tables
+yet. Scoring joins each character's gram with its ratio by equality; the ratios are broadcast only if they are few (``broadcast_rows``).
 
 Defined results: a null URL, or one without ``://``, has empty host and path and is scored like any empty text; repeated rows
-each get a verdict; if either class has no URL, what no rule judges is allowed. All input columns survive in ``_row``.
+each get a verdict; if either class has no URL to learn from or to calibrate on, what no rule judges is allowed. All input columns survive in ``_row``.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise
+from granulon.llm.common import materialise, sized
 
-ORDER, SMOOTHING, BUCKET = 3, 4.0, 20_000
-ALPHABET = string.ascii_lowercase + "0./_-%=&+~^$*"
+ORDER, SMOOTHING, BUCKET = 5, 4.0, 20_000
+#: Marks before a URL's first character and after its last.
+START, END = "\x02", "\x03"
+#: URLs whose host and path have a digest that begins with a lesser digit calibrate, the others train: five in sixteen.
+HELD_OUT = "5"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,27 +44,25 @@ def rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Colu
     return name, verdict
 
 
-def folded(host: Column, path: Column) -> Column:
+def marked(host: Column, path: Column) -> Column:
     """The characters a model sees, between start and end marks."""
-    text = F.translate(F.lower(F.concat(host, path)), "123456789", "0" * 9)
-    return F.concat(F.lit("^" * ORDER), F.regexp_replace(text, r"[^a-z0./_\-%=&+~]", "*"), F.lit("$"))
+    return F.concat(F.lit(START * ORDER), host, path, F.lit(END))
 
 
 def log_ratios(grams: DataFrame) -> DataFrame:
     """From gram, rejected, accepted (counts of the last character after the ones before it): gram, ratio in millionths."""
-    x = [F.substring("gram", ORDER + 1 - k, 1).alias(f"x{k}") for k in range(ORDER + 1)]
-    table = grams.select("gram", "rejected", "accepted", *x)
-    first = table.groupBy("x0").agg(F.sum("rejected").alias("r0"), F.sum("accepted").alias("a0"))  # a row for each character
-    table = table.join(F.broadcast(first), "x0").repartition("x1")
-    whole = first.agg(F.sum("r0"), F.sum("a0")).first()
-    p = {"r": F.lit(1 / len(ALPHABET)), "a": F.lit(1 / len(ALPHABET))}
-    for c, full, total in (("r", "rejected", whole[0] or 0), ("a", "accepted", whole[1] or 0)):
-        p[c] = (F.col(f"{c}0") + SMOOTHING * p[c]) / (F.lit(float(total)) + SMOOTHING)
-        for k in range(1, ORDER + 1):
-            context = [f"x{i}" for i in range(1, k + 1)]  # all contain x1, so one exchange serves all
-            inside, of = F.sum(full).over(W.partitionBy(*context, "x0")), F.sum(full).over(W.partitionBy(*context))
-            p[c] = (inside + SMOOTHING * p[c]) / (of + SMOOTHING)
-    return table.select("gram", F.round(1e6 * (F.ln(p["r"]) - F.ln(p["a"]))).cast("long").alias("ratio"))
+    shorter = None
+    for k in range(ORDER + 1):  # g: a character after k others
+        found = grams.groupBy(F.substring("gram", ORDER + 1 - k, k + 1).alias("g")).agg(F.sum("rejected").alias("r"), F.sum("accepted").alias("a"))
+        if k == 0:
+            whole = found.agg(F.sum("r").alias("of_r"), F.sum("a").alias("of_a"), F.count("*").alias("v"))
+            found = found.crossJoin(F.broadcast(whole)).withColumns({f"q{c}": F.lit(1.0) / F.col("v") for c in "ra"})  # one row
+        else:
+            context = found.groupBy(F.substring("g", 1, k).alias("c")).agg(F.sum("r").alias("of_r"), F.sum("a").alias("of_a"))
+            found = found.select("*", F.substring("g", 1, k).alias("c"), F.substring("g", 2, k).alias("t")).join(context, "c").join(shorter, "t")
+        estimate = lambda c: (F.col(c) + SMOOTHING * F.col(f"q{c}")) / (F.col(f"of_{c}") + SMOOTHING)
+        shorter = found.select(F.col("g").alias("t"), estimate("r").alias("qr"), estimate("a").alias("qa"))
+    return shorter.select(F.col("t").alias("gram"), F.round(1e6 * (F.ln("qr") - F.ln("qa"))).cast("long").alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", columns: list[str] | None = None, broadcast_rows: int = 200_000) -> DataFrame:
@@ -69,23 +70,24 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url", colu
     host, path = host_and_path(F.col("_u"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     parsed = pages.select(F.struct(*(columns or ["*"])).alias("_row"), F.col(url).alias("_u")).select("_row", host.alias("host"), path.alias("path"))
-    parsed = parsed.select("_row", "host", "path", name.alias("rule"), verdict.alias("by_rule"), folded(F.col("host"), F.col("path")).alias("_s"), F.monotonically_increasing_id().alias("_id"))
+    parsed = parsed.select("_row", "host", "path", name.alias("rule"), verdict.alias("by_rule"), marked(F.col("host"), F.col("path")).alias("_s"), F.monotonically_increasing_id().alias("_id"))
+    parsed = parsed.withColumn("_held", F.substring(F.md5(F.concat("host", "path")), 1, 1) < HELD_OUT)
     parsed = materialise(parsed, "urls")
     cut = F.transform(F.sequence(F.lit(1), F.length("_s") - ORDER), lambda i: F.substr("_s", i, F.lit(ORDER + 1)))
-    each = parsed.select("_id", "by_rule", F.explode(cut).alias("gram"))
-    counts = each.groupBy("gram").agg(F.count(F.when(F.col("by_rule") == "block", 1)).alias("rejected"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("accepted"))
+    each = parsed.select("_id", F.when(~F.col("_held"), F.col("by_rule")).alias("train"), F.explode(cut).alias("gram"))
+    counts = each.groupBy("gram").agg(F.count(F.when(F.col("train") == "block", 1)).alias("rejected"), F.count(F.when(F.col("train") == "allow", 1)).alias("accepted"))
+    counts = materialise(counts, "grams")
     ratios = materialise(log_ratios(counts), "ratios")
-    small = ratios.limit(broadcast_rows + 1).count() <= broadcast_rows
-    scored = each.select("_id", "gram").join(F.broadcast(ratios) if small else ratios, "gram")
+    scored = each.select("_id", "gram").join(sized(ratios, broadcast_rows), "gram")
     scores = materialise(scored.groupBy("_id").agg((F.sum("ratio") / F.count("*")).alias("score")), "scores")
     found = parsed.drop("_s").join(scores, "_id").drop("_id")
-    least = calibrate(found)
+    least = calibrate(found.where("_held")) if parsed.where("not _held").agg(F.count_distinct("by_rule")).first()[0] == 2 else None
     by_model = F.when(F.floor(F.col("score") / BUCKET) >= least, "block").otherwise("allow") if least is not None else F.lit("allow")
     return found.select("_row", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score")
 
 
 def calibrate(scored: DataFrame) -> int | None:
-    """The lowest bucket of scores to block: least sum of both classes' error rates, then the lowest; None without both classes."""
+    """The lowest bucket of scores to block: least sum of both classes' error rates over held-out URLs, then the lowest; None without both classes."""
     rows = scored.where("by_rule is not null").groupBy(F.floor(F.col("score") / BUCKET).alias("b")).agg(F.count(F.when(F.col("by_rule") == "block", 1)).alias("r"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("a")).orderBy("b").collect()
     r, a = sum(x["r"] for x in rows), sum(x["a"] for x in rows)
     if not r or not a:
