@@ -40,3 +40,15 @@ def sweep(spark: SparkSession, amplitudes: list[float], repeats: int) -> DataFra
 
 def mass_fraction(rows: DataFrame, solute: str, solvent: str) -> DataFrame:
     return rows.withColumn("mass_fraction", F.try_divide(F.col(solute), F.col(solute) + F.col(solvent)))
+
+
+def bump_pause_bump(spark: SparkSession, low: float, high: float, n_half: int, n_pause: int) -> DataFrame:
+    """A triangle, a pause at its start, and the triangle again."""
+    bump, n = f"{low}D + ({n_half} - abs({{k}} - {n_half})) * {(high - low) / n_half}D", 2 * n_half + 1
+    return _rows(spark, 2 * n + n_pause, f"case when id < {n} then {bump.format(k='id')} when id < {n + n_pause} then {low}D else {bump.format(k=f'(id - {n + n_pause})')} end")
+
+
+def liquid_filler(rows: DataFrame, parts: dict[str, float], filler: str) -> DataFrame:
+    """Liquid share of a mixture: of each part (column: its reactive weight share) what does not react, and the filler, over all."""
+    liquid = sum((F.col(c) * (1 - w) for c, w in parts.items()), F.col(filler))
+    return rows.withColumn("liquid_fraction", F.try_divide(liquid, sum((F.col(c) for c in parts), F.col(filler))))

@@ -54,3 +54,28 @@ def missing(submitted: DataFrame, done: DataFrame) -> DataFrame:
 
 def leaf_array(rows: DataFrame, size: int = 10_000) -> DataFrame:
     return rows.withColumns({"leaf": F.expr(f"hv div {size}"), "array_id": F.col("hv") % size})
+
+
+def lookup(rows: DataFrame, hv: int) -> DataFrame:
+    """A tile's indices and bounds by its number."""
+    return rows.where(F.col("hv") == hv)
+
+
+def lookup_index(rows: DataFrame, x: int, y: int, z: int, t: int) -> DataFrame:
+    """The number of the tile at an index."""
+    return rows.where((F.col("x") == x) & (F.col("y") == y) & (F.col("z") == z) & (F.col("t") == t)).select("hv")
+
+
+def training(rows: DataFrame, z_gel: int) -> DataFrame:
+    """Tiles at the corners and the centre of the first and last frame, in the layers about the interface, with ``interface``."""
+    ends = rows.agg(*(F.max(c).alias(f"_{c}") for c in "xyt"), F.min("t").alias("_first"))
+    corner = lambda c: (F.col(c) == 0) | (F.col(c) == F.col(f"_{c}"))
+    centre = lambda c: 2 * F.col(c) == F.col(f"_{c}")
+    found = rows.crossJoin(F.broadcast(ends)).where((corner("x") & corner("y") | centre("x") & centre("y")) & F.col("t").isin(F.col("_first"), F.col("_t")))
+    return interface(found, z_gel).where("interface").drop("_x", "_y", "_t", "_first")
+
+
+def pixel_axis(spark: SparkSession, low: float, high: float, step: float) -> DataFrame:
+    """Places low, low + step, ... below high."""
+    n = max(0, -int(-(high - low) / step // 1))
+    return spark.range(n).select((F.lit(float(low)) + F.col("id") * step).alias("place"))
