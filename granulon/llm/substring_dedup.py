@@ -1,16 +1,16 @@
-"""Substring dedup: documents are parsed relative to an index of reference blocks, and long factors become duplicate spans.
+"""Substring dedup: relative Lempel-Ziv parsing against indexed reference blocks; long factors become duplicate spans.
 
-The phrases of every document, ``LENGTH`` consecutive words each, are dealt by hash over reference blocks; a block is one
-group of a shuffle and holds about ``BLOCK_BYTES`` of text's phrases. In its block each phrase meets the earliest document that has it. The
-phrases of a document that start in an earlier one come back in order, and a greedy parse joins those that
-follow or overlap each other into factors: maximal runs of words copied from earlier documents. Since every phrase is
-looked up, also those across the boundary of two factors, the factors of at least ``LENGTH`` words are exactly the words covered
-by a repeated phrase.
+The index of the reference is dealt by hash over blocks: a block is one group of a shuffle and holds about ``BLOCK_BYTES`` of text's phrases, ``LENGTH``
+consecutive words each. There each phrase meets the earliest document that has it, and goes back to its own document with that reference (document, place).
+The parse goes through a document's found phrases in order and extends a factor as long as its reference goes on too, word by word; where that ends the
+next factor begins, at the phrase that crosses the boundary, since every phrase has been looked up. A factor is thus (start, length,
+reference document, place there). The words it copies are cut out of the reference and compared with its own; only equal ones count, so no hash decides alone.
+Factors have at least ``LENGTH`` words, and their union is exactly the words covered by a repeated phrase.
 
 Scale: words become 64-bit hashes once, phrases a rolling sum of them, so a phrase costs about ten shuffled bytes. Before the
 shuffle each slice of documents sends a phrase once, for its smallest doc_id; its other documents that have it are
-known repeats and travel by document, so a phrase in a third of all documents loads no block. Different phrases could only be
-confused by equal 64-bit hashes (expected below one pair in 4e9 phrases).
+known repeats and travel by document, so a phrase in a third of all documents loads no block. A phrase whose 64-bit hash is an earlier,
+different phrase's would not be found (expected below one in 4e9 phrases); none is removed wrongly.
 
 The unit that is packed, parsed and joined back is (doc_id, copy); copy is zero where the doc_id has one row and the text's 64-bit
 hash elsewhere, so only repeated ids pay for it. The doc_id alone decides which of two documents is the earlier one.
@@ -29,12 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, words
+from granulon.llm.common import materialise, sized, words
 
 LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-ROWS = "block int, hashes binary, docs binary, copies binary, counts binary, places binary"
-_SCHEMA = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("hashes", "docs", "copies", "counts", "places"))])
+_PARTS = ("hashes", "docs", "copies", "counts", "places", "ref_docs", "ref_copies", "ref_places")
+ROWS = "block int, " + ", ".join(f"{c} binary" for c in _PARTS)
+_SCHEMA = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in _PARTS)])
+FACTORS = "doc_id long, copy long, factors array<struct<start:int,n:int,ref:long,ref_copy:long,at:int>>"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -55,28 +57,33 @@ def _first(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _pack(block: int, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray) -> dict:
-    """A row of phrases in order of (doc, copy, place): each unit once, and differences of neighbours."""
+def _pack(block: int, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray, *ref: np.ndarray) -> dict:
+    """A row of phrases in order of (doc, copy, place): each unit once, and differences of neighbours; ``ref`` is where each is found (doc, copy, place)."""
     first = np.flatnonzero(_first(doc, copy))
     step = np.diff(place, prepend=0)
     step[first] = place[first]
-    copies = _planes(copy[first]) if copy.any() else b""
-    return {"block": block, "hashes": hashes.tobytes(), "docs": _planes(np.diff(doc[first], prepend=0)), "copies": copies, "counts": _planes(np.diff(np.append(first, len(doc))).astype(np.uint32)), "places": _planes(step.astype(np.uint32))}
+    row = {"block": block, "hashes": hashes.tobytes(), "docs": _planes(np.diff(doc[first], prepend=0)), "copies": _planes(copy[first]) if copy.any() else b"", "counts": _planes(np.diff(np.append(first, len(doc))).astype(np.uint32)), "places": _planes(step.astype(np.uint32))}
+    if not ref:
+        return row | {"ref_docs": b"", "ref_copies": b"", "ref_places": b""}
+    to, to_copy, at = ref
+    return row | {"ref_docs": _planes(np.diff(to, prepend=0)), "ref_copies": _planes(to_copy) if to_copy.any() else b"", "ref_places": _planes(np.diff(at, prepend=0).astype(np.int32))}
 
 
-def _unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    hashes, docs, copies, places = [], [], [], []
+def _unpack(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """hash, doc, copy, place, and where they are found: ref doc, copy and place (zeros where rows hold none)."""
+    out: list[tuple] = []
     for r in rows.to_pylist():
         count = _whole(r["counts"], np.uint32).astype(np.int64)
         doc, step = np.cumsum(_whole(r["docs"], np.int64)), _whole(r["places"], np.uint32).astype(np.int64)
         run = np.cumsum(step)
         first = np.cumsum(count) - count
         base = run[first] - step[first]
-        hashes.append(np.frombuffer(r["hashes"], np.uint64))
-        docs.append(np.repeat(doc, count))
-        copies.append(np.repeat(_whole(r["copies"], np.int64), count) if r["copies"] else np.zeros(len(run), np.int64))
-        places.append(run - np.repeat(base, count))
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, docs, copies, places))
+        none = np.zeros(len(run), np.int64)
+        copy = np.repeat(_whole(r["copies"], np.int64), count) if r["copies"] else none
+        to = np.cumsum(_whole(r["ref_docs"], np.int64)) if r["ref_docs"] else none
+        at = np.cumsum(_whole(r["ref_places"], np.int32).astype(np.int64)) if r["ref_places"] else none
+        out.append((np.frombuffer(r["hashes"], np.uint64), np.repeat(doc, count), copy, run - np.repeat(base, count), to, _whole(r["ref_copies"], np.int64) if r["ref_copies"] else none, at))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 7
 
 
 def _of_document(doc: np.ndarray, copy: np.ndarray, n: int) -> np.ndarray:
@@ -84,13 +91,22 @@ def _of_document(doc: np.ndarray, copy: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
 
-def _split(block: np.ndarray, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray, base: int = 0) -> list[dict]:
+def _in_order(doc: np.ndarray, copy: np.ndarray, place: np.ndarray, *ref: np.ndarray) -> list[np.ndarray]:
+    """Phrases in order of (doc, copy, place), each once: with the first of its references."""
+    order = np.lexsort((*ref[::-1], place, copy, doc))
+    columns = [x[order] for x in (doc, copy, place, *ref)]
+    new = _first(*columns[:3])
+    return [x[new] for x in columns]
+
+
+def _split(block: np.ndarray, hashes: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray, *ref: np.ndarray, base: int = 0) -> list[dict]:
     """Rows by block; phrases keep their order inside one."""
     order = np.argsort(block, kind="stable")
-    block, hashes, doc, copy, place = block[order], hashes[order] if len(hashes) else hashes, doc[order], copy[order], place[order]
+    block, hashes = block[order], hashes[order] if len(hashes) else hashes
+    doc, copy, place, *ref = (x[order] for x in (doc, copy, place, *ref))
     cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
     ends = zip(np.append(0, cuts), np.append(cuts, len(block)), strict=True) if len(block) else []
-    return [_pack(base + int(block[a]), hashes[a:b], doc[a:b], copy[a:b], place[a:b]) for a, b in ends]
+    return [_pack(base + int(block[a]), hashes[a:b], doc[a:b], copy[a:b], place[a:b], *(x[a:b] for x in ref)) for a, b in ends]
 
 
 def phrases(doc_id: np.ndarray, texts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +177,10 @@ def factors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 ask_for[by_hash] = doc[by_hash] == doc[lead]
                 # repeats within a doc_id are asked for each: all of them repeat if an earlier document has the phrase
                 out = _split((h[ask_for] % np.uint64(blocks)).astype(np.int64), h[ask_for], doc[ask_for], copy[ask_for], place[ask_for])
-                out += _split(_of_document(doc[repeat], copy[repeat], blocks), h[:0], doc[repeat], copy[repeat], place[repeat], base=blocks)
+                found = np.zeros(len(h), np.int64)
+                found[by_hash] = lead
+                found = found[repeat]
+                out += _split(_of_document(doc[repeat], copy[repeat], blocks), h[:0], doc[repeat], copy[repeat], place[repeat], doc[found], copy[found], place[found], base=blocks)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
@@ -169,57 +188,81 @@ def factors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         """Of one block: the phrases that start in an earlier document, by document."""
         if group["block"][0].as_py() >= blocks:  # known repeats pass
             return group.set_column(0, "block", pc.cast(pc.subtract(group["block"], blocks), pa.int32()))
-        h, doc, copy, place = _unpack(group)
-        order = np.lexsort((doc, h))
+        h, doc, copy, place = _unpack(group)[:4]
+        order = np.lexsort((place, copy, doc, h))
         h, doc, copy, place = h[order], doc[order], copy[order], place[order]
         new = _first(h)
-        late = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-        doc, copy, place = doc[late], copy[late], place[late]
-        order = np.lexsort((place, copy, doc))
-        doc, copy, place = doc[order], copy[order], place[order]
-        # equal rows of different slices
-        new = _first(doc, copy, place)
-        doc, copy, place = doc[new], copy[new], place[new]
-        return pa.Table.from_pylist(_split(_of_document(doc, copy, blocks), h[:0], doc, copy, place), schema=_SCHEMA)
+        lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+        late = doc > doc[lead]
+        columns = [doc[late], copy[late], place[late], *(x[lead[late]] for x in (doc, copy, place))]
+        columns = _in_order(*columns)
+        return pa.Table.from_pylist(_split(_of_document(*columns[:2], blocks), h[:0], *columns), schema=_SCHEMA)
 
     def parse(group: pa.Table) -> pa.Table:
-        """Of the documents of one group: their factors."""
-        _, doc, copy, place = _unpack(group)
-        order = np.lexsort((place, copy, doc))
-        doc, copy, place = doc[order], copy[order], place[order]
-        # equal rows of different slices, a phrase known in one and asked for in the other
-        new = _first(doc, copy, place)
-        doc, copy, place = doc[new], copy[new], place[new]
+        """Of the documents of one group: their factors, each as long as its reference goes on."""
+        doc, copy, place, to, to_copy, at = _in_order(*_unpack(group)[1:])
         new_unit = _first(doc, copy)
-        new = new_unit | np.append(True, place[1:] > place[:-1] + length)
+        new = new_unit.copy()
+        new[1:] |= (np.diff(place) != 1) | (np.diff(at) != 1) | (np.diff(to) != 0) | (np.diff(to_copy) != 0)
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(doc)) - 1
-        spans = pa.StructArray.from_arrays([pa.array(place[start].astype(np.int32)), pa.array((place[end] + length - place[start]).astype(np.int32))], names=["start", "n"])
+        ints = lambda x: pa.array(x.astype(np.int32))
+        parts = [ints(place[start]), ints(place[end] + length - place[start]), pa.array(to[start]), pa.array(to_copy[start]), ints(at[start])]
+        spans = pa.StructArray.from_arrays(parts, names=["start", "n", "ref", "ref_copy", "at"])
         firsts = np.flatnonzero(new_unit[start])
         return pa.table({"doc_id": pa.array(doc[start[firsts]]), "copy": pa.array(copy[start[firsts]]), "factors": pa.ListArray.from_arrays(pa.array(np.append(firsts, len(start)).astype(np.int32)), spans)})
 
     asked = rows.mapInArrow(ask, ROWS)
     answered = asked.groupBy("block").applyInArrow(answer, ROWS)
-    return answered.groupBy("block").applyInArrow(parse, "doc_id long, copy long, factors array<struct<start:int,n:int>>")
+    return answered.groupBy("block").applyInArrow(parse, FACTORS)
+
+
+def with_references(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Each factor with ``x``, the words of its reference that it copies: from (_id, _copy, _t) and ``factors`` to doc_id, copy and factors (start, n, x).
+
+    Only texts that are referred to meet the factors; a text that a third of all documents copy from is a hot key of an ordinary join.
+    """
+    found = materialise(found, "factors")
+    each = found.select("doc_id", "copy", F.explode("factors").alias("f")).select("doc_id", "copy", "f.*")
+    needed = materialise(each.select("ref", "ref_copy").distinct(), "references")
+    same = (F.col("_id") == F.col("ref")) & (F.col("_copy") == F.col("ref_copy"))
+    texts = rows.where("_t is not null").join(sized(needed), same, "left_semi").select("_id", "_copy", "_t")
+    cut = each.join(texts.hint("shuffle_hash"), same).select("doc_id", "copy", F.struct("start", "n", F.array_join(F.slice(words(F.col("_t")), F.col("at") + 1, F.col("n")), " ").alias("x")).alias("f"))
+    return cut.groupBy("doc_id", "copy").agg(F.collect_set("f").alias("factors"))
+
+
+def spans(w: str, factors: str) -> Column:
+    """Disjoint spans (start, n) in order, of the factors whose words are those of their references."""
+    right = F.filter(factors, lambda f: F.array_join(F.slice(w, f.start + 1, f.n), " ") == f.x)
+    one = lambda start, n: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
+
+    def joined(done: Column, f: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        end = last.start + last.n
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one(last.start, F.greatest(end, f.start + f.n) - last.start)))
+        return F.when((F.size(done) > 0) & (f.start <= end), longer).otherwise(F.concat(done, F.array(one(f.start, f.n))))
+
+    return F.aggregate(F.array_sort(F.transform(right, lambda f: one(f.start, f.n))), F.expr("cast(array() as array<struct<start:int,n:int>>)"), joined)
 
 
-def kept_words(w: str, spans: str) -> Column:
+def kept_words(w: str, gone: str) -> Column:
     """The words outside the spans, joined by one space: slices between one span's end and the next one's start."""
-    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s.start + s.n))
-    starts = F.concat(F.transform(spans, lambda s: s.start), F.array(F.size(w)))
+    ends = F.concat(F.array(F.lit(0)), F.transform(gone, lambda s: s.start + s.n))
+    starts = F.concat(F.transform(gone, lambda s: s.start), F.array(F.size(w)))
     gaps = F.zip_with(ends, starts, lambda a, b: F.slice(w, a + 1, F.greatest(b - a, F.lit(0))))
-    return F.array_join(F.when(F.col(spans).isNull(), F.col(w)).otherwise(F.flatten(gaps)), " ")
+    return F.array_join(F.when(F.col(gone).isNull(), F.col(w)).otherwise(F.flatten(gaps)), " ")
 
 
 def parsed(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, columns: list[str] | None = None) -> DataFrame:
     """``_row`` (the input's columns, or some), n_words, n_removed, and kept: the words outside the factors joined by one space."""
     rows = docs.select(F.struct(*(columns or ["*"])).alias("_row"), F.col(key).cast("long").alias("_id"), F.col(text).alias("_t"))
     rows = with_copy(rows, repeated_ids(docs, key))
-    found = factors(rows, length).select(F.col("doc_id").alias("_key"), F.col("copy").alias("_key_copy"), F.col("factors").alias("_f"))
+    found = with_references(rows, factors(rows, length)).select(F.col("doc_id").alias("_key"), F.col("copy").alias("_key_copy"), F.col("factors").alias("_f"))
     # the text goes through one shuffle and no sort: the factors are the side that is hashed
     rows = rows.join(found.hint("shuffle_hash"), (F.col("_id") == F.col("_key")) & (F.col("_copy") == F.col("_key_copy")), "left").select("_row", "_f", words(F.col("_t")).alias("_w"))
-    removed = F.coalesce(F.aggregate("_f", F.lit(0), lambda s, x: s + x.n), F.lit(0)).cast("long")
-    return rows.select("_row", F.size("_w").cast("long").alias("n_words"), removed.alias("n_removed"), kept_words("_w", "_f").alias("kept"))
+    rows = rows.select("_row", "_w", F.when(F.col("_f").isNotNull(), spans("_w", "_f")).alias("_s"))
+    removed = F.coalesce(F.aggregate("_s", F.lit(0), lambda s, x: s + x.n), F.lit(0)).cast("long")
+    return rows.select("_row", F.size("_w").cast("long").alias("n_words"), removed.alias("n_removed"), kept_words("_w", "_s").alias("kept"))
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from granulon.llm import substring_dedup
 
@@ -61,6 +62,26 @@ def test_slices_and_blocks(spark, monkeypatch):
     assert run(spark, texts, length=5) == brute(texts, 5)
 
 
+def test_factors_name_their_reference(spark):
+    """Each factor is a run of words that its reference, of a smaller doc_id, has at the named place; wrong references are not believed."""
+    w = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = {1: w(0, 30), 2: "x " + w(20, 60), 7: f"{w(0, 30)} {w(30, 60)} tail", 9: w(5, 25) + " gap " + w(40, 55)}
+    rows = spark.createDataFrame(list(texts.items()), "_id long, _t string").withColumn("_copy", F.lit(0).cast("long"))
+    found = substring_dedup.factors(rows).collect()
+    split = {d: t.split() for d, t in texts.items()}
+    seen = {}
+    for r in found:
+        for f in r["factors"]:
+            assert f["ref"] < r["doc_id"] and f["n"] >= 13
+            assert split[r["doc_id"]][f["start"] : f["start"] + f["n"]] == split[f["ref"]][f["at"] : f["at"] + f["n"]]
+            seen.setdefault(r["doc_id"], []).append((f["start"], f["n"], f["ref"], f["at"]))
+    # document 7: thirty words of document 1, then document 2's from the first phrase that crosses their end
+    assert {k: sorted(v) for k, v in seen.items()} == {7: [(0, 30, 1, 0), (20, 40, 2, 1)], 9: [(0, 20, 1, 5), (21, 15, 2, 21)]}
+    wrong = spark.createDataFrame([(7, 0, [(0, 20, "no such words"), (30, 20, w(30, 50)), (45, 10, w(45, 55))])], "doc_id long, copy long, factors array<struct<start:int,n:int,x:string>>")
+    got = wrong.withColumn("w", F.split(F.lit(texts[7]), " ")).select(substring_dedup.spans("w", "factors").alias("s"))
+    assert [tuple(x) for x in got.first()["s"]] == [(30, 25)]
+
+
 def test_remove_keeps_columns(spark):
     line = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(1, line + "\nend", "a"), (2, "start " + line, "b")], "doc_id long, text string, _row string")
