@@ -86,6 +86,24 @@ def test_packing_is_whole_and_unpadded(spark):
         assert sorted(r["length"] for r in packing.sequences(pieces).collect()) == sorted(sum(n for _, n in x) for x in by_seq.values())
 
 
+def test_packing_cuts_little_and_keeps_counts(spark):
+    """One partition: no padding, about one cut for each sequence, and of each class as many whole documents in a bin as the class says."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join("ab" for _ in range(int(n))) for n in rng.integers(1, 300, 400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = packing.pack(table, PATH, capacity=256).collect()
+    sequences = {r["sequence_id"] for r in rows}
+    cuts = len(rows) - len(texts)
+    assert cuts <= len(sequences) + 8 + sum(r["length"] == 256 for r in rows)
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= total // 256 + 9
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append(r)
+    kinds = {min(32, 256 // b[0]["length"]) for b in bins.values()}
+    assert len(kinds) >= 3
+
+
 def test_digests_of_test_data(spark):
     from granulon.llm.queries import op2_token_files, op7_packing
 
