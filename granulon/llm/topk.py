@@ -6,9 +6,9 @@ inequality no member is closer to a query than the query's distance to the pivot
 bounds the score from above. A query first expands its best annuli until they hold k vectors, which gives a score to beat; it then
 expands those others, and only those, whose bound reaches that score, and stops. The result is exact.
 
-Scale: pivots are a bounded sample (at most ``PIVOTS``), so there are at most PIVOTS * RINGS annuli and their statistics are a small
-table. Annuli are cut into blocks of about ``BLOCK`` vectors and the queries that expand one into blocks of as many; a pair of blocks is
-one matrix product, so a vector that repeats in a third of all rows makes more blocks, not a larger one. In a block only scores that can
+Scale: pivots are a sample that grows with the root of the rows (to ``PIVOTS``), and rings are quantiles, so annuli hold about as many vectors each and their
+statistics are a small table. Annuli are cut into blocks of about ``BLOCK`` vectors and the queries that expand one into blocks of as many, so a vector is
+sent once for each ``BLOCK`` queries that ask for it; a pair of blocks is a matrix product in chunks, so a vector that repeats in a third of all rows makes more blocks, not a larger one. In a block only scores that can
 still win are returned.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without id; rows that repeat id and
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from granulon.llm.common import materialise
 
-PIVOTS, RINGS, BLOCK = 64, 8, 1024
+PIVOTS, RINGS, BLOCK, CHUNK = 4096, 8, 8192, 512
 HITS = "query_id long, query_no long, vec_id long, score long"
 
 
@@ -58,24 +58,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 def _same_length(rows: DataFrame, k: int, n: int, norm2: float) -> DataFrame:
     """The hits (query_id, query_no, vec_id, score) among which each query's k best are."""
     spark = rows.sparkSession
-    most = int(min(PIVOTS, max(4, round(n**0.5 / 16))))
+    most = int(min(PIVOTS, max(4, round(n**0.5 / 16))))  # grows with the rows; PIVOTS bounds what every task holds
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("v").collect()
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(norm2 - (x**2).sum(1), 0))[:, None]])
 
     pivots = lifted(np.array([r["v"] for r in sample], np.float64))
-    width = 2 * norm2**0.5 / RINGS or 1.0
-
     def place(batches):
         for b in batches:
             d = _distances(lifted(_matrix(b.column(1))), pivots)
             cell = d.argmin(1)
             d = d[np.arange(len(cell)), cell]
-            ring = np.minimum(d / width, RINGS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((cell * RINGS + ring).astype(np.int32)), pa.array(d)], names=["vec_id", "v", "annulus", "d"])
-
-    index = materialise(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, annulus int, d double"), "index")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(d)], names=["vec_id", "v", "cell", "d"])
+
+    placed = materialise(rows.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, cell int, d double"), "placed")
+    # rings hold as many vectors each: cut at quantiles of the distances about each pivot, a row for each
+    rings = placed.groupBy("cell").agg(F.percentile_approx("d", [(i + 1) / RINGS for i in range(RINGS - 1)], 1000).alias("_at"))
+    ring = F.aggregate("_at", F.lit(0), lambda s, x: s + (F.col("d") > x).cast("int"))
+    index = placed.join(F.broadcast(rings), "cell").select("vec_id", "v", (F.col("cell") * RINGS + ring).alias("annulus"), "d")
+    index = materialise(index, "index")
     annuli = index.groupBy("annulus").agg(F.count("*").alias("n"), F.min("d").alias("low"), F.max("d").alias("high")).orderBy("annulus").collect()
     number, size = np.array([a["annulus"] for a in annuli]), np.array([a["n"] for a in annuli])
     low, high = np.array([a["low"] for a in annuli]), np.array([a["high"] for a in annuli])
@@ -118,17 +120,20 @@ def _same_length(rows: DataFrame, k: int, n: int, norm2: float) -> DataFrame:
         ids = left["vec_id"].to_numpy()
         order = np.argsort(ids, kind="stable")  # argmax takes the first of equals
         ids = ids[order]
-        scores = _matrix(right["v"]) @ _matrix(left["v"])[order].T
-        mine, beat = right["query_id"].to_numpy(), right["beat"].to_numpy()
-        scores[mine[:, None] == ids[None, :]] = -np.inf
+        vectors, asking = _matrix(left["v"])[order].T, _matrix(right["v"])
+        whose, number, floor = (right[c].to_numpy() for c in ("query_id", "query_no", "beat"))
         out = []
-        line = np.arange(len(mine))
-        for _ in range(min(k, len(ids))):
-            best = scores.argmax(1)
-            s = scores[line, best]
-            ok = (s > -np.inf) & (s >= beat)
-            out.append((mine[ok], right["query_no"].to_numpy()[ok], ids[best[ok]], s[ok].astype(np.int64)))
-            scores[line, best] = -np.inf
+        for first in range(0, len(whose), CHUNK):
+            mine, beat = whose[first : first + CHUNK], floor[first : first + CHUNK]
+            scores = asking[first : first + CHUNK] @ vectors
+            scores[mine[:, None] == ids[None, :]] = -np.inf
+            line = np.arange(len(mine))
+            for _ in range(min(k, len(ids))):
+                best = scores.argmax(1)
+                s = scores[line, best]
+                ok = (s > -np.inf) & (s >= beat)
+                out.append((mine[ok], number[first : first + CHUNK][ok], ids[best[ok]], s[ok].astype(np.int64)))
+                scores[line, best] = -np.inf
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=names)
 
     blocks = spark.createDataFrame([(int(a), int(-(-c // BLOCK))) for a, c in zip(number, size, strict=True)], "annulus int, n_blocks int")
