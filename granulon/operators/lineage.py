@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative table with a copy in the shared checkpoint folder."""
+    """Cut the lineage of an iterative table with a copy in the shared checkpoint folder; only a local session may leave it unset."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="granulon-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="granulon-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -47,20 +47,21 @@ def predict_shear(rows: DataFrame, f: np.ndarray, shift: tuple = (0.0, 0.0, 0.0)
     return rows.withColumns({c: sum((float(f[i][j]) * F.col("xyz"[j]) for j in range(3)), F.lit(float(shift[i]))) for i, c in enumerate("xyz")})
 
 
-def links(locations: DataFrame, search: float, predicted: DataFrame | None = None, most: int = 30, shrink: float = 0.95, stop: float = 0.1) -> DataFrame:
-    """(frame, a, b): location a of a frame continues as b of the next.
+def links(locations: DataFrame, search: float, predicted: DataFrame | None = None, most: int = 30, shrink: float = 0.95, stop: float = 0.1, gap: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """(frame, by..., a, b): location a of a frame continues as b of the frame ``gap`` later, within the groups of ``by``.
 
     Leaving a location unlinked costs search^2. A subnet with more than ``most`` sources drops its longest candidates step by step (``shrink``
     down to ``stop`` of the range) until its parts are small enough.
     """
-    a = (locations if predicted is None else predicted).select("frame", "id", "x", "y", "z")
-    b = locations.select((F.col("frame") - 1).alias("frame"), "id", "x", "y", "z")
-    edges = radius_join(a, b, search, ["frame"]).select("frame", F.col("i").alias("a"), F.col("j").alias("b"), "d2")
+    keys = ["frame", *by]
+    a = (locations if predicted is None else predicted).select(*keys, "id", "x", "y", "z")
+    b = locations.select((F.col("frame") - gap).alias("frame"), *by, "id", "x", "y", "z")
+    edges = radius_join(a, b, search, keys).select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), "d2")
     # sources are even nodes and targets odd ones of a bipartite graph
-    graph = edges.select("frame", (2 * F.col("a")).alias("i"), (2 * F.col("b") + 1).alias("j"))
-    nodes = graph.select("frame", F.col("i").alias("id")).unionAll(graph.select("frame", F.col("j").alias("id"))).distinct()
-    net = components(nodes, graph, ["frame"])
-    net = edges.join(net.select("frame", (F.col("id") / 2).cast("long").alias("a"), "root", (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), ["frame", "a"])
+    graph = edges.select(*keys, (2 * F.col("a")).alias("i"), (2 * F.col("b") + 1).alias("j"))
+    nodes = graph.select(*keys, F.col("i").alias("id")).unionAll(graph.select(*keys, F.col("j").alias("id"))).distinct()
+    net = components(nodes, graph, keys)
+    net = edges.join(net.select(*keys, (F.col("id") / 2).cast("long").alias("a"), "root", (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), [*keys, "a"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         out, work = [], [(pdf[["a", "b", "d2"]].to_numpy(float), search)]
@@ -92,18 +93,24 @@ def links(locations: DataFrame, search: float, predicted: DataFrame | None = Non
             got = assign(cost)
             out += [(src[i], dst[c]) for i, c in enumerate(got) if c < len(dst)]
         found = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        found.insert(0, "frame", pdf["frame"].iloc[0])
+        for n, c in enumerate(keys):
+            found.insert(n, c, pdf[c].iloc[0])
         return found
 
-    single = net.groupBy("frame", "root").agg(F.count("*").alias("n"))
-    net = net.join(single, ["frame", "root"])
-    alone = net.where("n = 1").select("frame", "a", "b")  # a lone candidate needs no assignment
-    return alone.unionAll(net.where("n > 1").groupBy("frame", "root").applyInPandas(solve, "frame long, a long, b long"))
+    single = net.groupBy(*keys, "root").agg(F.count("*").alias("n"))
+    net = net.join(single, [*keys, "root"])
+    alone = net.where("n = 1").select(*keys, "a", "b")  # a lone candidate needs no assignment
+    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in keys)
+    return alone.unionAll(net.where("n > 1").groupBy(*keys, "root").applyInPandas(solve, f"{kinds}, a long, b long"))
 
 
 def link(locations: DataFrame, search: float, **options) -> DataFrame:
     """Locations (frame, id, x, y, z; id unique over all) with ``particle``: the id of its trajectory's first location."""
-    found = links(locations, search, **options)
+    return _chained(locations, links(locations, search, **options))
+
+
+def _chained(locations: DataFrame, found: DataFrame) -> DataFrame:
+    """Trajectories of links (a, b), by pointer jumping."""
     head = checkpointed(locations.select("id").join(found.select(F.col("b").alias("id"), F.col("a").alias("head")), "id", "left").select("id", F.coalesce("head", "id").alias("head")))
     while True:
         jump = head.select(F.col("id").alias("head"), F.col("head").alias("next"))
@@ -114,30 +121,16 @@ def link(locations: DataFrame, search: float, **options) -> DataFrame:
 
 
 def link_with_memory(locations: DataFrame, search: float, memory: int, by: str = "material") -> DataFrame:
-    """Nearest assignment that lets a particle be unseen for ``memory`` frames; sequential in time, so one group for each material."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        live: list[list] = []  # [particle, frame, x, y, z]
-        out, fresh = [], 0
-        for frame, rows in pdf.sort_values(["frame", "id"]).groupby("frame"):
-            live = [p for p in live if frame - p[1] <= memory + 1]
-            xyz = rows[["x", "y", "z"]].to_numpy()
-            taken = np.full(len(rows), -1)
-            if live:
-                d2 = ((np.array([p[2:] for p in live])[:, None] - xyz[None]) ** 2).sum(2)
-                cost = np.hstack([np.where(d2 <= search**2, d2, 1e12), np.full((len(live), len(live)), 1e12)])
-                cost[np.arange(len(live)), len(rows) + np.arange(len(live))] = search**2
-                for i, c in enumerate(assign(cost)):
-                    if c < len(rows):
-                        taken[c] = i
-            for k, (i, point) in enumerate(zip(rows["id"], xyz, strict=True)):
-                if taken[k] < 0:
-                    p, fresh = fresh, fresh + 1
-                    live.append([p, frame, *point])
-                else:
-                    p = live[taken[k]][0]
-                    live[taken[k]] = [p, frame, *point]
-                out.append((i, p))
-        return pdf.merge(pd.DataFrame(out, columns=["id", "particle"]), on="id")[["frame", "id", "x", "y", "z", by, "particle"]]
-
-    return locations.select("frame", "id", "x", "y", "z", by).groupBy(by).applyInPandas(run, f"frame long, id long, x double, y double, z double, {by} string, particle long")
+    """Trajectories of particles that may be unseen for ``memory`` frames, all frames and materials at once.
+
+    Neighbouring frames are linked first; then, one gap after the other, the ends that are left with the starts that are left, so a nearer frame
+    always goes before a further one. No group is larger than a subnet of candidates of one pair of frames.
+    """
+    ends = starts = checkpointed(locations.select("frame", by, "id", "x", "y", "z"))
+    found = None
+    for gap in range(1, memory + 2):
+        got = checkpointed(links(starts, search, predicted=ends, gap=gap, by=(by,)).select("a", "b"))
+        found = got if found is None else found.unionAll(got)
+        ends = ends.join(got.select(F.col("a").alias("id")), "id", "left_anti")
+        starts = starts.join(got.select(F.col("b").alias("id")), "id", "left_anti")
+    return _chained(locations, found)

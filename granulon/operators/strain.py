@@ -12,7 +12,7 @@ from granulon.operators.spatial import radius_join
 def paired(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
     """(ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension."""
     side = lambda k, s: tracks.select(F.col("frame").alias(k), "particle", *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
-    return side("ref", 0).join(F.broadcast(pairs.select("ref", "cur")), "ref").join(side("cur", 1), ["cur", "particle"])
+    return side("ref", 0).join(pairs.select("ref", "cur"), "ref").join(side("cur", 1), ["cur", "particle"])
 
 
 def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float) -> DataFrame:

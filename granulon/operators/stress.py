@@ -11,7 +11,7 @@ def recentre(rows: DataFrame, origin: DataFrame, px: dict[str, float], half: flo
 
     ``origin`` has x0, y0, z0 and z_gel, z_post for each hv: a small dimension.
     """
-    r = rows.join(F.broadcast(origin), "hv").withColumns({f"{c}_px": F.col(c) + F.col(f"{c}0") for c in "xyz"})
+    r = rows.join(origin, "hv").withColumns({f"{c}_px": F.col(c) + F.col(f"{c}0") for c in "xyz"})
     r = r.withColumns({f"{c}_um": F.col(f"{c}_px") * px[c] for c in "xyz"})
     return r.withColumns({"x_rheo": F.col("x_um") - half, "y_rheo": half - F.col("y_um"), "z_height": F.col("z_um") - F.col("z_gel"), "z_depth": F.col("z_post") - F.col("z_um")})
 

@@ -35,13 +35,14 @@ def map_blocks(blocks: DataFrame, f) -> DataFrame:
 
 
 def voxels(blocks: DataFrame) -> DataFrame:
-    """(hv, z, y, x, v), with places in the whole volume."""
+    """(hv, z, y, x, v), with places in the whole volume; a slice of z at a time."""
 
     def run(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                z, y, x = np.indices((row["nz"], row["ny"], row["nx"])).reshape(3, -1)
-                yield pd.DataFrame({"hv": row["hv"], "z": z + row["z0"], "y": y + row["y0"], "x": x + row["x0"], "v": as_array(row).reshape(-1).astype(float)})
+                y, x = np.indices((row["ny"], row["nx"])).reshape(2, -1)
+                for z, plane in enumerate(as_array(row)):
+                    yield pd.DataFrame({"hv": row["hv"], "z": z + row["z0"], "y": y + row["y0"], "x": x + row["x0"], "v": plane.reshape(-1).astype(float)})
 
     return blocks.mapInPandas(run, "hv long, z int, y int, x int, v double")
 
@@ -200,10 +201,16 @@ def locate(a: np.ndarray, radius: tuple, quantile: float = 0.7, separation: floa
     around = pad[tuple((place[:, None, :] + r + off).transpose(2, 0, 1))]
     value = a[tuple(place.T)]
     place, value = place[value >= around.max(1)], value[value >= around.max(1)]
+    # the brightest first; what is kept lies in cells as wide as the separation, so only the cells around are looked at
+    apart = separation or 2 * min(radius)
     kept: list[np.ndarray] = []
+    cells: dict[tuple, list[np.ndarray]] = {}
     for k in np.argsort(-value, kind="stable"):
-        if all(np.linalg.norm(place[k] - p) >= (separation or 2 * min(radius)) for p in kept):
-            kept.append(place[k])
+        p, cell = place[k], tuple((place[k] // apart).astype(int))
+        near = (q for step in np.ndindex(3, 3, 3) for q in cells.get(tuple(c + d - 1 for c, d in zip(cell, step, strict=True)), ()))
+        if all(((p - q) ** 2).sum() >= apart * apart for q in near):
+            kept.append(p)
+            cells.setdefault(cell, []).append(p)
     out = []
     for c in kept:
         for _ in range(refine):

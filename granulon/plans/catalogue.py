@@ -307,6 +307,7 @@ add("setpoint_hold", "k target:r", lambda s, d: setpoints.up_hold_down(s, 0.0, 4
 
 # without SQL: assignment, noise, array kernels
 add("traj_link", "frame id particle x:r", lambda s, d: linking.link(points(s, d), 3.0))
+add("traj_link_memory", "frame id particle", lambda s, d: linking.link_with_memory(points(s, d).withColumn("material", F.when(F.col("id") % 4 == 0, "gel").otherwise("sed")), 3.0, 1))
 add("resample", "frame id replicate:i x:r", lambda s, d: clusters.resample(points(s, d), 3, {"x": 0.1, "y": 0.1, "z": 0.2}))
 add("inverse_distance", "frame i v:r", lambda s, d: spatial.inverse_distance(points(s, d), points(s, d).withColumn("v", F.col("x") + F.col("y")), "v", 2.0, ["frame"]))
 

@@ -122,6 +122,14 @@ def test_linking_follows_walkers(spark):
         assert len(got) == len(rows) and len(group) == 25 and all(len(x) == 1 for x in group.values())
 
 
+def test_memory_bridges_a_gap_within_a_material(spark):
+    """A particle that is unseen for a frame goes on; another material's at the same place does not."""
+    rows = [(0, 1, 0.0, "gel"), (1, 2, 0.1, "gel"), (3, 3, 0.3, "gel"), (3, 4, 0.3, "sed"), (6, 5, 0.4, "gel")]
+    df = spark.createDataFrame([(f, i, x, 0.0, 0.0, m) for f, i, x, m in rows], "frame long, id long, x double, y double, z double, material string")
+    got = {r["id"]: r["particle"] for r in linking.link_with_memory(df, 1.0, 1).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 def test_assignment_is_least():
     import itertools
 
