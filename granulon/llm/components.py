@@ -13,6 +13,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round keeps one edge table of at most as many rows; it is written to the shared folder, so a lost executor
     costs one round at most. The rounds end when a small-star leaves the table as it was, after O(log^2 n) of them at most.
+    Defined results: edges with a null end and loops count as none; repeated or turned edges count once; an empty table gives an empty table.
     A hub of many edges is split by the adaptive skew join, and its minimum is taken before the shuffle.
     """
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")

@@ -2,6 +2,7 @@
 
 A 64-bit word is a 4-bit selector and a 60-bit payload. Selectors 1 to 14 say how many values of which width the payload
 holds, low bits first; selector 0 is an escape, whose payload is the place of a value of over 60 bits in a side list.
+Defined results: no values give no words; any unsigned 64-bit value is coded, those of over 60 bits as escapes; nulls have no code.
 Every block of ``BLOCK`` values starts a new word and its first word's place is kept, so blocks decode independently.
 """
 

@@ -3,6 +3,9 @@
 The word vocabulary never looks across white space, so a text's ids are those of its space-separated chunks. Each
 column is split and dictionary-encoded by Arrow, and only chunks not seen before go to the library: plain Latin ones
 as ready-made pre-tokens in one call, all others through the full tokenizer. The cache is bounded.
+
+Defined results: a null or empty text, or one of white space only, has no ids (and just the end id in ``encode_with_end``); equal texts have equal ids;
+an empty column gives no ids; a text of any length is encoded whole.
 """
 
 from __future__ import annotations

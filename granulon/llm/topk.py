@@ -12,7 +12,7 @@ sent once for each ``BLOCK`` queries that ask for it; a pair of blocks is a matr
 still win are returned.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do rows without id; rows that repeat id and
-vector count once; vectors of different lengths are never compared; ties go to the smaller id; a query with fewer partners returns all of them. Scores
+vector count once; rows that share an id but not the vector are each a candidate, and each a query with its own ranks under the one id; vectors of different lengths are never compared; ties go to the smaller id; a query with fewer partners returns all of them. Scores
 are exact while they and the squared norms stay below 2^53.
 """
 
