@@ -58,8 +58,7 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for name in _SCRATCH.get():
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, name)
         _SCRATCH.reset(token)
 
 
@@ -74,6 +73,12 @@ def materialise(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table as the small side of a join: broadcast if it has at most so many rows, else hashed after a shuffle."""
     return F.broadcast(side) if side.count() <= rows else side.hint("shuffle_hash")

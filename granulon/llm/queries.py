@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import chat, packing, pieces, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
+from granulon.llm import chat, drake, hard_negatives, packing, pieces, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
 from granulon.llm.common import load, materialise, shared_path
 
 
@@ -68,6 +68,15 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("_row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.cluster(load(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(load(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_token_files": op2_token_files,
@@ -79,10 +88,29 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_drake_clusters": op11_drake_clusters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
 _RULES = "case " + " ".join(f"when {_FITS.format(h=t.partition('/')[0], p=t.partition('/')[2])} then '{t}'" for _, t in sorted(URL_RULES, key=lambda r: -len(r[1]))) + " end"
 _SAYS = "case rule " + " ".join(f"when '{t}' then '{v}'" for v, t in URL_RULES) + " end"
+
+
+def _rounds(n: int) -> str:
+    """CTEs of the centroids (c, x) c0 to cn; each round assigns to the nearest, smaller numbers first, and takes exact floors."""
+    out = []
+    for r in range(n):
+        out.append(f"a{r} as materialized (select id, arg_min(c, (d, c)) as c from (select v.id, k.c, {_D2} as d from v, c{r} k) group by id)")
+        out.append(f"s{r} as (select c, i, sum(x[i])::bigint as s, count(*) as n from (select c, x, unnest(generate_series(1, 64)) as i from a{r} join v using (id)) group by c, i)")
+        out.append(f"m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i) as x from s{r} group by c)")
+        out.append(f"c{r + 1} as materialized (select c, coalesce(m{r}.x, c{r}.x) as x from c{r} left join m{r} using (c))")
+    return ",\n".join(out)
+
+
+_D2 = "list_sum(list_transform(list_zip(v.x, k.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint"
+_FINITE = "list_bool_and(list_transform(embedding, lambda e: e is not null and isfinite(e)))"
+
+
 def _orders() -> str:
     """CTEs p0 to pORDER: each gram's estimates by both models (qr, qa), from the shorter gram's."""
     out, n = [], url_filter.ORDER
@@ -110,6 +138,22 @@ with v as (select distinct vec_id, list_transform(embedding, lambda e: floor(256
 s as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score from v q join v on q.vec_id % 50 = 0 and v.vec_id <> q.vec_id and len(q.x) = len(v.x)),
 r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s)
 select * from r where rank <= 5""",
+    "op11_drake_clusters": f"""
+with v as materialized (select row_number() over () as id, vec_id, list_transform(embedding, lambda e: floor(1024 * e::double)::bigint) as x from embeddings where len(embedding) = 64 and {_FINITE}),
+c0 as materialized (select row_number() over (order by h, x) - 1 as c, x from (select sha256('3:' || vec_id) as h, x from v where vec_id is not null order by h, x limit 8)),
+{_rounds(10)},
+best as materialized (select id, vec_id, min((d, c)) as b from (select v.id, v.vec_id, k.c, {_D2} as d from v, c10 k) group by all)
+select vec_id, b[2]::int as cluster, b[1]::bigint as distance, (sum(b[1]) over (partition by b[2]))::bigint as cluster_inertia, (sum(b[1]) over ())::bigint as inertia, sha256(list_aggregate(k.x, 'string_agg', ',')) as centroid_sha256
+from best join c10 k on k.c = b[2]""",
+    "op13_hard_negatives": f"""
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0 and {_FINITE}),
+r as (select *, row_number() over () as id from v),
+s as materialized (select a.id, a.vec_id as anchor_id, a.label = v.label as alike, v.vec_id, list_inner_product(a.x, v.x)::bigint as score from r a join r v on a.vec_id % 100 = 0 and a.id <> v.id and len(a.x) = len(v.x)),
+p as (select *, row_number() over (partition by id order by score desc, vec_id) as n from s where alike qualify n <= 5),
+f as (select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.id, p.n order by s.score desc, s.vec_id))::int as rank, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+    from p join s on p.id = s.id and not s.alike and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select * from f where rank <= 10""",
     "op10_substring_dedup": """
 with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
 win as (select doc_id, p, list_aggregate(ws[p:p + 12], 'string_agg', ' ') as x from (select doc_id, ws, unnest(generate_series(1, len(ws) - 12)) as p from w)),
