@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from granulon.llm import chat, drake, hard_negatives, packing, pieces, pu_classifier, quality_rules, simhash, substring_dedup, token_files, topk, url_filter
+from granulon.llm import chat, drake, hard_negatives, packing, pieces, pu_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, token_files, topk, url_filter
 from granulon.llm.common import load, materialise, shared_path
 
 
@@ -72,6 +72,11 @@ def op11_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drake.cluster(load(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove(load(spark, sf_dir, "documents"))
+    return found.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(load(spark, sf_dir, "embeddings"), label, F.col("vec_id") % 100 == 0)
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_drake_clusters": op11_drake_clusters,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 _FITS = "(host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}')"
@@ -145,6 +151,16 @@ c0 as materialized (select row_number() over (order by h, x) - 1 as c, x from (s
 best as materialized (select id, vec_id, min((d, c)) as b from (select v.id, v.vec_id, k.c, {_D2} as d from v, c10 k) group by all)
 select vec_id, b[2]::int as cluster, b[1]::bigint as distance, (sum(b[1]) over (partition by b[2]))::bigint as cluster_inertia, (sum(b[1]) over ())::bigint as inertia, sha256(list_aggregate(k.x, 'string_agg', ',')) as centroid_sha256
 from best join c10 k on k.c = b[2]""",
+    "op12_suffix_dedup": """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+win as (select doc_id, p, substr(h, 2 * p + 1, 100) as x from (select doc_id, h, unnest(range(0, n - 49)) as p from d)),
+late as materialized (select doc_id, p from (select doc_id, p, min(doc_id) over (partition by x) as lowest from win) where doc_id > lowest),
+runs as materialized (select doc_id, min(p) as s, max(p) + 50 as e from (select doc_id, p, sum(new) over (partition by doc_id order by p) as g from
+    (select doc_id, p, coalesce((p > lag(p) over (partition by doc_id order by p) + 50)::int, 1) as new from late)) group by doc_id, g),
+kept as (select doc_id, coalesce(lag(e) over (partition by doc_id order by s), 0) as a, s as b from runs union all select doc_id, max(e), any_value(n) from runs join d using (doc_id) group by doc_id),
+texts as (select doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' order by a) as k from kept join d using (doc_id) group by doc_id),
+sums as (select doc_id, sum(e - s)::bigint as n_removed, count(*) as n_spans from runs group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256 from d left join texts using (doc_id) left join sums using (doc_id)""",
     "op13_hard_negatives": f"""
 with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
     where vec_id is not null and label is not null and len(embedding) > 0 and {_FINITE}),
