@@ -30,9 +30,10 @@ from granulon.llm.lyndon import suffix_arrays
 LENGTH, GRAM, MOST = 50, 24, 64
 BLOCK_BYTES, SLICE_BYTES, BLOCK_LIMIT = 8 << 20, 4 << 20, 64 << 20
 _BASE = 0x2545F4914F6CDD1D
+_ZSTD = pa.Codec("zstd", compression_level=1)  # segments overlap, so they compress well before they are shuffled
 _PARTS = ("values", "shifts", "counts", "text", "docs", "copies", "places")
-SEGMENTS = "block int, again boolean, " + ", ".join(f"{c} binary" for c in _PARTS)
-_SEGMENTS = pa.schema([("block", pa.int32()), ("again", pa.bool_()), *((c, pa.binary()) for c in _PARTS)])
+SEGMENTS = "block int, again boolean, size int, " + ", ".join(f"{c} binary" for c in _PARTS)
+_SEGMENTS = pa.schema([("block", pa.int32()), ("again", pa.bool_()), ("size", pa.int32()), *((c, pa.binary()) for c in _PARTS)])
 SPANS = "doc_id long, copy long, spans array<struct<start:int,n:int>>"
 
 
@@ -161,15 +162,16 @@ def _deal(block: np.ndarray, again: bool, value, shift, count, data, start, doc,
     out = []
     for one in np.split(by, cuts[1:]) if len(by) else []:
         size = count[one] + LENGTH - 1
-        row = {"block": int(block[one[0]]), "again": again, "values": value[one].tobytes(), "shifts": shift[one].astype(np.uint8).tobytes(), "counts": count[one].astype(np.uint8).tobytes(), "text": data[_ranges(start[one], size)].tobytes()}
+        row = {"block": int(block[one[0]]), "again": again, "values": value[one].tobytes(), "shifts": shift[one].astype(np.uint8).tobytes(), "counts": count[one].astype(np.uint8).tobytes(), "text": _ZSTD.compress(data[_ranges(start[one], size)].tobytes(), asbytes=True), "size": int(size.sum())}
         out.append(row | {"docs": lz._planes(np.diff(doc[one], prepend=0)), "copies": lz._planes(copy[one]) if copy[one].any() else b"", "places": lz._planes(place[one].astype(np.int32))})
     return out
 
 
 def _taken(rows: list[dict]) -> tuple[np.ndarray, ...]:
     """value, shift, count, text, start there, doc, copy and place of the segments of some rows."""
-    kinds = ((np.uint64, "values"), (np.uint8, "shifts"), (np.uint8, "counts"), (np.uint8, "text"))
-    value, shift, count, text = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for k, c in kinds)
+    kinds = ((np.uint64, "values"), (np.uint8, "shifts"), (np.uint8, "counts"))
+    value, shift, count = (np.concatenate([np.frombuffer(r[c], k) for r in rows]) for k, c in kinds)
+    text = np.concatenate([np.frombuffer(_ZSTD.decompress(r["text"], r["size"]), np.uint8) for r in rows])
     doc = np.concatenate([np.cumsum(lz._whole(r["docs"], np.int64)) for r in rows])
     copy = np.concatenate([lz._whole(r["copies"], np.int64) if r["copies"] else np.zeros(len(r["counts"]), np.int64) for r in rows])
     place = np.concatenate([lz._whole(r["places"], np.int32) for r in rows]).astype(np.int64)
@@ -337,7 +339,7 @@ def spans(rows: DataFrame, most: int = MOST, limit: int = BLOCK_LIMIT, slice_byt
     def _known(doc, copy, start, size):
         """Spans as rows beside those of segments: block is negative."""
         found = _spans_out(doc, copy, start, size, blocks)
-        return [{"block": -1 - r["block"], "again": False, "values": r["ref_docs"], "shifts": b"", "counts": r["counts"], "text": b"", "docs": r["docs"], "copies": r["copies"], "places": r["places"]} for r in found]
+        return [{"block": -1 - r["block"], "again": False, "values": r["ref_docs"], "shifts": b"", "counts": r["counts"], "text": b"", "size": 0, "docs": r["docs"], "copies": r["copies"], "places": r["places"]} for r in found]
 
     def match(batches):
         """Blocks one after another; one that grows over the limit passes on window by window."""
@@ -358,7 +360,7 @@ def spans(rows: DataFrame, most: int = MOST, limit: int = BLOCK_LIMIT, slice_byt
                     out += close()
                 if over is False:
                     held.append(row)
-                    bytes_held += len(row["text"])
+                    bytes_held += row["size"]
                     if bytes_held > limit and not row["again"]:
                         over = row["block"]
                         out += [x for r in held for x in _windows(r)]
