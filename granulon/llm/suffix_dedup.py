@@ -28,7 +28,9 @@ from granulon.llm.common import materialise, sized
 from granulon.llm.lyndon import suffix_arrays
 
 LENGTH, GRAM, MOST = 50, 24, 64
-BLOCK_BYTES, SLICE_BYTES, BLOCK_LIMIT = 8 << 20, 4 << 20, 64 << 20
+BLOCK_BYTES, SLICE_BYTES, BLOCK_LIMIT = 4 << 20, 4 << 20, 64 << 20
+#: Texts are sorted in batches of about so many bytes.
+SORT_BYTES = 1 << 20
 _BASE = 0x2545F4914F6CDD1D
 _ZSTD = pa.Codec("zstd", compression_level=1)  # segments overlap, so they compress well before they are shuffled
 _PARTS = ("values", "shifts", "counts", "text", "docs", "copies", "places")
@@ -49,15 +51,14 @@ def _minima(data: np.ndarray) -> np.ndarray:
     """For each window the least hash of its grams, with the gram's distance in the low five bits: by doubling, so the leftmost of equals wins."""
     power, size = {1: _BYTES[data]}, 1
     while 2 * size <= GRAM:
-        x = power[size]
+        x = power[size] if size & GRAM else power.pop(size)
         power[2 * size] = x[:-size] * np.uint64(pow(_BASE, size, 1 << 64)) + x[size:]
         size *= 2
     h, done = None, 0
     for size in sorted(power, reverse=True):
-        if GRAM - done >= size:
-            n = len(data) - done - size + 1
-            h = power[size] if h is None else h[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + power[size][done : done + n]
-            done += size
+        n, x = len(data) - done - size + 1, power.pop(size)
+        h = x if h is None else h[:n] * np.uint64(pow(_BASE, size, 1 << 64)) + x[done : done + n]
+        done += size
     m, size, wide = _mixed(h) & ~np.uint64(31), 1, LENGTH - GRAM + 1
     while size < wide:
         step = min(size, wide - size)
@@ -243,37 +244,49 @@ def earliest(data: np.ndarray, start: np.ndarray, count: np.ndarray, group: np.n
     of = np.cumsum(new) - 1
     least = np.repeat(doc, count)
     window_at = np.cumsum(count) - count
-    several = np.flatnonzero(np.bincount(of)[of] > 1)
-    if len(several):
-        start, count_s, of, own = start[several], count[several], of[several], doc[several]
-        size = count_s + LENGTH - 1
-        ends = np.cumsum(size + 1)
-        symbols = np.ones(ends[-1], np.uint16)
-        inside = np.ones(len(symbols), bool)
-        inside[ends - 1] = False
-        symbols[inside] = data[_ranges(start, size)].astype(np.uint16) + 2
-        last = np.append(of[1:] != of[:-1], True)
-        symbols[ends[last] - 1] = 0
-        order = suffix_arrays(symbols, np.append(0, ends[last][:-1]))
-        piece = np.repeat(np.arange(len(size)), size + 1)
-        place = np.arange(len(symbols)) - (ends - size - 1)[piece]
-        order = order[place[order] < count_s[piece[order]]]  # windows that end inside their piece
-        equal = np.zeros(len(order), bool)
-        for a in range(1, len(order), 1 << 18):
-            x = order[a : a + (1 << 18)]
-            same = np.ones(len(x), bool)
-            for k in range(LENGTH):
-                same[same] = symbols[x[same] + k] == symbols[order[a - 1 : a - 1 + len(x)][same] + k]
-            equal[a : a + len(x)] = same
-        first = np.flatnonzero(~equal)
-        lowest = np.minimum.reduceat(own[piece[order]], first)
-        least[window_at[several][piece[order]] + place[order]] = np.repeat(lowest, np.diff(np.append(first, len(order))))
+    several = np.flatnonzero(np.bincount(of)[of] > 1) if len(of) else of
+    # whole groups, in batches
+    ends = np.cumsum((count + LENGTH)[several])
+    done = 0
+    while done < len(several):
+        to = min(len(several), max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + SORT_BYTES))))
+        while to < len(several) and of[several[to]] == of[several[to - 1]]:
+            to += 1
+        one = several[done:to]
+        place, lowest = _sorted(data, start[one], count[one], of[one], doc[one])
+        least[_ranges(window_at[one], count[one])[place]] = lowest
+        done = to
     # back in the order of the arguments
     back = np.empty(len(by), np.int64)
     back[by] = np.arange(len(by))
     return least[_ranges(window_at[back], count[back])]
 
 
+def _sorted(data: np.ndarray, start: np.ndarray, count: np.ndarray, of: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of pieces (numbered through all of them) in the order of their groups' suffix arrays, and the least ``doc`` among their equals."""
+    size = count + LENGTH - 1
+    ends = np.cumsum(size + 1)
+    symbols = np.ones(ends[-1], np.uint16)  # 1 ends a piece, 0 a text
+    inside = np.ones(len(symbols), bool)
+    inside[ends - 1] = False
+    symbols[inside] = data[_ranges(start, size)].astype(np.uint16) + 2
+    last = np.append(of[1:] != of[:-1], True)
+    symbols[ends[last] - 1] = 0
+    order = suffix_arrays(symbols, np.append(0, ends[last][:-1]))
+    piece = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(len(symbols)) - (ends - size - 1)[piece]
+    order = order[place[order] < count[piece[order]]]  # windows that end inside their piece
+    equal = np.append(False, np.ones(len(order) - 1, bool))
+    at = np.arange(1, len(order))
+    for k in range(LENGTH):  # neighbours, as long as they agree
+        same = symbols[order[at] + k] == symbols[order[at - 1] + k]
+        equal[at[~same]] = False
+        at = at[same]
+    first = np.flatnonzero(~equal)
+    lowest = np.minimum.reduceat(doc[piece[order]], first)
+    return (np.cumsum(count) - count)[piece[order]] + place[order], np.repeat(lowest, np.diff(np.append(first, len(order))))
+
+
 def late(rows: list[dict], most: int = MOST) -> tuple[np.ndarray, ...]:
     """doc, copy, start and size of the runs of bytes of some segments that are covered by windows of which a smaller doc has an equal."""
     value, shift, count, text, start, doc, copy, place = _taken(rows)
