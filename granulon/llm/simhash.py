@@ -9,10 +9,11 @@ which a group has at most 2^11 members. No link is lost and no group is unbounde
 
 ``near_components`` and ``keep`` find near copies in the usual sense: five-word shingles, Jaccard similarity of 0.8 or more. There a bit
 differs with probability 0.15, so fingerprints are longer (at least 192 bits) and cut into segments so that, with probability 0.98 at
-0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Pairs within 28 of 128 bits are
-candidates and are verified exactly on their sets of shingles. Segments widen with log2 of the number of documents, so random groups stay small
-(at the price of more variants: 192 a document up to 2 million, 323 at 12 million). A group of over 32 members offers the links of its forest of least
-distances; one of over ``GROUP`` is divided again by 16-bit pieces, where pairs meet that have another piece in common.
+0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Members of a group within 28 of 128 bits
+are joined into families, by the links of a forest; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for the nearest of ``LEADERS`` of its members, and
+those far from all of them are divided again by 16-bit pieces. Inside a family all texts are compared exactly on their sets of shingles, whatever its size: a family of at most
+``FAMILY`` in one task; in a larger one the texts near its middle take the others first (a star of copies about one text needs no more), and what they do not reach meets all of the family in blocks.
+Segments widen with log2 of the number of documents, so random groups stay small (at the price of more variants: 192 a document up to 2 million, 323 at 12 million).
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like any other; copies share
 a fingerprint and so are one node; repeated rows each get their component; a null doc_id never names a component unless
@@ -23,10 +24,13 @@ from __future__ import annotations
 
 import math
 import string
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granulon.llm.common import materialise, scratch, sized, words
@@ -35,6 +39,9 @@ from granulon.llm.components import connected_components
 SHINGLE, DISTANCE, GROUP = 3, 3, 2048
 #: Near copies: shingles of so many words, their Jaccard similarity, the share of pairs at it that meet, and the bits of 128 that candidates may differ by.
 WIDE_SHINGLE, SIMILARITY, RECALL, WIDE_DISTANCE = 5, 0.8, 0.98, 28
+#: Members of a large group that the others look for; texts of a family that one task holds; rounds of texts near a larger family's middle.
+LEADERS, FAMILY, PIVOTS = 64, 512, 3
+NODE = ["fp", "more", "mix"]
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,7 +232,7 @@ def width(n: int) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and more (128 bits of the fingerprint), its segments, and the distinct hashes of the text's shingles of ``WIDE_SHINGLE`` words."""
+    """doc_id, fp and more (128 bits of the fingerprint), its segments, the distinct hashes of the text's shingles of ``WIDE_SHINGLE`` words, and mix, 64 bits of that set."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - WIDE_SHINGLE), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + k) for k in range(WIDE_SHINGLE))))))
     hashes = docs.select(F.col(key).cast("long").alias("doc_id"), words(low).alias("w"))
@@ -256,7 +263,8 @@ def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", tex
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * segments), pa.array(cut.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), cut, lists], names=["doc_id", "fp", "more", "segments", "shingles"])
 
-    return hashes.mapInArrow(sketch, "doc_id long, fp long, more long, segments array<long>, shingles array<long>")
+    found = hashes.mapInArrow(sketch, "doc_id long, fp long, more long, segments array<long>, shingles array<long>")
+    return found.withColumn("mix", F.aggregate("shingles", F.size("shingles").cast("long"), lambda s, h: s.bitwiseXOR(h)))
 
 
 def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
@@ -274,35 +282,198 @@ def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
     return v.selectExpr("k", f"shiftleft(s, 20) | shiftleft(cast(j as bigint), 16) | {piece} as s", "fp", "more")
 
 
+def _led(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of groups (k, s) that are too large: links (a, b) of each member to the nearest of its group's leaders and of leaders to all near ones; and the members that are near none."""
+    order = W.partitionBy("k", "s").orderBy(F.xxhash64("fp", "more"), "fp", "more")
+    few = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
+    few = materialise(few.groupBy("k", "s").agg(F.collect_list(F.struct("fp", "more")).alias("leaders")), "leaders")
+    apart = lambda l: F.bit_count(F.col("fp").bitwiseXOR(l.fp)) + F.bit_count(F.col("more").bitwiseXOR(l.more))
+    near = F.array_sort(F.filter(F.transform("leaders", lambda l: F.struct(apart(l).alias("d"), l.fp.alias("b"))), lambda x: x.d <= WIDE_DISTANCE))
+    leads = F.exists("leaders", lambda l: (l.fp == F.col("fp")) & (l.more == F.col("more")))
+    found = members.join(sized(few), ["k", "s"]).select("k", "s", "fp", "more", near.alias("near"), leads.alias("leads"))
+    found = materialise(found.select("k", "s", "fp", "more", F.when(F.col("leads"), F.col("near")).otherwise(F.slice("near", 1, 1)).alias("near")), "led")
+    return found.select(F.col("fp").alias("a"), F.explode("near.b").alias("b")), found.where(F.size("near") == 0).select("k", "s", "fp", "more")
+
+
 def candidates(rows: DataFrame, bits: int, group: int = GROUP) -> DataFrame:
-    """From (fp, more, segments) to pairs (a, b) within ``WIDE_DISTANCE`` of 128 bits that share a one-wildcard variant of a segment."""
+    """From (fp, more, segments) to links (a, b) of fp whose components hold together what is within ``WIDE_DISTANCE`` of 128 bits and shares a one-wildcard variant of a segment."""
     found = None
     for level in range(3):
         variants = _wide_variants(rows, bits, level)
         got = materialise(_links(variants, group if level < 2 else 1 << 62, WIDE_DISTANCE, few=32), "candidates")
-        new = got.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        new = got.where("a is not null").select("a", "b")
         found = new if found is None else found.unionAll(new)
         large = got.where("a is null").select("k", "s").distinct()
         if level == 2 or large.isEmpty():
             break
-        rows = variants.join(large, ["k", "s"])
-    return found.distinct()
-
-
-def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP) -> DataFrame:
-    """doc_id and component_id of near copies: links are pairs whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more."""
+        new, rows = _led(variants.join(sized(materialise(large, "large")), ["k", "s"]))
+        found = found.unionAll(new)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _alike(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of two lists of sets have a Jaccard similarity of ``SIMILARITY`` or more: exact, by products of incidence matrices, some columns at a time."""
+    size = [np.array([len(x) for x in side]) for side in (left, right)]
+    codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1]
+    code = codes[: size[0].sum()], codes[size[0].sum() :]
+    both = np.flatnonzero(np.isin(np.arange(codes.max(initial=-1) + 1), code[0]) & np.isin(np.arange(codes.max(initial=-1) + 1), code[1]))
+    column = np.full(codes.max(initial=-1) + 1, -1)
+    column[both] = np.arange(len(both))
+    owner = [np.repeat(np.arange(len(n)), n) for n in size]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for a in range(0, len(both), 4096):
+        part = []
+        for c, o, n in zip(code, owner, size, strict=True):
+            at = column[c] - a
+            ok = (at >= 0) & (at < 4096) & (column[c] >= 0)
+            m = np.zeros((len(n), min(4096, len(both) - a)), np.float32)
+            m[o[ok], at[ok]] = 1
+            part.append(m)
+        shared += part[0] @ part[1].T
+    return shared >= SIMILARITY * (size[0][:, None] + size[1][None, :] - shared) - 1e-9
+
+
+def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links of a square matrix that have its components."""
+    out, left = [], np.ones(len(links), bool)
+    for root in range(len(links)):
+        if left[root]:
+            left[root], queue = False, [root]
+            while queue:
+                at = queue.pop()
+                new = np.flatnonzero(links[at] & left)
+                left[new] = False
+                out += [(at, int(x)) for x in new]
+                queue += new.tolist()
+    return out
+
+
+_PAIR = ", ".join(f"{c}{k} long" for k in (1, 2) for c in NODE)
+
+
+def _pairs_table(nodes: np.ndarray, others: np.ndarray, pairs: list) -> pa.RecordBatch:
+    i, j = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*nodes[:, i], *others[:, j])], names=[c.split()[0] for c in _PAIR.split(", ")])
+
+
+def _sets(column) -> list[np.ndarray]:
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))[:-1]) if len(lists) else []
+
+
+def _keys(table) -> np.ndarray:
+    return np.stack([np.asarray(table.column(c)) for c in NODE])
+
+
+def _small_families(members: DataFrame) -> DataFrame:
+    """From (family, fp, more, mix, x) to pairs of nodes that span each family's links; families pass one after another."""
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            family = table["family"].to_numpy()
+            cuts = np.append(np.flatnonzero(family[1:] != family[:-1]) + 1, len(family))
+            yield from whole(table, cuts[:-1])
+            held = table.slice(cuts[-2] if len(cuts) > 1 else 0)
+        if held is not None:
+            yield from whole(held, [len(held)])
+
+    def whole(table, cuts):
+        start = 0
+        for end in cuts:
+            one = table.slice(start, end - start)
+            start = end
+            if len(one) > 1:
+                sets, nodes = _sets(one["x"]), _keys(one)
+                pairs = _spanning(_alike(sets, sets))
+                if pairs:
+                    yield _pairs_table(nodes, nodes, pairs)
+
+    return members.repartition("family").sortWithinPartitions("family").mapInArrow(compare, _PAIR)
+
+
+def _jaccard(x: str, y: str) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= SIMILARITY * (F.size(x) + F.size(y) - shared) - 1e-9
+
+
+def _large_families(members: DataFrame, family: int) -> DataFrame:
+    """The same for families of any size. A text near the middle of what is left is compared with all of the family; those it links leave what is left
+    if it also links one that had left before (all of them, the first time). Every pair of texts in the end is linked through such ones, or one of the two is left: those meet the whole family in blocks."""
+    key = ["family", *NODE]
+    left, found = members.select(key), None
+    for turn in range(PIVOTS):
+        ones = [F.sum(F.shiftright(c, i).bitwiseAND(F.lit(1))).alias(f"{c}{i}") for c in ("fp", "more") for i in range(64)]
+        bits = left.groupBy("family").agg(F.count("*").alias("n"), *ones)
+        most = lambda c: reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft((2 * F.col(f"{c}{i}") > F.col("n")).cast("long"), i) for i in range(64)])
+        middle = materialise(bits.select("family", most("fp").alias("mf"), most("more").alias("mm")), "middle")
+        apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("mf"))) + F.bit_count(F.col("more").bitwiseXOR(F.col("mm")))
+        chosen = left.join(sized(middle), "family").groupBy("family").agg(F.min(F.struct(apart.alias("d"), *NODE)).alias("p")).select("family", "p.fp", "p.more", "p.mix")
+        pivot = materialise(members.join(sized(materialise(chosen, "chosen")), key, "left_semi"), "pivots")
+        pivot = pivot.select("family", *(F.col(c).alias(f"{c}1") for c in NODE), F.col("x").alias("px"))
+        star = materialise(members.join(sized(pivot, FAMILY), "family").where(_jaccard("x", "px")).select("family", *(f"{c}1" for c in NODE), *(F.col(c).alias(f"{c}2") for c in NODE)), "star")
+        found = star if found is None else found.unionAll(star)
+        hit = star.select("family", *(F.col(f"{c}2").alias(c) for c in NODE))
+        if turn:
+            gone_before = hit.join(left, key, "left_anti").select("family").distinct()
+            hit = hit.join(gone_before, "family", "left_semi")
+        pivots = star.select("family", *(F.col(f"{c}1").alias(c) for c in NODE)).distinct()
+        left = materialise(left.join(hit.unionAll(pivots), key, "left_anti"), "left")
+        if left.isEmpty():
+            break
+    found = found.drop("family")
+    if left.isEmpty():
+        return found
+    n_blocks = members.groupBy("family").agg(F.ceil(F.count("*") / family).cast("int").alias("mb"))
+    n_left = left.groupBy("family").agg(F.ceil(F.count("*") / family).cast("int").alias("lb"))
+    cuts = sized(materialise(n_left.join(n_blocks, "family"), "cuts"))
+    deal = lambda n: F.pmod(F.xxhash64(*NODE), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = members.join(left, key, "left_semi").join(cuts, "family").select(*key, "x", deal("lb").alias("i"), every("mb").alias("j"))
+    b = members.join(cuts, "family").select(*key, "x", every("lb").alias("i"), deal("mb").alias("j"))
+    b = b.toDF(*b.columns)  # columns of their own
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.Table.from_batches([_pairs_table(np.zeros((3, 0), np.int64), np.zeros((3, 0), np.int64), [])])
+        links = _alike(_sets(left["x"]), _sets(right["x"]))
+        n, m = links.shape
+        square = np.zeros((n + m, n + m), bool)
+        square[:n, n:], square[n:, :n] = links, links.T
+        nodes = np.concatenate([_keys(left), _keys(right)], axis=1)
+        return pa.Table.from_batches([_pairs_table(nodes, nodes, _spanning(square))])
+
+    keys = ["family", "i", "j"]
+    return found.unionAll(a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, _PAIR))
+
+
+def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP, family: int = FAMILY) -> DataFrame:
+    """doc_id and component_id of near copies: links are pairs whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
+
+    A node is a set of shingles, known by 128 bits of its fingerprint and 64 of its hashes; copies share one.
+    """
     bits, segments = width(docs.count())
     each = materialise(sketches(docs, bits, segments, key, text), "sketches")
-    distinct = materialise(each.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("more").alias("more"), F.first("segments").alias("segments")), "distinct")
-    pairs = materialise(candidates(distinct, bits, group), "pairs")
-    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    nodes = materialise(each.groupBy(*NODE).agg(F.min("doc_id").alias("first"), F.first("segments").alias("segments")), "distinct")
+    joined = connected_components(materialise(candidates(nodes, bits, group), "pairs"))
+    named = materialise(nodes.select(*NODE).join(joined.withColumnsRenamed({"node": "fp", "component": "family"}), "fp", "left").withColumn("family", F.coalesce("family", "fp")), "families")
+    sizes = materialise(named.groupBy("family").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    named = materialise(named.join(sized(sizes), "family"), "members")
     # one text for each node: copies have the same shingles
-    sets = each.join(sized(nodes), F.col("fp") == F.col("node"), "left_semi").groupBy("fp").agg(F.first("shingles").alias("x"))
-    sets = materialise(sets, "sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("x").alias("xb")), "b")
-    shared = F.size(F.array_intersect("xa", "xb"))
-    linked = both.where(shared >= SIMILARITY * (F.size("xa") + F.size("xb") - shared) - 1e-9).select("a", "b")
-    return _named(each, distinct, linked)
+    sets = each.select(*NODE, "shingles").join(sized(named.select(*NODE)), NODE, "left_semi").groupBy(*NODE).agg(F.first("shingles").alias("x"))
+    sets = materialise(sets.join(named.hint("shuffle_hash"), NODE), "sets")
+    links = _small_families(sets.where(F.col("n") <= family).drop("n"))
+    large = sets.where(F.col("n") > family).drop("n")
+    if not large.isEmpty():
+        links = links.unionAll(_large_families(large, family))
+    links = materialise(links, "links").select(*(F.struct(*(F.col(f"{c}{k}").alias(c) for c in NODE)).alias(k2) for k, k2 in ((1, "a"), (2, "b"))))
+    found = connected_components(links).select("node.*", "component").join(nodes.select(*NODE, "first"), NODE)
+    lowest = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = materialise(found.join(lowest, "component").select(*NODE, "component_id"), "components")
+    rest = each.select("doc_id", *NODE).join(sized(of), NODE, "left").join(nodes.select(*NODE, "first").hint("shuffle_hash"), NODE)
+    return rest.select("doc_id", F.coalesce("component_id", "first").alias("component_id"))
 
 
 def _named(each: DataFrame, distinct: DataFrame, linked: DataFrame) -> DataFrame:

@@ -105,10 +105,8 @@ def test_keep(spark):
     assert simhash.keep(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("group", [2048, 40])
-def test_near_copies_of_a_large_group(spark, group):
-    """Three hundred near copies of one text, chains of edits included, and unrelated texts: components as by brute force."""
-    rng = np.random.default_rng(4)
+def clusters(rng):
+    """Near copies of three texts, chains of edits included, and unrelated texts."""
     texts = {}
     for c in range(3):
         words = [f"c{c}w{i}" for i in range(150)]
@@ -117,12 +115,57 @@ def test_near_copies_of_a_large_group(spark, group):
             for i in rng.integers(0, 150, int(rng.integers(0, 5))):
                 w[i] = f"e{rng.integers(10**6)}"
             texts[100 * c + d] = " ".join(w)
-    texts |= {1000 + d: " ".join(f"u{rng.integers(5000)}" for _ in range(120)) for d in range(60)}
+    return texts | {1000 + d: " ".join(f"u{rng.integers(5000)}" for _ in range(120)) for d in range(60)}
+
+
+def star(rng, n, words=200, edits=4, middle=True):
+    """A text and n copies with four words replaced: 0.815 similar to it and about 0.69 to each other, so without the text itself none is linked."""
+    base = [f"w{i}" for i in range(words)]
+    texts = {0: " ".join(base)} if middle else {}
+    for d in range(1, n + 1):
+        w = list(base)
+        for i in rng.choice(np.arange(10, words - 10, 10), edits, replace=False):
+            w[i] = f"e{d}x{i}"
+        texts[d] = " ".join(w)
+    return texts
+
+
+@pytest.mark.parametrize(("group", "family"), [(2048, 512), (40, 30)])
+def test_near_copies_of_a_large_group(spark, group, family):
+    """Components as by brute force, in one task, and with large groups and families in parts."""
+    texts = clusters(np.random.default_rng(4))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs, group=group).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs, group=group, family=family).collect()}
     want = near_copies(texts)
     assert all(want[got[d]] == want[d] for d in texts)  # no wrong link
-    assert sum(got[d] != want[d] for d in texts) <= 0.02 * len(texts)
+    assert sum(got[d] != want[d] for d in texts) <= 0.01 * len(texts)
+
+
+@pytest.mark.parametrize(("n", "group", "family"), [(20, 2048, 512), (200, 2048, 512), (200, 40, 30), (3000, 2048, 512)])
+def test_star_of_copies_is_one_component(spark, n, group, family):
+    texts = star(np.random.default_rng(n), n)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r["component_id"] for r in simhash.near_components(docs, group=group, family=family).collect()} == {0}
+
+
+def test_a_family_without_links_stays_apart(spark):
+    rng = np.random.default_rng(7)
+    texts = star(rng, 120, middle=False)
+    texts |= {200 + d: t + " tail" for d, t in list(texts.items())[:10]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(docs, group=40, family=16).collect()}
+    assert got == near_copies(texts) and len(set(got.values())) > 100
+
+
+def test_alike_is_exact():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 40, int(rng.integers(0, 60)))) for _ in range(50)] + [np.arange(5000), np.arange(400, 5000), np.arange(2000)]
+    got = simhash._alike(sets[:40], sets[20:])
+    for i, x in enumerate(sets[:40]):
+        for j, y in enumerate(sets[20:]):
+            union = len(np.union1d(x, y))
+            assert got[i, j] == (5 * len(np.intersect1d(x, y)) >= 4 * union)
+    assert simhash._alike(sets[-3:], sets[-3:]).tolist() == [[True, True, False], [True, True, False], [False, False, True]]
 
 
 def test_least_forest():
