@@ -8,12 +8,12 @@ members are indexed again by variants of their other segment's halves, then of t
 which a group has at most 2^11 members. No link is lost and no group is unbounded.
 
 ``near_components`` and ``keep`` find near copies in the usual sense: five-word shingles, Jaccard similarity of 0.8 or more. There a bit
-differs with probability 0.15, so fingerprints are longer (at least 192 bits) and cut into segments so that, with probability 0.98 at
-0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Members of a group within 28 of 128 bits
+differs with probability 0.15, so fingerprints are longer (at least 240 bits) and cut into segments so that, with probability 0.99 at
+0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Members of a group within 33 of 128 bits
 are joined into families, by the links of a forest; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for the nearest of ``LEADERS`` of its members, and
 those far from all of them are divided again by 16-bit pieces. Inside a family all texts are compared exactly on their sets of shingles, whatever its size: a family of at most
 ``FAMILY`` in one task; in a larger one the texts near its middle take the others first (a star of copies about one text needs no more), and what they do not reach meets all of the family in blocks.
-Segments widen with log2 of the number of documents, so random groups stay small (at the price of more variants: 192 a document up to 2 million, 323 at 12 million).
+Segments widen with log2 of the number of documents, so random groups stay small (at the price of more variants: 240 a document up to 2 million, 408 at 12 million).
 
 Defined results: a null or empty text, or one without words, has fingerprint zero, which links like any other; copies share
 a fingerprint and so are one node; repeated rows each get their component; a null doc_id never names a component unless
@@ -38,7 +38,7 @@ from granulon.llm.components import connected_components
 
 SHINGLE, DISTANCE, GROUP = 3, 3, 2048
 #: Near copies: shingles of so many words, their Jaccard similarity, the share of pairs at it that meet, and the bits of 128 that candidates may differ by.
-WIDE_SHINGLE, SIMILARITY, RECALL, WIDE_DISTANCE = 5, 0.8, 0.98, 28
+WIDE_SHINGLE, SIMILARITY, RECALL, WIDE_DISTANCE = 5, 0.8, 0.992, 33
 #: Members of a large group that the others look for; texts of a family that one task holds; rounds of texts near a larger family's middle.
 LEADERS, FAMILY, PIVOTS = 64, 512, 3
 NODE = ["fp", "more", "mix"]
@@ -231,12 +231,17 @@ def width(n: int) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - shared))
 
 
-def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp and more (128 bits of the fingerprint), its segments, the distinct hashes of the text's shingles of ``WIDE_SHINGLE`` words, and mix, 64 bits of that set."""
+def shingled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, x: the distinct hashes of the text's shingles of ``WIDE_SHINGLE`` words, and mix, 64 bits of that set."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - WIDE_SHINGLE), lambda i: F.xxhash64(F.concat_ws(" ", *(F.get("w", i + k) for k in range(WIDE_SHINGLE))))))
-    hashes = docs.select(F.col(key).cast("long").alias("doc_id"), words(low).alias("w"))
-    hashes = hashes.select("doc_id", F.when(F.size("w") >= WIDE_SHINGLE, shingles).when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.expr("cast(array() as array<bigint>)")).alias("h"))
+    found = docs.select(F.col(key).cast("long").alias("doc_id"), words(low).alias("w"))
+    found = found.select("doc_id", F.when(F.size("w") >= WIDE_SHINGLE, shingles).when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " ")))).otherwise(F.expr("cast(array() as array<bigint>)")).alias("x"))
+    return found.withColumn("mix", F.aggregate("x", F.size("x").cast("long"), lambda s, h: s.bitwiseXOR(h)))
+
+
+def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, mix, fp and more (128 bits of the fingerprint) and its segments."""
     planes = -(-max(128, bits * segments) // 64)
 
     def sketch(batches):
@@ -261,10 +266,9 @@ def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", tex
             weight = np.int64(1) << np.arange(bits, dtype=np.int64)
             cut = np.stack([found[:, r * bits : (r + 1) * bits] @ weight for r in range(segments)], axis=1)
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * segments), pa.array(cut.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), cut, lists], names=["doc_id", "fp", "more", "segments", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), cut], names=["doc_id", "mix", "fp", "more", "segments"])
 
-    found = hashes.mapInArrow(sketch, "doc_id long, fp long, more long, segments array<long>, shingles array<long>")
-    return found.withColumn("mix", F.aggregate("shingles", F.size("shingles").cast("long"), lambda s, h: s.bitwiseXOR(h)))
+    return shingled(docs, key, text).mapInArrow(sketch, "doc_id long, mix long, fp long, more long, segments array<long>")
 
 
 def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
@@ -377,6 +381,7 @@ def _small_families(members: DataFrame) -> DataFrame:
             cuts = np.append(np.flatnonzero(family[1:] != family[:-1]) + 1, len(family))
             yield from whole(table, cuts[:-1])
             held = table.slice(cuts[-2] if len(cuts) > 1 else 0)
+            held = held.take(pa.array(range(len(held))))  # a copy, so the batch can go
         if held is not None:
             yield from whole(held, [len(held)])
 
@@ -452,18 +457,21 @@ def _large_families(members: DataFrame, family: int) -> DataFrame:
 def near_components(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP, family: int = FAMILY) -> DataFrame:
     """doc_id and component_id of near copies: links are pairs whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
-    A node is a set of shingles, known by 128 bits of its fingerprint and 64 of its hashes; copies share one.
+    A node is a set of shingles, known by 128 bits of its fingerprint and 64 of its hashes; copies share one. Rows without doc_id take no part.
     """
+    docs = docs.where(F.col(key).cast("long").isNotNull())
     bits, segments = width(docs.count())
     each = materialise(sketches(docs, bits, segments, key, text), "sketches")
     nodes = materialise(each.groupBy(*NODE).agg(F.min("doc_id").alias("first"), F.first("segments").alias("segments")), "distinct")
     joined = connected_components(materialise(candidates(nodes, bits, group), "pairs"))
-    named = materialise(nodes.select(*NODE).join(joined.withColumnsRenamed({"node": "fp", "component": "family"}), "fp", "left").withColumn("family", F.coalesce("family", "fp")), "families")
+    named = materialise(nodes.select(*NODE, "first").join(joined.withColumnsRenamed({"node": "fp", "component": "family"}), "fp", "left").withColumn("family", F.coalesce("family", "fp")), "families")
     sizes = materialise(named.groupBy("family").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     named = materialise(named.join(sized(sizes), "family"), "members")
-    # one text for each node: copies have the same shingles
-    sets = each.select(*NODE, "shingles").join(sized(named.select(*NODE)), NODE, "left_semi").groupBy(*NODE).agg(F.first("shingles").alias("x"))
-    sets = materialise(sets.join(named.hint("shuffle_hash"), NODE), "sets")
+    # one text for each node (copies have the same shingles), whose shingles are made again: few documents are in families
+    ids = materialise(named.select("first").distinct(), "ids")
+    sets = shingled(docs.join(sized(ids), F.col(key).cast("long") == F.col("first"), "left_semi"), key, text)
+    sets = materialise(sets, "shingles").withColumnRenamed("doc_id", "first")  # written: a join on mix would push its filters into the shingles
+    sets = materialise(sets.join(sized(named), ["first", "mix"]).groupBy("family", "n", *NODE).agg(F.first("x").alias("x")), "sets")
     links = _small_families(sets.where(F.col("n") <= family).drop("n"))
     large = sets.where(F.col("n") > family).drop("n")
     if not large.isEmpty():
