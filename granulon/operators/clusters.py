@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from granulon.functions.tensor import SYM, eigenvectors
 from granulon.operators.lineage import checkpointed
 from granulon.operators.spatial import radius_join, radius_pairs
 
+SIX = [f"e{k}" for k in SYM]
+
 
 def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """(by..., id, root): the smallest id that each node reaches along (i, j) edges of its group; labels jump to their label's label each round."""
@@ -64,28 +66,41 @@ def about_centres(points: DataFrame, centres: DataFrame, r: float, by: list[str]
     return radius_join(centres, points, r, by, "cluster", "id").withColumnsRenamed({"i": "cluster", "j": "id"})
 
 
-def inclusion_average(points: DataFrame, members: DataFrame, r: float, by: list[str], least: int = 7, most: int = 17, edge: float = 7.5) -> DataFrame:
-    """Mean strain about clusters of middling size, less the mean outside clusters, in the axes of each cluster's mean strain, by unit cell.
+def cluster_axes(points: DataFrame, members: DataFrame, by: list[str]) -> DataFrame:
+    """``axes`` (nine numbers, see ``eigenvectors``) of the mean strain of each cluster's members."""
+    rows = points.join(members.where("cluster > 0"), [*by, "id"])
+    return rows.groupBy(*by, "cluster").agg(*(F.avg(e).alias(e) for e in SIX)).withColumn("axes", eigenvectors(*map(F.col, SIX)))
 
-    ``points`` hold exx to ezz. Positions turn by R' and strain by R' e R for R of column eigenvectors; a cluster's ball is one bounded group.
-    """
-    six = ["exx", "exy", "exz", "eyy", "eyz", "ezz"]
-    table = cluster_table(points, members, by).where((F.col("size") > least) & (F.col("size") < most))
-    centres = table.select(*by, "cluster", *(F.col(f"com_{c}").alias(c) for c in "xyz"))
-    rest = points.join(members.where("cluster = 0"), [*by, "id"]).groupBy(*by).agg(*(F.avg(e).alias(f"m{e}") for e in six))
-    ball = about_centres(points, centres, r, by).join(points.select(*by, "id", *six), [*by, "id"]).join(rest, by)
-    ball = ball.select(*by, "cluster", "dx", "dy", "dz", *(F.expr(f"{e} - m{e}").alias(e) for e in six))
 
-    def aligned(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[six].to_numpy()[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
-        u = np.linalg.eigh(e.mean(0))[1][:, ::-1]
-        u = u * np.where(np.take_along_axis(u, np.abs(u).argmax(0)[None], 0) < 0, -1, 1)
-        x, t = pdf[["dx", "dy", "dz"]].to_numpy() @ u, u.T @ e @ u
-        return pd.DataFrame({"x": x[:, 0], "y": x[:, 1], "z": x[:, 2], **{n: t[:, i, j] for n, (i, j) in zip(six, [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)], strict=True)}})
+def inclusion_average(points: DataFrame, members: DataFrame, r: float, by: list[str], least: int = 7, most: int = 17, edge: float = 7.5, mode: str = "average", subtract: bool = True, strains: DataFrame | None = None) -> DataFrame:
+    """Mean strain about clusters of middling size, in axes of each cluster, by unit cell.
 
-    turned = ball.groupBy(*by, "cluster").applyInPandas(aligned, "x double, y double, z double, " + ", ".join(f"{e} double" for e in six))
-    cell = lambda c: F.floor(F.col(c) + edge).cast("int").alias(f"{c}_bin")
-    return turned.groupBy(cell("x"), cell("y"), cell("z")).agg(*(F.avg(e).alias(e) for e in six), F.count("*").alias("n"))
+    ``points`` hold exx to ezz. With ``subtract`` the mean strain of the particles of no cluster within the same ball goes off first (nothing where there are none). The axes are those of the mean strain of the
+    cluster's members (``average``), those of the cluster's own strain as ``cluster_strain`` gives it in ``strains``, less that mean (``cluster``), or none (``identity``).
+    Positions turn by R' and strain by R' e R for R of column eigenvectors.
+    """
+    keys = [*by, "cluster"]
+    table = cluster_table(points, members, by).where((F.col("size") > least) & (F.col("size") < most))
+    centres = table.select(*keys, *(F.col(f"com_{c}").alias(c) for c in "xyz"))
+    whose = points.select(*by, "id", *SIX).join(members.withColumnRenamed("cluster", "_own"), [*by, "id"])
+    ball = about_centres(points, centres, r, by).join(whose, [*by, "id"])
+    outside = ball.groupBy(*keys).agg(*(F.coalesce(F.avg(F.when(F.col("_own") == 0, F.col(e))), F.lit(0.0)).alias(f"m{e}") for e in SIX))
+    if mode == "average":
+        turned = cluster_axes(points, members, by)
+    elif mode == "cluster":
+        own = strains.join(outside, keys).select(*keys, *((F.expr(f"{e} - m{e}") if subtract else F.col(e)).alias(e) for e in SIX))
+        turned = own.withColumn("axes", eigenvectors(*map(F.col, SIX)))
+    elif mode == "identity":
+        turned = centres.select(*keys, F.array(*(F.lit(float(i == j)) for i in range(3) for j in range(3))).alias("axes"))
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    ball = ball.join(outside, keys).join(turned.select(*keys, "axes").where("axes is not null"), keys)
+    e = {k: F.expr(f"e{k} - me{k}") if subtract else F.col(f"e{k}") for k in SYM}
+    u = [[F.get("axes", 3 * i + j) for j in range(3)] for i in range(3)]
+    at = lambda i, j: e["".join(sorted("xyz"[i] + "xyz"[j]))]
+    place = [F.floor(sum((u[i][j] * F.col(f"d{'xyz'[j]}") for j in range(3)), F.lit(0.0)) + edge).cast("int").alias(f"{'xyz'[i]}_bin") for i in range(3)]
+    turn = [sum((u["xyz".index(k[0])][i] * u["xyz".index(k[1])][j] * at(i, j) for i in range(3) for j in range(3)), F.lit(0.0)).alias(f"e{k}") for k in SYM]
+    return ball.select(*place, *turn).groupBy("x_bin", "y_bin", "z_bin").agg(*(F.avg(x).alias(x) for x in SIX), F.count("*").alias("n"))
 
 
 def inclusion_field(grid: DataFrame, radius: float, strain: float, poisson: float = 1 / 3) -> DataFrame:
@@ -115,12 +130,6 @@ def spatial_correlation(a: DataFrame, b: DataFrame, shifts: DataFrame, value: st
     return moved.join(b.select("i", "j", "k", F.col(value).alias("vb")), ["i", "j", "k"]).groupBy("si", "sj", "sk").agg(F.corr("va", "vb").alias("r"), F.count("*").alias("n"))
 
 
-def resample(points: DataFrame, n: int, sigma: dict[str, float], seed: int = 42) -> DataFrame:
-    """n noisy replicates and the original as replicate 0."""
-    reps = points.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    return reps.withColumns({c: F.when(F.col("replicate") == 0, F.col(c)).otherwise(F.col(c) + s * F.randn(seed + k)) for k, (c, s) in enumerate(sigma.items())})
-
-
 def density_estimate(rows: DataFrame, column: str, grid: list[float]) -> DataFrame:
     """Gaussian kernel density on a grid with Scott's width n^(-1/5) sigma; one aggregate after the width is known."""
     w = rows.agg((F.stddev_samp(column) * F.pow(F.count(column).cast("double"), F.lit(-0.2))).alias("_w"))

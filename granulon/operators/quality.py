@@ -75,5 +75,12 @@ def fill_high(rows: DataFrame, column: str, quantile: float = 0.999, factor: flo
     return rows.crossJoin(F.broadcast(high)).withColumn(column, F.coalesce(value, F.col("_fill"))).drop("_fill")
 
 
+def column_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """name, n (rows), nulls and distinct values of each listed column, in one pass; NaN counts as null."""
+    missing = lambda c: F.col(c).isNull() | F.coalesce(F.isnan(F.col(c).cast("double")), F.lit(False)) if dict(rows.dtypes)[c] in ("double", "float") else F.col(c).isNull()
+    one = rows.agg(F.count("*").alias("n"), *(F.count_if(missing(c)).alias(f"nulls_{i}") for i, c in enumerate(columns)), *(F.count_distinct(F.when(~missing(c), F.col(c))).alias(f"distinct_{i}") for i, c in enumerate(columns)))
+    return one.select("n", F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"nulls_{i}").alias("nulls"), F.col(f"distinct_{i}").alias("distinct_values")) for i, c in enumerate(columns)))).alias("c")).select("c.name", "n", "c.nulls", "c.distinct_values")
+
+
 def summary_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n"))

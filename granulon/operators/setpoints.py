@@ -38,8 +38,10 @@ def sweep(spark: SparkSession, amplitudes: list[float], repeats: int) -> DataFra
     return spark.sql(f"select row_number() over (order by i, r, s) - 1 as k, if(s = 0, amp, 0D) as target from (select posexplode(array({a})) as (i, amp)), (select explode(sequence(1, {repeats})) as r), (select explode(array(0, 1)) as s)")
 
 
-def mass_fraction(rows: DataFrame, solute: str, solvent: str) -> DataFrame:
-    return rows.withColumn("mass_fraction", F.try_divide(F.col(solute), F.col(solute) + F.col(solvent)))
+def mass_fraction(rows: DataFrame, master: str, solute: str, solvent: str, share: float = 1.0067 / (1.0667 + 4.0954)) -> DataFrame:
+    """The solute's share of a mixture's mass, where a master batch holds a known share of it as well; null for an empty mixture."""
+    total = F.col(master) + F.col(solute) + F.col(solvent)
+    return rows.withColumn("mass_fraction", F.try_divide(F.col(solute) + share * F.col(master), total))
 
 
 def bump_pause_bump(spark: SparkSession, low: float, high: float, n_half: int, n_pause: int) -> DataFrame:

@@ -5,32 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulon.functions.tensor import von_mises
+from granulon.functions.tensor import von_mises, with_polar
+from granulon.operators.resampling import resample
 from granulon.operators.spatial import radius_join
 
 
-def paired(tracks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension."""
-    side = lambda k, s: tracks.select(F.col("frame").alias(k), "particle", *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
-    return side("ref", 0).join(pairs.select("ref", "cur"), "ref").join(side("cur", 1), ["cur", "particle"])
+def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension."""
+    side = lambda k, s: tracks.select(*by, F.col("frame").alias(k), "particle", *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
+    return side("ref", 0).join(pairs.select("ref", "cur"), "ref").join(side("cur", 1), [*by, "cur", "particle"])
 
 
-def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float) -> DataFrame:
+def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Sums over the reference neighbours (self included, which adds nothing) of products of offsets; incomplete tracks go first."""
-    both = paired(tracks, pairs)
-    ref = both.select("ref", "cur", F.col("particle").alias("id"), *(F.col(f"{c}0").alias(c) for c in "xyz"))
-    edges = radius_join(ref, ref, r, ["ref", "cur"]).drop("d2").withColumnsRenamed({f"d{c}": f"r{c}" for c in "xyz"})
-    now = lambda k: both.select("ref", "cur", F.col("particle").alias(k), *(F.col(f"{c}1").alias(f"{c}{k}") for c in "xyz"))
-    edges = edges.join(now("i"), ["ref", "cur", "i"]).join(now("j"), ["ref", "cur", "j"]).withColumns({f"c{c}": F.expr(f"{c}j - {c}i") for c in "xyz"})
+    both, keys = paired(tracks, pairs, by), [*by, "ref", "cur"]
+    ref = both.select(*keys, F.col("particle").alias("id"), *(F.col(f"{c}0").alias(c) for c in "xyz"))
+    edges = radius_join(ref, ref, r, keys).drop("d2").withColumnsRenamed({f"d{c}": f"r{c}" for c in "xyz"})
+    now = lambda k: both.select(*keys, F.col("particle").alias(k), *(F.col(f"{c}1").alias(f"{c}{k}") for c in "xyz"))
+    edges = edges.join(now("i"), [*keys, "i"]).join(now("j"), [*keys, "j"]).withColumns({f"c{c}": F.expr(f"{c}j - {c}i") for c in "xyz"})
+    return edges.groupBy(*keys, F.col("i").alias("particle")).agg(*_sums())
+
+
+def _sums() -> list:
+    """Sums of products of offsets now (c) and before (r)."""
     s = lambda name, e: F.sum(F.expr(e)).alias(name)
     sums = [s(f"x{a}{b}", f"c{a} * r{b}") for a in "xyz" for b in "xyz"] + [s(f"y{a}{b}", f"r{a} * r{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]
     extra = [s("cc", "cx * cx + cy * cy + cz * cz"), F.count("*").alias("nnb_count")] + [s(f"d{a}", f"c{a} - r{a}") for a in "xyz"] + [s("dd", "(cx - rx) * (cx - rx) + (cy - ry) * (cy - ry) + (cz - rz) * (cz - rz)")]
-    return edges.groupBy("ref", "cur", F.col("i").alias("particle")).agg(*sums, *extra)
+    return [*sums, *extra]
+
 
+def local_strain(tracks: DataFrame, pairs: DataFrame, r: float, tolerance: float = 1e-9, by: tuple[str, ...] = ()) -> DataFrame:
+    """Gradient f, strain e, rotation r, d2_min, von_mises and nnb_count by (by..., ref, cur, particle); null where the neighbourhood is flat."""
+    return affine(neighbour_sums(tracks, pairs, r, by), [*by, "ref", "cur", "particle"], tolerance)
 
-def local_strain(tracks: DataFrame, pairs: DataFrame, r: float, tolerance: float = 1e-9) -> DataFrame:
-    """Gradient f, strain e, rotation r, d2_min, von_mises and nnb_count by (ref, cur, particle); null where the neighbourhood is flat."""
-    m = neighbour_sums(tracks, pairs, r)
+
+def affine(m: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """The best affine map of each row of sums, and what follows from it."""
     m = m.withColumns({"k1": F.expr("yyy * yzz - yyz * yyz"), "k2": F.expr("yxz * yyz - yxy * yzz"), "k3": F.expr("yxy * yyz - yxz * yyy"), "k4": F.expr("yxx * yzz - yxz * yxz"), "k5": F.expr("yxy * yxz - yxx * yyz"), "k6": F.expr("yxx * yyy - yxy * yxy")})
     m = m.withColumn("det", F.expr("yxx * k1 + yxy * k2 + yxz * k3"))
     m = m.withColumn("det", F.expr(f"if(abs(det) <= {tolerance}D * power((yxx + yyy + yzz) / 3, 3), null, det)"))
@@ -41,7 +51,38 @@ def local_strain(tracks: DataFrame, pairs: DataFrame, r: float, tolerance: float
     # |c - F r|^2 summed = |c|^2 - tr(F X')
     m = m.withColumns(sym | skew | {"d2_min": F.expr("greatest(cc - (" + " + ".join(f"f{a}{b} * x{a}{b}" for a in "xyz" for b in "xyz") + "), 0)")})
     m = m.withColumn("von_mises", von_mises(*(F.col(f"e{k}") for k in ("xx", "xy", "xz", "yy", "yz", "zz"))))
-    return m.select("ref", "cur", "particle", "d2_min", "von_mises", *sym, *skew, *(f"f{a}{b}" for a in "xyz" for b in "xyz"), "nnb_count")
+    return m.select(*keys, "d2_min", "von_mises", *sym, *skew, *(f"f{a}{b}" for a in "xyz" for b in "xyz"), "nnb_count")
+
+
+def cluster_strain(both: DataFrame, members: DataFrame, by: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """The best affine map of each cluster as a whole, about its member that was nearest to the cluster's centre: from (by..., id, x0.., x1..) to the columns of ``local_strain`` by (by..., cluster).
+
+    Equal distances take the smaller id; a cluster of fewer than four members, or a flat one, has null strain.
+    """
+    keys = [*by, "cluster"]
+    rows = both.join(members.where("cluster > 0"), [*by, "id"])
+    middle = rows.groupBy(*keys).agg(*(F.avg(f"{c}0").alias(f"m{c}") for c in "xyz"))
+    apart = F.expr(" + ".join(f"({c}0 - m{c}) * ({c}0 - m{c})" for c in "xyz"))
+    nearest = rows.join(middle, keys).groupBy(*keys).agg(F.min(F.struct(apart.alias("d"), "id", *(F.col(f"{c}{k}").alias(f"{c}c{k}") for c in "xyz" for k in (0, 1)))).alias("n"))
+    rows = rows.join(nearest.select(*keys, "n.*").drop("d", "id"), keys)
+    rows = rows.withColumns({f"r{c}": F.expr(f"{c}0 - {c}c0") for c in "xyz"} | {f"c{c}": F.expr(f"{c}1 - {c}c1") for c in "xyz"})
+    return affine(rows.groupBy(*keys).agg(*_sums()), keys, tolerance)
+
+
+def polar(strain: DataFrame) -> DataFrame:
+    """Stretch, rotation and its angle of the same gradients, by (ref, cur, particle)."""
+    return with_polar(strain.select("ref", "cur", "particle", *(f"f{a}{b}" for a in "xyz" for b in "xyz"), "nnb_count"))
+
+
+def resampled_strain(tracks: DataFrame, pairs: DataFrame, r: float, n: int, sigma: dict[str, float], seed: int = 42) -> DataFrame:
+    """How errors of position carry over to strain: mean and deviation of each particle's components over ``n`` noisy replicates, all of them in one neighbour join.
+
+    The noise of a particle and frame depends on the seed and on them alone, so results do not change with partitions.
+    """
+    noisy = resample(tracks, n, sigma, seed, key=["frame", "particle"]).where("replicate > 0")
+    found = local_strain(noisy, pairs, r, by=("replicate",))
+    parts = ["exx", "exy", "exz", "eyy", "eyz", "ezz", "von_mises"]
+    return found.groupBy("ref", "cur", "particle").agg(F.count("exz").alias("n"), *(F.avg(c).alias(f"{c}_mean") for c in parts), *(F.stddev_samp(c).alias(f"{c}_std") for c in parts))
 
 
 def green_lagrange(strain: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions import tensor
 from granulon.operators import binning, clusters, fits, frames, linking, quality, setpoints, spatial, strain, stress, tiles, volume
-from granulon.plans import report_queries
+from granulon.plans import report_queries, strain_queries
 from granulon.plans.adapters import POINTS, SURFACE, TRACKS, points, surface, table, tracks
 
 
@@ -105,7 +105,7 @@ _TH = [float(x) for x in range(5, 105, 10)]
 add("ecdf_thresholds", "threshold share:r", lambda s, d: quality.below_thresholds(tracks(s, d), "z", _TH), f"select threshold, avg((z < threshold)::int) as share from {T}, (select unnest({_TH})::double as threshold) group by 1")
 add("cumulative_hist", "bin:i n:i share:r", lambda s, d: quality.cumulative_histogram(tracks(s, d), "z", 10), f"select floor(z / 10) as bin, count(*) as n, sum(count(*)) over (order by floor(z / 10)) / (select count(z) from {T}) as share from {T} group by 1")
 add("corr_matrix", "a b r:r", lambda s, d: quality.correlations(tracks(s, d), ["x", "y", "z"]), " union all ".join(f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r from {T}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
-add("moments_by_count", "y:i n:i low:r high:r mean:r var:r skew:r", lambda s, d: quality.moments_by(tracks(s, d), "x", ["y"]), f"select y, count(x) as n, min(x) as low, max(x) as high, avg(x) as mean, var_samp(x) as var, case when var_pop(x) > 0 then (avg(x**3) - 3 * avg(x) * avg(x**2) + 2 * avg(x)**3) / var_pop(x)**1.5 end as skew from {T} group by 1")
+add("moments_by_count", "y:i n:i low:r high:r mean:r var:r skew:r kurt:r", lambda s, d: quality.moments_by(tracks(s, d), "x", ["y"]), f"select y, count(x) as n, min(x) as low, max(x) as high, avg(x) as mean, var_samp(x) as var, case when var_pop(x) > 0 then (avg(x**3) - 3 * avg(x) * avg(x**2) + 2 * avg(x)**3) / var_pop(x)**1.5 end as skew, case when var_pop(x) > 0 then (avg(x**4) - 4 * avg(x) * avg(x**3) + 6 * avg(x)**2 * avg(x**2) - 3 * avg(x)**4) / var_pop(x)**2 - 3 end as kurt from {T} group by 1")
 add("value_counts", "event_type n:i", lambda s, d: quality.summary_counts(table(s, d, "events"), "event_type"), "select event_type, count(*) as n from events group by 1")
 add("fill_high", "frame particle x:r", lambda s, d: quality.fill_high(tracks(s, d).withColumn("x", F.when(F.col("particle") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("x"))), "x"), f"with t as (select frame, particle, case when particle % 7 <> 0 then x end as x from {T}) select frame, particle, coalesce(x, 1.1 * (select quantile_cont(x, 0.999) from t)) as x from t")
 add("top_values", "l_orderkey:i total:r", lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("c")).orderBy(F.desc("c"), "l_orderkey").limit(50).withColumn("total", F.col("c") / 100), "select l_orderkey, sum(round(l_extendedprice * 100)::bigint)::double / 100 as total from lineitem group by 1 order by total desc, l_orderkey limit 50")
@@ -221,7 +221,7 @@ def _local(s, d):
 add("local_strain", "ref cur particle nnb_count:i exx:r exz:r eyz:r rxz:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", "nnb_count", *(F.round(c, 4).alias(c) for c in ("exx", "exz", "eyz", "rxz"))), "select ref, cur, particle, nnb_count, " + ", ".join(f"round({c}, 4) as {c}" for c in ("exx", "exz", "eyz", "rxz")) + f" from {_STRAIN}")
 add("d2_min", "ref cur particle d2_min:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", F.round("d2_min", 2).alias("d2_min")), f"select ref, cur, particle, round(d2_min, 2) as d2_min from {_STRAIN}")
 add("von_mises", "ref cur particle von_mises:r", lambda s, d: _local(s, d).select("ref", "cur", "particle", F.round("von_mises", 4).alias("von_mises")), f"select ref, cur, particle, round(von_mises, 4) as von_mises from {_STRAIN}")
-add("mean_strain", "ref cur n:i exz:r von_mises:r shear_percent:r", lambda s, d: strain.mean_strain(_local(s, d), 5), f"select ref, cur, count(*) as n, avg(exz) as exz, avg(von_mises) as von_mises, 200 * avg(exz) as shear_percent from {_STRAIN} where nnb_count >= 5 group by 1, 2")
+add("mean_strain", "ref cur n:i exz:r von_mises:r shear_percent:r exz_std:r std_per_n:r", lambda s, d: strain.mean_strain(_local(s, d), 5), f"select ref, cur, count(*) as n, avg(exz) as exz, avg(von_mises) as von_mises, 200 * avg(exz) as shear_percent, stddev_samp(exz) as exz_std, stddev_samp(exz) / count(*) as std_per_n from {_STRAIN} where nnb_count >= 5 group by 1, 2")
 _RM = tensor.rotation("y", 30.0)
 
 
@@ -259,7 +259,6 @@ add("clusters", "frame id cluster:i", _MEM, f"{_CC} select p.frame, p.id, coales
 add("cluster_stats", "frame cluster:i size:i com_x:r com_z:r gyration:r", lambda s, d: clusters.cluster_table(points(s, d), _MEM(s, d), ["frame"]), f"{_CC} select p.frame, cluster, count(*) as size, avg(x) as com_x, avg(z) as com_z, sqrt(greatest(var_pop(x) + var_pop(y) + var_pop(z), 0)) as gyration from {P} p join c on c.id = p.id join k on k.frame = c.frame and k.root = c.root group by 1, 2")
 add("cluster_sizes", "frame size:i n:i", lambda s, d: clusters.size_counts(clusters.cluster_table(points(s, d), _MEM(s, d), ["frame"]), ["frame"]), f"{_CC} select frame, size, count(*) as n from (select frame, root, count(*) as size from c group by 1, 2) group by 1, 2")
 add("near_large_clusters", "frame id", lambda s, d: clusters.near_large(points(s, d), _MEM(s, d), 4, R_PTS, ["frame"]), f"{_CC}, big as (select id from c where (frame, root) in (select (frame, root) from c group by frame, root having count(*) >= 4)) select distinct a.frame, a.id from {P} a join {P} b on a.frame = b.frame and {NEAR} <= {R_PTS**2} where b.id in (select id from big)")
-add("inclusion_average", "x_bin:i y_bin:i z_bin:i exz:r n:i", lambda s, d: clusters.inclusion_average(points(s, d).withColumns({f"e{k}": F.col(k[0]) * F.col(k[1]) for k in tensor.SYM}), _MEM(s, d), 3.0, ["frame"], 2, 30))
 
 # uncertainty and fields
 add("kde_grid", "place:r density:r", lambda s, d: clusters.density_estimate(tracks(s, d), "z", [0.0, 10.0, 20.0, 40.0, 80.0]).withColumnRenamed("at", "place"), f"select place, avg(exp(-0.5::double * power((place - z) / w, 2)) / (w * sqrt(2 * pi()))) as density from {T}, (select stddev_samp(z) * count(z)**(-0.2::double) as w from {T}), (select unnest([0.0, 10.0, 20.0, 40.0, 80.0])::double as place) group by 1")
@@ -308,7 +307,6 @@ add("setpoint_hold", "k target:r", lambda s, d: setpoints.up_hold_down(s, 0.0, 4
 # without SQL: assignment, noise, array kernels
 add("traj_link", "frame id particle x:r", lambda s, d: linking.link(points(s, d), 3.0))
 add("traj_link_memory", "frame id particle", lambda s, d: linking.link_with_memory(points(s, d).withColumn("material", F.when(F.col("id") % 4 == 0, "gel").otherwise("sed")), 3.0, 1))
-add("resample", "frame id replicate:i x:r", lambda s, d: clusters.resample(points(s, d), 3, {"x": 0.1, "y": 0.1, "z": 0.2}))
 add("inverse_distance", "frame i v:r", lambda s, d: spatial.inverse_distance(points(s, d), points(s, d).withColumn("v", F.col("x") + F.col("y")), "v", 2.0, ["frame"]))
 
 
@@ -341,6 +339,7 @@ add("locate", "hv z:r y:r x:r mass:r round:i", lambda s, d: volume.locations(_bl
 add("curvature_filter", "hv z:i n:i mean:r most:r", _filtered)
 add("filter_chain", "hv z:i n:i mean:r", lambda s, d: volume.voxels(volume.filter_chain(_blocks(s, d), [("tv", {"steps": 1}), ("mean", {"steps": 1}), ("blur", {"sigma": 1.0})])).groupBy("hv", "z").agg(F.count("*").alias("n"), F.avg("v").alias("mean")))
 report_queries.register(add, _local, _STRAIN)
+strain_queries.register(add, _local, _SUM, _GRAD, _EPS, _CC, _MEM)
 
 
 def queries() -> dict:

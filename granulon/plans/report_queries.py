@@ -93,7 +93,12 @@ def register(add, local, strain_sql: str) -> None:
     add("training_tiles", "hv x:i y:i z:i t:i", lambda s, d: tiles.training(_tiles(s), 1), "select hv, hv % 3 as x, hv // 3 % 3 as y, hv // 9 % 3 as z, hv // 27 as t from range(81) r(hv) where hv // 27 in (0, 2) and hv // 9 % 3 <= 1 and ((hv % 3 <> 1 and hv // 3 % 3 <> 1) or (hv % 3 = 1 and hv // 3 % 3 = 1))")
     add("setpoint_bumps", "k target:r", lambda s, d: setpoints.bump_pause_bump(s, 1.0, 3.0, 2, 3), "select k, [1.0, 2.0, 3.0, 2.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0, 3.0, 2.0, 1.0][(k + 1)::int] as target from range(13) r(k)")
     add("setpoint_waves", "k target:r", lambda s, d: setpoints.oscillate(s, 2.0, 0.5, 8, 17, half_wave=True), "select k, 2.0 + 0.5 * abs(sin(2 * pi() * k / 8)) as target from range(17) r(k)")
-    add("mass_fraction", "l_orderkey l_linenumber mass_fraction:r", lambda s, d: setpoints.mass_fraction(table(s, d, "lineitem"), "l_tax", "l_quantity"), "select l_orderkey, l_linenumber, l_tax / (l_tax + l_quantity) as mass_fraction from lineitem")
+    add(
+        "mass_fraction",
+        "l_orderkey l_linenumber mass_fraction:r",
+        lambda s, d: setpoints.mass_fraction(table(s, d, "lineitem"), "l_tax", "l_discount", "l_quantity"),
+        "select l_orderkey, l_linenumber, (l_discount + 1.0067::double / 5.1621::double * l_tax) / (l_tax + l_discount + l_quantity) as mass_fraction from lineitem",
+    )
     add("liquid_filler", "l_orderkey l_linenumber liquid_fraction:r", lambda s, d: setpoints.liquid_filler(table(s, d, "lineitem"), {"l_tax": 0.9, "l_discount": 0.8}, "l_quantity"), "select l_orderkey, l_linenumber, (0.1 * l_tax + 0.2 * l_discount + l_quantity) / (l_tax + l_discount + l_quantity) as liquid_fraction from lineitem")
 
 

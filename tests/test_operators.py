@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from granulon.functions import tensor
-from granulon.operators import clusters, fits, linking, quality, spatial, strain, volume
+from granulon.operators import clusters, fits, linking, quality, resampling, spatial, strain, volume
 from granulon.sources import tables
 from granulon.streaming import frames as stream
 
@@ -67,6 +67,68 @@ def test_eigen(spark):
         assert np.allclose(u @ a @ u.T, np.diag(r["v"]), atol=1e-7)
 
 
+def test_eigenvectors_of_special_tensors(spark):
+    """Double and triple roots give orthonormal axes, by descending eigenvalue; what is null or not finite gives null."""
+    rows = [(1, 0, 0, 1, 0, 1), (0, 0, 0, 0, 0, 0), (2, 0, 0, 1, 0, 1), (1, 0, 0, 1, 0, 3), (1, 1, 1, 1, 1, 1), (3, 0, 0, 2, 0, 1), (1e-9, 0, 0, 5e5, 0, 1), (float("nan"), 0, 0, 1, 0, 1), (float("inf"), 0, 0, 1, 0, 1)]
+    df = spark.createDataFrame([tuple(map(float, x)) for x in rows] + [(None, 0.0, 0.0, 1.0, 0.0, 1.0)], [f"e{k}" for k in tensor.SYM])
+    found = df.select("*", tensor.eigenvectors(*(F.col(f"e{k}") for k in tensor.SYM)).alias("u")).collect()
+    assert [r["u"] for r in found[7:]] == [None, None, None]
+    for r in found[:7]:
+        a = np.array([[r[0], r[1], r[2]], [r[1], r[3], r[4]], [r[2], r[4], r[5]]])
+        u = np.array(r["u"]).reshape(3, 3)
+        assert np.allclose(u @ u.T, np.eye(3), atol=1e-12)
+        assert np.allclose(u @ a @ u.T, np.diag(np.linalg.eigvalsh(a)[::-1]), atol=1e-9 * max(1, abs(a).max()))
+
+
+def test_polar_decomposition(spark):
+    rng = np.random.default_rng(12)
+    names = [f"f{a}{b}" for a in "xyz" for b in "xyz"]
+    m = rng.normal(size=(60, 3, 3)) + np.eye(3)
+    m[0], m[1], m[2] = np.eye(3), np.diag([1.0, 1.0, -1.0]), np.diag([1.0, 2.0, 0.0])
+    m[3] = np.diag([1e3, 1.0, 1e-3])
+    df = spark.createDataFrame([(i, *map(float, x.ravel())) for i, x in enumerate(m)] + [(99, *[None] * 9)], "i long, " + ", ".join(f"{n} double" for n in names))
+    for r in tensor.with_polar(df).collect():
+        f = m[r["i"]] if r["i"] < 99 else None
+        if f is None or np.linalg.det(f) <= 0:
+            assert r["angle"] is None and r["uxx"] is None and r["qzz"] is None
+            continue
+        w, s, v = np.linalg.svd(f)
+        q = np.array([[r[f"q{a}{b}"] for b in "xyz"] for a in "xyz"])
+        u = np.array([[r["u" + "".join(sorted(a + b))] for b in "xyz"] for a in "xyz"])
+        assert np.allclose(q, w @ v, atol=1e-9) and np.allclose(u, v.T @ np.diag(s) @ v, atol=1e-9 * max(1, s[0]))
+        assert np.cos(r["angle"]) == pytest.approx((np.trace(w @ v) - 1) / 2, abs=1e-6)
+
+
+def test_cluster_strain_is_that_of_the_map(spark):
+    """Members moved by one affine map: its strain, about the member nearest the centre; a pair, and a flat cluster, have none."""
+    rng = np.random.default_rng(13)
+    f = np.eye(3) + rng.normal(size=(3, 3)) * 0.05
+    ref = rng.normal(size=(9, 3))
+    rows = [(0, i, *(x for a, b in zip(p, f @ p + 2, strict=True) for x in (float(a), float(b)))) for i, p in enumerate(ref)]
+    rows += [(0, 20 + i, float(i), float(i), 0.0, 0.0, 0.0, 0.0) for i in range(2)] + [(0, 30 + i, float(i), float(i), float(i * i), 0.0, 0.0, 0.0) for i in range(5)]
+    both = spark.createDataFrame(rows, "frame long, id long, x0 double, x1 double, y0 double, y1 double, z0 double, z1 double")
+    members = spark.createDataFrame([(0, r[1], 1 if r[1] < 20 else r[1] // 10) for r in rows], "frame long, id long, cluster long")
+    got = {r["cluster"]: r for r in strain.cluster_strain(both, members, ["frame"]).collect()}
+    e = (f + f.T) / 2 - np.eye(3)
+    assert [got[1][f"e{k}"] for k in tensor.SYM] == pytest.approx([e[0, 0], e[0, 1], e[0, 2], e[1, 1], e[1, 2], e[2, 2]], abs=1e-9)
+    assert got[1]["d2_min"] == pytest.approx(0, abs=1e-9) and got[2]["exx"] is None and got[3]["exx"] is None
+
+
+def test_noise_does_not_depend_on_partitions(spark):
+    df = spark.range(4000).selectExpr("0L as frame", "id", "0.0D as x")
+    a, b = ({(r["id"], r["replicate"]): r["x"] for r in resampling.resample(df.repartition(n), 2, {"x": 3.0}).collect()} for n in (1, 5))
+    x = np.array([v for (_, k), v in a.items() if k > 0])
+    assert a == b and abs(x.mean()) < 0.15 and x.std() == pytest.approx(3, rel=0.03) and all(v == 0 for (_, k), v in a.items() if k == 0)
+
+
+def test_resampled_strain_has_the_spread_of_the_noise(spark):
+    """Without noise there is no spread; with it the spread is in proportion."""
+    ref = lattice(3)
+    df, pairs = tracks(spark, ref, ref), spark.createDataFrame([(0, 1)], "ref long, cur long")
+    spread = [np.mean([r["exx_std"] for r in strain.resampled_strain(df, pairs, 1.6, 12, {c: s for c in "xyz"}).collect()]) for s in (0.0, 0.002, 0.004)]
+    assert spread[0] == pytest.approx(0, abs=1e-12) and spread[2] == pytest.approx(2 * spread[1], rel=0.05)
+
+
 def test_radius_pairs_and_neighbours(spark):
     p = np.random.default_rng(3).uniform(-3, 3, (120, 3))
     df = spark.createDataFrame([(0, i, *map(float, x)) for i, x in enumerate(p)], "g long, id long, x double, y double, z double")
