@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for first, ids, begin in encode_with_end(tokenizer, batch.column(1), end_id):
+            for first, ids, begin in encode_with_end(tokenizer, batch.column(1), end_id, most_bytes=1 << 23):
                 raw, begin = memoryview(ids.astype("<u4")).cast("B"), begin.tolist()
                 for k in range(len(begin) - 1):
                     n = begin[k + 1] - begin[k]
@@ -98,7 +98,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                         close([whole])
                     if rest[2]:
                         place(rest)
-                    if len(out) >= 20_000:
+                    if len(out) >= 5_000:
                         yield table()
                 if out:
                     yield table()
