@@ -10,7 +10,7 @@ which a group has at most 2^11 members. No link is lost and no group is unbounde
 ``near_components`` and ``keep`` find near copies in the usual sense: five-word shingles, Jaccard similarity of 0.8 or more. There a bit
 differs with probability 0.15, so fingerprints are longer (at least 240 bits) and cut into segments so that, with probability 0.99 at
 0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Members of a group within 33 of 128 bits
-are joined into families, by the links of a forest; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for the nearest of ``LEADERS`` of its members, and
+are joined into families, by links to a first member; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for one of ``LEADERS`` of its members that is near, and
 those far from all of them are divided again by 16-bit pieces. Inside a family all texts are compared exactly on their sets of shingles, whatever its size: a family of at most
 ``FAMILY`` in one task; in a larger one the texts near its middle take the others first (a star of copies about one text needs no more), and what they do not reach meets all of the family in blocks.
 Segments widen with log2 of the number of documents, so random groups stay small (at the price of more variants: 240 a document up to 2 million, 408 at 12 million).
@@ -103,28 +103,27 @@ def _forest(members: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _least_forest(fp: np.ndarray, more: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a spanning forest of least distances: two members are joined by a path none of whose links is longer than their own distance."""
-    a, b, n = [], [], len(fp)
-    left, best, via = np.arange(1, n), np.full(n, 255, np.uint8), np.zeros(n, np.int64)
-    at = 0
-    while len(left):
-        d = np.bitwise_count(fp[left] ^ fp[at]) + np.bitwise_count(more[left] ^ more[at])
-        nearer = d < best[left]
-        best[left[nearer]], via[left[nearer]] = d[nearer], at
-        k = int(best[left].argmin())
-        at = int(left[k])
-        if best[at] <= distance:
-            a.append(fp[via[at]])
-            b.append(fp[at])
-        left = np.delete(left, k)
-    return np.array(a, np.uint64), np.array(b, np.uint64)
+def _stars(fp: np.ndarray, more: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each member to the first one of its component, where members within ``distance`` are joined. Members come in order of fp, so a component has the same first member in whatever groups it meets, and the same links."""
+    a, b, rest = [], [], np.arange(len(fp))
+    while len(rest):
+        root, queue, rest = rest[0], [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            near = np.bitwise_count(fp[rest] ^ fp[at]) + np.bitwise_count(more[rest] ^ more[at]) <= distance
+            if near.any():
+                a.append(np.full(near.sum(), fp[root]))
+                b.append(fp[rest[near]])
+                queue.extend(rest[near])
+                rest = rest[~near]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
 def _links(variants: DataFrame, group: int, distance: int = DISTANCE, few: int = 8) -> DataFrame:
     """(a, b) links, and (k, s) with null a of groups that are too large; groups pass through in order of (k, s).
 
-    With a column ``more`` the distance counts its bits too; groups of over ``few`` members then give the links of a forest of least distances,
+    With a column ``more`` the distance counts its bits too; groups of over ``few`` members then give the links of each member to its component's first,
     those of at most ``few`` all links.
     """
     wide = "more" in variants.columns
@@ -178,7 +177,7 @@ def _links(variants: DataFrame, group: int, distance: int = DISTANCE, few: int =
                 b.append(sketch[0][near + step])
             for g in np.flatnonzero((size > few) & ~over):
                 own = [x[start[g] : end[g]] for x in rows[2:]]
-                more = [[x] for x in _least_forest(*own, distance)] if wide else _forest(own[0])
+                more = [[x] for x in _stars(*own, distance)] if wide else _forest(own[0])
                 a += more[0]
                 b += more[1]
             return table(a, b, big_k, big_s)
@@ -287,16 +286,16 @@ def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
 
 
 def _led(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of groups (k, s) that are too large: links (a, b) of each member to the nearest of its group's leaders and of leaders to all near ones; and the members that are near none."""
+    """Of groups (k, s) that are too large: links (a, b) of each member to the first of its group's leaders that is near (often the same one in all its groups) and of leaders to all near ones; and the members that are near none."""
     order = W.partitionBy("k", "s").orderBy(F.xxhash64("fp", "more"), "fp", "more")
     few = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-    few = materialise(few.groupBy("k", "s").agg(F.collect_list(F.struct("fp", "more")).alias("leaders")), "leaders")
+    few = materialise(few.groupBy("k", "s").agg(F.array_sort(F.collect_list(F.struct("n", "fp", "more"))).alias("leaders")), "leaders")
     apart = lambda l: F.bit_count(F.col("fp").bitwiseXOR(l.fp)) + F.bit_count(F.col("more").bitwiseXOR(l.more))
-    near = F.array_sort(F.filter(F.transform("leaders", lambda l: F.struct(apart(l).alias("d"), l.fp.alias("b"))), lambda x: x.d <= WIDE_DISTANCE))
+    near = F.transform(F.filter("leaders", lambda l: apart(l) <= WIDE_DISTANCE), lambda l: l.fp)
     leads = F.exists("leaders", lambda l: (l.fp == F.col("fp")) & (l.more == F.col("more")))
     found = members.join(sized(few), ["k", "s"]).select("k", "s", "fp", "more", near.alias("near"), leads.alias("leads"))
     found = materialise(found.select("k", "s", "fp", "more", F.when(F.col("leads"), F.col("near")).otherwise(F.slice("near", 1, 1)).alias("near")), "led")
-    return found.select(F.col("fp").alias("a"), F.explode("near.b").alias("b")), found.where(F.size("near") == 0).select("k", "s", "fp", "more")
+    return found.select(F.col("fp").alias("a"), F.explode("near").alias("b")), found.where(F.size("near") == 0).select("k", "s", "fp", "more")
 
 
 def candidates(rows: DataFrame, bits: int, group: int = GROUP) -> DataFrame:
@@ -304,7 +303,7 @@ def candidates(rows: DataFrame, bits: int, group: int = GROUP) -> DataFrame:
     found = None
     for level in range(3):
         variants = _wide_variants(rows, bits, level)
-        got = materialise(_links(variants, group if level < 2 else 1 << 62, WIDE_DISTANCE, few=32), "candidates")
+        got = materialise(_links(variants, group if level < 2 else 1 << 62, WIDE_DISTANCE), "candidates")
         new = got.where("a is not null").select("a", "b")
         found = new if found is None else found.unionAll(new)
         large = got.where("a is null").select("k", "s").distinct()

@@ -168,16 +168,18 @@ def test_alike_is_exact():
     assert simhash._alike(sets[-3:], sets[-3:]).tolist() == [[True, True, False], [True, True, False], [False, False, True]]
 
 
-def test_least_forest():
+def test_stars():
     rng = np.random.default_rng(6)
-    fp, more = (rng.permutation(4096)[:50].astype(np.uint64) for _ in range(2))
-    a, b = simhash._least_forest(fp, more, 12)
+    fp, more = (np.sort(rng.permutation(4096)[:50]).astype(np.uint64), rng.permutation(4096)[:50].astype(np.uint64))
     where = {int(x): i for i, x in enumerate(fp)}
     d = lambda i, j: int(np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(more[i] ^ more[j]))
-    edges = {frozenset((where[int(x)], where[int(y)])) for x, y in zip(a, b, strict=True)}
-    nodes = list(range(50))
-    for most in range(13):  # at every distance the forest has the components of all links
-        assert brute(nodes, lambda i, j: d(i, j) <= most) == brute(nodes, lambda i, j: frozenset((i, j)) in edges and d(i, j) <= most)
+    for most in (0, 4, 6, 7, 8, 12):
+        a, b = simhash._stars(fp, more, most)
+        edges = {frozenset((where[int(x)], where[int(y)])) for x, y in zip(a, b, strict=True)}
+        nodes = list(range(50))
+        want = brute(nodes, lambda i, j: d(i, j) <= most)
+        assert want == brute(nodes, lambda i, j: frozenset((i, j)) in edges)
+        assert len(edges) == 50 - len(set(want.values()))
 
 
 def test_test_data(spark):
