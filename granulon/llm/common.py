@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,13 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: workers serve one stage after another, and an executor's memory counts all of them."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sized(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A written table as the small side of a join: broadcast if it has at most so many rows, else hashed after a shuffle."""
     return F.broadcast(side) if side.count() <= rows else side.hint("shuffle_hash")

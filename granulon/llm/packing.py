@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granulon.llm.common import give_back
 from granulon.llm.tokens import encode_with_end
 
 CLASSES = 32
@@ -102,6 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
                         yield table()
                 if out:
                     yield table()
+            give_back()
         left = short + [p for c in held for p in c]
         total = sum(p[2] for p in left)
         sizes = [capacity] * (total // capacity) + [1 << j for j in range(capacity.bit_length() - 1, -1, -1) if total % capacity >> j & 1]

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, scratch, sized, words
+from granulon.llm.common import give_back, materialise, scratch, sized, words
 from granulon.llm.components import connected_components
 
 SHINGLE, DISTANCE, GROUP = 3, 3, 2048
@@ -266,6 +266,7 @@ def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", tex
             cut = np.stack([found[:, r * bits : (r + 1) * bits] @ weight for r in range(segments)], axis=1)
             cut = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * segments), pa.array(cut.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(whole[:, 0].copy()), pa.array(whole[:, 1].copy()), cut], names=["doc_id", "mix", "fp", "more", "segments"])
+            give_back()
 
     return shingled(docs, key, text).mapInArrow(sketch, "doc_id long, mix long, fp long, more long, segments array<long>")
 

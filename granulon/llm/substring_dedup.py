@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granulon.llm.common import materialise, sized, words
+from granulon.llm.common import give_back, materialise, sized, words
 
 LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -183,6 +183,7 @@ def factors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 out += _split(_of_document(doc[repeat], copy[repeat], blocks), h[:0], doc[repeat], copy[repeat], place[repeat], doc[found], copy[found], place[found], base=blocks)
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
+            give_back()
 
     def answer(group: pa.Table) -> pa.Table:
         """Of one block: the phrases that start in an earlier document, by document."""
