@@ -5,12 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative table with a copy in the shared checkpoint folder; only a local session may leave it unset."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share; only a local session may leave it unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
@@ -18,4 +17,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="granulon-")
         spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative table with a copy in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions import tensor
 from granulon.operators import binning, clusters, fits, frames, linking, quality, setpoints, spatial, strain, stress, tiles, volume
-from granulon.plans import report_queries, strain_queries
+from granulon.plans import report_queries, strain_queries, volume_queries
 from granulon.plans.adapters import POINTS, SURFACE, TRACKS, points, surface, table, tracks
 
 
@@ -340,6 +340,7 @@ add("curvature_filter", "hv z:i n:i mean:r most:r", _filtered)
 add("filter_chain", "hv z:i n:i mean:r", lambda s, d: volume.voxels(volume.filter_chain(_blocks(s, d), [("tv", {"steps": 1}), ("mean", {"steps": 1}), ("blur", {"sigma": 1.0})])).groupBy("hv", "z").agg(F.count("*").alias("n"), F.avg("v").alias("mean")))
 report_queries.register(add, _local, _STRAIN)
 strain_queries.register(add, _local, _SUM, _GRAD, _EPS, _CC, _MEM)
+volume_queries.register(add)
 
 
 def queries() -> dict:
