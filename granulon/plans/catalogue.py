@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions import tensor
 from granulon.operators import binning, clusters, fits, frames, linking, quality, setpoints, spatial, strain, stress, tiles, volume
-from granulon.plans import report_queries, strain_queries, volume_queries
+from granulon.plans import format_queries, report_queries, strain_queries, volume_queries
 from granulon.plans.adapters import POINTS, SURFACE, TRACKS, points, surface, table, tracks
 
 
@@ -341,6 +341,7 @@ add("filter_chain", "hv z:i n:i mean:r", lambda s, d: volume.voxels(volume.filte
 report_queries.register(add, _local, _STRAIN)
 strain_queries.register(add, _local, _SUM, _GRAD, _EPS, _CC, _MEM)
 volume_queries.register(add)
+format_queries.register(add)
 
 
 def queries() -> dict:
