@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from granulon.operators.volume import BLOCK
@@ -290,9 +291,12 @@ def read_volumes(spark: SparkSession, path: str, strip_bytes: int = STRIP_BYTES)
     return spark.read.format(Volumes.name()).option("strip_bytes", strip_bytes).load(path)
 
 
-def write_volumes(blocks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Blocks (``channel`` optional; other columns are left out), each (hv, channel) together so that it becomes few files; a hot hv is dealt by z as well."""
+def write_volumes(blocks: DataFrame, path: str, mode: str = "overwrite", slab: int = 256) -> None:
+    """Blocks (``channel`` optional; other columns are left out). ``slab`` slices of a (hv, channel) stay together, so files are few and a hot hv is dealt to many tasks.
+
+    With ``overwrite`` the new list of files is written before the old one goes: a reader that starts in between sees both.
+    """
     register(blocks.sparkSession)
     keys = [c for c in ("hv", "channel") if c in blocks.columns]
-    rows = blocks.select(*(c for c in NAMES if c in blocks.columns)).repartition(*keys, "z0").sortWithinPartitions(*keys, "z0")
+    rows = blocks.select(*(c for c in NAMES if c in blocks.columns)).repartition(*keys, F.floor(F.col("z0") / slab)).sortWithinPartitions(*keys, "z0")
     rows.write.format(Volumes.name()).mode("append" if mode == "append" else "overwrite").save(path)
