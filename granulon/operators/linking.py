@@ -47,20 +47,25 @@ def predict_shear(rows: DataFrame, f: np.ndarray, shift: tuple = (0.0, 0.0, 0.0)
     return rows.withColumns({c: sum((float(f[i][j]) * F.col("xyz"[j]) for j in range(3)), F.lit(float(shift[i]))) for i, c in enumerate("xyz")})
 
 
-def links(locations: DataFrame, search: float, predicted: DataFrame | None = None, most: int = 30, shrink: float = 0.95, stop: float = 0.1, gap: int = 1, by: tuple[str, ...] = ()) -> DataFrame:
-    """(frame, by..., a, b): location a of a frame continues as b of the frame ``gap`` later, within the groups of ``by``.
-
-    Leaving a location unlinked costs search^2. A subnet with more than ``most`` sources drops its longest candidates step by step (``shrink``
-    down to ``stop`` of the range) until its parts are small enough.
-    """
+def links(locations: DataFrame, search: float, predicted: DataFrame | None = None, gap: int = 1, by: tuple[str, ...] = (), **options) -> DataFrame:
+    """(frame, by..., a, b): location a of a frame continues as b of the frame ``gap`` later, within the groups of ``by``; options as in ``matches``."""
     keys = ["frame", *by]
     a = (locations if predicted is None else predicted).select(*keys, "id", "x", "y", "z")
     b = locations.select((F.col("frame") - gap).alias("frame"), *by, "id", "x", "y", "z")
-    edges = radius_join(a, b, search, keys).select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), "d2")
+    return matches(a, b, search, keys, **options)
+
+
+def matches(a: DataFrame, b: DataFrame, search: float, keys: list[str], most: int = 30, shrink: float = 0.95, stop: float = 0.1) -> DataFrame:
+    """(keys..., a, b): the least-cost assignment of sources (keys..., id, x, y, z) to targets of the same keys within the search range.
+
+    Leaving a source unlinked costs search^2. A subnet with more than ``most`` sources drops its longest candidates step by step (``shrink``
+    down to ``stop`` of the range) until its parts are small enough.
+    """
+    edges = checkpointed(radius_join(a, b, search, keys).select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), "d2"))
     # sources are even nodes and targets odd ones of a bipartite graph
     graph = edges.select(*keys, (2 * F.col("a")).alias("i"), (2 * F.col("b") + 1).alias("j"))
     nodes = graph.select(*keys, F.col("i").alias("id")).unionAll(graph.select(*keys, F.col("j").alias("id"))).distinct()
-    net = components(nodes, graph, keys)
+    net = components(checkpointed(nodes), graph, keys)
     net = edges.join(net.select(*keys, (F.col("id") / 2).cast("long").alias("a"), "root", (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), [*keys, "a"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,17 +125,37 @@ def _chained(locations: DataFrame, found: DataFrame) -> DataFrame:
             return locations.join(head.withColumnRenamed("head", "particle"), "id")
 
 
-def link_with_memory(locations: DataFrame, search: float, memory: int, by: str = "material") -> DataFrame:
-    """Trajectories of particles that may be unseen for ``memory`` frames, all frames and materials at once.
+def continue_tracks(tracks: DataFrame, present: DataFrame, search: float, memory: int, frame: int, by: str, **options) -> tuple[DataFrame, DataFrame]:
+    """One frame's locations with their ``particle``, and the tracks after it.
+
+    Tracks (by, particle, id, x, y, z, seen) hold each track's last place and frame. Those seen in the ``memory`` + 1 frames before this one
+    compete for its locations in one assignment, at the places where they were seen last; older ones have ended.
+    """
+    alive = tracks.where(F.col("seen") >= frame - 1 - memory)
+    got = matches(alive.select(by, "id", "x", "y", "z"), present.select(by, "id", "x", "y", "z"), search, [by], **options).select(F.col("a").alias("_last"), F.col("b").alias("id"))
+    got = checkpointed(got.join(alive.select(F.col("id").alias("_last"), "particle"), "_last"))
+    linked = checkpointed(present.join(got.select("id", "particle"), "id", "left").withColumn("particle", F.coalesce("particle", "id")))
+    waiting = alive.join(got.select(F.col("_last").alias("id")), "id", "left_anti")
+    return linked, checkpointed(waiting.unionByName(linked.select(by, "particle", "id", "x", "y", "z", F.lit(frame).cast("long").alias("seen"))))
+
+
+def no_tracks(locations: DataFrame, by: str) -> DataFrame:
+    """The tracks before the first frame of a table of locations."""
+    return locations.select(by, F.col("id").alias("particle"), "id", "x", "y", "z", F.col("frame").cast("long").alias("seen")).limit(0)
+
+
+def link_with_memory(locations: DataFrame, search: float, memory: int, by: str = "material", **options) -> DataFrame:
+    """Trajectories of particles that may be unseen for ``memory`` frames: present and remembered ones compete for the places of the next frame.
 
-    Neighbouring frames are linked first; then, one gap after the other, the ends that are left with the starts that are left, so a nearer frame
-    always goes before a further one. No group is larger than a subnet of candidates of one pair of frames.
+    A frame depends on the one before, so frames go one after the other, each as joins over all its materials; no group is larger than a subnet
+    of candidates. ``id`` is unique over all; rows without frame, ``by`` or a finite place are trajectories of their own.
     """
-    ends = starts = checkpointed(locations.select("frame", by, "id", "x", "y", "z"))
-    found = None
-    for gap in range(1, memory + 2):
-        got = checkpointed(links(starts, search, predicted=ends, gap=gap, by=(by,)).select("a", "b"))
-        found = got if found is None else found.unionAll(got)
-        ends = ends.join(got.select(F.col("a").alias("id")), "id", "left_anti")
-        starts = starts.join(got.select(F.col("b").alias("id")), "id", "left_anti")
-    return _chained(locations, found)
+    usable = F.expr(f"frame is not null and {by} is not null and " + " and ".join(f"abs({c}) < double('inf')" for c in "xyz"))
+    rows = locations.select("frame", by, "id", "x", "y", "z")
+    usable = F.coalesce(usable, F.lit(False))
+    found, tracks = rows.where(~usable).withColumn("particle", F.col("id")).select("id", "particle"), no_tracks(rows, by)
+    rows = checkpointed(rows.where(usable))
+    for frame in sorted(r[0] for r in rows.select("frame").distinct().collect()):
+        linked, tracks = continue_tracks(tracks, rows.where(F.col("frame") == frame), search, memory, frame, by, **options)
+        found = found.unionByName(linked.select("id", "particle"))
+    return locations.join(found, "id")
