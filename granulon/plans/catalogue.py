@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions import tensor
 from granulon.operators import binning, clusters, fits, frames, linking, quality, setpoints, spatial, strain, stress, tiles, volume
+from granulon.operators.interpolation import linear_interpolation
 from granulon.plans import format_queries, report_queries, strain_queries, volume_queries
 from granulon.plans.adapters import POINTS, SURFACE, TRACKS, points, surface, table, tracks
 
@@ -305,8 +306,14 @@ add("setpoint_triangle", "k target:r", lambda s, d: setpoints.triangle(s, 1.0, 5
 add("setpoint_hold", "k target:r", lambda s, d: setpoints.up_hold_down(s, 0.0, 4.0, 4, 3), "select k, case when k < 4 then k * 1.0 when k < 7 then 4.0 else 4.0 - (k - 6) * 1.0 end as target from range(11) r(k)")
 
 # without SQL: assignment, noise, array kernels
+def _beside(p: DataFrame) -> DataFrame:
+    """A place beside each point."""
+    return p.select("frame", "id", F.expr("x + 0.25D").alias("x"), F.expr("y - 0.25D").alias("y"), F.expr("z + 0.125D").alias("z"))
+
+
 add("traj_link", "frame id particle x:r", lambda s, d: linking.link(points(s, d), 3.0))
 add("traj_link_memory", "frame id particle", lambda s, d: linking.link_with_memory(points(s, d).withColumn("material", F.when(F.col("id") % 4 == 0, "gel").otherwise("sed")), 3.0, 1))
+add("linear_interpolation", "frame i v:r", lambda s, d: linear_interpolation(_beside(points(s, d)), points(s, d).withColumn("v", F.expr("x + 2 * y - z")), "v", 4.0, ["frame"]))
 add("inverse_distance", "frame i v:r", lambda s, d: spatial.inverse_distance(points(s, d), points(s, d).withColumn("v", F.col("x") + F.col("y")), "v", 2.0, ["frame"]))
 
 

@@ -13,7 +13,7 @@ from granulon.operators import binning, frames, linking, stress, tiles, volume
 from granulon.operators.lineage import shared_folder
 from granulon.plans.adapters import POINTS, points, table, tracks
 from granulon.plans.adapters import TRACKS as T
-from granulon.sources import tables
+from granulon.sources import store, tables
 
 SHEAR, SHIFT = [[1.0, 0.0, 0.02], [0.0, 1.0, -0.01], [0.0, 0.0, 1.0]], (0.5, -0.25, 0.0)
 TURN = 30.0
@@ -135,6 +135,13 @@ def register(add) -> None:
     add("probability_mask", "l_orderkey l_linenumber v:r", _masked, "select l_orderkey, l_linenumber, case when l_discount::double + 2 * l_tax::double >= 0.1405 then l_quantity end as v from lineitem")
     add("tiles_of_time", "hv:i", lambda s, d: tiles.of_time(_tiled(s, d), 1, "R").distinct(), "select distinct l_partkey % 40 as hv from lineitem where l_linenumber % 3 = 1 and l_returnflag = 'R'")
     add("tiles_at_interface", "l_orderkey l_linenumber interface", lambda s, d: tiles.interface(_tiled(s, d), 4, 1), "select l_orderkey, l_linenumber, l_suppkey % 9 between 2 and 5 as interface from lineitem")
+    ends = ", ".join(f"a.{k} as {k}_ref, b.{k} as {k}_cur" for k in "xyz")
+    add(
+        "stored_pairs",
+        "particle " + " ".join(f"{k}_ref:r {k}_cur:r" for k in "xyz"),
+        lambda s, d: frames.complete_pairs(_kept(s, d), 0, 5),
+        f"select a.particle, {ends} from {T} a join {T} b on a.particle = b.particle and a.frame = 0 and b.frame = 5",
+    )
     c, n = math.cos(math.radians(TURN)), math.sin(math.radians(TURN))
     add(
         "turned_points",
@@ -152,6 +159,12 @@ def register(add) -> None:
     )
 
 
+def _kept(s, d) -> DataFrame:
+    """The tracks in a store of eight buckets."""
+    name = f"tracks_{uuid.uuid4().hex}"
+    return store.write_store(tracks(s, d), name, f"{shared_folder(s)}/{name}", 8)
+
+
 def _turned(s, d, how) -> DataFrame:
     moved = how([F.col(c) for c in "xyz"])
     return points(s, d).select("frame", "id", *(v.alias(c) for c, v in zip("xyz", moved, strict=True)))

@@ -69,3 +69,14 @@ def test_nulls_repeats_groups_and_empty_tables(spark):
     assert [r["v"] for r in linear_interpolation(places, points.limit(0), "v", 2.0, ["frame"]).collect()] == [None] * 7
     # coplanar and few points have no simplex
     assert linear_interpolation(places, points.where("id < 3"), "v", 20.0, ["frame"]).where("v is not null and i <> 2").count() == 0
+
+
+def test_query_gives_its_linear_field(spark):
+    """The query's values are those of the field at its places, wherever they are not null."""
+    from granulon.plans import adapters, catalogue
+
+    sf = "/root/testdata/sf0.001"
+    places = {(r["frame"], r["id"]): r["x"] + 2 * r["y"] - r["z"] for r in catalogue._beside(adapters.points(spark, sf)).collect()}
+    got = {(r["frame"], r["i"]): r["v"] for r in catalogue.queries()["linear_interpolation"](spark, sf).collect()}
+    assert got.keys() == places.keys() and sum(v is not None for v in got.values()) > len(got) / 20
+    assert all(v is None or v == pytest.approx(places[k], abs=1e-6) for k, v in got.items())
