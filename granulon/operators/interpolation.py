@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granulon.operators.lineage import checkpointed
 from granulon.operators.spatial import radius_join
 
 #: Corners far outside the unit ball that hold every place until points do, and what one costs: more than any simplex within the ball can need.
@@ -64,7 +65,7 @@ def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach:
 
     A simplex counts if the sphere through its corners lies wholly within ``reach`` of the place: then no point elsewhere can be inside it, so the
     result is that of a triangulation of all points. Elsewhere (outside the hull, in gaps, in the thin simplices of the hull with vast spheres) the
-    value is null; a longer reach fills more. A task holds the points within reach of some places at a time (``cells`` of them), never a group.
+    value is null; a longer reach fills more. Places are sought within a quarter and half of the reach first, which changes no value. A task holds the points within reach of some places at a time (``cells`` of them), never a group.
     Of points in one place the smallest id counts; points without a value or a finite place are none; places without a finite place get null;
     repeated ids of places are one row each. Where more than four points lie on one empty sphere, the choice among them is by order of id.
     """
@@ -73,8 +74,6 @@ def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach:
     known = known.groupBy(*by, "x", "y", "z").agg(F.min(F.struct(F.col("id"), F.col(value).cast("double").alias("v"))).alias("_p"))
     grid = grid.select(*by, "id", *((F.col(c) + 0.0).alias(c) for c in "xyz"))  # one zero, not two
     places = grid.where(finite).distinct().withColumn("_q", F.struct("id", "x", "y", "z"))
-    near = radius_join(places, known, reach, by, "_q", "_p").groupBy(*by, "i").agg(F.sort_array(F.collect_list(F.struct(F.col("j.id").alias("id"), F.col("j.v").alias("v"), "dx", "dy", "dz"))).alias("near"))
-    near = near.select(*by, "i", *(F.col(f"near.{c}").alias(c) for c in ("v", "dx", "dy", "dz")))
 
     def solve(batches):
         for pdf in batches:
@@ -88,15 +87,19 @@ def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach:
                 p, v, usable = np.zeros((len(part), most, 3)), np.zeros((len(part), most)), np.arange(most) < size[order[start:stop], None]
                 v[usable] = np.concatenate(part["v"].to_numpy())
                 for k, c in enumerate(("dx", "dy", "dz")):
-                    p[..., k][usable] = np.concatenate(part[c].to_numpy()) / reach
+                    p[..., k][usable] = np.concatenate(part[c].to_numpy()) / part["_r"].iloc[0]
                 got = simplex_mean(p, v, usable)
                 yield part[[*by, "_i"]].assign(**{value: pd.Series(got, index=part.index)})
                 start = stop
 
     kinds = ", ".join(f"`{c}` {grid.schema[c].dataType.simpleString()}" for c in by)
-    # the place's text is its key: it comes back as it went
-    keyed = near.withColumn("_i", F.to_json("i")).drop("i")
-    found = keyed.mapInPandas(solve, f"{kinds + ', ' if by else ''}_i string, `{value}` double")
-    found = found.withColumn(value, F.when(~F.isnan(value), F.col(value)))
+    # most places are settled by points much nearer than reach; the others look farther
+    found, todo = None, checkpointed(places.withColumn("_i", F.to_json("_q")))
+    for radius in (reach / 4, reach / 2, reach):
+        near = radius_join(todo, known, radius, by, "_i", "_p").groupBy(*by, F.col("i").alias("_i")).agg(F.sort_array(F.collect_list(F.struct(F.col("j.id").alias("id"), F.col("j.v").alias("v"), "dx", "dy", "dz"))).alias("near"))
+        got = near.select(*by, "_i", F.lit(radius).alias("_r"), *(F.col(f"near.{c}").alias(c) for c in ("v", "dx", "dy", "dz"))).mapInPandas(solve, f"{kinds + ', ' if by else ''}_i string, `{value}` double")
+        got = checkpointed(got.where(F.col(value).isNotNull() & ~F.isnan(value)))  # Arrow makes nulls of NaN
+        found = got if found is None else found.unionAll(got)
+        todo = todo.join(got, [*by, "_i"], "left_anti")
     every = grid.withColumn("_i", F.to_json(F.struct("id", "x", "y", "z")))
     return every.join(found, [*by, "_i"], "left").select(*by, F.col("id").alias("i"), value)
