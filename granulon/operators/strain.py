@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granulon.functions.tensor import von_mises, with_polar
+from granulon.functions.tensor import SYM, von_mises, with_polar
 from granulon.operators.resampling import resample
-from granulon.operators.spatial import radius_join
 
 
 def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -16,14 +17,100 @@ def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> Dat
     return side("ref", 0).join(pairs.select("ref", "cur"), "ref").join(side("cur", 1), [*by, "cur", "particle"])
 
 
-def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = ()) -> DataFrame:
-    """Sums over the reference neighbours (self included, which adds nothing) of products of offsets; incomplete tracks go first."""
+PLACE = [f"{c}{k}" for k in (0, 1) for c in "xyz"]
+SUMS = [f"x{a}{b}" for a in "xyz" for b in "xyz"] + ["yxx", "yxy", "yxz", "yyy", "yyz", "yzz", "cc"]
+
+
+def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = (), most: int = 20_000) -> DataFrame:
+    """Sums over the reference neighbours (self included, which adds nothing) of products of offsets; incomplete tracks go first.
+
+    Particles with the same two places have the same sums, so each pair of places is worked out once, weighted by its particles. Places go to
+    blocks of four radii and to the blocks that they reach into, and a task sums over the neighbours there: no edge leaves it. A block of more
+    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up.
+    """
     both, keys = paired(tracks, pairs, by), [*by, "ref", "cur"]
-    ref = both.select(*keys, F.col("particle").alias("id"), *(F.col(f"{c}0").alias(c) for c in "xyz"))
-    edges = radius_join(ref, ref, r, keys).drop("d2").withColumnsRenamed({f"d{c}": f"r{c}" for c in "xyz"})
-    now = lambda k: both.select(*keys, F.col("particle").alias(k), *(F.col(f"{c}1").alias(f"{c}{k}") for c in "xyz"))
-    edges = edges.join(now("i"), [*keys, "i"]).join(now("j"), [*keys, "j"]).withColumns({f"c{c}": F.expr(f"{c}j - {c}i") for c in "xyz"})
-    return edges.groupBy(*keys, F.col("i").alias("particle")).agg(*_sums())
+    states = both.where(" and ".join(f"abs({c}0) < double('inf')" for c in "xyz")).groupBy(*keys, *PLACE).agg(F.count("*").alias("_w"))
+    blocks = [*keys, "_bx", "_by", "_bz"]
+    side, reach = 4 * r, r * (1 + 1e-9)
+    rows = states
+    for c in "xyz":
+        rows = rows.withColumn(f"_b{c}", F.explode(F.expr(f"sequence(floor(({c}0 - {reach!r}D) / {side!r}D), floor(({c}0 + {reach!r}D) / {side!r}D))")))
+    home = F.expr(" and ".join(f"_b{c} = floor({c}0 / {side!r}D)" for c in "xyz"))
+    dense = rows.groupBy(*blocks).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    rows = rows.withColumn("_home", home).join(dense, blocks, "left").withColumn("_s", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int"))
+    rows = rows.withColumn("_k", F.pmod(F.xxhash64(*PLACE), F.col("_s")).cast("int"))
+    # group (a, b) sums over the places of slice b about those of slice a
+    meets = "transform(sequence(0, _s - 1), k -> named_struct('_a', k, '_b', _k, '_query', _home and k = _k, '_near', true))"
+    asks = "transform(filter(sequence(0, _s - 1), k -> _home and k <> _k), k -> named_struct('_a', _k, '_b', k, '_query', true, '_near', false))"
+    rows = rows.select(*blocks, *PLACE, "_w", F.expr(f"inline(concat({meets}, {asks}))"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    schema = f"{kinds}, {', '.join(f'{c} double' for c in (*PLACE, *SUMS))}, nnb_count long"
+    part = rows.groupBy(*blocks, "_a", "_b").applyInArrow(_block_sums(keys, r), schema)
+    sums = part.groupBy(*keys, *PLACE).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
+    named = sums.withColumnsRenamed({c: f"_{c}" for c in (*keys, *PLACE)})
+    same = [F.col(c) == F.col(f"_{c}") for c in (*keys, *PLACE[:3])] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE[3:]]
+    return both.join(named, same).select(*keys, "particle", *SUMS, "nnb_count")
+
+
+def _block_sums(keys: list[str], r: float):
+    """Sums about the places of one group of ``neighbour_sums``, from its places within r; cells of r keep the distances that are looked at few."""
+
+    def sums(rows: pa.Table) -> pa.Table:
+        at = np.column_stack([rows[c].to_numpy() for c in PLACE[:3]])
+        now = np.column_stack([rows[c].fill_null(0.0).to_numpy() for c in PLACE[3:]])
+        void = np.column_stack([rows[c].is_null().to_numpy() for c in PLACE[3:]])
+        weight, gaps = rows["_w"].to_numpy(), void.any()
+        cells = np.floor(at / (r * (1 + 1e-9)))
+        near, query = np.flatnonzero(rows["_near"].to_numpy(zero_copy_only=False)), np.flatnonzero(rows["_query"].to_numpy(zero_copy_only=False))
+        if not len(query) or not len(near):
+            return pa.table({c: pa.array([], f.type) for c, f in zip(rows.column_names, rows.schema, strict=True) if c in keys + PLACE} | {c: pa.array([], pa.float64()) for c in SUMS} | {"nnb_count": pa.array([], pa.int64())})
+        near = near[np.lexsort(cells[near].T)]
+        kept, starts = np.unique(cells[near][:, ::-1], axis=0, return_index=True)
+        span = {tuple(c[::-1]): near[i:j] for c, i, j in zip(kept, starts, [*starts[1:], len(near)], strict=True)}
+        query = query[np.lexsort(cells[query].T)]
+        asked, starts = np.unique(cells[query][:, ::-1], axis=0, return_index=True)
+        out, count = np.zeros((len(rows), 6, 6)), np.zeros(len(rows), "int64")
+        squares = np.zeros(len(rows))
+        for cell, i, j in zip(asked[:, ::-1], starts, [*starts[1:], len(query)], strict=True):
+            about = [span[k] for k in ((cell[0] + dx, cell[1] + dy, cell[2] + dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)) if k in span]
+            if not about:
+                continue
+            about = np.concatenate(about)
+            step = max(1, 500_000 // len(about))
+            for k in range(i, j, step):
+                _sum_about(query[k : min(k + step, j)], about, at, now, void if gaps else None, weight, r * r, out, squares, count)
+        found = query[count[query] > 0]
+        named = {f"x{a}{b}": out[found, 3 + i, j] for i, a in enumerate("xyz") for j, b in enumerate("xyz")}
+        named |= {f"y{a}{b}": out[found, "xyz".index(a), "xyz".index(b)] for a, b in SYM}
+        named["cc"] = squares[found] if gaps else np.einsum("iaa->i", out[found, 3:, 3:])
+        lost = {f"x{a}{b}": void[found, i] for i, a in enumerate("xyz") for b in "xyz"} | {"cc": void[found].any(1)}
+        taken = rows.take(pa.array(found)).select([*keys, *PLACE])
+        for c in SUMS:
+            taken = taken.append_column(c, pa.array(named[c], mask=lost.get(c)))
+        return taken.append_column("nnb_count", pa.array(count[found]))
+
+    return sums
+
+
+def _sum_about(query, about, at, now, void, weight, r2, out, squares, count) -> None:
+    """Adds the products of offsets of the places ``about`` within reach of each place of ``query``; nulls (``void``) add nothing."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        dx, dy, dz = (at[about, c][None, :] - at[query, c][:, None] for c in range(3))
+        i, j = np.nonzero(dx * dx + dy * dy + dz * dz <= r2)
+        q, j = query[i], about[j]
+        offsets = np.concatenate([at[j] - at[q], now[j] - now[q]], axis=1)
+        w = weight[j]
+        if void is not None:
+            gone = void[j] | void[q]
+            offsets[:, 3:][gone] = 0.0
+            np.add.at(squares, q, np.where(gone.any(1), 0.0, w * (offsets[:, 3:] ** 2).sum(1)))
+        heavy = offsets if (w == 1).all() else offsets * w[:, None]
+        ends = np.searchsorted(i, np.arange(len(query) + 1))
+        for n, row in enumerate(query):
+            lo, hi = ends[n], ends[n + 1]
+            if hi > lo:
+                out[row] = out[row] + heavy[lo:hi].T @ offsets[lo:hi]
+                count[row] += w[lo:hi].sum()
 
 
 def _sums() -> list:
