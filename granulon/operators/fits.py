@@ -6,11 +6,15 @@ import math
 from functools import lru_cache
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from granulon.functions.tensor import eigenvalues
+from granulon.operators.lineage import checkpointed
 
 
 def plane_fit(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -93,22 +97,111 @@ def line_fit(rows: DataFrame, x: str, y: str, by: list[str], confidence: float =
 def theil_sen(rows: DataFrame, x: str, y: str, key: str, by: list[str], z: float = 1.959963984540054) -> DataFrame:
     """Median of pair slopes by group and median(y) - m median(x), with order-statistic bounds of the slope.
 
-    Pairs are joined on the group (a frame's tracers); the bounds are the slopes at (N -+ z sigma) / 2 of their N.
+    The bounds are the slopes at (N -+ z sigma) / 2 of their N. A row without x or y is in no pair; ``key`` names the rows. No slope leaves the
+    task that makes it: see ``_slopes_at``.
     """
-    a = rows.select(*by, F.col(key).alias("k1"), F.col(x).alias("x1"), F.col(y).alias("y1"))
-    b = rows.select(*by, F.col(key).alias("k2"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    slopes = a.join(b, by).where("k1 < k2 and x1 <> x2").withColumn("slope", F.expr("(y2 - y1) / (x2 - x1)"))
     n = rows.groupBy(*by).agg(F.count("*").alias("n"), F.median(x).alias("mx"), F.median(y).alias("my"))
-    found = slopes.groupBy(*by).agg(F.median("slope").alias("m"), F.count("*").alias("pairs"))
+    seen = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(key).alias("w"))
+    blocks = _slope_blocks(seen, by)
     half = F.expr(f"{z} * sqrt(n * (n - 1) * (2 * n + 5) / 18.0)")
-    place = lambda sign: F.least(F.greatest(F.round((F.col("pairs") + sign * half) / 2), F.lit(1.0)), F.col("pairs").cast("double"))
-    found = found.join(n, by).withColumns({"_lo": place(-1).cast("long"), "_hi": place(1).cast("long")})
-    # how many slopes are at most each distinct one, so the two order statistics are read without holding a group's slopes together
-    levels = slopes.groupBy(*by, "slope").agg(F.count("*").alias("_n"))
-    upto = levels.withColumn("_upto", F.sum("_n").over(W.partitionBy(*by).orderBy("slope")))
-    at = lambda c: F.min(F.when(F.col("_upto") >= F.col(c), F.col("slope")))
-    bounds = upto.join(found.select(*by, "_lo", "_hi"), by).groupBy(*by).agg(at("_lo").alias("ci_lo"), at("_hi").alias("ci_hi"))
-    return found.join(bounds, by).select(*by, "m", (F.col("my") - F.col("m") * F.col("mx")).alias("b"), "ci_lo", "ci_hi", "n")
+    place = lambda sign: F.least(F.greatest(F.round((F.col("pairs") + sign * half) / 2), F.lit(1.0)), F.col("pairs").cast("double")).cast("long")
+    middle = [F.floor((F.col("pairs") + k) / 2).alias(f"rank{k}") for k in (1, 2)]
+
+    def ranks(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(n.select(*by, "n"), by).select(*by, *middle, place(-1).alias("lo"), place(1).alias("hi"))
+        return found.select(*by, F.expr("stack(4, 0, rank1, 1, rank2, 2, lo, 3, hi) as (which, rank)"))
+
+    at = lambda k: F.max(F.when(F.col("which") == k, F.col("slope")))
+    found = _slopes_at(blocks, by, ranks).groupBy(*by).agg(at(0).alias("_m0"), at(1).alias("_m1"), at(2).alias("ci_lo"), at(3).alias("ci_hi"))
+    found = found.withColumn("m", F.col("_m0") * 0.5 + F.col("_m1") * 0.5)
+    return found.join(n, by).select(*by, "m", (F.col("my") - F.col("m") * F.col("mx")).alias("b"), "ci_lo", "ci_hi", "n")
+
+
+def _slope_blocks(points: DataFrame, by: list[str], size: int = 2_000) -> DataFrame:
+    """Weighted points (by..., x, y, w) dealt so that each two of a group's slices meet in one block: (by..., _a, _b, x, y, w, _s)."""
+    many = points.groupBy(*by).agg(F.ceil(F.count("*") / size).cast("int").alias("_k"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    dealt = points.join(many.withColumnsRenamed({c: f"_{c}" for c in by}), same) if by else points.crossJoin(many)
+    dealt = dealt.withColumn("_s", F.pmod(F.xxhash64("x", "y"), F.col("_k")).cast("int"))
+    pair = "inline(transform(sequence(0, _k - 1), k -> named_struct('_a', least(k, _s), '_b', greatest(k, _s))))"
+    return checkpointed(dealt.select(*by, "x", "y", "w", "_s", F.expr(pair)))
+
+
+def _sorted_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of doubles: minus and plus zero are one, NaN is the greatest."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _slopes_at(blocks: DataFrame, by: list[str], ranks, bits: int = 16) -> DataFrame:
+    """(by..., which, slope): exact order statistics of the weighted slopes between each two points with different x.
+
+    Slopes are counted by the first ``bits`` of their order, then by the next ones of those that begin like a rank sought, and so on: four
+    passes over the pairs, in which a task holds the slopes of one part of two slices and returns counts. ``ranks`` makes (by..., which, rank) of (by..., pairs).
+    """
+    kinds = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds + ', ' if by else ''}head long, part int, n long"
+    low = np.uint64((1 << bits) - 1)
+
+    def count(level: int):
+        shift = np.uint64(64 - bits * (level + 1))
+
+        def counts(group: pd.DataFrame) -> pd.DataFrame:
+            heads = None if level == 0 else np.sort(np.asarray(group["_heads"].iloc[0], np.int64).view(np.uint64))
+            a, b = group["_a"].iloc[0], group["_b"].iloc[0]
+            p, q = group[group["_s"] == a], group[group["_s"] == b]
+            px, py, pw, qx, qy, qw = (g[c].to_numpy() for g in (p, q) for c in ("x", "y", "w"))
+            tally = np.zeros((1 if heads is None else len(heads), int(low) + 1), np.int64)
+            step = max(1, 250_000 // max(1, len(qx)))
+            for k in range(0, len(px), step):
+                part = slice(k, k + step)
+                with np.errstate(all="ignore"):
+                    slope = (qy[None, :] - py[part, None]) / (qx[None, :] - px[part, None])
+                use = (qx[None, :] != px[part, None]) & ~(np.isnan(qx)[None, :] & np.isnan(px[part, None]))
+                if a == b:
+                    use &= np.arange(len(qx))[None, :] > np.arange(len(px))[part, None]
+                i, j = np.nonzero(use)
+                order, w = _sorted_bits(slope[use]), pw[part][i] * qw[j]
+                row = np.zeros(len(order), np.int64)
+                if heads is not None:
+                    head = order >> (shift + np.uint64(bits))
+                    row = np.searchsorted(heads, head)
+                    hit = (row < len(heads)) & (heads[np.minimum(row, len(heads) - 1)] == head)
+                    order, w, row = order[hit], w[hit], row[hit]
+                np.add.at(tally, (row, ((order >> shift) & low).astype(np.int64)), w)
+            row, part = np.nonzero(tally)
+            found = pd.DataFrame({"head": np.zeros(len(row), np.int64) if heads is None else heads.view(np.int64)[row], "part": part.astype("int32"), "n": tally[row, part]})
+            for k, c in enumerate(by):
+                found.insert(k, c, group[c].iloc[0])
+            return found
+
+        return counts
+
+    same = lambda other: [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in other]
+    apart = lambda df: df.withColumnsRenamed({c: f"_{c}" for c in by})
+    sought = None
+    for level in range(64 // bits):
+        rows = blocks
+        if level:
+            heads = apart(sought.groupBy(*by).agg(F.collect_set("head").alias("_heads")))
+            rows = rows.join(heads, same(by)).select(*blocks.columns, "_heads")
+        n = rows.groupBy(*by, "_a", "_b").applyInPandas(count(level), schema).groupBy(*by, "head", "part").agg(F.sum("n").alias("n"))
+        n = checkpointed(n)
+        if sought is None:
+            sought = ranks(n.groupBy(*by).agg(F.sum("n").alias("pairs"))).withColumn("head", F.lit(0).cast("long"))
+        upto = apart(n.withColumn("upto", F.sum("n").over(W.partitionBy(*by, "head").orderBy("part"))).withColumnRenamed("head", "_head"))
+        # the rank is counted on among the slopes that begin alike
+        hit = (F.col("head") == F.col("_head")) & (F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("n"))
+        found = sought.join(upto, [*same(by), hit])
+        sought = checkpointed(found.select(*by, "which", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), F.expr(f"shiftleft(head, {bits}) | part").alias("head")))
+    # back from the order to the double
+    value = F.when(F.col("head") < 0, F.expr("head & 9223372036854775807L")).otherwise(F.expr("~head"))
+    return sought.select(*by, "which", _as_double(value).alias("slope"))
+
+
+@F.pandas_udf(DoubleType())
+def _as_double(bits: pd.Series) -> pd.Series:
+    return pd.Series(bits.to_numpy(dtype="int64").view("float64"))
 
 
 def binned_median_fit(binned: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from granulon.operators import strain
+from granulon.operators import fits, strain
 
 
 def shuffled(spark, run):
@@ -60,10 +60,49 @@ def test_neighbour_sums_skip_nulls_of_the_current_frame(spark):
     assert rows[1]["xxx"] == 2.0 and rows[1]["xyx"] is None and rows[1]["cc"] is None
 
 
-def test_neighbour_sums_send_no_edges(spark):
-    n = 1500
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins shuffle both sides, as those of large tables do."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_neighbour_sums_send_no_edges(spark, no_broadcast):
+    n = 1000
     ref, cur = places(n, 3, 0.5), places(n, 4, 0.5)  # all within reach of most
     t = as_tracks(spark, ref, cur)
     found, rows = shuffled(spark, lambda: strain.neighbour_sums(t, spark.createDataFrame([(0, 1)], "ref long, cur long"), 2.0).collect())
     assert len(found) == n and sum(x["nnb_count"] for x in found) > 100 * n
     assert rows < 60 * n
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_theil_sen_sends_no_slopes(spark, no_broadcast, copies):
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=400).round(2), rng.normal(size=400).round(2)
+    rows = [(0, k * 1000 + i, float(a), float(b)) for k in range(copies) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    t = spark.createDataFrame(rows, "frame long, particle long, x double, y double")
+    got, sent = shuffled(spark, lambda: fits.theil_sen(t, "x", "y", "particle", ["frame"]).collect())
+    xs, ys = np.tile(x, copies), np.tile(y, copies)
+    i, j = np.triu_indices(len(xs), 1)
+    use = xs[i] != xs[j]
+    slopes = np.sort((ys[j] - ys[i])[use] / (xs[j] - xs[i])[use])
+    n, pairs = len(xs), len(slopes)
+    half = 1.959963984540054 * np.sqrt(n * (n - 1) * (2 * n + 5) / 18)
+    want = [np.median(slopes), slopes[round((pairs - half) / 2) - 1], slopes[round((pairs + half) / 2) - 1]]
+    assert [got[0]["m"], got[0]["ci_lo"], got[0]["ci_hi"]] == pytest.approx(want, rel=1e-12)
+    assert got[0]["n"] == n and sent < 40_000
+
+
+def test_slopes_in_several_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k % 2, float(a), float(b), 1) for k, (a, b) in enumerate(rng.normal(size=(120, 2)))]
+    points = spark.createDataFrame(rows, "frame long, x double, y double, w long")
+    ranks = lambda pairs: pairs.selectExpr("frame", "explode(sequence(1L, pairs, 211L)) as rank").selectExpr("frame", "cast(rank as int) as which", "rank")
+    got = {(r["frame"], r["which"]): r["slope"] for r in fits._slopes_at(fits._slope_blocks(points, ["frame"], size=16), ["frame"], ranks).collect()}
+    for f in (0, 1):
+        p = [(a, b) for k, a, b, _ in rows if k == f]
+        slopes = sorted((p[j][1] - p[i][1]) / (p[j][0] - p[i][0]) for i in range(60) for j in range(i + 1, 60))
+        assert {w: s for (k, w), s in got.items() if k == f} == {w: slopes[w - 1] for w in range(1, len(slopes) + 1, 211)}
