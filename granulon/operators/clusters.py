@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions.tensor import SYM, eigenvectors
 from granulon.operators.lineage import checkpointed
-from granulon.operators.spatial import radius_join, radius_pairs
+from granulon.operators.spatial import linked_cells, near_any, radius_join
 
 SIX = [f"e{k}" for k in SYM]
 
@@ -37,7 +37,10 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
 def find_clusters(points: DataFrame, selected, r: float, by: list[str]) -> DataFrame:
     """(by..., id, cluster): numbered by descending size, ties to the smallest member; 0 where not selected."""
     high = points.where(selected)
-    found = components(high, radius_pairs(high, r, by), by)
+    whose, links = linked_cells(high, r, by)
+    whose = checkpointed(whose)
+    cells = components(whose.select(*by, F.col("cell").alias("id")).distinct(), links, by)
+    found = whose.join(cells.withColumnRenamed("id", "cell"), [*by, "cell"]).select(*by, "id", "root")
     sizes = found.groupBy(*by, "root").agg(F.count("*").alias("size"))
     ranks = sizes.withColumn("cluster", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("size"), "root")))
     members = found.join(ranks, [*by, "root"]).select(*by, "id", "cluster")
@@ -57,8 +60,8 @@ def size_counts(table: DataFrame, by: list[str]) -> DataFrame:
 def near_large(points: DataFrame, members: DataFrame, least: int, r: float, by: list[str]) -> DataFrame:
     """Points with a neighbour (or themselves) in a cluster of at least so many members."""
     sizes = members.where("cluster > 0").groupBy(*by, "cluster").agg(F.count("*").alias("size"))
-    big = members.join(sizes, [*by, "cluster"]).where(F.col("size") >= least).select(*by, F.col("id").alias("j"))
-    return radius_join(points, points, r, by).join(big, [*by, "j"], "left_semi").select(*by, F.col("i").alias("id")).distinct()
+    big = members.join(sizes, [*by, "cluster"]).where(F.col("size") >= least).select(*by, "id", F.lit(True).alias("_big"))
+    return near_any(points.join(big, [*by, "id"], "left").withColumn("_big", F.coalesce("_big", F.lit(False))), "_big", r, by)
 
 
 def about_centres(points: DataFrame, centres: DataFrame, r: float, by: list[str]) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +34,118 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, by: list[str], left
     return joined.select(*by, "i", "j", *(F.expr(f"{c}2 - {c}1").alias(f"d{c}") for c in "xyz"), "d2")
 
 
+GROUP = ("_bx", "_by", "_bz", "_a", "_b")
+
+
+def block_groups(rows: DataFrame, by: list[str], at: list[str], key: list[str], r: float, most: int = 20_000) -> DataFrame:
+    """Rows dealt to the groups (by..., ``GROUP``) in which each row of ``_query`` meets, once over all its groups, each row of ``_near`` within r.
+
+    Rows at finite places (``at``) go to blocks of four radii and to the blocks that they reach into. A block of more than ``most`` rows is dealt
+    by hash of ``key`` into slices, and every slice meets every slice, so what is summed or collected over groups is that of the block.
+    """
+    side, reach = 4 * r, r * (1 + 1e-9)
+    blocks, names = [*by, *GROUP[:3]], rows.columns
+    for block, c in zip(GROUP[:3], at, strict=True):
+        rows = rows.withColumn(block, F.explode(F.expr(f"sequence(floor(({c} - {reach!r}D) / {side!r}D), floor(({c} + {reach!r}D) / {side!r}D))")))
+    home = F.expr(" and ".join(f"{block} = floor({c} / {side!r}D)" for block, c in zip(GROUP[:3], at, strict=True)))
+    dense = rows.groupBy(*blocks).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    rows = rows.withColumn("_home", home).join(dense, blocks, "left").withColumn("_s", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int"))
+    rows = rows.withColumn("_k", F.pmod(F.xxhash64(*key), F.col("_s")).cast("int"))
+    # group (a, b) has the queries of slice a and what slice b has near them
+    meets = "transform(sequence(0, _s - 1), k -> named_struct('_a', k, '_b', _k, '_query', _home and k = _k, '_near', true))"
+    asks = "transform(filter(sequence(0, _s - 1), k -> _home and k <> _k), k -> named_struct('_a', _k, '_b', k, '_query', true, '_near', false))"
+    return rows.select(*names, *GROUP[:3], F.expr(f"inline(concat({meets}, {asks}))"))
+
+
+def _cell_spans(cells: np.ndarray, rows: np.ndarray) -> dict[tuple, np.ndarray]:
+    """Those rows by their cell."""
+    if not len(rows):
+        return {}
+    rows = rows[np.lexsort(cells[rows].T[::-1])]
+    kept, starts = np.unique(cells[rows], axis=0, return_index=True)
+    return {tuple(c): rows[i:j] for c, i, j in zip(kept, starts, [*starts[1:], len(rows)], strict=True)}
+
+
+def _within(at: np.ndarray, p: np.ndarray, q: np.ndarray, r2: float) -> np.ndarray:
+    """Which of the rows p have one of q within reach; a few distances at a time, and none for those that have found one."""
+    found = np.zeros(len(p), bool)
+    step = max(1, 250_000 // max(1, len(p)))
+    for k in range(0, len(q), step):
+        open_ = np.flatnonzero(~found)
+        if not len(open_):
+            break
+        dx, dy, dz = (at[q[k : k + step], c][None, :] - at[p[open_], c][:, None] for c in range(3))
+        found[open_] = (dx * dx + dy * dy + dz * dz <= r2).any(1)
+    return found
+
+
+def _meets(at: np.ndarray, p: np.ndarray, q: np.ndarray, r2: float) -> bool:
+    """Whether any of the rows p has one of q within reach."""
+    step = max(1, 250_000 // max(1, len(q)))
+    return any(_within(at, p[k : k + step], q, r2).any() for k in range(0, len(p), step))
+
+
+def _finite() -> str:
+    return " and ".join(f"abs({c}) < double('inf')" for c in "xyz")
+
+
+#: Cells of a third of the cube about a ball: points of one cell are within reach of each other, cells of points within reach are at most two apart.
+_TIGHT = (1 - 1e-6) / math.sqrt(3)
+
+
+def linked_cells(points: DataFrame, r: float, by: list[str], key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The graph of points within r of each other, by cells whose points are all within r: (by..., key, cell) and (by..., i, j) between cells; a cell is named by its smallest key.
+
+    Of two cells only whether any points are within r is found out, inside a task, so what is shuffled grows with points and not with pairs.
+    Points without a finite place are cells of their own.
+    """
+    side, cell = r * _TIGHT, ["_ci", "_cj", "_ck"]
+    placed = points.where(_finite()).select(*by, F.col(key).alias("_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"))
+    at_cell = lambda df: df.withColumns({k: F.rint(F.col(c) / F.lit(side)) + 0.0 for k, c in zip(cell, "xyz", strict=True)})
+    first = checkpointed(at_cell(placed).groupBy(*by, *cell).agg(F.min("_id").alias("cell")))
+    steps = [k for k in itertools.product((-2, -1, 0, 1, 2), repeat=3) if k > (0, 0, 0)]
+
+    def links(rows: pa.Table) -> pa.Table:
+        at = np.column_stack([rows[c].to_numpy() for c in "xyz"])
+        cells = np.rint(at / side) + 0.0
+        spans = [_cell_spans(cells, np.flatnonzero(rows[c].to_numpy(zero_copy_only=False))) for c in ("_query", "_near")]
+        found = [(*k, *m) for k in spans[0] for m in (tuple(np.add(k, s)) for s in steps) if m in spans[1] and _meets(at, spans[0][k], spans[1][m], r * r)]
+        found = np.array(found, float).reshape(-1, 6)
+        keys = {c: pa.array([rows[c][0].as_py()] * len(found), rows.schema.field(c).type) for c in by}
+        return pa.table(keys | {f"{side}{c}": pa.array(found[:, 3 * n + k]) for n, side in enumerate("ab") for k, c in enumerate(cell)})
+
+    kinds = "".join(f"`{c}` {placed.schema[c].dataType.simpleString()}, " for c in by)
+    dealt = block_groups(placed, by, list("xyz"), ["_id"], r)
+    found = dealt.groupBy(*by, *GROUP).applyInArrow(links, kinds + ", ".join(f"{s}{c} double" for s in "ab" for c in cell)).distinct()
+    for s, name in (("a", "i"), ("b", "j")):
+        found = found.join(first.withColumnsRenamed({c: f"{s}{c}" for c in cell} | {"cell": name}), [*by, *(f"{s}{c}" for c in cell)])
+    whose = at_cell(placed).join(first, [*by, *cell]).select(*by, F.col("_id").alias(key), "cell")
+    lone = points.where(~F.coalesce(F.expr(_finite()), F.lit(False))).select(*by, key, F.col(key).alias("cell"))
+    return whose.unionByName(lone), found.select(*by, "i", "j")
+
+
+def near_any(points: DataFrame, marked: str, r: float, by: list[str], key: str = "id") -> DataFrame:
+    """(by..., key) of the points within r of a point where the column ``marked`` is true, itself included; only they leave a task."""
+    placed = points.where(_finite()).select(*by, key, *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col(marked).alias("_m"))
+
+    def near(rows: pa.Table) -> pa.Table:
+        at = np.column_stack([rows[c].to_numpy() for c in "xyz"])
+        marks = rows["_near"].to_numpy(zero_copy_only=False) & rows["_m"].to_numpy(zero_copy_only=False)
+        cells = np.rint(at / r)
+        spans, hit = _cell_spans(cells, np.flatnonzero(marks)), np.zeros(len(rows), bool)
+        for k, p in _cell_spans(cells, np.flatnonzero(rows["_query"].to_numpy(zero_copy_only=False))).items():
+            for s in sorted(itertools.product((-2, -1, 0, 1, 2), repeat=3), key=lambda s: sum(map(abs, s))):
+                q = spans.get(tuple(np.add(k, s)))
+                if q is not None:
+                    p = p[~hit[p]]
+                    for n in range(0, len(p), 4096):
+                        hit[p[n : n + 4096]] = _within(at, p[n : n + 4096], q, r * r)
+        return rows.filter(pa.array(hit)).select([*by, key])
+
+    kinds = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in (*by, key))
+    return block_groups(placed, by, list("xyz"), [key], r).groupBy(*by, *GROUP).applyInArrow(near, kinds).distinct()
+
+
 def radius_pairs(points: DataFrame, r: float, by: list[str], key: str = "id") -> DataFrame:
     """Each pair once (i < j)."""
     return radius_join(points, points, r, by, key, key).where("i < j")

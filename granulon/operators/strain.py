@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from granulon.functions.tensor import SYM, von_mises, with_polar
 from granulon.operators.resampling import resample
+from granulon.operators.spatial import GROUP, block_groups
 
 
 def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -30,22 +31,10 @@ def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str,
     """
     both, keys = paired(tracks, pairs, by), [*by, "ref", "cur"]
     states = both.where(" and ".join(f"abs({c}0) < double('inf')" for c in "xyz")).groupBy(*keys, *PLACE).agg(F.count("*").alias("_w"))
-    blocks = [*keys, "_bx", "_by", "_bz"]
-    side, reach = 4 * r, r * (1 + 1e-9)
-    rows = states
-    for c in "xyz":
-        rows = rows.withColumn(f"_b{c}", F.explode(F.expr(f"sequence(floor(({c}0 - {reach!r}D) / {side!r}D), floor(({c}0 + {reach!r}D) / {side!r}D))")))
-    home = F.expr(" and ".join(f"_b{c} = floor({c}0 / {side!r}D)" for c in "xyz"))
-    dense = rows.groupBy(*blocks).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    rows = rows.withColumn("_home", home).join(dense, blocks, "left").withColumn("_s", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int"))
-    rows = rows.withColumn("_k", F.pmod(F.xxhash64(*PLACE), F.col("_s")).cast("int"))
-    # group (a, b) sums over the places of slice b about those of slice a
-    meets = "transform(sequence(0, _s - 1), k -> named_struct('_a', k, '_b', _k, '_query', _home and k = _k, '_near', true))"
-    asks = "transform(filter(sequence(0, _s - 1), k -> _home and k <> _k), k -> named_struct('_a', _k, '_b', k, '_query', true, '_near', false))"
-    rows = rows.select(*blocks, *PLACE, "_w", F.expr(f"inline(concat({meets}, {asks}))"))
+    rows = block_groups(states, [*keys], PLACE[:3], PLACE, r, most).select(*keys, *GROUP, *PLACE, "_w", "_query", "_near")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
     schema = f"{kinds}, {', '.join(f'{c} double' for c in (*PLACE, *SUMS))}, nnb_count long"
-    part = rows.groupBy(*blocks, "_a", "_b").applyInArrow(_block_sums(keys, r), schema)
+    part = rows.groupBy(*keys, *GROUP).applyInArrow(_block_sums(keys, r), schema)
     sums = part.groupBy(*keys, *PLACE).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
     named = sums.withColumnsRenamed({c: f"_{c}" for c in (*keys, *PLACE)})
     same = [F.col(c) == F.col(f"_{c}") for c in (*keys, *PLACE[:3])] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE[3:]]

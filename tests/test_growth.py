@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from granulon.operators import fits, strain
+from granulon.operators import clusters, fits, spatial, strain
 
 
 def shuffled(spark, run):
@@ -106,3 +107,30 @@ def test_slopes_in_several_blocks(spark):
         p = [(a, b) for k, a, b, _ in rows if k == f]
         slopes = sorted((p[j][1] - p[i][1]) / (p[j][0] - p[i][0]) for i in range(60) for j in range(i + 1, 60))
         assert {w: s for (k, w), s in got.items() if k == f} == {w: slopes[w - 1] for w in range(1, len(slopes) + 1, 211)}
+
+
+@pytest.mark.parametrize("most", [20_000, 30])
+def test_clusters_by_cells(spark, monkeypatch, most):
+    groups = spatial.block_groups
+    monkeypatch.setattr(spatial, "block_groups", lambda *a: groups(*a, most=most))
+    p, r = places(300, 7, 2.0), 0.7
+    p[0], p[1], p[2] = (50, 0, 0), (50 + r, 0, 0), (50 + 2.5 * r, 0, 0)
+    root = list(range(300))
+    near = ((p[:, None] - p[None]) ** 2).sum(2) <= r * r
+    for _ in range(300):
+        root = [min(root[j] for j in np.flatnonzero(near[i])) for i in range(300)]
+    t = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)] + [(0, 300, float("nan"), 0.0, 0.0)], "frame long, id long, x double, y double, z double")
+    got = {x["id"]: x["cluster"] for x in clusters.find_clusters(t, F.lit(True), r, ["frame"]).collect()}
+    sizes = {k: root.count(k) for k in set(root)} | {300: 1}
+    rank = {k: n for n, k in enumerate(sorted(sizes, key=lambda k: (-sizes[k], k)), 1)}
+    assert got == {i: rank[k] for i, k in enumerate([*root, 300])}
+    members = spark.createDataFrame([(0, i, c) for i, c in got.items()], "frame long, id long, cluster long")
+    big = [sizes[k] >= 5 for k in root]
+    assert {x["id"] for x in clusters.near_large(t, members, 5, r, ["frame"]).collect()} == {i for i in range(300) if any(big[j] for j in np.flatnonzero(near[i]))}
+
+
+def test_clusters_send_no_pairs(spark, no_broadcast):
+    n = 800
+    t = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(places(n, 8, 0.4))], "frame long, id long, x double, y double, z double")
+    found, rows = shuffled(spark, lambda: clusters.find_clusters(t, F.lit(True), 1.0, ["frame"]).collect())
+    assert len(found) == n and rows < 100 * n
