@@ -161,6 +161,8 @@ def nearest(points: DataFrame, k: int, r: float, by: list[str], key: str = "id")
     points = points.where(" and ".join(f"abs({c}) < double('inf')" for c in "xyz"))  # false for NaN, which is over infinity
     extent = sum((F.max(c) - F.min(c) for c in "xyz"), F.lit(0.0))
     sizes = checkpointed(points.groupBy(*by).agg((F.count("*") - 1).alias("_others"), extent.alias("_extent")))
+    # in dense groups the first radius is less, so that candidates do not grow with density; it changes no result
+    r = min(r, max(r / 64, typical_radius(points, 2 * k, by)))
     found, todo = None, points
     while found is None or not todo.isEmpty():
         hits = radius_join(todo, points, r, by, key, key).where("i <> j").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -174,6 +176,15 @@ def nearest(points: DataFrame, k: int, r: float, by: list[str], key: str = "id")
     return found.select(*by, "i", "j", "rank", "d2")
 
 
+def typical_radius(points: DataFrame, n: int, by: list[str]) -> float:
+    """The least over the groups of the radius of a ball that holds n points on average, by the sides of the group's box; infinity where no group has a volume."""
+    volume = F.lit(1.0)
+    for c in "xyz":
+        volume = volume * (F.max(c) - F.min(c))
+    each = points.where(_finite()).groupBy(*by).agg((F.cbrt(volume * n / (F.count("*") * (4 / 3 * math.pi)))).alias("_r"))
+    return each.where("_r > 0 and _r < double('inf')").agg(F.min("_r")).first()[0] or math.inf
+
+
 def pair_distribution(points: DataFrame, cutoff: float, n: int, by: list[str], key: str = "id") -> DataFrame:
     """Ordered pairs by distance bin, over the shell's volume and the number of points."""
     w = cutoff / n

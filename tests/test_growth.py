@@ -134,3 +134,15 @@ def test_clusters_send_no_pairs(spark, no_broadcast):
     t = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(places(n, 8, 0.4))], "frame long, id long, x double, y double, z double")
     found, rows = shuffled(spark, lambda: clusters.find_clusters(t, F.lit(True), 1.0, ["frame"]).collect())
     assert len(found) == n and rows < 100 * n
+
+
+def test_nearest_in_a_dense_group_looks_at_few_pairs(spark, monkeypatch):
+    n, p, join, radii = 1200, places(1200, 9, 1.0), spatial.radius_join, []
+    monkeypatch.setattr(spatial, "radius_join", lambda a, b, r, *more: radii.append(r) or join(a, b, r, *more))
+    t = spark.createDataFrame([(0, i, *map(float, q)) for i, q in enumerate(p)], "frame long, id long, x double, y double, z double")
+    got = spatial.nearest(t, 3, 4.0, ["frame"]).collect()
+    d2 = ((p[:, None] - p[None]) ** 2).sum(2)
+    first = (d2 <= radii[0] ** 2).sum()
+    np.fill_diagonal(d2, np.inf)
+    assert {(x["i"], x["rank"]): x["j"] for x in got} == {(i, k + 1): int(j) for i in range(n) for k, j in enumerate(np.argsort(d2[i])[:3])}
+    assert first < 100 * n
