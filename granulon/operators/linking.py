@@ -1,7 +1,7 @@
 """Linking of locations into trajectories.
 
-Without memory a link from t to t + 1 depends on those two frames alone, so all pairs of frames link at once: candidates by a radius
-join, subnets as connected components, one least-cost assignment for each subnet, and chains closed by pointer jumping.
+Without memory a link from t to t + 1 depends on those two frames alone, so all pairs of frames link at once: subnets from least spanning
+forests of the candidates, one least-cost assignment for each subnet, and chains closed by pointer jumping.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from granulon.operators.clusters import components
 from granulon.operators.lineage import checkpointed
-from granulon.operators.spatial import radius_join
+from granulon.operators.spatial import GROUP, block_groups
+from granulon.operators.subnets import assign_sparse, cut, forest, least_forest, near_pairs
 
 
 def assign(cost: np.ndarray) -> np.ndarray:
@@ -55,58 +56,114 @@ def links(locations: DataFrame, search: float, predicted: DataFrame | None = Non
     return matches(a, b, search, keys, **options)
 
 
-def matches(a: DataFrame, b: DataFrame, search: float, keys: list[str], most: int = 30, shrink: float = 0.95, stop: float = 0.1) -> DataFrame:
+def matches(a: DataFrame, b: DataFrame, search: float, keys: list[str], most: int = 30, shrink: float = 0.95, stop: float = 0.1, whole: int = 20_000, largest: int | None = None) -> DataFrame:
     """(keys..., a, b): the least-cost assignment of sources (keys..., id, x, y, z) to targets of the same keys within the search range.
 
     Leaving a source unlinked costs search^2. A subnet with more than ``most`` sources drops its longest candidates step by step (``shrink``
-    down to ``stop`` of the range) until its parts are small enough.
+    down to ``stop`` of the range) until its parts are small enough. Candidates are never a table: a task makes those of its places. Groups of
+    up to ``whole`` places take one task each; larger ones go through blocks of space, whose least forests show the subnets, and then no group
+    is larger than a subnet. ``largest`` is a bound of the groups' places, where it is known.
     """
-    edges = checkpointed(radius_join(a, b, search, keys).select(*keys, F.col("i").alias("a"), F.col("j").alias("b"), "d2"))
+    how = (search, most, shrink, stop)
+    usable = " and ".join([f"{c} is not null" for c in keys] + [f"abs({c}) < double('inf')" for c in "xyz"])
+    side = lambda df, n: df.where(usable).select(*keys, "id", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.lit(n).alias("_side"))
+    rows = side(a, 0).unionAll(side(b, 1))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def whole_group(pdf: pd.DataFrame) -> pd.DataFrame:
+        (left, p), (right, q) = _sides(pdf)
+        return _named(pdf, keys, left, right, _links_of(p, q, *how))
+
+    in_one = lambda df: df.groupBy(*keys).applyInPandas(whole_group, f"{kinds}, a long, b long")
+    if largest is not None and largest <= whole:
+        return in_one(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # work is by pairs: small tables are spread as well
+    large = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > whole).select(*keys))
+    if large.isEmpty():
+        return in_one(rows.repartition(parts, *keys))
+    return in_one(rows.join(large, keys, "left_anti").repartition(parts, *keys)).unionAll(_in_blocks(rows.join(large, keys), keys, kinds, how))
+
+
+def _sides(pdf: pd.DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and places of sources and of targets, each by id."""
+    pdf = pdf.sort_values("id")
+    return [(part["id"].to_numpy(), part[["x", "y", "z"]].to_numpy(float)) for part in (pdf[pdf["_side"] == n] for n in (0, 1))]
+
+
+def _named(pdf: pd.DataFrame, keys: list[str], left: np.ndarray, right: np.ndarray, pairs) -> pd.DataFrame:
+    found = pd.DataFrame({"a": left[pairs[0]], "b": right[pairs[1]]}).astype("int64")
+    for n, c in enumerate(keys):
+        found.insert(n, c, pdf[c].iloc[0])
+    return found
+
+
+def _links_of(p: np.ndarray, q: np.ndarray, search: float, most: int, shrink: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows of two sets of places."""
+    i, j, d2 = forest(p, q, search, stop * search)
+    subnet, limits = cut(len(p), len(p) + len(q), i, len(p) + j, d2, search, most, shrink, stop)
+    on = np.flatnonzero(subnet >= 0)
+    on = on[np.argsort(subnet[on], kind="stable")]
+    parts = np.split(on, np.flatnonzero(np.diff(subnet[on])) + 1) if len(on) else []
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    for part in parts:
+        src, dst = part[part < len(p)], part[part >= len(p)] - len(p)
+        row, col = _solved(p[src], q[dst], limits[part[0]], search)
+        out.append((src[row], dst[col]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _solved(p: np.ndarray, q: np.ndarray, limit: float, search: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked rows of the places of one subnet, along its candidates within ``limit``."""
+    n, m = len(p), len(q)
+    if n * m <= 10_000:
+        dx, dy, dz = (q[None, :, c] - p[:, None, c] for c in range(3))
+        d2 = dx * dx + dy * dy + dz * dz
+        cost = np.full((n, m + n), 1e12)
+        cost[:, :m] = np.where(d2 <= limit * limit, d2, 1e12)
+        cost[np.arange(n), m + np.arange(n)] = search * search
+        got = assign(cost)
+        got = np.where(got < m, got, -1)
+    else:
+        i, j, d2 = (np.concatenate(x) for x in zip(*near_pairs(p, q, limit), strict=True))
+        got = assign_sparse(n, m, i, j, d2, search * search)
+    row = np.flatnonzero(got >= 0)
+    return row, got[row]
+
+
+def _in_blocks(rows: DataFrame, keys: list[str], kinds: str, how: tuple) -> DataFrame:
+    """``matches`` of large groups: least forests of blocks, their components, the cut of each, and one assignment for each subnet."""
+    search, most, shrink, stop = how
+
+    def block_forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        (left, p), (right, q) = _sides(pdf)
+        i, j, d2 = forest(p, q, search, stop * search)
+        return _named(pdf, keys, left, right, (i, j)).assign(d2=d2)
+
+    dealt = block_groups(rows, keys, ["x", "y", "z"], ["_side", "id"], search).where("if(_side = 0, _query, _near)")
+    edges = checkpointed(dealt.groupBy(*keys, *GROUP).applyInPandas(block_forest, f"{kinds}, a long, b long, d2 double"))
     # sources are even nodes and targets odd ones of a bipartite graph
     graph = edges.select(*keys, (2 * F.col("a")).alias("i"), (2 * F.col("b") + 1).alias("j"))
     nodes = graph.select(*keys, F.col("i").alias("id")).unionAll(graph.select(*keys, F.col("j").alias("id"))).distinct()
     net = components(checkpointed(nodes), graph, keys)
-    net = edges.join(net.select(*keys, (F.col("id") / 2).cast("long").alias("a"), "root", (F.col("id") % 2).alias("odd")).where("odd = 0").drop("odd"), [*keys, "a"])
+    net = edges.join(net.where("id % 2 = 0").select(*keys, F.expr("id div 2").alias("a"), "root"), [*keys, "a"])
+
+    def subnets(pdf: pd.DataFrame) -> pd.DataFrame:
+        (left, i), (right, j) = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in "ab")
+        n, d2 = len(left), pdf["d2"].to_numpy()
+        kept, _ = least_forest(np.arange(n + len(right)), i, n + j, d2)
+        subnet, limits = cut(n, n + len(right), i[kept], n + j[kept], d2[kept], search, most, shrink, stop)
+        out = pd.DataFrame({"id": np.concatenate([left, right]), "_side": np.repeat([0, 1], [n, len(right)]).astype("int32"), "_subnet": subnet, "_limit": limits})
+        for k, c in enumerate([*keys, "root"]):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out[subnet >= 0]
+
+    members = net.groupBy(*keys, "root").applyInPandas(subnets, f"{kinds}, root long, id long, _side int, _subnet long, _limit double")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, work = [], [(pdf[["a", "b", "d2"]].to_numpy(float), search)]
-        while work:
-            e, limit = work.pop()
-            src, dst = np.unique(e[:, 0]), np.unique(e[:, 1])
-            if len(src) > most and limit > stop * search:
-                limit *= shrink
-                e = e[e[:, 2] <= limit * limit]
-                label = {("a", k): ("a", k) for k in e[:, 0]}
-                parent = {**label, **{("b", k): ("b", k) for k in e[:, 1]}}
-
-                def root(k, parent=parent):
-                    while parent[k] != k:
-                        parent[k] = parent[parent[k]]
-                        k = parent[k]
-                    return k
-
-                for x, y, _ in e:
-                    parent[root(("a", x))] = root(("b", y))
-                group = {}
-                for row in e:
-                    group.setdefault(root(("a", row[0])), []).append(row)
-                work += [(np.array(g), limit) for g in group.values()]
-                continue
-            cost = np.full((len(src), len(dst) + len(src)), 1e12)
-            cost[np.searchsorted(src, e[:, 0]), np.searchsorted(dst, e[:, 1])] = e[:, 2]
-            cost[np.arange(len(src)), len(dst) + np.arange(len(src))] = search * search
-            got = assign(cost)
-            out += [(src[i], dst[c]) for i, c in enumerate(got) if c < len(dst)]
-        found = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-        for n, c in enumerate(keys):
-            found.insert(n, c, pdf[c].iloc[0])
-        return found
-
-    single = net.groupBy(*keys, "root").agg(F.count("*").alias("n"))
-    net = net.join(single, [*keys, "root"])
-    alone = net.where("n = 1").select(*keys, "a", "b")  # a lone candidate needs no assignment
-    kinds = ", ".join(f"{c} {edges.schema[c].dataType.simpleString()}" for c in keys)
-    return alone.unionAll(net.where("n > 1").groupBy(*keys, "root").applyInPandas(solve, f"{kinds}, a long, b long"))
+        (left, p), (right, q) = _sides(pdf)
+        return _named(pdf, keys, left, right, _solved(p, q, pdf["_limit"].iloc[0], search))
+
+    return rows.join(members, [*keys, "_side", "id"]).groupBy(*keys, "root", "_subnet").applyInPandas(solve, f"{kinds}, a long, b long")
 
 
 def link(locations: DataFrame, search: float, **options) -> DataFrame:

@@ -3,9 +3,11 @@
 import itertools
 
 import numpy as np
+import pytest
 
-from granulon.operators import linking
+from granulon.operators import linking, subnets
 from granulon.streaming.linking import link_stream
+from tests.test_growth import shuffled
 
 SCHEMA = "frame long, id long, x double, y double, z double, material string"
 
@@ -77,3 +79,78 @@ def test_stream_equals_batch_and_late_frames_go_aside(spark, tmp_path):
     assert got == brute(rows, 1.5, 1)
     assert {r["id"] for r in spark.read.parquet(f"{tmp_path}/out/late").collect()} == {900, 901}
     assert len(list((tmp_path / "out" / "tracks").glob("batch=*"))) <= 2
+
+
+def dense(n, m, seed):
+    """Two frames of places that nearly all lie within reach of each other."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 0.6, (n, 3)), rng.normal(0, 0.6, (m, 3))
+
+
+def as_locations(spark, *frames):
+    rows = [(f, i, *map(float, p)) for f, side in enumerate(frames) for i, p in enumerate(side, 100_000 * f)]
+    return spark.createDataFrame(rows, "frame long, id long, x double, y double, z double")
+
+
+def brute_subnets(p, q, search, most=30, shrink=0.95, stop=0.1):
+    """Every candidate written out, subnets by flooding, and the dense assignment of each."""
+    d2, out = ((p[:, None] - q[None]) ** 2).sum(2), set()
+    work = [(set(range(len(p))), set(range(len(q))), search)]
+    while work:
+        a, b, limit = work.pop()
+        while a:
+            left, right, new = set(), set(), {a.pop()}
+            while new:
+                left |= new
+                reached = {j for j in b - right if any(d2[i, j] <= limit * limit for i in new)}
+                right |= reached
+                new = {i for i in a - left if any(d2[i, j] <= limit * limit for j in reached)}
+            a, b = a - left, b - right
+            if len(left) > most and limit > stop * search:
+                work.append((left, right, limit * shrink))
+            elif right:
+                src, dst = sorted(left), sorted(right)
+                cost = np.full((len(src), len(dst) + len(src)), 1e12)
+                part = d2[np.ix_(src, dst)]
+                cost[:, : len(dst)] = np.where(part <= limit * limit, part, 1e12)
+                cost[np.arange(len(src)), len(dst) + np.arange(len(src))] = search * search
+                out |= {(src[i], 100_000 + dst[c]) for i, c in enumerate(linking.assign(cost)) if c < len(dst)}
+    return out
+
+
+@pytest.mark.parametrize("whole", [20_000, 50])
+def test_dense_frames_shuffle_places_and_not_candidates(spark, whole):
+    """150 and 170 places have some 20,000 candidates; one task a frame, or blocks and subnets."""
+    p, q = dense(150, 170, 8)
+    df = as_locations(spark, p, q)
+    found, rows = shuffled(spark, lambda: {(r["a"], r["b"]) for r in linking.links(df, 1.5, whole=whole).collect()})
+    assert found == brute_subnets(p, q, 1.5)
+    assert whole < 320 or rows < 2_000
+
+
+def test_a_subnet_that_no_range_splits_is_assigned_along_its_candidates(spark):
+    """5,000 places each: the dense matrix of this subnet would have 50 million entries and the table of candidates 24 million rows."""
+    rng = np.random.default_rng(9)
+    p = rng.normal(0, 0.6, (5000, 3))
+    q = rng.permutation(p + rng.normal(0, 0.002, p.shape))
+    found = linking.links(as_locations(spark, p, q), 1.5).collect()
+    # no place stays alone, and the sum of squares is at most that of the true partners
+    cost = sum(((p[r["a"]] - q[r["b"] - 100_000]) ** 2).sum() for r in found)
+    assert len(found) == len({r["a"] for r in found}) == len({r["b"] for r in found}) == 5000
+    assert cost <= 5000 * 3 * 0.002**2 * 1.1
+
+
+def test_bids_and_paths_give_the_least_cost():
+    rng = np.random.default_rng(10)
+    for _ in range(100):
+        n, m = rng.integers(1, 25, 2)
+        p, q, limit, unlinked = rng.uniform(0, 3, (n, 3)), rng.uniform(0, 3, (m, 3)), rng.uniform(0.5, 3), rng.uniform(0.1, 9)
+        d2 = ((p[:, None] - q[None]) ** 2).sum(2)
+        i, j = np.nonzero(d2 <= limit * limit)
+        cost = np.full((n, m + n), 1e12)
+        cost[i, j] = d2[i, j]
+        cost[np.arange(n), m + np.arange(n)] = unlinked
+        want = linking.assign(cost)
+        assert (subnets.assign_sparse(n, m, i, j, d2[i, j], unlinked) == np.where(want < m, want, -1)).all()
+        near = [tuple(map(np.concatenate, zip(*subnets.near_pairs(p, q, limit, most=20), strict=True)))] if len(i) else []
+        assert not near or sorted(zip(*near[0][:2], strict=True)) == sorted(zip(i, j, strict=True))
