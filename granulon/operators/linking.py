@@ -191,9 +191,11 @@ def continue_tracks(tracks: DataFrame, present: DataFrame, search: float, memory
     alive = tracks.where(F.col("seen") >= frame - 1 - memory)
     got = matches(alive.select(by, "id", "x", "y", "z"), present.select(by, "id", "x", "y", "z"), search, [by], **options).select(F.col("a").alias("_last"), F.col("b").alias("id"))
     got = checkpointed(got.join(alive.select(F.col("id").alias("_last"), "particle"), "_last"))
-    linked = checkpointed(present.join(got.select("id", "particle"), "id", "left").withColumn("particle", F.coalesce("particle", "id")))
     waiting = alive.join(got.select(F.col("_last").alias("id")), "id", "left_anti")
-    return linked, checkpointed(waiting.unionByName(linked.select(by, "particle", "id", "x", "y", "z", F.lit(frame).cast("long").alias("seen"))))
+    here = present.select(by, "id", "x", "y", "z").join(got.select("id", "particle"), "id", "left")
+    here = here.select(by, F.coalesce("particle", "id").alias("particle"), "id", "x", "y", "z", F.lit(frame).cast("long").alias("seen"))
+    after = checkpointed(waiting.unionByName(here))
+    return present.join(after.where(F.col("seen") == frame).select("id", "particle"), "id"), after
 
 
 def no_tracks(locations: DataFrame, by: str) -> DataFrame:
@@ -212,7 +214,10 @@ def link_with_memory(locations: DataFrame, search: float, memory: int, by: str =
     usable = F.coalesce(usable, F.lit(False))
     found, tracks = rows.where(~usable).withColumn("particle", F.col("id")).select("id", "particle"), no_tracks(rows, by)
     rows = checkpointed(rows.where(usable))
-    for frame in sorted(r[0] for r in rows.select("frame").distinct().collect()):
-        linked, tracks = continue_tracks(tracks, rows.where(F.col("frame") == frame), search, memory, frame, by, **options)
-        found = found.unionByName(linked.select("id", "particle"))
+    most = rows.groupBy("frame", by).agg(F.count("*").alias("n")).groupBy("frame").agg(F.max("n").alias("n"))
+    most = dict(sorted((r["frame"], r["n"]) for r in most.collect()))  # a row for each frame
+    for frame in most:
+        near = sum(n for k, n in most.items() if frame - 1 - memory <= k <= frame)
+        _, tracks = continue_tracks(tracks, rows.where(F.col("frame") == frame), search, memory, frame, by, largest=near, **options)
+        found = found.unionByName(tracks.where(F.col("seen") == frame).select("id", "particle"))
     return locations.join(found, "id")
