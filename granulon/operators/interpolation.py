@@ -60,12 +60,19 @@ def simplex_mean(p: np.ndarray, v: np.ndarray, usable: np.ndarray) -> np.ndarray
     return np.where(here.any(1), v[every, here.argmax(1)], value)
 
 
-def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach: float, by: list[str], cells: int = 1_000_000) -> DataFrame:
+def _densest(points: DataFrame, r: float, by: list[str]) -> int:
+    """Points in the fullest cell of side r."""
+    cell = [F.floor(F.col(c) / r).alias(f"_{c}") for c in "xyz"]
+    return points.groupBy(*by, *cell).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach: float, by: list[str], cells: int = 1_000_000, dense: int = 64) -> DataFrame:
     """(by..., i, value): linear interpolation of the points' values at each place of a grid (by..., id, x, y, z), in the Delaunay simplex about it.
 
     A simplex counts if the sphere through its corners lies wholly within ``reach`` of the place: then no point elsewhere can be inside it, so the
     result is that of a triangulation of all points. Elsewhere (outside the hull, in gaps, in the thin simplices of the hull with vast spheres) the
-    value is null; a longer reach fills more. Places are sought within a quarter and half of the reach first, which changes no value. A task holds the points within reach of some places at a time (``cells`` of them), never a group.
+    value is null; a longer reach fills more. Shorter radii come first, from one whose fullest cell has at most ``dense`` points, which changes no
+    value. A task holds the points within reach of some places at a time (``cells`` of them), never a group.
     Of points in one place the smallest id counts; points without a value or a finite place are none; places without a finite place get null;
     repeated ids of places are one row each. Where more than four points lie on one empty sphere, the choice among them is by order of id.
     """
@@ -93,9 +100,13 @@ def linear_interpolation(grid: DataFrame, points: DataFrame, value: str, reach:
                 start = stop
 
     kinds = ", ".join(f"`{c}` {grid.schema[c].dataType.simpleString()}" for c in by)
-    # most places are settled by points much nearer than reach; the others look farther
-    found, todo = None, checkpointed(places.withColumn("_i", F.to_json("_q")))
-    for radius in (reach / 4, reach / 2, reach):
+    # most places are settled by points much nearer than reach; the others look farther. The first radius has few points even where they are
+    # densest, and a place that goes on has few within the radius before, so what a place looks at does not grow with the table
+    found, todo, known = None, checkpointed(places.withColumn("_i", F.to_json("_q"))), checkpointed(known)
+    radii = [reach, reach / 2, reach / 4]
+    while len(radii) < 20 and _densest(known, radii[-1], by) > dense:
+        radii.append(radii[-1] / 2)
+    for radius in reversed(radii):
         near = radius_join(todo, known, radius, by, "_i", "_p").groupBy(*by, F.col("i").alias("_i")).agg(F.sort_array(F.collect_list(F.struct(F.col("j.id").alias("id"), F.col("j.v").alias("v"), "dx", "dy", "dz"))).alias("near"))
         got = near.select(*by, "_i", F.lit(radius).alias("_r"), *(F.col(f"near.{c}").alias(c) for c in ("v", "dx", "dy", "dz"))).mapInPandas(solve, f"{kinds + ', ' if by else ''}_i string, `{value}` double")
         got = checkpointed(got.where(F.col(value).isNotNull() & ~F.isnan(value)))  # Arrow makes nulls of NaN

@@ -80,3 +80,20 @@ def test_query_gives_its_linear_field(spark):
     got = {(r["frame"], r["i"]): r["v"] for r in catalogue.queries()["linear_interpolation"](spark, sf).collect()}
     assert got.keys() == places.keys() and sum(v is not None for v in got.values()) > len(got) / 20
     assert all(v is None or v == pytest.approx(places[k], abs=1e-6) for k, v in got.items())
+
+
+def test_dense_points_are_not_all_looked_at(spark, monkeypatch):
+    """A quarter of the reach holds some 800 points about a place; the first radius must hold few, and the values are those of long radii."""
+    from granulon.operators import interpolation
+
+    rng, radii = np.random.default_rng(12), []
+    points, places = rng.uniform(0, 1, (6000, 3)), rng.uniform(0.4, 0.6, (50, 3))
+    join = interpolation.radius_join
+    monkeypatch.setattr(interpolation, "radius_join", lambda a, b, r, *rest: radii.append(r) or join(a, b, r, *rest))
+    values = rng.normal(size=len(points))
+    run = lambda: {r["i"]: r["v"] for r in linear_interpolation(table(spark, places), table(spark, points, values), "v", 1.5, ["frame"]).collect()}
+    got = run()
+    assert len(points) * radii[0] ** 3 <= 64 and radii[-1] == 1.5
+    monkeypatch.setattr(interpolation, "_densest", lambda *_: 0)
+    want = run()
+    assert len(got) == 50 and None not in got.values() and got == pytest.approx(want)
