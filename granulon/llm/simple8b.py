@@ -24,17 +24,30 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     padded[:n] = values
     grid = padded[: blocks * BLOCK].reshape(blocks, BLOCK)
     big = grid >= np.uint64(1 << 60)
+    # bits of each value: from its high half, where there is one (both halves are exact as floats)
+    bits = np.frexp(grid.astype(np.float64))[1].astype(np.int8)
+    wide_ones = grid >= np.uint64(1 << 32)
+    if wide_ones.any():
+        bits[wide_ones] = np.frexp((grid[wide_ones] >> np.uint64(32)).astype(np.float64))[1] + 32
     place = np.arange(BLOCK, dtype=np.int16)
     left = (BLOCK - place)[None, :]
     choice = np.zeros((blocks, BLOCK), np.int8)
     open_ = ~big
     for s in range(1, len(COUNT)):
+        # only blocks with a run of narrow values, of half a word at least or up to the block's end, can use this selector
+        narrow = bits <= WIDTH[s]
+        run, k = narrow, 1
+        while 2 * k <= COUNT[s]:
+            run, k = run[:, :-k] & run[:, k:], 2 * k
+        some = np.flatnonzero(run.any(axis=1) | narrow[:, -1])
+        if not len(some):
+            continue
         # distance to the next value that is too wide; past the block's end nothing is
-        wide = np.where(grid >> np.uint64(WIDTH[s]) > 0, place[None, :], np.int16(BLOCK))
+        wide = np.where(narrow[some], np.int16(BLOCK), place[None, :])
         free = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - place[None, :]
-        fits = open_ & (free >= np.minimum(left, COUNT[s]))
-        choice[fits] = s
-        open_ &= ~fits
+        fits = open_[some] & (free >= np.minimum(left, COUNT[s]))
+        choice[some] = np.where(fits, np.int8(s), choice[some])
+        open_[some] &= ~fits
         if not open_.any():
             break
     at, steps, row = np.zeros(blocks, np.int64), [], np.arange(blocks)
@@ -57,9 +70,15 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = sel.astype(np.uint64) << np.uint64(60)
     for s in range(1, len(COUNT)):
         mine = np.flatnonzero(sel == s)
+        at, filled = begin[mine], np.zeros(len(mine), np.uint64)
+        room = BLOCK - at % BLOCK
+        short = bool(len(mine)) and room.min() < COUNT[s]
         for k in range(COUNT[s] if len(mine) else 0):
-            inside = begin[mine] % BLOCK + k < BLOCK
-            words[mine] |= np.where(inside, padded[begin[mine] + k], np.uint64(0)) << np.uint64(k * WIDTH[s])
+            value = padded[at + k]
+            if short:  # the next block's values are not this word's
+                value[room <= k] = 0
+            filled |= value << np.uint64(k * WIDTH[s])
+        words[mine] |= filled
     escaped = np.flatnonzero(sel == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, (np.cumsum(per_block) - per_block).astype(np.uint32), padded[begin[escaped]]

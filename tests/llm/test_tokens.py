@@ -117,3 +117,22 @@ def test_digests_of_test_data(spark):
     for r in op7_packing(spark, d).collect():
         own = np.array([*ids(text[r["doc_id"]]), 1], "<u4")
         assert (r["doc_tokens"], r["ids_crc32"]) == (len(own), zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()))
+
+
+def test_simple8b_selectors_are_the_greedy_ones():
+    """Each word takes the first selector whose values fit, whatever the widths; checked value by value."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        values = rng.integers(0, 1 << 62, int(rng.integers(1, 2600))).astype(np.uint64) >> rng.integers(0, 62, 1).astype(np.uint64)[0]
+        values = np.where(rng.random(len(values)) < 0.1, values, values & np.uint64(3))
+        want = []
+        for begin in range(0, len(values), simple8b.BLOCK):
+            block, at = values[begin : begin + simple8b.BLOCK].tolist(), 0
+            block += [0] * (simple8b.BLOCK - len(block))
+            while at < simple8b.BLOCK and begin + at < len(values):
+                fit = [s for s in range(1, 15) if all(x >> int(simple8b.WIDTH[s]) == 0 for x in block[at : at + int(simple8b.COUNT[s])])]
+                want.append(fit[0] if fit else 0)
+                at += int(simple8b.COUNT[want[-1]])
+        words, firsts, escapes = simple8b.encode(values)
+        assert (words >> np.uint64(60)).astype(int).tolist() == want
+        assert (simple8b.decode(words, firsts, escapes, len(values)) == values).all()
