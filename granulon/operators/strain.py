@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granulon.functions.tensor import SYM, von_mises, with_polar
@@ -13,9 +14,16 @@ from granulon.operators.spatial import GROUP, block_groups
 
 
 def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension."""
-    side = lambda k, s: tracks.select(*by, F.col("frame").alias(k), "particle", *(F.col(c).alias(f"{c}{s}") for c in "xyz"))
-    return side("ref", 0).join(pairs.select("ref", "cur"), "ref").join(side("cur", 1), [*by, "cur", "particle"])
+    """(by..., ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension.
+
+    Tracks are dealt by particle once; the rows of a pair meet where they are, so what is shuffled does not grow with the pairs of a frame.
+    """
+    dealt = tracks.select(*by, "frame", "particle", *"xyz").dropna(subset=[*by, "particle"]).repartition(*by, "particle")
+    roles = pairs.selectExpr("inline(array(struct(ref as frame, ref, cur, true as _then), struct(cur as frame, ref, cur, false as _then)))")
+    sides = dealt.join(F.broadcast(roles), "frame")
+    now = F.collect_list(F.when(~F.col("_then"), F.struct(*(F.col(c).alias(f"{c}1") for c in "xyz")))).over(W.partitionBy(*by, "particle", "ref", "cur"))
+    met = sides.withColumn("_now", now).where("_then")
+    return met.select(*by, "ref", "cur", "particle", *(F.col(c).alias(f"{c}0") for c in "xyz"), F.inline("_now"))
 
 
 PLACE = [f"{c}{k}" for k in (0, 1) for c in "xyz"]
@@ -27,18 +35,23 @@ def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str,
 
     Particles with the same two places have the same sums, so each pair of places is worked out once, weighted by its particles. Places go to
     blocks of four radii and to the blocks that they reach into, and a task sums over the neighbours there: no edge leaves it. A block of more
-    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up.
+    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up. Particles find their sums by the name
+    of their place alone.
     """
-    both, keys = paired(tracks, pairs, by), [*by, "ref", "cur"]
-    states = both.where(" and ".join(f"abs({c}0) < double('inf')" for c in "xyz")).groupBy(*keys, *PLACE).agg(F.count("*").alias("_w"))
-    rows = block_groups(states, [*keys], PLACE[:3], PLACE, r, most).select(*keys, *GROUP, *PLACE, "_w", "_query", "_near")
+    keys, place = [*by, "ref", "cur"], ["_h0", "_h1"]
+    both = paired(tracks, pairs, by).where(" and ".join([*(f"abs({c}0) < double('inf')" for c in "xyz"), *(f"{c} is not null" for c in keys)]))
+    # 96 bits name a place: doubles as keys would be shuffled once more for each use
+    named = [*PLACE, *(F.col(c).isNull() for c in PLACE[3:])]
+    both = both.withColumns({"_h0": F.xxhash64(*named), "_h1": F.hash(*named)})
+    states = both.groupBy(*keys, *place).agg(F.count("*").alias("_w"), *(F.first(c).alias(c) for c in PLACE))
+    # true, but it makes both uses of this table need the same columns, so that its shuffle is made once
+    states = states.where(f"_w > 0 and coalesce({', '.join(PLACE[::-1])}) is not null")
+    rows = block_groups(states, [*keys], PLACE[:3], place, r, most).select(*keys, *GROUP, *place, *PLACE, "_w", "_query", "_near")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
-    schema = f"{kinds}, {', '.join(f'{c} double' for c in (*PLACE, *SUMS))}, nnb_count long"
-    part = rows.groupBy(*keys, *GROUP).applyInArrow(_block_sums(keys, r), schema)
-    sums = part.groupBy(*keys, *PLACE).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
-    named = sums.withColumnsRenamed({c: f"_{c}" for c in (*keys, *PLACE)})
-    same = [F.col(c) == F.col(f"_{c}") for c in (*keys, *PLACE[:3])] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PLACE[3:]]
-    return both.join(named, same).select(*keys, "particle", *SUMS, "nnb_count")
+    schema = f"{kinds}, _h0 long, _h1 int, {', '.join(f'{c} double' for c in SUMS)}, nnb_count long"
+    part = rows.groupBy(*keys, *GROUP).applyInArrow(_block_sums([*keys, *place], r), schema)
+    sums = part.groupBy(*keys, *place).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
+    return both.select(*keys, *place, "particle").join(sums, [*keys, *place]).select(*keys, "particle", *SUMS, "nnb_count")
 
 
 def _block_sums(keys: list[str], r: float):
@@ -52,7 +65,7 @@ def _block_sums(keys: list[str], r: float):
         cells = np.floor(at / (r * (1 + 1e-9)))
         near, query = np.flatnonzero(rows["_near"].to_numpy(zero_copy_only=False)), np.flatnonzero(rows["_query"].to_numpy(zero_copy_only=False))
         if not len(query) or not len(near):
-            return pa.table({c: pa.array([], f.type) for c, f in zip(rows.column_names, rows.schema, strict=True) if c in keys + PLACE} | {c: pa.array([], pa.float64()) for c in SUMS} | {"nnb_count": pa.array([], pa.int64())})
+            return pa.table({c: pa.array([], f.type) for c, f in zip(rows.column_names, rows.schema, strict=True) if c in keys} | {c: pa.array([], pa.float64()) for c in SUMS} | {"nnb_count": pa.array([], pa.int64())})
         near = near[np.lexsort(cells[near].T)]
         kept, starts = np.unique(cells[near][:, ::-1], axis=0, return_index=True)
         span = {tuple(c[::-1]): near[i:j] for c, i, j in zip(kept, starts, [*starts[1:], len(near)], strict=True)}
@@ -73,7 +86,7 @@ def _block_sums(keys: list[str], r: float):
         named |= {f"y{a}{b}": out[found, "xyz".index(a), "xyz".index(b)] for a, b in SYM}
         named["cc"] = squares[found] if gaps else np.einsum("iaa->i", out[found, 3:, 3:])
         lost = {f"x{a}{b}": void[found, i] for i, a in enumerate("xyz") for b in "xyz"} | {"cc": void[found].any(1)}
-        taken = rows.take(pa.array(found)).select([*keys, *PLACE])
+        taken = rows.take(pa.array(found)).select(keys)
         for c in SUMS:
             taken = taken.append_column(c, pa.array(named[c], mask=lost.get(c)))
         return taken.append_column("nnb_count", pa.array(count[found]))
@@ -183,5 +196,5 @@ def rotate_positions(tracks: DataFrame, r, cols=("x", "y", "z")) -> DataFrame:
 
 def split_by_peak(strain: DataFrame, threshold: float) -> DataFrame:
     """Mean von Mises strain by current frame of the particles whose greatest exceeds a threshold, and of the rest."""
-    peak = strain.groupBy("particle").agg(F.max("von_mises").alias("_p"))
-    return strain.join(peak, "particle").groupBy("cur").agg(F.avg(F.when(F.col("_p") > threshold, F.col("von_mises"))).alias("high"), F.avg(F.when(F.col("_p") <= threshold, F.col("von_mises"))).alias("low"))
+    peaked = strain.select("cur", "von_mises", F.max("von_mises").over(W.partitionBy("particle")).alias("_p"))
+    return peaked.groupBy("cur").agg(F.avg(F.when(F.col("_p") > threshold, F.col("von_mises"))).alias("high"), F.avg(F.when(F.col("_p") <= threshold, F.col("von_mises"))).alias("low"))

@@ -79,6 +79,26 @@ def test_neighbour_sums_send_no_edges(spark, no_broadcast):
     assert rows < 60 * n
 
 
+def test_neighbour_sums_of_copies_send_tracks_and_particles_once(spark, no_broadcast):
+    n, frames = 300, 10
+    rows = [(f, i, float(f), 0.5 * f, float(i % 3)) for f in range(frames) for i in range(n)]  # copies of three places
+    t = spark.createDataFrame(rows, "frame long, particle long, x double, y double, z double")
+    pairs = spark.createDataFrame(sorted({(0, f) for f in range(1, frames)} | {(f - 1, f) for f in range(1, frames)}), "ref long, cur long")
+    found, sent = shuffled(spark, lambda: strain.neighbour_sums(t, pairs, 2.0).collect())
+    met = n * (2 * frames - 3)
+    assert len(found) == met and {x["nnb_count"] for x in found} == {n}
+    assert sent < n * frames + met + 3000  # and some rows of places
+
+
+def test_paired_is_the_join_of_both_frames(spark):
+    rows = [(0, 1, 1.0), (0, 1, 2.0), (1, 1, 3.0), (1, 1, 4.0), (0, 2, 5.0), (1, 3, 6.0), (1, None, 7.0), (0, None, 8.0), (None, 4, 9.0), (2, 2, None), (1, 2, 0.0)]
+    t = spark.createDataFrame([(f, p, x, 0.0, 0.0) for f, p, x in rows], "frame long, particle long, x double, y double, z double")
+    pairs = [(0, 1), (1, 2), (1, 1)]
+    got = sorted(((r["ref"], r["cur"], r["particle"], r["x0"], r["x1"]) for r in strain.paired(t, spark.createDataFrame(pairs, "ref long, cur long")).collect()), key=str)
+    want = sorted(((a, b, p, x, u) for a, b in pairs for f, p, x in rows for g, q, u in rows if f == a and g == b and p == q and p is not None), key=str)
+    assert got == want
+
+
 @pytest.mark.parametrize("copies", [1, 3])
 def test_theil_sen_sends_no_slopes(spark, no_broadcast, copies):
     rng = np.random.default_rng(5)
