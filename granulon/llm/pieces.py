@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MARK, CACHED, ROWS = "▁", 500_000, 2048
+MARK, CACHED, PAIRS, ROWS = "▁", 400_000, 150_000, 2048
 
 
 class Pieces:
@@ -67,7 +67,7 @@ class Pieces:
         key = (before, piece)
         got = self.pair.get(key)
         if got is None:
-            if len(self.pair) > 2 * CACHED:
+            if len(self.pair) > PAIRS:
                 self.pair.clear()
             apart = before and before[-1] + piece[0] not in self.inner
             got = self.pair[key] = bool(apart) or self.merged(before + piece) == ([before, piece] if before else [piece])
@@ -140,7 +140,7 @@ class Pieces:
             got = self.known.get(word)
             if got is None:
                 got = self._ids(self.stream(word))
-                if len(word) <= 64:
+                if len(word) <= 64 and len(word) < len(chunk):  # a chunk that is one segment is remembered as a chunk
                     if len(self.known) > CACHED:
                         self.known.clear()
                     self.known[word] = got
@@ -153,10 +153,11 @@ class Pieces:
 
     def _places(self, chunks: list[str]) -> np.ndarray:
         """Where the ids of each chunk (without its word mark) are in ``flat``."""
-        if len(self.place) + len(chunks) > CACHED:
-            self._forget()
         found = [self.place.get(x, -1) for x in chunks]
         new = [x for x, k in zip(chunks, found, strict=True) if k < 0]
+        if len(self.place) + len(new) > CACHED:
+            self._forget()
+            new = chunks
         if new:
             got = [self._segment(MARK + x.replace(" ", MARK)) for x in new]
             count = np.array([len(x) for x in got], np.int64)

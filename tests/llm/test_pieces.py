@@ -83,3 +83,9 @@ def test_query_keeps_every_row(spark, tmp_path):
 def test_documents(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         assert MINE.encode(r["text"]) == LIB.encode(r["text"])
+
+
+def test_chunks_of_one_segment_are_remembered_once():
+    fresh = pieces.Pieces(PATH)
+    fresh.encode_column(pa.array(["one two three one two"]))
+    assert fresh.place and not {pieces.MARK + x for x in fresh.place} & set(fresh.known)
