@@ -30,28 +30,29 @@ PLACE = [f"{c}{k}" for k in (0, 1) for c in "xyz"]
 SUMS = [f"x{a}{b}" for a in "xyz" for b in "xyz"] + ["yxx", "yxy", "yxz", "yyy", "yyz", "yzz", "cc"]
 
 
-def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = (), most: int = 20_000) -> DataFrame:
+def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = (), most: int = 100_000) -> DataFrame:
     """Sums over the reference neighbours (self included, which adds nothing) of products of offsets; incomplete tracks go first.
 
     Particles with the same two places have the same sums, so each pair of places is worked out once, weighted by its particles. Places go to
     blocks of four radii and to the blocks that they reach into, and a task sums over the neighbours there: no edge leaves it. A block of more
-    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up. Particles find their sums by the name
-    of their place alone.
+    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up. The particles of a place wait beside it as a
+    list, in the one shuffle that tells places apart, and take its sums there.
     """
     keys, place = [*by, "ref", "cur"], ["_h0", "_h1"]
     both = paired(tracks, pairs, by).where(" and ".join([*(f"abs({c}0) < double('inf')" for c in "xyz"), *(f"{c} is not null" for c in keys)]))
     # 96 bits name a place: doubles as keys would be shuffled once more for each use
     named = [*PLACE, *(F.col(c).isNull() for c in PLACE[3:])]
     both = both.withColumns({"_h0": F.xxhash64(*named), "_h1": F.hash(*named)})
-    states = both.groupBy(*keys, *place).agg(F.count("*").alias("_w"), *(F.first(c).alias(c) for c in PLACE))
+    places = both.groupBy(*keys, *place).agg(F.collect_list("particle").alias("_whose"), *(F.first(c).alias(c) for c in PLACE))
     # true, but it makes both uses of this table need the same columns, so that its shuffle is made once
-    states = states.where(f"_w > 0 and coalesce({', '.join(PLACE[::-1])}) is not null")
-    rows = block_groups(states, [*keys], PLACE[:3], place, r, most).select(*keys, *GROUP, *place, *PLACE, "_w", "_query", "_near")
+    places = places.withColumn("_w", F.size("_whose").cast("long")).where(f"_w > 0 and coalesce({', '.join(PLACE[::-1])}) is not null")
+    rows = block_groups(places.drop("_whose"), [*keys], PLACE[:3], place, r, most).select(*keys, *GROUP, *place, *PLACE, "_w", "_query", "_near")
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
     schema = f"{kinds}, _h0 long, _h1 int, {', '.join(f'{c} double' for c in SUMS)}, nnb_count long"
     part = rows.groupBy(*keys, *GROUP).applyInArrow(_block_sums([*keys, *place], r), schema)
     sums = part.groupBy(*keys, *place).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
-    return both.select(*keys, *place, "particle").join(sums, [*keys, *place]).select(*keys, "particle", *SUMS, "nnb_count")
+    found = places.select(*keys, *place, "_whose").join(sums, [*keys, *place])
+    return found.select(*keys, F.explode("_whose").alias("particle"), *SUMS, "nnb_count")
 
 
 def _block_sums(keys: list[str], r: float):

@@ -14,8 +14,10 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracked positions: a user is a particle and a day is a frame."""
     e = table(spark, sf_dir, "events")
     frame = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long")
-    rows = e.groupBy(F.when(F.col("user_id") % 4 == 0, "gel").otherwise("sed").alias("material"), frame.alias("frame"), F.col("user_id").alias("particle"))
-    return rows.agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (100.0 * F.count("*"))).alias("x"), F.count("*").cast("double").alias("y"), F.max("value").alias("z"))
+    rows = e.groupBy(frame.alias("frame"), F.col("user_id").alias("particle"))
+    rows = rows.agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (100.0 * F.count("*"))).alias("x"), F.count("*").cast("double").alias("y"), F.max("value").alias("z"))
+    # the material follows from the particle: as a key it would be one that joins by frame and particle lack, and rows would be dealt again for them
+    return rows.select(F.when(F.col("particle") % 4 == 0, "gel").otherwise("sed").alias("material"), "*")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granulon.operators import clusters, fits, spatial, strain
+from granulon.plans import adapters
 
 
 def shuffled(spark, run):
@@ -90,6 +91,26 @@ def test_neighbour_sums_of_copies_send_tracks_and_particles_once(spark, no_broad
     assert sent < n * frames + met + 3000  # and some rows of places
 
 
+def test_neighbour_sums_of_copies_send_no_row_for_each_pair(spark, no_broadcast):
+    n, frames = 300, 10
+    rows = [(f, i, float(f), 0.5 * f, float(i % 3)) for f in range(frames) for i in range(n)]  # copies of three places
+    t = spark.createDataFrame(rows, "frame long, particle long, x double, y double, z double")
+    pairs = spark.createDataFrame(sorted({(0, f) for f in range(1, frames)} | {(f - 1, f) for f in range(1, frames)}), "ref long, cur long")
+    found, sent = shuffled(spark, lambda: strain.neighbour_sums(t, pairs, 2.0).collect())
+    met = n * (2 * frames - 3)
+    assert len({(x["ref"], x["cur"], x["particle"]) for x in found}) == len(found) == met
+    assert sent < n * frames + met / 2
+
+
+def test_tracks_meet_by_frame_and_particle_where_they_are(spark, no_broadcast):
+    t = adapters.tracks(spark, "/root/testdata/sf0.001")
+    one = t.select("frame", "particle").limit(1).collect()
+    few = spark.createDataFrame(one, "frame long, particle long")
+    count, alone = shuffled(spark, lambda: len(t.collect()))
+    got, met = shuffled(spark, lambda: t.join(few, ["frame", "particle"], "left_semi").collect())
+    assert len(got) == 1 and count > 100 and met < alone + 10
+
+
 def test_paired_is_the_join_of_both_frames(spark):
     rows = [(0, 1, 1.0), (0, 1, 2.0), (1, 1, 3.0), (1, 1, 4.0), (0, 2, 5.0), (1, 3, 6.0), (1, None, 7.0), (0, None, 8.0), (None, 4, 9.0), (2, 2, None), (1, 2, 0.0)]
     t = spark.createDataFrame([(f, p, x, 0.0, 0.0) for f, p, x in rows], "frame long, particle long, x double, y double, z double")
