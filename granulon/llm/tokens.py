@@ -2,7 +2,8 @@
 
 The word vocabulary never looks across white space, so a text's ids are those of its space-separated chunks. Each
 column is split and dictionary-encoded by Arrow, and only chunks not seen before go to the library: plain Latin ones
-as ready-made pre-tokens in one call, all others through the full tokenizer. The cache is bounded.
+as ready-made pre-tokens in one call (only those not seen before), all others through the full tokenizer. Both caches are Arrow columns,
+looked up by Arrow, and bounded.
 
 Defined results: a null or empty text, or one of white space only, has no ids (and just the end id in ``encode_with_end``); equal texts have equal ids;
 an empty column gives no ids; a text of any length is encoded whole.
@@ -21,7 +22,29 @@ import pyarrow.compute as pc
 SIMPLE = r"^[\x21-\x7e\x{a1}-\x{12f}\x{131}-\x{17f}]*$"
 #: Fixed value: the split pattern of the vocabulary file.
 PRETOKEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 1_000_000
+
+
+class Cache:
+    """Strings and the ids of each: a column, and where each one's ids begin in one array, and how many there are."""
+
+    def __init__(self):
+        self.names = pa.array([], pa.string())
+        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """The place of each name, or -1."""
+        return pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, names: pa.Array, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
+        self.start, self.count = np.concatenate([self.start, start + len(self.ids)]), np.concatenate([self.count, count.astype(np.int32)])
+        self.ids, self.names = np.concatenate([self.ids, ids]), pa.concat_arrays([self.names, names])
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at some places, one after another, and how many each has."""
+        count = self.count[places].astype(np.int64)
+        ends = np.cumsum(count)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - self.start[places], count)], count
 
 
 class WordEncoder:
@@ -32,15 +55,36 @@ class WordEncoder:
         self.full = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.full.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # ids that end a pre-token
+        self.last = np.zeros(self.full.get_vocab_size(), bool)
+        self.last[[k for x, k in self.full.get_vocab(with_added_tokens=False).items() if x.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.chunks, self.pre = Cache(), Cache()
 
-    def _ragged(self, ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(count)
-        return ids[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - start, count)]
+    def _pieces(self, pre: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens, one after another, and how many each has."""
+        coded = pre.dictionary_encode()
+        place = self.pre.find(coded.dictionary)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            names = coded.dictionary.take(pa.array(new))
+            ids, per = self._count(names.to_pylist())
+            place[new] = len(self.pre.names) + np.arange(len(new))
+            self.pre.add(names, ids, np.cumsum(per) - per, per)
+        return self.pre.of(place[coded.indices.to_numpy()])
+
+    def _count(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pre-tokens, and how many each has: up to its last one."""
+        ids = np.array(self.bare.encode_batch_fast([names], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+        full, ends = np.array([bool(x) for x in names]), np.flatnonzero(self.last[ids])
+        per = np.zeros(len(names), np.int64)
+        if len(ends) == full.sum() and (not len(ids) or ends[-1] == len(ids) - 1):
+            per[full] = np.diff(ends, prepend=-1)
+            return ids, per
+        done = self.bare.encode(names, is_pretokenized=True, add_special_tokens=False)
+        return np.array(done.ids, np.uint32), np.bincount(np.array(done.word_ids, np.int64), minlength=len(names))
 
     def _learn(self, chunks: pa.Array) -> None:
         low = pc.utf8_lower(chunks)
@@ -50,14 +94,7 @@ class WordEncoder:
         # pre-tokens in chunk order: letters stay whole, other simple chunks are cut, the rest is left to the full tokenizer
         mixed = np.flatnonzero(simple & ~letters)
         cut = pc.split_pattern(pc.utf8_rtrim(pc.replace_substring_regex(low.take(pa.array(mixed)), PRETOKEN, "\\1 "), " "), " ")
-        pre = pa.concat_arrays([low.take(pa.array(np.flatnonzero(letters))), cut.flatten()]).dictionary_encode()
-        done = self.bare.encode(pre.dictionary.to_pylist(), is_pretokenized=True, add_special_tokens=False) if len(pre.dictionary) else None
-        got = np.array(done.ids if done else [], np.uint32)
-        per = np.bincount(np.array(done.word_ids if done else [], np.int64), minlength=len(pre.dictionary)).astype(np.int64)
-        codes = pre.indices.to_numpy()
-        at = np.cumsum(per) - per
-        flat = self._ragged(got, at[codes], per[codes])
-        lengths = per[codes]
+        flat, lengths = self._pieces(pa.concat_arrays([low.take(pa.array(np.flatnonzero(letters))), cut.flatten()]))
         pieces[letters] = lengths[: letters.sum()]
         owner = np.repeat(np.arange(len(mixed)), np.diff(cut.offsets.to_numpy()))
         pieces[mixed] = np.bincount(owner, lengths[letters.sum() :], minlength=len(mixed)).astype(np.int64)
@@ -67,11 +104,8 @@ class WordEncoder:
         order = np.concatenate([np.flatnonzero(letters), mixed, hard])
         sizes = pieces[order]
         begin = np.zeros(len(chunks), np.int64)
-        begin[order] = np.cumsum(sizes) - sizes + len(self.ids)
-        for k, x in enumerate(chunks.to_pylist(), len(self.known)):
-            self.known[x] = k
-        self.start, self.count = np.concatenate([self.start, begin]), np.concatenate([self.count, pieces])
-        self.ids = np.concatenate([self.ids, flat, np.array([i for x in rest for i in x], np.uint32)])
+        begin[order] = np.cumsum(sizes) - sizes
+        self.chunks.add(chunks, np.concatenate([flat, np.array([i for x in rest for i in x], np.uint32)]), begin, pieces)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and where each text's ids begin (one more entry than texts); null is empty."""
@@ -79,18 +113,16 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(texts)
         words = lists.flatten().dictionary_encode()
         chunks = words.dictionary
-        if len(self.known) + len(chunks) > CACHED_CHUNKS:
+        place = self.chunks.find(chunks)
+        if len(self.chunks.names) + np.count_nonzero(place < 0) > CACHED_CHUNKS:
             self.clear()
-        names = chunks.to_pylist()
-        place = [self.known.get(x, -1) for x in names]
-        new = np.flatnonzero(np.array(place, np.int64) < 0)
+            place[:] = -1
+        new = np.flatnonzero(place < 0)
         if len(new):
+            place[new] = len(self.chunks.names) + np.arange(len(new))
             self._learn(chunks.take(pa.array(new)))
-            place = [self.known[x] for x in names]
-        place = np.array(place, np.int64)[words.indices.to_numpy()]
-        count = self.count[place]
+        ids, count = self.chunks.of(place[words.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(count)])
-        ids = self._ragged(self.ids, self.start[place], count)
         offsets = lists.offsets.to_numpy()
         return ids, ends[offsets - offsets[0]]
 

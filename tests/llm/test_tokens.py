@@ -31,6 +31,19 @@ def test_encoder_equals_library(texts):
         assert got[begin[k] : begin[k + 1]].tolist() == ids(t), t
 
 
+def test_encoder_asks_the_library_once_for_each_pre_token(monkeypatch):
+    fresh, asked = tokens.WordEncoder(PATH), []
+    count = fresh._count
+    monkeypatch.setattr(fresh, "_count", lambda names: asked.append(names) or count(names))
+    texts = ["word, other", "word. other;", "Other word,", "word"]
+    for t in texts:
+        assert fresh.encode(pa.array([t]))[0].tolist() == ids(t)
+    assert sorted(x for names in asked for x in names) == sorted({"word", "other", ",", ".", ";"})
+    monkeypatch.setattr(tokens, "CACHED_CHUNKS", 3)  # a cache that is cleared again and again
+    got, begin = fresh.encode(pa.array(TEXTS, pa.string()))
+    assert [got[begin[k] : begin[k + 1]].tolist() for k in range(len(TEXTS))] == [ids(t) for t in TEXTS]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1) | st.integers(0, 50_000) | st.integers(0, 2**64 - 1), max_size=3000))
 def test_simple8b_round_trip(values):
