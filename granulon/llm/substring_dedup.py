@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from granulon.llm.common import give_back, materialise, sized, words
 
-LENGTH, BLOCK_BYTES, SLICE_BYTES = 13, 8 << 20, 4 << 20
+LENGTH, BLOCK_BYTES, SLICE_BYTES, TOGETHER = 13, 8 << 20, 4 << 20, 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PARTS = ("hashes", "docs", "copies", "counts", "places", "ref_docs", "ref_copies", "ref_places")
 ROWS = "block int, " + ", ".join(f"{c} binary" for c in _PARTS)
@@ -221,14 +221,22 @@ def factors(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 def with_references(rows: DataFrame, found: DataFrame) -> DataFrame:
     """Each factor with ``x``, the words of its reference that it copies: from (_id, _copy, _t) and ``factors`` to doc_id, copy and factors (start, n, x).
 
-    Only texts that are referred to meet the factors; a text that a third of all documents copy from is a hot key of an ordinary join.
+    Only texts that are referred to meet the factors, and a text is split into words once for up to about ``TOGETHER`` of its factors that come as one row:
+    a text that a third of all documents copy from is split once for each of those rows, which go to different tasks.
     """
     found = materialise(found, "factors")
     each = found.select("doc_id", "copy", F.explode("factors").alias("f")).select("doc_id", "copy", "f.*")
-    needed = materialise(each.select("ref", "ref_copy").distinct(), "references")
+    needed = materialise(each.groupBy("ref", "ref_copy").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_rows")), "references")
     same = (F.col("_id") == F.col("ref")) & (F.col("_copy") == F.col("ref_copy"))
-    texts = rows.where("_t is not null").join(sized(needed), same, "left_semi").select("_id", "_copy", "_t")
-    cut = each.join(texts.hint("shuffle_hash"), same).select("doc_id", "copy", F.struct("start", "n", F.array_join(F.slice(words(F.col("_t")), F.col("at") + 1, F.col("n")), " ").alias("x")).alias("f"))
+    few = needed.where("_rows > 1")
+    dealt = each.join(sized(few), ["ref", "ref_copy"], "left").withColumn("_row", F.pmod(F.xxhash64("doc_id", "copy", "start"), F.coalesce("_rows", F.lit(1))).cast("int"))
+    dealt = dealt.groupBy("ref", "ref_copy", "_row").agg(F.collect_list(F.struct("doc_id", "copy", "start", "n", "at")).alias("_all"))
+    rows = rows.where("_t is not null").select("_id", "_copy", "_t").join(sized(needed), same)
+    texts = rows.select("_id", "_copy", "_t", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).alias("_row"))
+    # the words are made below the explode, so once for a row
+    met = dealt.join(texts.hint("shuffle_hash"), [F.col("_id") == F.col("ref"), F.col("_copy") == F.col("ref_copy"), dealt["_row"] == texts["_row"]])
+    met = met.select(words(F.col("_t")).alias("_w"), "_all").select("_w", F.explode("_all").alias("_x")).select("_w", "_x.*")
+    cut = met.select("doc_id", "copy", F.struct("start", "n", F.array_join(F.slice("_w", F.col("at") + 1, F.col("n")), " ").alias("x")).alias("f"))
     return cut.groupBy("doc_id", "copy").agg(F.collect_set("f").alias("factors"))
 
 

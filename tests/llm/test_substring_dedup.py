@@ -98,3 +98,14 @@ def test_test_data(spark, sf):
     want = brute([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()])
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in op10_substring_dedup(spark, d).collect()}
     assert got == {k: (n, m, hashlib.sha256(t.encode()).hexdigest()) for k, (n, m, t) in want.items()}
+
+
+def test_a_reference_is_split_once_for_many_factors(spark, monkeypatch):
+    w = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    texts = [(0, w(0, 400)), *((k, f"x{k} {w(k, k + 20)} y{k} {w(k + 50, k + 64)}") for k in range(1, 60))]
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 10)
+    assert run(spark, texts) == brute(texts)
+    docs = spark.createDataFrame(texts, "_id long, _t string").selectExpr("_id", "0L as _copy", "_t")
+    plan = substring_dedup.with_references(docs, substring_dedup.factors(docs))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = lambda x: [k for k, line in enumerate(plan) if x in line]
+    assert len(at("split(")) == 1 and at("split(")[0] > at("Generate explode(_all")[0]
