@@ -10,8 +10,8 @@ which a group has at most 2^11 members. No link is lost and no group is unbounde
 ``near_components`` and ``keep`` find near copies in the usual sense: five-word shingles, Jaccard similarity of 0.8 or more. There a bit
 differs with probability 0.15, so fingerprints are longer (at least 240 bits) and cut into segments so that, with probability 0.99 at
 0.8 and more above it, one segment at least differs by at most one bit; its one-wildcard variants are the keys as before. Members of a group within 33 of 128 bits
-are joined into families, by links to a first member; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for one of ``LEADERS`` of its members that is near, and
-those far from all of them are divided again by 16-bit pieces. Inside a family all texts are compared exactly on their sets of shingles, whatever its size: a family of at most
+are joined into families, by links to a first member; that only gathers what is to be compared. In a group of over ``GROUP`` each member looks for those of ``LEADERS`` of its members that are near;
+members near leaders that are joined need no more, and all others meet the whole group in blocks, so no link within a group is lost, whatever its size. Inside a family all texts are compared exactly on their sets of shingles, whatever its size: a family of at most
 ``FAMILY`` in one task; in a larger one the texts near its middle take the others first (a star of copies about one text needs no more), and what they do not reach meets all of the family in blocks.
 Segments widen with log2 of the number of documents, so random groups stay small (at the price of more variants: 240 a document up to 2 million, 408 at 12 million).
 
@@ -271,47 +271,87 @@ def sketches(docs: DataFrame, bits: int, segments: int, key: str = "doc_id", tex
     return shingled(docs, key, text).mapInArrow(sketch, "doc_id long, mix long, fp long, more long, segments array<long>")
 
 
-def _wide_variants(rows: DataFrame, bits: int, level: int) -> DataFrame:
-    """(k, s, fp, more): at level 0 from (fp, more, segments), each segment with each bit left out; later the members of large groups by 16-bit pieces of their 128 bits."""
-    if level == 0:
-        v = rows.select("fp", "more", F.posexplode("segments").alias("r", "x")).select("fp", "more", "r", "x", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("i"))
-        return v.selectExpr("shiftleft(cast(r as bigint), 52) | shiftleft(cast(i as bigint), 46) | (x & ~shiftleft(1L, i)) as k", "0L as s", "fp", "more")
-    piece = "(shiftright(case when j < 4 then fp else more end, 16 * (j % 4)) & 65535L)"
-    # pieces that overlap the segment of k would not divide its group
-    apart = f"(16 * j >= (shiftright(k, 52) + 1) * {bits} or 16 * (j + 1) <= shiftright(k, 52) * {bits})"
-    if level == 1:
-        v = rows.select("k", "fp", "more", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(apart)
-        return v.selectExpr("k", f"shiftleft(cast(j + 1 as bigint), 16) | {piece} as s", "fp", "more")
-    v = rows.select("k", "s", "fp", "more", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("j")).where(apart).where("j + 1 > shiftright(s, 16)")
-    return v.selectExpr("k", f"shiftleft(s, 20) | shiftleft(cast(j as bigint), 16) | {piece} as s", "fp", "more")
-
-
-def _led(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of groups (k, s) that are too large: links (a, b) of each member to the first of its group's leaders that is near (often the same one in all its groups) and of leaders to all near ones; and the members that are near none."""
-    order = W.partitionBy("k", "s").orderBy(F.xxhash64("fp", "more"), "fp", "more")
+def _wide_variants(rows: DataFrame, bits: int) -> DataFrame:
+    """(k, s, fp, more) from (fp, more, segments): each segment with each bit left out."""
+    v = rows.select("fp", "more", F.posexplode("segments").alias("r", "x")).select("fp", "more", "r", "x", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("i"))
+    return v.selectExpr("shiftleft(cast(r as bigint), 52) | shiftleft(cast(i as bigint), 46) | (x & ~shiftleft(1L, i)) as k", "0L as s", "fp", "more")
+
+
+def _core(meets: list[int | None], counts: list[int]) -> int:
+    """The leaders (bits) that a chain of members joins to the one with most members near; ``meets`` has for each leader all that its members are near."""
+    core = todo = 1 << max(range(len(counts)), key=lambda i: counts[i])
+    while todo:
+        i = (todo & -todo).bit_length() - 1
+        new = ((meets[i] or 0) & (1 << 64) - 1) & ~core
+        core, todo = core | new, todo & (todo - 1) | new
+    return core - (core >> 63 << 64)
+
+
+def _near(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links (a, b) that have the components of all links between the members of two tables."""
+    x, y = ([t[c].to_numpy().view(np.uint64) for c in ("fp", "more")] for t in (left, right))
+    near = np.zeros((len(left), len(right)), bool)
+    for k in range(0, len(left), 256):
+        part = slice(k, k + 256)
+        near[part] = sum(np.bitwise_count(p[part, None] ^ q[None, :]) for p, q in zip(x, y, strict=True)) <= WIDE_DISTANCE
+        near[part] &= x[0][part, None] != y[0][None, :]
+    rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+    n = len(rows)
+    square = np.zeros((n + len(columns),) * 2, bool)
+    square[:n, n:] = near[np.ix_(rows, columns)]
+    square[n:, :n] = square[:n, n:].T
+    fp = np.concatenate([x[0][rows], y[0][columns]]).view(np.int64)
+    pairs = np.array(_spanning(square), np.int64).reshape(-1, 2)
+    return pa.table({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+
+
+def _large_groups(members: DataFrame, group: int) -> DataFrame:
+    """From (k, s, fp, more) of groups that are too large to links (a, b) with the components of all their links.
+
+    Each member is compared with ``LEADERS`` of its group. Leaders that a chain of members joins are the core, and members near one of them are in its
+    component, so no pair of them is looked at again. All other members meet the whole group, in blocks of at most about ``group`` on both sides.
+    """
+    key = ["k", "s"]
+    order = W.partitionBy(*key).orderBy(F.xxhash64("fp", "more"), "fp", "more")
     few = members.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-    few = materialise(few.groupBy("k", "s").agg(F.array_sort(F.collect_list(F.struct("n", "fp", "more"))).alias("leaders")), "leaders")
+    few = materialise(few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "fp", "more"))).alias("leaders")), "leaders")
     apart = lambda l: F.bit_count(F.col("fp").bitwiseXOR(l.fp)) + F.bit_count(F.col("more").bitwiseXOR(l.more))
-    near = F.transform(F.filter("leaders", lambda l: apart(l) <= WIDE_DISTANCE), lambda l: l.fp)
-    leads = F.exists("leaders", lambda l: (l.fp == F.col("fp")) & (l.more == F.col("more")))
-    found = members.join(sized(few), ["k", "s"]).select("k", "s", "fp", "more", near.alias("near"), leads.alias("leads"))
-    found = materialise(found.select("k", "s", "fp", "more", F.when(F.col("leads"), F.col("near")).otherwise(F.slice("near", 1, 1)).alias("near")), "led")
-    return found.select(F.col("fp").alias("a"), F.explode("near").alias("b")), found.where(F.size("near") == 0).select("k", "s", "fp", "more")
+    bit = lambda l: F.call_function("shiftleft", F.lit(1).cast("long"), l.n - 1)
+    near = F.aggregate("leaders", F.lit(0).cast("long"), lambda found, l: found.bitwiseOR(F.when(apart(l) <= WIDE_DISTANCE, bit(l)).otherwise(F.lit(0).cast("long"))))
+    seen = materialise(members.join(sized(few), key).select(*key, "fp", "more", near.alias("near")), "led")
+    has = [F.bit_get("near", F.lit(i)) == 1 for i in range(LEADERS)]
+    meets, counts = F.array(*(F.bit_or(F.when(h, F.col("near"))) for h in has)), F.array(*(F.count_if(h) for h in has))
+    cores = seen.groupBy(*key).agg(meets.alias("meets"), counts.alias("counts")).select(*key, F.udf(_core, "long")("meets", "counts").alias("core"))
+    cores = materialise(cores.join(sized(few), key), "cores")
+    of = lambda bits: F.transform(F.filter("leaders", lambda l: bits.bitwiseAND(bit(l)) != 0), lambda l: l.fp)
+    inside = F.col("near").bitwiseAND(F.col("core"))
+    met = seen.join(sized(cores), key).select(*key, "fp", "more", F.get(of(inside), F.lit(0)).alias("leader"))
+    met = materialise(met, "met")
+    middle = cores.select(of(F.col("core")).alias("all")).select(F.get("all", F.lit(0)).alias("a"), F.explode("all").alias("b"))
+    found = met.where("leader is not null").select(F.col("fp").alias("a"), F.col("leader").alias("b")).unionAll(middle)
+    left = met.where("leader is null").drop("leader")
+    if left.isEmpty():
+        return found
+    size = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count("*") / group).cast("int").alias(name))
+    cuts = sized(materialise(size(left, "lb").join(size(met, "mb"), key), "cuts"))
+    deal = lambda n: F.pmod(F.xxhash64("fp", "more"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = left.join(cuts, key).select(*key, "fp", "more", deal("lb").alias("i"), every("mb").alias("j"))
+    b = met.join(cuts, key).select(*key, "fp", "more", every("lb").alias("i"), deal("mb").alias("j"))
+    b = b.toDF(*b.columns)  # columns of their own
+    blocks = [*key, "i", "j"]
+    return found.unionAll(a.groupBy(*blocks).cogroup(b.groupBy(*blocks)).applyInArrow(_near, "a long, b long"))
 
 
 def candidates(rows: DataFrame, bits: int, group: int = GROUP) -> DataFrame:
     """From (fp, more, segments) to links (a, b) of fp whose components hold together what is within ``WIDE_DISTANCE`` of 128 bits and shares a one-wildcard variant of a segment."""
-    found = None
-    for level in range(3):
-        variants = _wide_variants(rows, bits, level)
-        got = materialise(_links(variants, group if level < 2 else 1 << 62, WIDE_DISTANCE), "candidates")
-        new = got.where("a is not null").select("a", "b")
-        found = new if found is None else found.unionAll(new)
-        large = got.where("a is null").select("k", "s").distinct()
-        if level == 2 or large.isEmpty():
-            break
-        new, rows = _led(variants.join(sized(materialise(large, "large")), ["k", "s"]))
-        found = found.unionAll(new)
+    variants = _wide_variants(rows, bits)
+    got = materialise(_links(variants, group, WIDE_DISTANCE), "candidates")
+    found = got.where("a is not null").select("a", "b")
+    large = got.where("a is null").select("k", "s").distinct()
+    if not large.isEmpty():
+        members = materialise(variants.join(sized(materialise(large, "large")), ["k", "s"]).distinct(), "members-of-large")
+        found = found.unionAll(_large_groups(members, group))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 

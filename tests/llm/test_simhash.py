@@ -189,3 +189,29 @@ def test_test_data(spark):
     fp = {r["doc_id"]: fingerprint(r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     label = brute(sorted(fp), lambda a, b: bin(fp[a] ^ fp[b]).count("1") <= 3)
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in op5_simhash(spark, d).collect()} == {k: (f"{fp[k]:016x}", label[k]) for k in fp}
+
+
+def test_candidates_of_a_large_group_lose_no_link(spark, monkeypatch):
+    import random
+
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "LEADERS", 4)
+    far = [sum(rng.getrandbits(16) << 16 * j for j in range(1, 8)) | 12345 for _ in range(30)]  # one segment in common
+    # neighbours differ by three bits of each other 16-bit piece; some have a chain of two
+    move = lambda x, at: x ^ sum(7 << 16 * j + at for j in range(1, 8))
+    whole = far + [move(x, 0) for x in far] + [move(move(x, 0), 5) for x in far[:10]]
+    low, signed = (1 << 64) - 1, lambda x: x - (x >> 63 << 64)
+    rows = [(signed(x & low), signed(x >> 64), [12345]) for x in whole]
+    nodes = spark.createDataFrame(rows, "fp long, more long, segments array<long>")
+    near = {(i, j) for i in range(len(whole)) for j in range(i) if (whole[i] ^ whole[j]).bit_count() <= simhash.WIDE_DISTANCE}
+
+    def component(pairs, n=len(whole)):
+        root = list(range(n))
+        for _ in range(n):
+            for i, j in pairs:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    at = {r[0]: k for k, r in enumerate(rows)}
+    got = {(at[r["a"]], at[r["b"]]) for r in simhash.candidates(nodes, 16, group=8).collect()}
+    assert len(near) == 40 and component(got) == component(near)
