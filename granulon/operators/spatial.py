@@ -43,18 +43,28 @@ def block_groups(rows: DataFrame, by: list[str], at: list[str], key: list[str],
     Rows at finite places (``at``) go to blocks of four radii and to the blocks that they reach into. A block of more than ``most`` rows is dealt
     by hash of ``key`` into slices, and every slice meets every slice, so what is summed or collected over groups is that of the block.
     """
-    side, reach = 4 * r, r * (1 + 1e-9)
     blocks, names = [*by, *GROUP[:3]], rows.columns
+    rows = in_blocks(rows, at, r)
+    dense = rows.groupBy(*blocks).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    rows = rows.join(dense, blocks, "left").withColumn("_s", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int"))
+    return in_slices(rows, key).select(*names, *GROUP, "_query", "_near")
+
+
+def in_blocks(rows: DataFrame, at: list[str], r: float) -> DataFrame:
+    """Rows at finite places in their block of four radii, where ``_home`` is true, and in those that they reach into."""
+    side, reach = 4 * r, r * (1 + 1e-9)
     for block, c in zip(GROUP[:3], at, strict=True):
         rows = rows.withColumn(block, F.explode(F.expr(f"sequence(floor(({c} - {reach!r}D) / {side!r}D), floor(({c} + {reach!r}D) / {side!r}D))")))
-    home = F.expr(" and ".join(f"{block} = floor({c} / {side!r}D)" for block, c in zip(GROUP[:3], at, strict=True)))
-    dense = rows.groupBy(*blocks).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    rows = rows.withColumn("_home", home).join(dense, blocks, "left").withColumn("_s", F.ceil(F.coalesce("_n", F.lit(1)) / most).cast("int"))
+    return rows.withColumn("_home", F.expr(" and ".join(f"{block} = floor({c} / {side!r}D)" for block, c in zip(GROUP[:3], at, strict=True))))
+
+
+def in_slices(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of blocks in ``_s`` slices by hash of ``key``: group (a, b) has the queries of slice a and what slice b has near them."""
+    names = rows.columns
     rows = rows.withColumn("_k", F.pmod(F.xxhash64(*key), F.col("_s")).cast("int"))
-    # group (a, b) has the queries of slice a and what slice b has near them
     meets = "transform(sequence(0, _s - 1), k -> named_struct('_a', k, '_b', _k, '_query', _home and k = _k, '_near', true))"
     asks = "transform(filter(sequence(0, _s - 1), k -> _home and k <> _k), k -> named_struct('_a', _k, '_b', k, '_query', true, '_near', false))"
-    return rows.select(*names, *GROUP[:3], F.expr(f"inline(concat({meets}, {asks}))"))
+    return rows.select(*names, F.expr(f"inline(concat({meets}, {asks}))"))
 
 
 def _cell_spans(cells: np.ndarray, rows: np.ndarray) -> dict[tuple, np.ndarray]:

@@ -2,118 +2,188 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from granulon.functions.tensor import SYM, von_mises, with_polar
+from granulon.operators.balls import offset_sums
 from granulon.operators.resampling import resample
-from granulon.operators.spatial import GROUP, block_groups
+from granulon.operators.spatial import GROUP, in_blocks, in_slices
 
 
-def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension.
+PLACE = [f"{c}{k}" for k in (0, 1) for c in "xyz"]
+SUMS = [f"x{a}{b}" for a in "xyz" for b in "xyz"] + ["yxx", "yxy", "yxz", "yyy", "yyz", "yzz", "cc"]
 
-    Tracks are dealt by particle once; the rows of a pair meet where they are, so what is shuffled does not grow with the pairs of a frame.
-    """
-    dealt = tracks.select(*by, "frame", "particle", *"xyz").dropna(subset=[*by, "particle"]).repartition(*by, "particle")
-    roles = pairs.selectExpr("inline(array(struct(ref as frame, ref, cur, true as _then), struct(cur as frame, ref, cur, false as _then)))")
-    sides = dealt.join(F.broadcast(roles), "frame")
-    now = F.collect_list(F.when(~F.col("_then"), F.struct(*(F.col(c).alias(f"{c}1") for c in "xyz")))).over(W.partitionBy(*by, "particle", "ref", "cur"))
-    met = sides.withColumn("_now", now).where("_then")
-    return met.select(*by, "ref", "cur", "particle", *(F.col(c).alias(f"{c}0") for c in "xyz"), F.inline("_now"))
 
+def paired(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., ref, cur, particle, x0.., x1..) of the particles that both frames of a pair have; pairs are a small dimension."""
+    return _met(tracks, pairs, by).select(*by, "ref", "cur", F.explode("_whose").alias("particle"), *PLACE)
 
-PLACE = [f"{c}{k}" for k in (0, 1) for c in "xyz"]
-SUMS = [f"x{a}{b}" for a in "xyz" for b in "xyz"] + ["yxx", "yxy", "yxz", "yyy", "yyz", "yzz", "cc"]
 
+def _kept(tracks: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return tracks.select(*by, "particle", "frame", *(F.col(c).cast("double").alias(c) for c in "xyz")).where(" and ".join(f"`{c}` is not null" for c in (*by, "particle", "frame")))
 
-def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = (), most: int = 100_000) -> DataFrame:
-    """Sums over the reference neighbours (self included, which adds nothing) of products of offsets; incomplete tracks go first.
 
-    Particles with the same two places have the same sums, so each pair of places is worked out once, weighted by its particles. Places go to
-    blocks of four radii and to the blocks that they reach into, and a task sums over the neighbours there: no edge leaves it. A block of more
-    than ``most`` places is dealt into slices, and every slice meets every slice: sums over slices add up. The particles of a place wait beside it as a
-    list, in the one shuffle that tells places apart, and take its sums there.
+def _met(tracks: DataFrame, pairs: DataFrame, by: tuple[str, ...], size: int = 1_000_000) -> DataFrame:
+    """(by..., ref, cur, x0.., x1.., _whose): ``paired`` with the particles of a place as lists, as far as they come together in ``size`` tracks.
+
+    Tracks are dealt by particle once; the rows of a pair meet where they are, so what is shuffled does not grow with the pairs of a frame.
+    """
+    dealt = _kept(tracks, by).repartition(*by, "particle").sortWithinPartitions(*by, "particle")
+    wanted = [(r["ref"], r["cur"]) for r in pairs.select("ref", "cur").collect()]
+    kinds = {c: dealt.schema[c].dataType.simpleString() for c in (*by, "particle")}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), *(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("ref", "cur")), *(f"{c} double" for c in PLACE), f"_whose array<{kinds['particle']}>"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= size:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                who = _numbered(rows, [*by, "particle"])
+                last = int(np.searchsorted(who, who[-1]))  # the last particle may go on
+                yield from _meetings(rows.slice(0, last), who[:last], wanted, by)
+                held, n = rows.slice(last).to_batches(), n - last
+        if n:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            yield from _meetings(rows, _numbered(rows, [*by, "particle"]), wanted, by)
+
+    return dealt.mapInArrow(meet, schema)
+
+
+def _numbered(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of each row's run of equal keys."""
+    new = np.zeros(len(rows), bool)
+    for c in keys:
+        new[1:] |= pc.not_equal(rows[c][1:], rows[c][:-1]).to_numpy()
+    return np.cumsum(new)
+
+
+def _meetings(rows: pa.Table, who: np.ndarray, pairs: list[tuple], by: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """``_met`` of whole particles; ``who`` numbers them."""
+    frame = rows["frame"].to_numpy()
+    order = np.argsort(frame, kind="stable")
+    frames, starts = np.unique(frame[order], return_index=True)
+    at = dict(zip(frames.tolist(), np.split(order, starts[1:]), strict=True))
+    left, right, which = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
+    for k, (ref, cur) in enumerate(pairs):
+        if ref in at and cur in at:
+            a, b = at[ref], at[cur]
+            low = np.searchsorted(who[b], who[a], "left")
+            n = np.searchsorted(who[b], who[a], "right") - low
+            left.append(np.repeat(a, n))
+            right.append(b[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            which.append(np.full(n.sum(), k))
+    left, right, which = (np.concatenate(x) for x in (left, right, which))
+    if not len(left):
+        return
+    void = {c: rows[c].is_null().to_numpy() for c in "xyz"}
+    place = {c: rows[c].fill_null(np.nan).to_numpy() + 0.0 for c in "xyz"}
+    side = lambda k: left if k == "0" else right
+    same = [which, _numbered(rows, list(by))[left], *(place[c[0]][side(c[1])] for c in PLACE)]
+    name = np.zeros(len(left), "uint64")
+    for c in same:
+        name = (name ^ c.view("uint64")) * np.uint64(0x9E3779B97F4A7C15)
+        name ^= name >> np.uint64(29)
+    order = np.argsort(name)
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in same])
+    first = order[new]
+    whose = pa.ListArray.from_arrays(pa.array(np.append(np.flatnonzero(new), len(order)), pa.int32()), rows["particle"].take(pa.array(left[order])).combine_chunks())
+    out = {c: rows[c].take(pa.array(left[first])) for c in by} | {c: pa.array([p[k] for p in pairs]).take(pa.array(which[first])) for k, c in enumerate(("ref", "cur"))}
+    out |= {c: pa.array(place[c[0]][side(c[1])[first]], mask=void[c[0]][side(c[1])[first]]) for c in PLACE}
+    yield from pa.table(out | {"_whose": whose}).to_batches(max_chunksize=20_000)
+
+
+def neighbour_sums(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...] = (), most: int = 200_000) -> DataFrame:
+    """Sums over the reference neighbours (self included, which adds nothing) of products of offsets, by (by..., ref, cur, particle); incomplete tracks go first.
+
+    Particles with the same two places have the same sums, so what is sent and worked out is places with their particles as lists. Places go to blocks of four
+    radii and to the blocks that they reach into, where a task sums over their neighbours (see ``balls``): no edge leaves it, and a block's sums are whole.
+    Only a block of more than ``most`` rows is dealt into slices, every slice meets every slice, and sums over slices add up.
     """
-    keys, place = [*by, "ref", "cur"], ["_h0", "_h1"]
-    both = paired(tracks, pairs, by).where(" and ".join([*(f"abs({c}0) < double('inf')" for c in "xyz"), *(f"{c} is not null" for c in keys)]))
+    return _about(tracks, pairs, r, by, most, lambda s: s, [*SUMS, "nnb_count"])
+
+
+def _about(tracks: DataFrame, pairs: DataFrame, r: float, by: tuple[str, ...], most: int, measures, named: list[str]) -> DataFrame:
+    """(by..., ref, cur, particle) with the columns ``named`` that ``measures`` makes of the sums: arrays by name, masked where they are null."""
+    keys, block = [*by, "ref", "cur"], list(GROUP[:3])
+    finite = lambda cols: " and ".join(f"abs({c}) < double('inf')" for c in cols)
+    # no pair of frames has more places than its first frame: which blocks there are, and which are dense, follows from the tracks
+    homes = in_blocks(_kept(tracks, by).where(finite("xyz")).withColumnRenamed("frame", "ref"), list("xyz"), r)
+    counts = homes.groupBy(*by, "ref", *block).agg(F.count("*").alias("_n"), F.max("_home").alias("_own")).where("_own and _n > 0")
+    extent = counts.groupBy(*by, "ref").agg(*(f(b).alias(f"{b}_{n}") for b in block for f, n in ((F.min, "low"), (F.max, "high"))))
+    dense = F.broadcast(counts.where(F.col("_n") > most).select(*by, "ref", *block, F.ceil(F.col("_n") / most).cast("int").alias("_s")))
+    rows = _met(tracks, pairs, by).where(" and ".join([finite(PLACE[:3]), *(f"{c} is not null" for c in ("ref", "cur"))]))
+    rows = in_blocks(rows, PLACE[:3], r).join(F.broadcast(extent), [*by, "ref"]).where(" and ".join(f"{b} between {b}_low and {b}_high" for b in block))
+    rows = rows.select(*keys, *block, *PLACE, F.size("_whose").cast("double").alias("_w"), "_home", F.when(F.col("_home"), F.col("_whose")).alias("_whose"))
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keys)
+    values = ", ".join(f"{c} {'long' if c == 'nnb_count' else 'double'}" for c in named)
+    whose = f"_whose {rows.schema['_whose'].dataType.simpleString()}"
+
+    def whole(block_rows: pa.Table) -> pa.Table:
+        found, sums = _block_sums(block_rows, "_home", "_w", r)
+        return _named(block_rows.select([*keys, "_whose"]).take(pa.array(found)), measures(sums), named)
+
+    light = rows.join(dense, [*by, "ref", *block], "left_anti").groupBy(*keys, *block).applyInArrow(whole, f"{kinds}, {whose}, {values}")
+    heavy = _in_slices(rows.join(dense, [*by, "ref", *block]), keys, kinds, r)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = {c: np.ma.masked_array(batch[c].fill_null(0).to_numpy(zero_copy_only=False), batch[c].is_null().to_numpy(zero_copy_only=False)) for c in (*SUMS, "nnb_count")}
+            yield from _named(pa.Table.from_batches([batch]).select([*keys, "_whose"]), measures(sums), named).to_batches()
+
+    found = light.unionByName(heavy.mapInArrow(finish, f"{kinds}, {whose}, {values}"))
+    return found.select(*keys, F.explode("_whose").alias("particle"), *named)
+
+
+def _in_slices(rows: DataFrame, keys: list[str], kinds: str, r: float) -> DataFrame:
+    """(keys..., _whose, sums) of the rows of dense blocks, in ``_s`` slices."""
+    place = ["_h0", "_h1"]
     # 96 bits name a place: doubles as keys would be shuffled once more for each use
     named = [*PLACE, *(F.col(c).isNull() for c in PLACE[3:])]
-    both = both.withColumns({"_h0": F.xxhash64(*named), "_h1": F.hash(*named)})
-    places = both.groupBy(*keys, *place).agg(F.collect_list("particle").alias("_whose"), *(F.first(c).alias(c) for c in PLACE))
-    # true, but it makes both uses of this table need the same columns, so that its shuffle is made once
-    places = places.withColumn("_w", F.size("_whose").cast("long")).where(f"_w > 0 and coalesce({', '.join(PLACE[::-1])}) is not null")
-    rows = block_groups(places.drop("_whose"), [*keys], PLACE[:3], place, r, most).select(*keys, *GROUP, *place, *PLACE, "_w", "_query", "_near")
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+    rows = rows.withColumns({"_h0": F.xxhash64(*named), "_h1": F.hash(*named)})
+    own = rows.where("_home").select(*keys, *place, "_whose")
     schema = f"{kinds}, _h0 long, _h1 int, {', '.join(f'{c} double' for c in SUMS)}, nnb_count long"
-    part = rows.groupBy(*keys, *GROUP).applyInArrow(_block_sums([*keys, *place], r), schema)
-    sums = part.groupBy(*keys, *place).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
-    found = places.select(*keys, *place, "_whose").join(sums, [*keys, *place])
-    return found.select(*keys, F.explode("_whose").alias("particle"), *SUMS, "nnb_count")
-
-
-def _block_sums(keys: list[str], r: float):
-    """Sums about the places of one group of ``neighbour_sums``, from its places within r; cells of r keep the distances that are looked at few."""
-
-    def sums(rows: pa.Table) -> pa.Table:
-        at = np.column_stack([rows[c].to_numpy() for c in PLACE[:3]])
-        now = np.column_stack([rows[c].fill_null(0.0).to_numpy() for c in PLACE[3:]])
-        void = np.column_stack([rows[c].is_null().to_numpy() for c in PLACE[3:]])
-        weight, gaps = rows["_w"].to_numpy(), void.any()
-        cells = np.floor(at / (r * (1 + 1e-9)))
-        near, query = np.flatnonzero(rows["_near"].to_numpy(zero_copy_only=False)), np.flatnonzero(rows["_query"].to_numpy(zero_copy_only=False))
-        if not len(query) or not len(near):
-            return pa.table({c: pa.array([], f.type) for c, f in zip(rows.column_names, rows.schema, strict=True) if c in keys} | {c: pa.array([], pa.float64()) for c in SUMS} | {"nnb_count": pa.array([], pa.int64())})
-        near = near[np.lexsort(cells[near].T)]
-        kept, starts = np.unique(cells[near][:, ::-1], axis=0, return_index=True)
-        span = {tuple(c[::-1]): near[i:j] for c, i, j in zip(kept, starts, [*starts[1:], len(near)], strict=True)}
-        query = query[np.lexsort(cells[query].T)]
-        asked, starts = np.unique(cells[query][:, ::-1], axis=0, return_index=True)
-        out, count = np.zeros((len(rows), 6, 6)), np.zeros(len(rows), "int64")
-        squares = np.zeros(len(rows))
-        for cell, i, j in zip(asked[:, ::-1], starts, [*starts[1:], len(query)], strict=True):
-            about = [span[k] for k in ((cell[0] + dx, cell[1] + dy, cell[2] + dz) for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)) if k in span]
-            if not about:
-                continue
-            about = np.concatenate(about)
-            step = max(1, 500_000 // len(about))
-            for k in range(i, j, step):
-                _sum_about(query[k : min(k + step, j)], about, at, now, void if gaps else None, weight, r * r, out, squares, count)
-        found = query[count[query] > 0]
-        named = {f"x{a}{b}": out[found, 3 + i, j] for i, a in enumerate("xyz") for j, b in enumerate("xyz")}
-        named |= {f"y{a}{b}": out[found, "xyz".index(a), "xyz".index(b)] for a, b in SYM}
-        named["cc"] = squares[found] if gaps else np.einsum("iaa->i", out[found, 3:, 3:])
-        lost = {f"x{a}{b}": void[found, i] for i, a in enumerate("xyz") for b in "xyz"} | {"cc": void[found].any(1)}
-        taken = rows.take(pa.array(found)).select(keys)
-        for c in SUMS:
-            taken = taken.append_column(c, pa.array(named[c], mask=lost.get(c)))
-        return taken.append_column("nnb_count", pa.array(count[found]))
-
-    return sums
-
-
-def _sum_about(query, about, at, now, void, weight, r2, out, squares, count) -> None:
-    """Adds the products of offsets of the places ``about`` within reach of each place of ``query``; nulls (``void``) add nothing."""
-    with np.errstate(invalid="ignore", over="ignore"):
-        dx, dy, dz = (at[about, c][None, :] - at[query, c][:, None] for c in range(3))
-        i, j = np.nonzero(dx * dx + dy * dy + dz * dz <= r2)
-        q, j = query[i], about[j]
-        offsets = np.concatenate([at[j] - at[q], now[j] - now[q]], axis=1)
-        w = weight[j]
-        if void is not None:
-            gone = void[j] | void[q]
-            offsets[:, 3:][gone] = 0.0
-            np.add.at(squares, q, np.where(gone.any(1), 0.0, w * (offsets[:, 3:] ** 2).sum(1)))
-        heavy = offsets if (w == 1).all() else offsets * w[:, None]
-        ends = np.searchsorted(i, np.arange(len(query) + 1))
-        for n, row in enumerate(query):
-            lo, hi = ends[n], ends[n + 1]
-            if hi > lo:
-                out[row] = out[row] + heavy[lo:hi].T @ offsets[lo:hi]
-                count[row] += w[lo:hi].sum()
+
+    def part(group: pa.Table) -> pa.Table:
+        # rows of one place have the same sums
+        query = np.flatnonzero(group["_query"].to_numpy(zero_copy_only=False))
+        names = np.column_stack([group[c].to_numpy()[query].astype("int64") for c in place])
+        asks = np.zeros(len(group), bool)
+        asks[query[np.unique(names, axis=0, return_index=True)[1]]] = True
+        found, sums = _block_sums(group.set_column(group.schema.get_field_index("_query"), "_query", pa.array(asks)), "_query", "_w", r)
+        return _named(group.select([*keys, *place]).take(pa.array(found)), sums, [*SUMS, "nnb_count"])
+
+    sliced = in_slices(rows.drop("_whose"), place).drop("_s", "_home")
+    sums = sliced.groupBy(*keys, *GROUP).applyInArrow(part, schema).groupBy(*keys, *place).agg(*(F.sum(c).alias(c) for c in (*SUMS, "nnb_count")))
+    return own.join(sums, [*keys, *place]).select(*keys, "_whose", *SUMS, "nnb_count")
+
+
+def _block_sums(rows: pa.Table, query: str, weight: str, r: float) -> tuple[np.ndarray, dict]:
+    """Rows of a block that have sums, and the sums by name, masked where the place now is null."""
+    at = np.column_stack([rows[c].to_numpy() for c in PLACE[:3]])
+    now = np.column_stack([rows[c].fill_null(0.0).to_numpy() for c in PLACE[3:]])
+    void = np.column_stack([rows[c].is_null().to_numpy() for c in PLACE[3:]])
+    near = rows["_near"].to_numpy(zero_copy_only=False) if "_near" in rows.column_names else np.ones(len(rows), bool)
+    found, x, y, cc, count = offset_sums(at, now, void, rows[weight].to_numpy(), rows[query].to_numpy(zero_copy_only=False), near, r)
+    lost = void[found]
+    sums = {f"x{a}{b}": np.ma.masked_array(x[:, i, j], lost[:, i]) for i, a in enumerate("xyz") for j, b in enumerate("xyz")}
+    sums |= {f"y{a}{b}": np.ma.masked_array(y[:, "xyz".index(a), "xyz".index(b)]) for a, b in SYM}
+    return found, sums | {"cc": np.ma.masked_array(cc, lost.any(1)), "nnb_count": np.ma.masked_array(count)}
+
+
+def _named(rows: pa.Table, values: dict, named: list[str]) -> pa.Table:
+    for c in named:
+        rows = rows.append_column(c, pa.array(np.ma.getdata(values[c]), mask=np.ma.getmaskarray(values[c])))
+    return rows
 
 
 def _sums() -> list:
@@ -124,9 +194,34 @@ def _sums() -> list:
     return [*sums, *extra]
 
 
-def local_strain(tracks: DataFrame, pairs: DataFrame, r: float, tolerance: float = 1e-9, by: tuple[str, ...] = ()) -> DataFrame:
+def local_strain(tracks: DataFrame, pairs: DataFrame, r: float, tolerance: float = 1e-9, by: tuple[str, ...] = (), most: int = 200_000) -> DataFrame:
     """Gradient f, strain e, rotation r, d2_min, von_mises and nnb_count by (by..., ref, cur, particle); null where the neighbourhood is flat."""
-    return affine(neighbour_sums(tracks, pairs, r, by), [*by, "ref", "cur", "particle"], tolerance)
+    return _about(tracks, pairs, r, by, most, lambda sums: _affine_arrays(sums, tolerance), MEASURES)
+
+
+MEASURES = ["d2_min", "von_mises", *(f"e{k}" for k in SYM), "rxy", "rxz", "ryz", *(f"f{a}{b}" for a in "xyz" for b in "xyz"), "nnb_count"]
+
+
+def _affine_arrays(s: dict, tolerance: float) -> dict:
+    """``affine`` of arrays."""
+    with np.errstate(all="ignore"):
+        y = {a + b: np.ma.getdata(s["y" + "".join(sorted(a + b))]) for a in "xyz" for b in "xyz"}
+        k = {"xx": y["yy"] * y["zz"] - y["yz"] * y["yz"], "xy": y["xz"] * y["yz"] - y["xy"] * y["zz"], "xz": y["xy"] * y["yz"] - y["xz"] * y["yy"], "yy": y["xx"] * y["zz"] - y["xz"] * y["xz"], "yz": y["xy"] * y["xz"] - y["xx"] * y["yz"], "zz": y["xx"] * y["yy"] - y["xy"] * y["xy"]}
+        k |= {"yx": k["xy"], "zx": k["xz"], "zy": k["yz"]}
+        det = y["xx"] * k["xx"] + y["xy"] * k["xy"] + y["xz"] * k["xz"]
+        flat = np.abs(det) <= tolerance * ((y["xx"] + y["yy"] + y["zz"]) / 3) ** 3
+        data, lost = {c: np.ma.getdata(v) for c, v in s.items()}, {c: np.ma.getmaskarray(v) for c, v in s.items()}
+        f = {a + b: sum(data[f"x{a}{c}"] * k[c + b] for c in "xyz") / np.where(flat, 1.0, det) for a in "xyz" for b in "xyz"}
+        gone = {a: flat | lost[f"x{a}x"] for a in "xyz"}
+        mask = lambda v, *axes: np.ma.masked_array(v, np.logical_or.reduce([gone[a] for a in axes]))
+        e = {a + b: (f[a + b] + f[b + a]) / 2 - (1 if a == b else 0) for a, b in SYM}
+        out = {f"e{c}": mask(v, *c) for c, v in e.items()} | {f"f{c}": mask(v, c[0]) for c, v in f.items()}
+        out |= {f"r{a}{b}": mask((f[a + b] - f[b + a]) / 2, a, b) for a, b in ("xy", "xz", "yz")}
+        d2 = data["cc"] - sum(f[a + b] * data[f"x{a}{b}"] for a in "xyz" for b in "xyz")
+        # as greatest() in columns: what is null is passed over, and NaN is greatest
+        d2 = np.where(np.logical_or.reduce([lost["cc"], *gone.values()]), 0.0, np.where(d2 < 0, 0.0, d2))
+        spread = (e["xx"] - e["yy"]) ** 2 + (e["yy"] - e["zz"]) ** 2 + (e["zz"] - e["xx"]) ** 2
+        return out | {"d2_min": np.ma.masked_array(d2), "von_mises": mask(np.sqrt(spread / 2 + 3 * (e["xy"] ** 2 + e["xz"] ** 2 + e["yz"] ** 2)), *"xyz"), "nnb_count": s["nnb_count"]}
 
 
 def affine(m: DataFrame, keys: list[str], tolerance: float = 1e-9) -> DataFrame:

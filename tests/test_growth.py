@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granulon.operators import clusters, fits, spatial, strain
+from granulon.operators import balls, clusters, fits, spatial, strain
 from granulon.plans import adapters
 
 
@@ -102,6 +102,50 @@ def test_neighbour_sums_of_copies_send_no_row_for_each_pair(spark, no_broadcast)
     assert sent < n * frames + met / 2
 
 
+def test_neighbour_sums_of_distinct_places_are_sent_once(spark, no_broadcast):
+    n, frames = 300, 10
+    rng = np.random.default_rng(12)
+    rows = [(f, i, *map(float, rng.uniform(0, 4, 3))) for f in range(frames) for i in range(n)]
+    t = spark.createDataFrame(rows, "frame long, particle long, x double, y double, z double")
+    pairs = spark.createDataFrame(sorted({(0, f) for f in range(1, frames)} | {(f - 1, f) for f in range(1, frames)}), "ref long, cur long")
+    found, sent = shuffled(spark, lambda: strain.neighbour_sums(t, pairs, 2.0).collect())
+    met = n * (2 * frames - 3)
+    assert len(found) == met
+    assert sent < n * frames + 1.5 * met  # one block: tracks, then the rows of pairs, and no sums
+
+
+@pytest.mark.parametrize("most", [200_000, 400])
+def test_strain_of_crowded_places(spark, most):
+    """Far more neighbours than are summed one by one: leaves within reach by their sums, ties at the radius, places of several particles, a NaN."""
+    rng = np.random.default_rng(13)
+    ref = rng.integers(0, 40, (1200, 3)) * 0.25
+    cur = ref @ np.array([[1.1, 0.2, 0], [0, 0.9, 0], [0.1, 0, 1]]) + rng.normal(0, 0.3, ref.shape)
+    ref[1000:1100], cur[1000:1100] = ref[:100], cur[:100]
+    cur[7, 2] = np.nan
+    t, pairs = as_tracks(spark, ref, cur), spark.createDataFrame([(0, 1)], "ref long, cur long")
+    want = brute_sums(ref, cur, 4.0)
+    got = {x["particle"]: x for x in strain.neighbour_sums(t, pairs, 4.0, most=most).collect()}
+    assert len(got) == 1200 and max(n for n, *_ in want.values()) > 150
+    for i, (n, x, y, cc) in want.items():
+        assert got[i]["nnb_count"] == n
+        assert np.allclose([got[i][f"x{a}{b}"] for a in "xyz" for b in "xyz"], x.ravel(), rtol=1e-9, atol=1e-8, equal_nan=True)
+        assert np.allclose([got[i][f"y{k}"] for k in ("xx", "xy", "xz", "yy", "yz", "zz")], y[np.triu_indices(3)], rtol=1e-9, atol=1e-8)
+        assert np.isclose(got[i]["cc"], cc, rtol=1e-9, equal_nan=True)
+    strains = {x["particle"]: x for x in strain.local_strain(t, pairs, 4.0, most=most).collect()}
+    columns = {x["particle"]: x for x in strain.affine(strain.neighbour_sums(t, pairs, 4.0), ["ref", "cur", "particle"]).collect()}
+    show = lambda v: np.nan if v is None else float(v)
+    assert all(np.allclose([show(v) for v in strains[i]], [show(columns[i][c]) for c in strains[i].asDict()], rtol=1e-7, atol=1e-7, equal_nan=True) for i in strains)
+
+
+def test_few_of_the_distances_are_looked_at(monkeypatch):
+    p, looked, within = places(6000, 14, 0.5), [], balls._within
+    monkeypatch.setattr(balls, "_within", lambda p, q, r2: looked.append(len(p) * len(q)) or within(p, q, r2))
+    on = np.ones(len(p), bool)
+    found, _, _, _, count = balls.offset_sums(p, p, np.zeros(p.shape, bool), np.ones(len(p)), on, on, 2.0)
+    assert len(found) == 6000 and (count == [(((p - q) ** 2).sum(1) <= 4).sum() for q in p]).all()
+    assert sum(looked) < 0.8 * count.sum()  # cells of the radius compare several times that
+
+
 def test_tracks_meet_by_frame_and_particle_where_they_are(spark, no_broadcast):
     t = adapters.tracks(spark, "/root/testdata/sf0.001")
     one = t.select("frame", "particle").limit(1).collect()
