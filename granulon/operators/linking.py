@@ -123,6 +123,10 @@ def _solved(p: np.ndarray, q: np.ndarray, limit: float, search: float) -> tuple[
         cost[np.arange(n), m + np.arange(n)] = search * search
         got = assign(cost)
         got = np.where(got < m, got, -1)
+    elif n > m:  # what stays unlinked of either side costs the same but for a constant, and each row without a column is a long search
+        col, row = _solved(q, p, limit, search)
+        order = np.argsort(row)
+        return row[order], col[order]
     else:
         i, j, d2 = (np.concatenate(x) for x in zip(*near_pairs(p, q, limit), strict=True))
         got = assign_sparse(n, m, i, j, d2, search * search)
@@ -203,11 +207,12 @@ def no_tracks(locations: DataFrame, by: str) -> DataFrame:
     return locations.select(by, F.col("id").alias("particle"), "id", "x", "y", "z", F.col("frame").cast("long").alias("seen")).limit(0)
 
 
-def link_with_memory(locations: DataFrame, search: float, memory: int, by: str = "material", **options) -> DataFrame:
+def link_with_memory(locations: DataFrame, search: float, memory: int, by: str = "material", whole: int = 200_000, **options) -> DataFrame:
     """Trajectories of particles that may be unseen for ``memory`` frames: present and remembered ones compete for the places of the next frame.
 
-    A frame depends on the one before, so frames go one after the other, each as joins over all its materials; no group is larger than a subnet
-    of candidates. ``id`` is unique over all; rows without frame, ``by`` or a finite place are trajectories of their own.
+    A frame depends on the one before, so frames go one after the other, each as joins over all its materials. Blocks and subnets are some hundred jobs a
+    frame, which the driver keeps account of, and a task holds no candidates but those of a subnet: so up to ``whole`` places of a frame and material, more
+    than for frames that link at once, take one task. ``id`` is unique over all; rows without frame, ``by`` or a finite place are trajectories of their own.
     """
     usable = F.expr(f"frame is not null and {by} is not null and " + " and ".join(f"abs({c}) < double('inf')" for c in "xyz"))
     rows = locations.select("frame", by, "id", "x", "y", "z")
@@ -218,6 +223,6 @@ def link_with_memory(locations: DataFrame, search: float, memory: int, by: str =
     most = dict(sorted((r["frame"], r["n"]) for r in most.collect()))  # a row for each frame
     for frame in most:
         near = sum(n for k, n in most.items() if frame - 1 - memory <= k <= frame)
-        _, tracks = continue_tracks(tracks, rows.where(F.col("frame") == frame), search, memory, frame, by, largest=near, **options)
+        _, tracks = continue_tracks(tracks, rows.where(F.col("frame") == frame), search, memory, frame, by, largest=near, whole=whole, **options)
         found = found.unionByName(tracks.where(F.col("seen") == frame).select("id", "particle"))
     return locations.join(found, "id")

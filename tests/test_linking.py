@@ -154,3 +154,31 @@ def test_bids_and_paths_give_the_least_cost():
         assert (subnets.assign_sparse(n, m, i, j, d2[i, j], unlinked) == np.where(want < m, want, -1)).all()
         near = [tuple(map(np.concatenate, zip(*subnets.near_pairs(p, q, limit, most=20), strict=True)))] if len(i) else []
         assert not near or sorted(zip(*near[0][:2], strict=True)) == sorted(zip(i, j, strict=True))
+
+
+def test_more_sources_than_targets_are_assigned_from_the_side_of_the_targets(monkeypatch):
+    rng = np.random.default_rng(11)
+    p, q, rows = rng.uniform(0, 3, (180, 3)), rng.uniform(0, 3, (90, 3)), []
+    solve = linking.assign_sparse
+    monkeypatch.setattr(linking, "assign_sparse", lambda n, *more: rows.append(n) or solve(n, *more))
+    d2 = ((p[:, None] - q[None]) ** 2).sum(2)
+    cost = np.full((180, 90 + 180), 1e12)
+    cost[:, :90] = np.where(d2 <= 1.0, d2, 1e12)
+    cost[np.arange(180), 90 + np.arange(180)] = 4.0
+    want = linking.assign(cost)
+    row, col = linking._solved(p, q, 1.0, 2.0)
+    assert dict(zip(row.tolist(), col.tolist(), strict=True)) == {i: c for i, c in enumerate(want.tolist()) if c < 90}
+    assert rows == [90]
+
+
+def test_frames_of_some_ten_thousand_places_take_few_jobs(spark, monkeypatch):
+    """Three frames of 7,500 places were over the bound of one task, and each frame some hundred jobs."""
+    def refuse(*a):
+        raise AssertionError("blocks")
+
+    monkeypatch.setattr(linking, "_in_blocks", refuse)
+    rng = np.random.default_rng(12)
+    frames = [rng.uniform(0, 300, (7500, 3)) for _ in range(3)]
+    rows = [(f, 10_000 * f + i, *p, "gel") for f, side in enumerate(frames) for i, p in enumerate(side.tolist())]
+    got = linking.link_with_memory(spark.createDataFrame(rows, SCHEMA), 1.5, 1).collect()
+    assert len(got) == 22_500
