@@ -10,8 +10,12 @@ from granulon.operators import binning, quality
 
 
 def filtered_strain(strain: DataFrame, columns: list[str], least: int = 4, k: float = 3.0) -> DataFrame:
-    """Rows of over ``least`` neighbours inside the fence of each column in turn."""
-    return quality.tukey_filter(strain.where(F.col("nnb_count") > least), columns, k)
+    """Rows of over ``least`` neighbours inside the fence of each column in turn.
+
+    The fences and the rows read one shuffle of the strain, which is worked out once: rows wait as lists, past which no condition or choice of columns goes.
+    """
+    whole = strain.where(F.col("nnb_count") > least).groupBy("particle").agg(F.collect_list(F.struct(*strain.columns)).alias("_rows"))
+    return quality.tukey_filter(whole.where("size(_rows) > 0").select(F.inline("_rows")), columns, k)
 
 
 def described(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -49,11 +53,13 @@ def interface_map(strain: DataFrame, positions: DataFrame, value: str = "eyz", h
     ``positions`` has particle, x, y and dist of the reference frame.
     """
     near = positions.where(F.col("dist") < height).select("particle", "x", "y")
-    poor = strain.where((F.col("nnb_count") < least) | F.col("nnb_count").isNull()).select("particle").distinct()
-    chosen = near.join(strain.select("particle").distinct(), "particle", "left_semi").join(poor, "particle", "left_anti")
+    poor = F.coalesce(F.col("nnb_count") < least, F.lit(True))
+    whole = strain.groupBy("particle").agg(F.max(poor).alias("_poor"), F.collect_list(F.struct("ref", "cur", F.col(value).alias("_v"))).alias("_rows"))
+    # the second condition is true, but it makes the ranges and the rows need the same columns, so that the strain is worked out and shuffled once
+    chosen = near.join(whole.where("not _poor and size(_rows) > 0"), "particle")
     binned = binning.equal_width(binning.equal_width(chosen, "x", cells).withColumnRenamed("bin", "x_bin").drop("bin_mid"), "y", cells).withColumnRenamed("bin", "y_bin").drop("bin_mid")
-    rows = strain.join(binned.select("particle", "x_bin", "y_bin"), "particle")
-    return rows.groupBy("ref", "cur", "x_bin", "y_bin").agg((100 * F.avg(value)).alias("percent"), F.count(value).alias("n"))
+    rows = binned.select("x_bin", "y_bin", F.inline("_rows"))
+    return rows.groupBy("ref", "cur", "x_bin", "y_bin").agg((100 * F.avg("_v")).alias("percent"), F.count("_v").alias("n"))
 
 
 def gridded(rows: DataFrame, value: str, shape: dict[str, int], low: float, high: float) -> DataFrame:

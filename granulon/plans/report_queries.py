@@ -60,7 +60,7 @@ def register(add, local, strain_sql: str) -> None:
     inside = "(select ref, cur, particle, nnb_count, d2_min, exz from {t} where {c} between q1 - 3 * (q3 - q1) and q3 + 3 * (q3 - q1))"
     for c in BOTH:
         first = inside.format(t=fence.format(c=c, t=first), c=c)
-    add("filtered_strain", "ref cur particle nnb_count:i", lambda s, d: reports.filtered_strain(_rounded(local(s, d)), BOTH), "select ref, cur, particle, nnb_count from " + first.replace(strain_sql, _rounded_sql(strain_sql)))
+    add("filtered_strain", "ref cur particle nnb_count:i", lambda s, d: reports.filtered_strain(_rounded(local(s, d)).select("ref", "cur", "particle", "nnb_count", *BOTH), BOTH), "select ref, cur, particle, nnb_count from " + first.replace(strain_sql, _rounded_sql(strain_sql)))
     stats = "count({c}) as n, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as low, quantile_cont({c}, 0.25) as q25, quantile_cont({c}, 0.5) as q50, quantile_cont({c}, 0.75) as q75, max({c}) as high"
     add("described_tracks", "name n:i mean:r std:r low:r q25:r q50:r q75:r high:r", lambda s, d: reports.described(tracks(s, d), ["x", "y", "z"]), " union all ".join(f"select '{c}' as name, {stats.format(c=c)} from {T}" for c in "xyz"))
     intervals = [(0.0, 10.0), (10.0, 20.0), (20.0, 40.0)]

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granulon.operators import balls, clusters, fits, spatial, strain
+from granulon.operators import balls, clusters, fits, reports, spatial, strain
 from granulon.plans import adapters
 
 
@@ -137,6 +137,50 @@ def test_strain_of_crowded_places(spark, most):
     assert all(np.allclose([show(v) for v in strains[i]], [show(columns[i][c]) for c in strains[i].asDict()], rtol=1e-7, atol=1e-7, equal_nan=True) for i in strains)
 
 
+def _counted(spark, rows):
+    """A table of strain, and how many of its rows were made so far."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    schema = "ref long, cur long, particle long, nnb_count long, d2_min double, exz double"
+    return spark.createDataFrame(rows, schema).mapInArrow(count, schema), made
+
+
+def test_filtered_strain_and_interface_map_make_the_strain_once(spark, no_broadcast):
+    rng = np.random.default_rng(15)
+    rows = [(0, c, i, int(rng.integers(3, 40)) if i % 9 else 30, float(rng.normal(5, 1)), float(rng.normal(0, 1))) for c in (1, 2, 3) for i in range(200)]
+    rows = [r if r[2] != 3 else (*r[:3], None, *r[4:]) for r in rows]
+    table, made = _counted(spark, rows)
+    kept = [r for r in rows if r[3] is not None and r[3] > 4]
+    for k in (4, 5):
+        low, high = np.quantile([r[k] for r in kept], [0.25, 0.75])
+        kept = [r for r in kept if low - (high - low) <= r[k] <= high + (high - low)]
+    assert sorted(map(tuple, reports.filtered_strain(table, ["d2_min", "exz"], 4, 1.0).collect())) == sorted(kept)
+    assert made.value == len(rows)
+
+    table, made = _counted(spark, rows)
+    at = {i: (float(rng.uniform(0, 8)), float(rng.uniform(0, 8)), float(rng.uniform(0, 20))) for i in range(210)}
+    places = spark.createDataFrame([(i, *p) for i, p in at.items()], "particle long, x double, y double, dist double")
+    got = {(r["cur"], r["x_bin"], r["y_bin"]): (r["n"], r["percent"]) for r in reports.interface_map(table, places, "exz", 15.0, 9, 2).collect()}
+    assert made.value == len(rows)
+    poor = {r[2] for r in rows if r[3] is None or r[3] < 9}
+    chosen = [i for i in range(200) if i not in poor and at[i][2] < 15]
+    cell = {}
+    for k in (0, 1):
+        low, high = min(at[i][k] for i in chosen), max(at[i][k] for i in chosen)
+        for i in chosen:
+            cell.setdefault(i, []).append(1 if at[i][k] <= (low + high) / 2 else 2)
+    want = {}
+    for r in rows:
+        if r[2] in cell:
+            want.setdefault((r[1], *cell[r[2]]), []).append(r[5])
+    assert got == {k: (len(v), pytest.approx(100 * np.mean(v))) for k, v in want.items()}
+
+
 def test_few_of_the_distances_are_looked_at(monkeypatch):
     p, looked, within = places(6000, 14, 0.5), [], balls._within
     monkeypatch.setattr(balls, "_within", lambda p, q, r2: looked.append(len(p) * len(q)) or within(p, q, r2))
